@@ -9,6 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20  # what a Python worker is handed at once
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in small batches, so that a worker's memory doesn't follow Spark's 10,000 rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; one of our own only where it is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -32,4 +41,5 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator needs, under fixed names; other columns, however named, are left out."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
