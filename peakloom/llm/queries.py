@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, license_scan, line_dedup, media, quality, secret_scan, token_counts
+from . import bpe, decontam, license_scan, line_dedup, media, minhash, quality, secret_scan, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digests(_documents(spark, sf_dir))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_documents(spark, sf_dir))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(_documents(spark, sf_dir))
 
@@ -52,7 +56,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op4_media_columns, op5_quality_classifier, op6_bpe, op8_line_dedup, op9_license_scan, op10_decontamination)}
+    return {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_minhash, op4_media_columns, op5_quality_classifier, op6_bpe, op8_line_dedup, op9_license_scan, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
