@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, license_scan, line_dedup, media, minhash, quality, secret_scan, token_counts
+from . import bpe, decontam, license_scan, line_dedup, media, minhash, quality, secret_scan, suffix_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(_documents(spark, sf_dir))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(_documents(spark, sf_dir))
 
@@ -56,7 +60,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_minhash, op4_media_columns, op5_quality_classifier, op6_bpe, op8_line_dedup, op9_license_scan, op10_decontamination)}
+    return {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_minhash, op4_media_columns, op5_quality_classifier, op6_bpe, op7_suffix_dedup, op8_line_dedup, op9_license_scan, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
