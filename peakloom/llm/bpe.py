@@ -3,7 +3,7 @@
 Words (runs without white space, after the vocabulary's normalisation) are counted over all documents; the
 most frequent ones, encoded once, are compiled into a minimal acyclic automaton: equal suffixes share their
 states, and the numbers on a word's edges add up to its place in the id lists. The automaton is one array,
-broadcast, written once to each executor's own folder and memory-mapped by its workers. A batch's distinct
+broadcast, and memory-mapped by each worker from a file that leaves nothing behind. A batch's distinct
 words walk it together; a word outside the lexicon is split and merged exactly. The lexicon decides speed
 only, never ids.
 
@@ -14,6 +14,7 @@ their ids, as the library gives them; ids and repeated rows are not looked at.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import os
 import re
@@ -28,13 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import texts
+from .shared import materialize, texts
 
-LEXICON_WORDS = 50_000
-KNOWN_WORDS = 150_000  # encoded words that a worker remembers
+LEXICON_WORDS = 60_000
+KNOWN_WORDS = 300_000  # encoded words that a worker remembers
+LONG = 64  # bytes of a piece, up to which pieces are merged together
+ABSENT = 1 << 40  # rank of a pair that never merges
 #: White space of the vocabulary's own patterns: Unicode's, without the four separators that Python adds.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
+NOT_SPACE = "\x1c\x1d\x1e\x1f"
+
 
 def _class_of(kind: str) -> str:
     """The code points of a general category, as ranges of a character class."""
@@ -60,6 +65,39 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+class PairTable:
+    """Rank of a pair of ids by open addressing; the ranks are the pairs' places in the list."""
+
+    def __init__(self, pairs: np.ndarray):
+        self.bits = max(4, int(8 * len(pairs) + 1).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.ranks = np.full(1 << self.bits, ABSENT, np.int64)
+        self.probes = 1
+        for rank, key in enumerate((pairs[:, 0] << 32 | pairs[:, 1]).tolist()):
+            slot, step = int(self.slots(np.array([key]))[0]), 1
+            while self.keys[slot] >= 0:
+                slot, step = (slot + 1) % len(self.keys), step + 1
+            self.keys[slot], self.ranks[slot] = key, rank
+            self.probes = max(self.probes, step)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def lookup(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = (a << 32 | b).ravel()
+        slot, out = self.slots(keys), np.full(len(keys), ABSENT)
+        open_ = np.arange(len(keys))
+        for _ in range(self.probes):
+            there = self.keys[slot]
+            hit = there == keys[open_]
+            out[open_[hit]] = self.ranks[slot[hit]]
+            more = ~hit & (there >= 0)
+            if not more.any():
+                break
+            open_, slot = open_[more], (slot[more] + 1) & (len(self.keys) - 1)
+        return out.reshape(a.shape)
+
+
 class WordBPE:
     """A lower-casing BPE with word ends, read from a tokenizers JSON file."""
 
@@ -69,9 +107,13 @@ class WordBPE:
         self.ids: dict[str, int] = file["model"]["vocab"]
         self.end = file["model"]["end_of_word_suffix"]
         self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(file["model"]["merges"])}
+        self.joined = [a + b for a, b in self.ranks]
+        self.merged_id = np.array([self.ids[j] for j in self.joined], np.int64)
+        self.pairs = PairTable(np.array([[self.ids[a], self.ids[b]] for a, b in self.ranks], np.int64).reshape(-1, 2))
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.tokens = {i: t for t, i in (self.ids | self.special).items()}
         self.letters = byte_letters()
+        self.inner, self.last = (np.array([self.ids.get(x + end, 0) for x in self.letters], np.int64) for end in ("", self.end))
         letter, number = _class_of("L"), _class_of("N")
         self.pieces = re.compile(f"[{letter}]+|[{number}]|'(?:s|t|re|ve|m|ll|d)|[^ {letter}{number}]+").findall
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else lambda text: [text]
@@ -85,6 +127,10 @@ class WordBPE:
 
     def words(self, text: str) -> list[str]:
         """What stands between white space, special tokens being words of their own (marked by a leading NUL)."""
+        if not any(t in text for t in self.special) and not any(c in text for c in NOT_SPACE):
+            if not text.isascii():
+                text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            return text.lower().split()
         out: list[str] = []
         for i, part in enumerate(self.cut(text)):
             if i % 2:
@@ -94,31 +140,83 @@ class WordBPE:
         return out
 
     def merge(self, piece: str) -> list[int]:
-        """Ids of one piece: the adjacent pair of lowest rank is merged, leftmost first, until none is left."""
-        parts = [self.letters[b] for b in piece.encode("utf-8")]
+        """Ids of one piece: of the adjacent pairs the one of lowest rank, leftmost if equal, is merged until none is left.
+
+        A heap of pairs and links between the parts, so that a piece of any length takes n log n steps.
+        """
+        parts: list[str | None] = [self.letters[b] for b in piece.encode("utf-8")]
         parts[-1] += self.end
-        absent = len(self.ranks)
-        while len(parts) > 1:
-            ranks = [self.ranks.get(pair, absent) for pair in zip(parts, parts[1:])]  # noqa: B905  one shorter
-            best = min(ranks)
-            if best == absent:
+        n = len(parts)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(self.ranks[pair], i) for i, pair in enumerate(zip(parts, parts[1:])) if pair in self.ranks]  # noqa: B905  one shorter
+        heapq.heapify(heap)
+        while heap:
+            rank, at = heapq.heappop(heap)
+            to = after[at] if parts[at] is not None else n
+            if to >= n or self.ranks.get((parts[at], parts[to])) != rank:
+                continue
+            parts[at], parts[to] = self.joined[rank], None
+            after[at] = after[to]
+            if after[at] < n:
+                before[after[at]] = at
+            for left in (before[at], at):
+                if left >= 0 and after[left] < n and (new := self.ranks.get((parts[left], parts[after[left]]))) is not None:
+                    heapq.heappush(heap, (new, left))
+        return [self.ids[p] for p in parts if p is not None]
+
+    def merge_many(self, pieces: list[str]) -> list[list[int]]:
+        """merge() of many pieces at once, for those of up to LONG bytes.
+
+        Pieces of one length are the rows of a matrix; each step merges one pair in every row, so rows that go on
+        join those of the next shorter length. Only the merged part's own pairs are looked up again.
+        """
+        coded = [p.encode("utf-8") for p in pieces]
+        out: list[list[int]] = [self.merge(p) if len(c) > LONG else [] for p, c in zip(pieces, coded, strict=True)]
+        length = np.array([len(c) for c in coded])
+        flat = np.frombuffer(b"".join(coded), np.uint8)
+        start = np.cumsum(length) - length
+        rows, parts, ranks = np.zeros(0, np.int64), np.zeros((0, 0), np.int64), np.zeros((0, 0), np.int64)
+        for n in range(min(LONG, int(length.max(initial=0))), 0, -1):
+            own = np.flatnonzero(length == n)
+            fresh = self.inner[flat[start[own][:, None] + np.arange(n)]]
+            if len(own):
+                fresh[:, -1] = self.last[flat[start[own] + n - 1]]
+            rows = np.concatenate([rows, own])
+            parts = np.concatenate([parts.reshape(len(parts), n), fresh])
+            ranks = np.concatenate([ranks.reshape(len(ranks), n - 1), self.pairs.lookup(fresh[:, :-1], fresh[:, 1:])])
+            at = ranks.argmin(axis=1) if n > 1 else np.zeros(len(rows), np.int64)
+            best = ranks[np.arange(len(rows)), at] if n > 1 else np.full(len(rows), ABSENT)
+            ended = best == ABSENT
+            for row, ids in zip(rows[ended].tolist(), parts[ended].tolist(), strict=True):
+                out[row] = ids
+            if n == 1:
                 break
-            left = parts[(at := ranks.index(best))]
-            right, merged, i = parts[at + 1], [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == left and parts[i + 1] == right:
-                    merged.append(left + right)
-                    i += 2
-                else:
-                    merged.append(parts[i])
-                    i += 1
-            parts = merged
-        return [self.ids[p] for p in parts]
+            rows, parts, ranks, at, best = rows[~ended], parts[~ended], ranks[~ended], at[~ended], best[~ended]
+            each = np.arange(len(rows))
+            parts[each, at] = self.merged_id[best]
+            stay = np.ones(parts.shape, bool)
+            stay[each, at + 1] = False
+            parts = parts[stay].reshape(len(rows), n - 1)
+            stay = np.ones(ranks.shape, bool)
+            stay[each, at] = False
+            ranks = ranks[stay].reshape(len(rows), n - 2)
+            left, right = np.flatnonzero(at > 0), np.flatnonzero(at < n - 2)
+            ranks[left, at[left] - 1] = self.pairs.lookup(parts[left, at[left] - 1], parts[left, at[left]])
+            ranks[right, at[right]] = self.pairs.lookup(parts[right, at[right]], parts[right, at[right] + 1])
+        return out
+
+    def split(self, word: str) -> list[str]:
+        """Pieces of a word; a special token is one piece, marked by its NUL."""
+        return [word] if word[0] == "\0" and word[1:] in self.special else self.pieces(word)
+
+    def pieces_ids(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of many pieces, special tokens among them."""
+        plain = [p for p in pieces if not (p[0] == "\0" and p[1:] in self.special)]
+        merged = iter(self.merge_many(plain)) if plain else iter(())
+        return [[self.special[p[1:]]] if p[0] == "\0" and p[1:] in self.special else next(merged) for p in pieces]
 
     def word_ids(self, word: str) -> list[int]:
-        if word[0] == "\0" and word[1:] in self.special:
-            return [self.special[word[1:]]]
-        return [i for piece in self.pieces(word) for i in self.merge(piece)]
+        return [i for ids in self.pieces_ids(self.split(word)) for i in ids]
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by single spaces; this vocabulary names no decoder."""
@@ -181,13 +279,11 @@ class Transducer:
 
     @staticmethod
     def mapped(data: bytes) -> Transducer:
-        """Memory-map the array from this executor's own folder, written there by the first worker that comes."""
-        path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(data).hexdigest()[:16]}")
-        if not os.path.exists(path):
-            with tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), delete=False) as f:
-                f.write(data)
-            os.replace(f.name, path)
-        return Transducer(np.memmap(path, np.int64, "r"))
+        """Memory-map the array from a file in the executor's own folder; the file's name goes at once, the map stays."""
+        with tempfile.NamedTemporaryFile() as f:
+            f.write(data)
+            f.flush()
+            return Transducer(np.memmap(f.name, np.int64, "r"))
 
     def lookup(self, words: list[bytes]) -> np.ndarray:
         """The place of each word among the id lists, or -1; all words walk together, a byte a step."""
@@ -218,7 +314,11 @@ class Transducer:
 
 
 def frequent_words(docs: DataFrame, vocabulary: str, most: int = LEXICON_WORDS) -> list[str]:
-    """The ``most`` most frequent words of all documents, ties by the word; only these come to the driver."""
+    """The most frequent words of all documents, ``most`` at most; only these come to the driver.
+
+    A histogram of the counts (eight steps to a doubling, so of a few hundred rows) gives the least count that
+    keeps within ``most``; words at least that frequent are taken.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, counts = WordBPE(vocabulary), Counter()
@@ -232,37 +332,65 @@ def frequent_words(docs: DataFrame, vocabulary: str, most: int = LEXICON_WORDS)
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
     counted = docs.select("text").mapInArrow(rows, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    short = counted.where((F.length("word") <= 64) & ~F.col("word").startswith("\0"))
-    return [r.word for r in short.orderBy(F.desc("n"), "word").limit(most).collect()]
+    short = materialize(counted.where((F.col("n") > 1) & (F.length("word") <= 64) & ~F.col("word").startswith("\0")).withColumn("step", F.floor(8 * F.log2("n")).cast("int")), "words")
+    least, total = None, 0
+    for r in short.groupBy("step").count().orderBy(F.desc("step")).collect():
+        total += r["count"]
+        if total > most:
+            break
+        least = r.step
+    return [] if least is None else [r.word for r in short.where(F.col("step") >= least).select("word").collect()]
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, most: int = LEXICON_WORDS) -> Transducer:
     bpe = WordBPE(vocabulary)
-    return Transducer.compile({w: bpe.word_ids(w) for w in frequent_words(docs, vocabulary, most)})
+    split = {w: bpe.split(w) for w in frequent_words(docs, vocabulary, most)}
+    pieces = list({p for own in split.values() for p in own})
+    ids = dict(zip(pieces, bpe.pieces_ids(pieces), strict=True))
+    return Transducer.compile({w: [i for p in own for i in ids[p]] for w, own in split.items()})
 
 
 class Encoder:
-    """Whole texts to ids in a worker: remembered words, then the transducer, then exact merging."""
+    """Whole texts to ids in a worker: remembered words, then the transducer, then exact merging.
+
+    What is remembered is text (ids, and tokens, joined by spaces), which costs the garbage collector nothing.
+    """
 
     def __init__(self, bpe: WordBPE, lexicon: Transducer):
         self.bpe, self.lexicon = bpe, lexicon
-        self.known: dict[str, tuple[str, str, int]] = {}  # ids joined, tokens joined, how many
+        self.ids: dict[str, str] = {}
+        self.tokens: dict[str, str] = {}
+        self.shown = [str(i) for i in range(max(bpe.tokens) + 1)]
+        self.token = [bpe.tokens.get(i, "") for i in range(max(bpe.tokens) + 1)]
+
+    def _joined(self, ids: list[int]) -> tuple[str, str]:
+        return " ".join([self.shown[i] for i in ids]), " ".join([self.token[i] for i in ids])
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        for word, place in zip(new, self.lexicon.lookup([w.encode("utf-8", "surrogatepass") for w in new]).tolist(), strict=True):
-            ids = self.lexicon.output(place) if place >= 0 else self.bpe.word_ids(word)
-            self.known[word] = (" ".join(map(str, ids)), self.bpe.decode(ids), len(ids))
+        """Remember words and, as words too, their pieces."""
+        if len(self.ids) > KNOWN_WORDS:
+            self.ids.clear()
+            self.tokens.clear()
+        new = [w for w in words if w not in self.ids]
+        places = self.lexicon.lookup([w.encode("utf-8") for w in new])
+        for i in np.flatnonzero(places >= 0).tolist():
+            self.ids[new[i]], self.tokens[new[i]] = self._joined(self.lexicon.output(int(places[i])))
+        rest = [new[i] for i in np.flatnonzero(places < 0).tolist()]
+        mixed = [(w, self.bpe.split(w)) for w in rest if not w.isalpha()]
+        pieces = list({p for _, own in mixed for p in own if p not in self.ids}.union([w for w in rest if w.isalpha()]))
+        for piece, ids in zip(pieces, self.bpe.pieces_ids(pieces), strict=True):
+            self.ids[piece], self.tokens[piece] = self._joined(ids)
+        for word, own in mixed:
+            self.ids[word] = " ".join([self.ids[p] for p in own])
+            self.tokens[word] = " ".join([self.tokens[p] for p in own])
 
     def batch(self, column: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """(number of tokens, ids joined by spaces, decoded text) of each text."""
         split = [self.bpe.words(t) if t else [] for t in column]
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
         self.learn(set().union(*split))
         for words in split:
-            found = [self.known[w] for w in words]
-            yield sum([f[2] for f in found]), " ".join([f[0] for f in found]), " ".join([f[1] for f in found])
+            ids = " ".join(map(self.ids.__getitem__, words))
+            yield (ids.count(" ") + 1 if words else 0), ids, " ".join(map(self.tokens.__getitem__, words))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, most: int = LEXICON_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
