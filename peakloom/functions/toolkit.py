@@ -1,0 +1,64 @@
+"""Functions that need a chemistry toolkit (rdkit), as pandas UDFs; without it a call raises a clear error.
+
+The rest of the package works from stored keys, formulas and masses and never comes here.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def _toolkit():
+    try:
+        from rdkit import Chem
+    except ImportError as e:
+        raise RuntimeError("this function needs rdkit, which is not installed; use stored formula, mass and key columns instead") from e
+    return Chem
+
+
+def canonical_smiles(smiles: Column) -> Column:
+    """Canonical SMILES; null where it can't be parsed."""
+    _toolkit()
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        chem = _toolkit()
+        mols = s.map(lambda x: chem.MolFromSmiles(x) if x else None)
+        return mols.map(lambda m: chem.MolToSmiles(m) if m is not None else None)
+
+    return run(smiles)
+
+
+def mass_of_smiles(smiles: Column) -> Column:
+    _toolkit()
+
+    @F.pandas_udf("double")
+    def run(s: pd.Series) -> pd.Series:
+        chem = _toolkit()
+        from rdkit.Chem.Descriptors import ExactMolWt
+
+        return s.map(lambda x: ExactMolWt(m) if x and (m := chem.MolFromSmiles(x)) is not None else None)
+
+    return run(smiles)
+
+
+def fingerprint(smiles: Column, bits: int = 2048, radius: int = 2) -> Column:
+    """Morgan fingerprint as array<int> of 0 and 1."""
+    _toolkit()
+
+    @F.pandas_udf("array<int>")
+    def run(s: pd.Series) -> pd.Series:
+        chem = _toolkit()
+        from rdkit.Chem.rdFingerprintGenerator import GetMorganGenerator
+
+        maker = GetMorganGenerator(radius=radius, fpSize=bits)
+        return s.map(lambda x: list(maker.GetFingerprint(m)) if x and (m := chem.MolFromSmiles(x)) is not None else None)
+
+    return run(smiles)
+
+
+def active_bits(fingerprint_column: Column) -> Column:
+    """Number of set bits; needs no toolkit."""
+    return F.aggregate(fingerprint_column, F.lit(0), lambda acc, x: acc + x.cast("int"))
