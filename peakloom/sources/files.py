@@ -29,7 +29,7 @@ def column_info(df: DataFrame) -> DataFrame:
 
 
 def read_sdf(spark: SparkSession, path: str, properties: dict[str, str]) -> DataFrame:
-    """One row a record of a structure-data file: title, molfile, and the named data items as text columns.
+    """One row a record of a structure-data file: title, molfile, and the data items as text columns (``properties``: item to column).
 
     Records are cut at '$$$$' lines by Spark's own reader, so a large file is read by many tasks.
     """
@@ -41,7 +41,7 @@ def read_sdf(spark: SparkSession, path: str, properties: dict[str, str]) -> Data
         return F.nullif(F.trim(found), F.lit(""))
 
     body = F.split("value", r"(?m)^>\s*<", 2)
-    return raw.select(F.trim(F.split_part("value", F.lit("\n"), F.lit(1))).alias("title"), F.get(body, 0).alias("molfile"), *[item(tag).alias(name) for name, tag in properties.items()])
+    return raw.select(F.trim(F.split_part("value", F.lit("\n"), F.lit(1))).alias("title"), F.get(body, 0).alias("molfile"), *[item(tag).alias(name) for tag, name in properties.items()])
 
 
 def clean_structures(records: DataFrame, inchikey: str = "inchikey", mass: str = "exact_mass") -> DataFrame:
