@@ -3,14 +3,16 @@
 Each document's distinct word shingles give 128 minima. Five minima make a band; 25 bands make pairs of 85 %
 similarity meet with probability 1 - 4e-7. Of every minimum only the low four bits are kept beside the bands,
 packed in eight 64-bit numbers: the bit count of what differs, corrected for chance collisions, estimates the
-similarity of candidates and discards hopeless ones (more than six standard deviations below the threshold).
+similarity of candidates and discards hopeless ones (more than five standard deviations below the threshold).
 What remains is confirmed on the full sets, computed from the whole texts.
 
 Documents with equal sets are one class, found by a digest and represented by their smallest id; they are
 linked by it and never expanded into pairs. In each bucket members are first compared with the bucket's
 smallest id only; where a bucket still spans several components after that, the pairs between its different
 components are compared too, so that no link between different sets is lost, while a group whose members are
-linked already costs one comparison a member.
+linked already costs one comparison a member. Of those pairs only the possible ones are made: a link across
+components rests on shingles that several components hold, so a pair whose sets have too few of these for
+their sizes is none, exactly. That leaves out the copies whose own changes set them apart.
 
 Cases: a text with fewer words than a shingle is one shingle; null, empty and blank texts have no set, no
 links, and are their own component; rows with equal ids are one document.
@@ -35,7 +37,7 @@ PERCENT = 85
 HASHES = 128
 BAND = 5
 BITS = 4
-SLACK = 0.2  # six standard deviations of the estimate at the threshold
+SLACK = 0.165  # five standard deviations of the estimate at the threshold
 
 _rng = np.random.Generator(np.random.PCG64(2024))
 _A = _rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -132,6 +134,23 @@ def confirmed(pairs: DataFrame, whole: DataFrame, k: int = SHINGLE, percent: int
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(rows, "a long, b long")
 
 
+def common_shingles(placed: DataFrame, whole: DataFrame, k: int) -> DataFrame:
+    """(rep, size, common) of the documents in ``placed`` (rep, c): shingles, and those that another component holds too."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, homes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            own = list(shingle_sets(batch.column(2), k))
+            size = np.array([len(x) for _, x in own], np.int64)
+            grams = np.concatenate([x for _, x in own]) if own else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(np.repeat(ids, size)), pa.array(np.repeat(homes, size)), pa.array(np.repeat(size, size))], ["gram", "rep", "c", "size"])
+
+    read = whole.withColumnRenamed("doc_id", "rep").join(placed.select("rep", "c").distinct(), "rep").select("rep", "c", "text")
+    grams = materialize(read.mapInArrow(rows, "gram long, rep long, c long, size long"), "open-shingles")
+    spread = grams.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("gram")
+    return grams.join(spread, "gram", "left_semi").groupBy("rep", "size").agg(F.count("*").alias("common"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document."""
     base = texts(docs, id_col, text_col)
@@ -144,7 +163,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leaders = materialize(banded.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("key", "a"), "leaders")
     members = materialize(banded.join(leaders, "key"), "buckets")  # (key, rep, a): buckets of several classes only
     bits = materialize(reps.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "bits"), "bits")
-    whole = materialize(base.join(bits.select("doc_id"), "doc_id", "left_semi"), "paired-texts")
+    # a merge join at every size: what is shuffled then follows the input
+    whole = materialize(base.join(bits.select("doc_id").hint("merge"), "doc_id", "left_semi"), "paired-texts")
 
     def likely(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(bits.select(F.col("doc_id").alias("a"), F.col("bits").alias("bits_a")), "a")
@@ -159,10 +179,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = members.select("key", "rep").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     placed = materialize(placed, "placed")
     torn = materialize(placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key"), "torn")
-    open_rows = materialize(placed.join(torn, "key").join(bits.select(F.col("doc_id").alias("rep"), "bits"), "rep"), "open")
+    open_rows = materialize(placed.join(torn, "key"), "open")
+    able = materialize(common_shingles(open_rows, whole, k).where(f"100 * common >= {percent} * size"), "able")
+    keys = open_rows.groupBy("rep").agg(F.collect_list("key").alias("keys"))  # a band's key each, so 25 at most
+    open_rows = materialize(open_rows.join(able, "rep").join(keys, "rep").join(bits.select(F.col("doc_id").alias("rep"), "bits"), "rep"), "able-rows")
     x, y = open_rows.alias("x"), open_rows.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & (estimate(F.col("x.bits"), F.col("y.bits")) >= least))
-    more = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    enough = (100 + percent) * F.least("x.common", "y.common") >= percent * (F.col("x.size") + F.col("y.size"))
+    likely_pair = estimate(F.col("x.bits"), F.col("y.bits")) >= least
+    first_meeting = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")  # a pair comes from one bucket only
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & enough & likely_pair & first_meeting)
+    more = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     late = materialize(confirmed(more, whole, k, percent), "late-links")
     if not late.isEmpty():
         labels = connected_components(linked.union(late))
