@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import texts
+from .shared import materialize, texts
 
 K = 3
 NEAR = 3  # diagonals this close are one copy
@@ -91,7 +91,7 @@ def license_digests(docs: DataFrame, share: float = SHARE) -> DataFrame:
     score is the largest share of a phrase's or template's k-grams on its merged diagonals; labels holds those
     of whole phrases and of templates with at least ``share``.
     """
-    votes = license_votes(docs)
+    votes = materialize(license_votes(docs), "votes")
     spans = license_spans(votes).withColumn("base", F.col("phrase") & (F.col("score") == 1))
     found = spans.where(F.col("base") | ~F.col("phrase"))
     sizes = votes.where(F.col("n_words").isNotNull()).select("doc_id", F.col("n_words").cast("long").alias("n_words"))
