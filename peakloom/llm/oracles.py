@@ -90,3 +90,15 @@ def contamination(window: int = 10) -> str:
  c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY 1),
  x AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY 1)
  SELECT d.doc_id, len(d.w) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(x.n_items, 0) AS n_items, sha256(coalesce(x.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN x USING (doc_id)"""
+
+
+def repeats(length: int = 100) -> str:
+    """Windows as hexadecimal digits, two a byte; a run of windows is a removed span."""
+    return f"""WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS x FROM documents),
+ p AS (SELECT doc_id, i, md5(substr(x, (2 * i + 1)::INT, {2 * length})) AS h FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - {length - 1})) AS i FROM d)),
+ r AS (SELECT doc_id, i FROM p QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1),
+ g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {length} THEN 0 ELSE 1 END AS fresh FROM r)),
+ s AS (SELECT doc_id, min(i) AS first, max(i) + {length} AS stop FROM g GROUP BY doc_id, run),
+ k AS (SELECT doc_id, first, stop, substr(x, (2 * coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY first), 0) + 1)::INT, (2 * (first - coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY first), 0)))::INT) AS piece, x FROM s JOIN d USING (doc_id)),
+ c AS (SELECT doc_id, sum(stop - first)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(piece, '' ORDER BY first) || substr(any_value(x), (2 * max(stop) + 1)::INT) AS kept FROM k GROUP BY 1)
+ SELECT d.doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id)"""

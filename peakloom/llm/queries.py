@@ -64,10 +64,11 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Tokenizers, images, the classifier and byte windows aren't SQL; their tests hold them against brute force."""
+    """Tokenizers, images and the classifier aren't SQL; their tests hold them against brute force."""
     return {
         "op2_secret_scan": oracles.secrets(),
         "op3_minhash": oracles.near_duplicates(),
+        "op7_suffix_dedup": oracles.repeats(),
         "op8_line_dedup": oracles.lines(),
         "op9_license_scan": oracles.licenses(),
         "op10_decontamination": oracles.contamination(),
