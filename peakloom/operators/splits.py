@@ -62,12 +62,21 @@ def drawn_size(key: Column, sizes: list[int]) -> Column:
 
 
 def dense_index(df: DataFrame, key: str, name: str = "row_index", cells: int = 256) -> DataFrame:
-    """0, 1, 2, ... in the order of a unique key, counted by ranges of it, so that no task holds all keys."""
-    ranged = df.repartitionByRange(cells, key).withColumn("__cell", F.spark_partition_id())
-    sizes = ranged.groupBy("__cell").agg(F.min(key).alias("__least"), F.count("*").alias("__size"))
-    before = sizes.select("__cell", F.coalesce(F.sum("__size").over(Window.orderBy("__least").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    """0, 1, 2, ... in the order of a unique key, counted by ranges of it, so that no task holds all keys.
+
+    The ranges come from the key alone (the first two characters of a text, equal steps between the least and
+    the largest number), so a lost task that is run again places its rows alike.
+    """
+    if dict(df.dtypes)[key] == "string":
+        placed = df.withColumn("__cell", F.substring(key, 1, 2))
+    else:
+        ends = df.agg(F.min(key).alias("__low"), F.max(key).alias("__high"))
+        step = F.try_divide(F.col(key) - F.col("__low"), F.col("__high") - F.col("__low"))
+        placed = df.join(F.broadcast(ends), F.lit(True)).withColumn("__cell", F.coalesce(F.floor(step * cells), F.lit(0).cast("long"))).drop("__low", "__high")  # one row
+    sizes = placed.groupBy("__cell").agg(F.count("*").alias("__size"))
+    before = sizes.select("__cell", F.coalesce(F.sum("__size").over(Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     inside = F.row_number().over(Window.partitionBy("__cell").orderBy(key))
-    return ranged.withColumn("__n", inside).join(F.broadcast(before), "__cell").withColumn(name, F.col("__n") + F.col("__before") - 1).drop("__n", "__before", "__cell")
+    return placed.withColumn("__n", inside).join(before, "__cell").withColumn(name, F.col("__n") + F.col("__before") - 1).drop("__n", "__before", "__cell")
 
 
 def is_disjoint(a: DataFrame, b: DataFrame, key: str) -> bool:
