@@ -14,6 +14,8 @@ The windows that share one anchor occurrence are neighbours; with the bytes they
    Burrows-Wheeler symbol), which interleaves the shards without sorting any suffix again. At each level a run
    of equal left bytes whose common prefixes reach the window's end is a repeated interval: all its windows
    but the earliest are repeats.
+   An anchor with more than MOST_CONTEXTS different contexts is not gathered in a task: the digests of its
+   windows are grouped instead, with minima combined before the shuffle.
 4. Each document's windows are joined to its text, and the bytes they cover are removed.
 
 Cases: null, empty and shorter texts have no window; overlapping repeats (also of a document with itself)
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +42,7 @@ ANCHOR = 24
 GRAMS = LENGTH - ANCHOR + 1  # anchors to choose from in a window
 AFTER = LENGTH - ANCHOR  # bytes of a window outside its anchor
 CHUNK = 60_000  # contexts merged at once
+MOST_CONTEXTS = 200_000  # different contexts of one anchor (about 27 MB) that a task merges
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _MIX = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -204,10 +208,31 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array((first[row] + begin).astype(np.int32)), pa.array((end - begin).astype(np.int32))], ["doc_id", "first", "windows"])
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def windows_by_digest(shards: DataFrame) -> DataFrame:
+    """(doc_id, first, windows) of repeated windows from a digest of each window, for anchors that no task can hold."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, ids, places = [], [], []
+            for doc, first, n, piece in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 5)), strict=True):
+                for i in range(n):
+                    digests.append(xxhash.xxh3_128_digest(piece[i : i + LENGTH]))
+                    ids.append(doc)
+                    places.append(first + i)
+            half = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(half[:, 0].copy()), pa.array(half[:, 1].copy()), pa.array(ids, pa.int64()), pa.array(places, pa.int32())], ["d1", "d2", "doc_id", "first"])
+
+    each = materialize(shards.mapInArrow(rows, "d1 long, d2 long, doc_id long, first int"), "windows")
+    least = materialize(each.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "first")).alias("least"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "least"), "first-windows")
+    return each.join(least, ["d1", "d2"]).where(F.struct("doc_id", "first") > F.col("least")).select("doc_id", "first", F.lit(1).alias("windows"))
+
+
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """(doc_id, first, windows): runs of windows that an earlier place holds too, as first byte and number; they may overlap."""
     base = texts(docs, id_col, text_col).where("doc_id is not null")
-    found = document_contexts(base).repartition("anchor").sortWithinPartitions("anchor", "content", "doc_id", "first")
+    # what a task has settled itself is dealt out by its place, so that a common passage doesn't meet in one partition
+    deal = F.when(F.col("repeat"), F.xxhash64("doc_id", "first")).otherwise(F.col("anchor"))
+    found = document_contexts(base).repartition(deal).sortWithinPartitions("anchor", "content", "doc_id", "first")
     pieces = materialize(found.mapInArrow(_settled, "anchor long, doc_id long, first int, windows int, lead int, repeat boolean"), "contexts")
     several = pieces.where("not repeat").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "windows", "lead")).alias("own"))
 
@@ -224,7 +249,12 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["anchor", "doc_id", "first", "windows", "lead", "bytes"])
 
     shards = base.join(several, "doc_id").select("doc_id", "text", "own").mapInArrow(cut, "anchor long, doc_id long, first int, windows int, lead int, bytes binary")
-    merged = shards.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "first").mapInArrow(_merged, "doc_id long, first int, windows int")
+    large = materialize(pieces.where("not repeat").groupBy("anchor").count().where(F.col("count") > most_contexts).select("anchor"), "large-anchors")
+    some_large = not large.isEmpty()
+    small = shards.join(large, "anchor", "left_anti") if some_large else shards
+    merged = small.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "first").mapInArrow(_merged, "doc_id long, first int, windows int")
+    if some_large:
+        merged = merged.unionByName(windows_by_digest(shards.join(large, "anchor", "left_semi")))
     return pieces.where("repeat").select("doc_id", "first", "windows").unionByName(merged)
 
 
