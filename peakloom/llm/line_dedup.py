@@ -155,8 +155,9 @@ def kept_lines(text: bytes | None, keep: bytes | None) -> tuple[int, int, bytes]
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
     """``docs`` with its dropped lines cut from the text; every other column stays."""
-    maps = keep_bitmaps(docs, id_col, text_col, **limits).select(F.col("doc_id").alias("__id"), F.col("keep").alias("__keep")).dropDuplicates(["__id"])
-    joined = docs.join(maps, docs[id_col] == F.col("__id"), "left").drop("__id")
+    own_id, own_keep = (name + "_" * max(len(c) for c in docs.columns) for name in ("id", "keep"))  # longer than any name there
+    maps = keep_bitmaps(docs, id_col, text_col, **limits).select(F.col("doc_id").alias(own_id), F.col("keep").alias(own_keep))
+    joined = docs.join(maps, docs[id_col] == F.col(own_id), "left").drop(own_id)
     at = joined.columns.index(text_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +174,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def line_digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256) for every document."""
     base = texts(docs)
-    joined = base.join(keep_bitmaps(base).select("doc_id", "keep").dropDuplicates(["doc_id"]), "doc_id", "left")
+    joined = base.join(keep_bitmaps(base).select("doc_id", "keep"), "doc_id", "left")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -242,6 +242,9 @@ def test_line_cases(spark):
     kept = line_dedup.dedup_lines(d)
     assert kept.columns == d.columns and [r.text for r in kept.orderBy("doc_id").collect()] == [None, "a"]
     assert line_dedup.line_digests(d.limit(0)).count() == 0
+    clash = spark.createDataFrame([(i, "l" * 50, i, None, "k", 1) for i in range(6)], "doc_id long, text string, __id long, keep binary, gone string, line int")
+    cut = line_dedup.dedup_lines(clash)
+    assert cut.columns == clash.columns and [r.text for r in cut.orderBy("doc_id").collect()] == [""] * 5 + ["l" * 50]
     twin = spark.createDataFrame([(None, "l" * 50), (None, "l" * 50)] + [(i, "l" * 50) for i in range(5)] + [(4, "m\nn")], "doc_id long, text string")
     assert sorted(r.n_dropped for r in line_dedup.line_digests(twin).collect()) == [0, 0, 0, 0, 1, 1, 1, 1]
     assert line_dedup.unpack_keep(3, line_dedup.pack_keep(3, [1])).tolist() == [True, False, True]
