@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .shared import materialize, texts
 
 LEXICON_WORDS = 60_000
-KNOWN_WORDS = 300_000  # encoded words that a worker remembers
+KNOWN_WORDS = 500_000  # encoded words that a worker remembers
 LONG = 64  # bytes of a piece, up to which pieces are merged together
 ABSENT = 1 << 40  # rank of a pair that never merges
 #: White space of the vocabulary's own patterns: Unicode's, without the four separators that Python adds.
