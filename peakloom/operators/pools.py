@@ -32,6 +32,17 @@ def select_pool(hits: DataFrame, spectra: DataFrame, group: str = "grp", candida
     return marked.where(full | (F.col("mode") == "union_fallback"))
 
 
+def pool_summary(hits: DataFrame, spectra: DataFrame, group: str = "grp", spectrum: str = "spectrum_id", candidate: str = "structure", error: str = "error_ppm", ignore_empty: bool = False) -> DataFrame:
+    """select_pool's rows with the mean errors of their supporting spectra, from one pass over the hits."""
+    by_candidate = hits.groupBy(group, candidate).agg(F.count_distinct(spectrum).alias("n_supporting"), F.avg(error).alias("mean_error_ppm"), F.avg(F.abs(error)).alias("mean_abs_error_ppm"))
+    sizes = (hits if ignore_empty else spectra).groupBy(group).agg(F.count_distinct(spectrum).alias("n_spectra"))
+    rows = by_candidate.join(sizes, group)
+    full = F.col("n_supporting") == F.col("n_spectra")
+    any_full = F.max(full).over(Window.partitionBy(group))
+    marked = rows.withColumn("mode", F.when(any_full, "intersection").otherwise("union_fallback"))
+    return marked.where(full | (F.col("mode") == "union_fallback"))
+
+
 def threshold_pool(hits: DataFrame, spectra: DataFrame, thresholds: list[int], group: str = "grp", candidate: str = "structure") -> DataFrame:
     """(threshold, group, candidate, mode): the intersection where it has at least ``threshold`` candidates, else the union."""
     rows = supported(hits, spectra, group=group, candidate=candidate)

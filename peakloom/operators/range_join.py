@@ -19,11 +19,6 @@ def clean_variants(variants: DataFrame, mass: str = "exact_mass", structure: str
     return variants.withColumn(mass, x).where(F.col(structure).isNotNull() & F.col(mass).isNotNull() & ~F.isnan(mass) & (F.col(mass) > 0) & (F.col(mass) < float("inf")))
 
 
-def with_variant_count(variants: DataFrame, structure: str = "structure") -> DataFrame:
-    """Number of variants of each structure over the whole table, not over a window."""
-    return variants.join(variants.groupBy(structure).agg(F.count("*").alias("variant_count")), structure)
-
-
 def tolerance_join(queries: DataFrame, candidates: DataFrame, ppm: float | Column, mass: str = "mass", candidate_mass: str = "exact_mass", widest_mass: float = 2000.0, widest_ppm: float | None = None) -> DataFrame:
     """Every (query, candidate) with the candidate's mass in the closed window of ``ppm`` around the query's.
 
@@ -50,11 +45,12 @@ def mass_hits(queries: DataFrame, variants: DataFrame, ppm: float | Column, quer
     """
     if max_candidates is not None and max_candidates <= 0:
         raise ValueError("max_candidates must be positive")
-    hits = tolerance_join(queries, with_variant_count(variants), ppm, mass, **widths)
+    hits = tolerance_join(queries, variants, ppm, mass, **widths)
     error = hit_ppm(F.col("exact_mass"), F.col(mass))
     hits = hits.withColumn("error_ppm", error).withColumn("error_da", F.col("exact_mass") - F.col(mass))
     nearest = Window.partitionBy(query, "structure").orderBy(F.abs("error_ppm"), "exact_mass", "smiles")
     best = hits.withColumn("__n", F.row_number().over(nearest)).where("__n = 1").drop("__n")
+    best = best.join(variants.groupBy("structure").agg(F.count("*").alias("variant_count")), "structure")  # over the whole index
     if max_candidates is None:
         return best
     by_query = Window.partitionBy(query).orderBy(F.abs("error_ppm"), "structure")

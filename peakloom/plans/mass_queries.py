@@ -149,9 +149,8 @@ _MANIFEST = "SELECT p.grp, p.structure, p.mode, p.n_spectra, count(DISTINCT h.sp
 
 
 def manifest(spark, d):
-    hits, spectra = b.hits(spark, d), b.spectra(spark, d)
-    pool = pools.select_pool(hits, spectra).drop("n_supporting")
-    return pool.join(hits.select("grp", "structure", "spectrum_id", "error_ppm"), ["grp", "structure"]).groupBy("grp", "structure", "mode", "n_spectra").agg(F.count_distinct("spectrum_id").alias("n_supporting"), F.avg("error_ppm").alias("mean_error_ppm"), F.avg(F.abs("error_ppm")).alias("mean_abs_error_ppm"))
+    rows = pools.pool_summary(b.hits(spark, d), b.spectra(spark, d))
+    return rows.select("grp", "structure", "mode", "n_spectra", "n_supporting", "mean_error_ppm", "mean_abs_error_ppm")
 
 
 @query(sql("pool", f"SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n_supporting DESC, mean_abs_error_ppm, structure) AS place FROM ({_MANIFEST}) QUALIFY place <= 25"))
