@@ -3,7 +3,7 @@
 Each document's distinct word shingles give 128 minima. Five minima make a band; 25 bands make pairs of 85 %
 similarity meet with probability 1 - 4e-7. Of every minimum only the low four bits are kept beside the bands,
 packed in eight 64-bit numbers: the bit count of what differs, corrected for chance collisions, estimates the
-similarity of candidates and discards hopeless ones (more than five standard deviations below the threshold).
+similarity of candidates and discards hopeless ones (more than six standard deviations below the threshold).
 What remains is confirmed on the full sets, computed from the whole texts.
 
 Documents with equal sets are one class, found by a digest and represented by their smallest id; they are
@@ -12,7 +12,8 @@ smallest id only; where a bucket still spans several components after that, the
 components are compared too, so that no link between different sets is lost, while a group whose members are
 linked already costs one comparison a member. Of those pairs only the possible ones are made: a link across
 components rests on shingles that several components hold, so a pair whose sets have too few of these for
-their sizes is none, exactly. That leaves out the copies whose own changes set them apart.
+their sizes is none; and a shingle whose bit the other set's bit map lacks is not in that set, which bounds the
+intersection from above. Neither test loses a link; both leave out the copies whose own changes set them apart.
 
 Cases: a text with fewer words than a shingle is one shingle; null, empty and blank texts have no set, no
 links, and are their own component; rows with equal ids are one document.
@@ -37,7 +38,8 @@ PERCENT = 85
 HASHES = 128
 BAND = 5
 BITS = 4
-SLACK = 0.165  # five standard deviations of the estimate at the threshold
+MAP_LONGS = 32  # 2,048 bits in a set's bit map
+SLACK = 0.2  # six standard deviations of the estimate at the threshold
 
 _rng = np.random.Generator(np.random.PCG64(2024))
 _A = _rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -151,6 +153,28 @@ def common_shingles(placed: DataFrame, whole: DataFrame, k: int) -> DataFrame:
     return grams.join(spread, "gram", "left_semi").groupBy("rep", "size").agg(F.count("*").alias("common"))
 
 
+def bit_maps(whole: DataFrame, k: int) -> DataFrame:
+    """(rep, bitmap): of each document's shingles, a bit by their hash."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps = np.zeros((batch.num_rows, 64 * MAP_LONGS), np.uint8)
+            for row, shingles in shingle_sets(batch.column(1), k):
+                maps[row, (shingles % np.uint64(64 * MAP_LONGS)).astype(np.int64)] = 1
+            packed = np.packbits(maps, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(packed), pa.list_(pa.int64()))], ["rep", "bitmap"])
+
+    return whole.select("doc_id", "text").mapInArrow(rows, "rep long, bitmap array<long>")
+
+
+def absent(a: Column, b: Column) -> Column:
+    """At least so many shingles of the set with bit map ``a`` are not in that with ``b``."""
+    out = F.lit(0)
+    for i in range(MAP_LONGS):
+        out = out + F.bit_count(F.get(a, i).bitwiseAND(F.bitwise_not(F.get(b, i))))
+    return out
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document."""
     base = texts(docs, id_col, text_col)
@@ -182,12 +206,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_rows = materialize(placed.join(torn, "key"), "open")
     able = materialize(common_shingles(open_rows, whole, k).where(f"100 * common >= {percent} * size"), "able")
     keys = open_rows.groupBy("rep").agg(F.collect_list("key").alias("keys"))  # a band's key each, so 25 at most
-    open_rows = materialize(open_rows.join(able, "rep").join(keys, "rep").join(bits.select(F.col("doc_id").alias("rep"), "bits"), "rep"), "able-rows")
+    maps = bit_maps(whole.join(able.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), k)
+    open_rows = materialize(open_rows.join(able, "rep").join(keys, "rep").join(bits.select(F.col("doc_id").alias("rep"), "bits"), "rep").join(maps, "rep"), "able-rows")
     x, y = open_rows.alias("x"), open_rows.alias("y")
-    enough = (100 + percent) * F.least("x.common", "y.common") >= percent * (F.col("x.size") + F.col("y.size"))
+    needed = percent * (F.col("x.size") + F.col("y.size"))  # of (100 + percent) * intersection
+    enough = (100 + percent) * F.least("x.common", "y.common") >= needed
+    most = F.least(F.col("x.size") - absent(F.col("x.bitmap"), F.col("y.bitmap")), F.col("y.size") - absent(F.col("y.bitmap"), F.col("x.bitmap")))
+    possible = (100 + percent) * most >= needed
     likely_pair = estimate(F.col("x.bits"), F.col("y.bits")) >= least
     first_meeting = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")  # a pair comes from one bucket only
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & enough & likely_pair & first_meeting)
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & enough & likely_pair & possible & first_meeting)
     more = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     late = materialize(confirmed(more, whole, k, percent), "late-links")
     if not late.isEmpty():
