@@ -13,6 +13,7 @@ their ids, as the library gives them; ids and repeated rows are not looked at.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .shared import materialize, texts
 
 LEXICON_WORDS = 60_000
-KNOWN_WORDS = 500_000  # encoded words that a worker remembers
+KNOWN_WORDS = 300_000  # encoded words that a worker remembers
 LONG = 64  # bytes of a piece, up to which pieces are merged together
 ABSENT = 1 << 40  # rank of a pair that never merges
 #: White space of the vocabulary's own patterns: Unicode's, without the four separators that Python adds.
@@ -223,6 +224,12 @@ class WordBPE:
         return " ".join([self.tokens[i] for i in ids])
 
 
+@functools.lru_cache(maxsize=2)
+def load(path: str) -> WordBPE:
+    """The vocabulary, read once in a worker's life."""
+    return WordBPE(path)
+
+
 class Transducer:
     """A minimal acyclic automaton over UTF-8 bytes with additive outputs, as one flat array of 64-bit numbers.
 
@@ -321,7 +328,7 @@ def frequent_words(docs: DataFrame, vocabulary: str, most: int = LEXICON_WORDS)
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, counts = WordBPE(vocabulary), Counter()
+        bpe, counts = load(vocabulary), Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
@@ -343,7 +350,7 @@ def frequent_words(docs: DataFrame, vocabulary: str, most: int = LEXICON_WORDS)
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, most: int = LEXICON_WORDS) -> Transducer:
-    bpe = WordBPE(vocabulary)
+    bpe = load(vocabulary)
     split = {w: bpe.split(w) for w in frequent_words(docs, vocabulary, most)}
     pieces = list({p for own in split.values() for p in own})
     ids = dict(zip(pieces, bpe.pieces_ids(pieces), strict=True))
@@ -415,7 +422,7 @@ def _encoded(base: DataFrame, vocabulary: str, most: int, row, columns: list[tup
     shared = base.sparkSession.sparkContext.broadcast(build_lexicon(base, vocabulary, most).array.tobytes())  # bounded by ``most`` words of 64 characters
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(WordBPE(vocabulary), Transducer.mapped(shared.value))
+        encoder = Encoder(load(vocabulary), Transducer.mapped(shared.value))
         for batch in batches:
             done = [row(*r) for r in encoder.batch(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([d[i] for d in done], kind) for i, (_, kind) in enumerate(columns))], ["doc_id", *(name for name, _ in columns)])

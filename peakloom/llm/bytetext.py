@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 4 << 20  # text handled at once by a kernel, so that its work arrays stay small
+BLOCK_BYTES = 1 << 20  # text handled at once by a kernel, so that its work arrays stay small
 
 _rng = np.random.Generator(np.random.PCG64(20_240_607))
 _BYTE_MIX = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -41,7 +41,8 @@ LENGTH = 100
 ANCHOR = 24
 GRAMS = LENGTH - ANCHOR + 1  # anchors to choose from in a window
 AFTER = LENGTH - ANCHOR  # bytes of a window outside its anchor
-CHUNK = 60_000  # contexts merged at once
+CHUNK = 40_000  # contexts merged at once
+BLOCK = 2 << 20  # bytes of text in which a task looks for equal contexts
 MOST_CONTEXTS = 200_000  # different contexts of one anchor (about 27 MB) that a task merges
 
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -110,7 +111,7 @@ def document_contexts(docs: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for start, end, body, offsets in blocks(batch.column(1)):
+            for start, end, body, offsets in blocks(batch.column(1), BLOCK):
                 row, anchor, content, first, windows, lead = contexts(body, offsets)
                 doc, first = ids[start:end][row], first - offsets[row]
                 order = np.lexsort((first, doc, anchor, content))
