@@ -14,6 +14,7 @@ what its own byte gets; ids may be null or repeated, each row is counted alone.
 from __future__ import annotations
 
 import base64
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,18 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+@functools.lru_cache(maxsize=2)
+def load_encoding(vocabulary: str, pattern: str):
+    """(encoding, byte length of each token), read once in a worker's life."""
+    import tiktoken
+
+    ranks = load_ranks(vocabulary)
+    lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+    for token, rank in ranks.items():
+        lengths[rank] = len(token)
+    return tiktoken.Encoding("sections", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), lengths
+
+
 def section_starts(text: bytes, separator: bytes = b"\n") -> np.ndarray:
     """Byte offset of each section: 0 and every place after a separator but the text's end."""
     cuts = np.flatnonzero(np.frombuffer(text, np.uint8) == separator[0]) + 1
@@ -67,13 +80,7 @@ def section_tokens(docs: DataFrame, vocabulary: str, pattern: str, rule: str = "
         raise ValueError(f"rule must be one of {RULES}")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        ranks = load_ranks(vocabulary)
-        lengths = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, rank in ranks.items():
-            lengths[rank] = len(token)
-        encoding = tiktoken.Encoding("sections", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        encoding, lengths = load_encoding(vocabulary, pattern)
         for batch in batches:
             n_tokens, n_crossing, sizes, spans = [], [], [0], ([], [], [])
             for text in batch.column(1).to_pylist():
