@@ -158,7 +158,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own_id, own_keep = (name + "_" * max(len(c) for c in docs.columns) for name in ("id", "keep"))  # longer than any name there
     # written first, so that a task runs one Python worker at a time
     maps = materialize(keep_bitmaps(docs, id_col, text_col, **limits), "bitmaps").select(F.col("doc_id").alias(own_id), F.col("keep").alias(own_keep))
-    joined = docs.join(maps, docs[id_col] == F.col(own_id), "left").drop(own_id)
+    joined = docs.join(maps.hint("merge"), docs[id_col] == F.col(own_id), "left").drop(own_id)
     at = joined.columns.index(text_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +175,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def line_digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256) for every document."""
     base = texts(docs)
-    joined = base.join(materialize(keep_bitmaps(base), "bitmaps").select("doc_id", "keep"), "doc_id", "left")
+    joined = base.join(materialize(keep_bitmaps(base), "bitmaps").select("doc_id", "keep").hint("merge"), "doc_id", "left")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
