@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from peakloom.llm import bpe, decontam, line_dedup, minhash, quality
 from peakloom.llm.shared import materialize
 
+#: Least similarity of near duplicates in the corpus; op3's query has its own.
+NEAR_PERCENT = 85
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -24,7 +27,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.keep_one_of_each(docs)
+    return minhash.keep_one_of_each(docs, percent=NEAR_PERCENT)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

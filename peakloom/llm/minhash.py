@@ -1,7 +1,7 @@
 """Operator 3: near duplicates by b-bit MinHash, confirmed on full shingle sets.
 
 Each document's distinct word shingles give 128 minima. Five minima make a band; 25 bands make pairs of 85 %
-similarity meet with probability 1 - 4e-7. Of every minimum only the low four bits are kept beside the bands,
+similarity meet with probability 1 - 4e-7, of 80 % with 1 - 5e-5. Of every minimum only the low four bits are kept beside the bands,
 packed in eight 64-bit numbers: the bit count of what differs, corrected for chance collisions, estimates the
 similarity of candidates and discards hopeless ones (more than six standard deviations below the threshold).
 What remains is confirmed on the full sets, computed from the whole texts.
@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return ids.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest id of its component; all columns."""
-    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_col))
+    kept = near_duplicates(docs, id_col, text_col, percent=percent).where("kept").select(F.col("doc_id").alias(id_col))
     return docs.join(kept, id_col, "left_semi")
