@@ -228,6 +228,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest id of its component; all columns."""
+    """The rows of ``docs`` whose document is the smallest id of its component; all columns.
+
+    Rows with a null id stay, whatever their text: nothing names them as a copy's keeper or as a copy.
+    """
     kept = near_duplicates(docs, id_col, text_col, percent=percent).where("kept").select(F.col("doc_id").alias(id_col))
-    return docs.join(kept, id_col, "left_semi")
+    return docs.join(kept, id_col, "left_semi").select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

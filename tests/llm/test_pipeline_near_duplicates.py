@@ -25,3 +25,10 @@ def test_stage_takes_a_threshold_of_its_own(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "NEAR_PERCENT", 80)
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, d, None).collect()) == [0, 2, 5, 7, 8]
     assert minhash.keep_one_of_each(d).count() == 9  # op3's threshold is as it was
+
+
+def test_rows_with_a_null_id_stay(spark):
+    d = docs(spark, [text("a"), text("a"), text("b"), text("b"), None, text("c"), text("c")], ids=[1, 2, None, None, None, 5, None])
+    got = corpus_pipeline.near_duplicate_stage(spark, d, None)
+    assert got.columns == d.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == [(0, ""), (0, text("b")), (0, text("b")), (0, text("c")), (1, text("a")), (5, text("c"))]
