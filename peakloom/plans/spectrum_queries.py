@@ -204,3 +204,22 @@ def best_true_rank(spark, d):
     ranks = cells.withColumn("inside", inside).join(above, "cell").select(F.col("mass").alias("best"), (F.col("inside") + F.col("above")).alias("n_better"))
     best = s.where("grp % 50 = 0").groupBy("grp").agg(F.max("mass").alias("best"))
     return rounded(best.join(ranks, "best").select("grp", "best", "n_better"))
+
+
+@query("WITH s AS (SELECT q.vec_id AS query, q.label = r.label AS positive, round(list_sum(list_transform(list_zip(q.embedding, r.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6) AS score FROM embeddings q JOIN embeddings r ON q.vec_id % 20 = 0 AND r.vec_id <> q.vec_id), t AS (SELECT query, max(score) FILTER (positive) AS best FROM s GROUP BY 1) SELECT query, best, CASE WHEN best IS NOT NULL THEN 1 + count_if(score > best)::BIGINT END AS rank FROM s JOIN t USING (query) GROUP BY query, best")
+def best_true_similarity_rank(spark, d):
+    """Rank of each query's best reference of its own label among all reference spectra: 1 + the number of larger similarities.
+
+    The queries are those of ``global_similarity``, the references all vectors but the query itself; a query without
+    a true reference has no best score and no rank. Pairs are made once for the best scores (by label) and once to
+    count, and are added up where they are made.
+    """
+    e = b.table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    q = e.where("vec_id % 20 = 0")
+
+    def pairs(queries):
+        return similarity.all_pairs(queries, e).where("vec_id <> q_vec_id").withColumn("score", F.round("score", 6))
+
+    best = pairs(q).where("q_label = label").groupBy(F.col("q_vec_id").alias("vec_id")).agg(F.max("score").alias("best"))
+    counted = pairs(q.join(best, "vec_id", "left")).groupBy("q_vec_id", "q_best").agg(F.count_if(F.col("score") > F.col("q_best")).alias("larger"))
+    return counted.select(F.col("q_vec_id").alias("query"), F.col("q_best").alias("best"), F.when(F.col("q_best").isNotNull(), F.col("larger") + 1).alias("rank"))
