@@ -10,7 +10,7 @@ diagonal holds every one of its k-grams: these then are its words, consecutively
 The template table is made of the constants below and so is of fixed, small size: it is broadcast.
 
 Cases: a null or empty text has no words, no places and score 0; overlapping places of a phrase all count;
-equal rows each give a row; rows with equal doc_id are counted together.
+each row gives a row of its own, also where rows are equal, share a doc_id or have none.
 """
 
 from __future__ import annotations
@@ -65,28 +65,31 @@ def template_grams(docs: DataFrame, phrases: dict[str, str], templates: dict[str
 
 
 def license_votes(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, template, label, phrase, n_grams, diagonal, votes, n_words); one row without template carries n_words."""
-    base = texts(docs, id_col, text_col).select("doc_id", word_array(F.col("text")).alias("words"))
+    """(row, doc_id, template, label, phrase, n_grams, diagonal, votes, n_words); one row without template carries n_words.
+
+    ``row`` numbers the rows of ``docs``; it holds within one evaluation, so that the votes have to be materialized once.
+    """
+    base = texts(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", word_array(F.col("text")).alias("words"))
     grams = F.transform("words", lambda w, i: F.concat_ws(" ", w, *[F.get(F.col("words"), i + j) for j in range(1, k)]))
     # place -1 is the document's own row, so that documents without a match stay
-    each = base.select("doc_id", F.size("words").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), grams)).alias("place", "gram"))
-    each = each.select("doc_id", (F.col("place") - 1).alias("place"), "gram", F.xxhash64("gram").alias("hash"), F.when(F.col("place") == 0, F.col("n_words")).alias("n_words"))
+    each = base.select("row", "doc_id", F.size("words").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), grams)).alias("place", "gram"))
+    each = each.select("row", "doc_id", (F.col("place") - 1).alias("place"), "gram", F.xxhash64("gram").alias("hash"), F.when(F.col("place") == 0, F.col("n_words")).alias("n_words"))
     table = F.broadcast(template_grams(docs, phrases or PHRASES, templates or TEMPLATES, k))
     voted = each.join(table, ["hash", "gram"], "left").where(F.col("n_words").isNotNull() | F.col("template").isNotNull())
-    return voted.groupBy("doc_id", "template", "label", "phrase", "n_grams", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.count("*").alias("votes"), F.sum("n_words").alias("n_words"))
+    return voted.groupBy("row", "doc_id", "template", "label", "phrase", "n_grams", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.count("*").alias("votes"), F.sum("n_words").alias("n_words"))
 
 
 def license_spans(votes: DataFrame, k: int = K, near: int = NEAR) -> DataFrame:
-    """(doc_id, template, label, phrase, start, score): merged diagonals; score = share of the template's k-grams, at most 1."""
+    """(row, doc_id, template, label, phrase, start, score): merged diagonals; score = share of the template's k-grams, at most 1."""
     matched = votes.where(F.col("template").isNotNull())
-    by = Window.partitionBy("doc_id", "template").orderBy("diagonal")
+    by = Window.partitionBy("row", "template").orderBy("diagonal")
     fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > F.when(F.col("phrase"), 0).otherwise(near), F.lit(True))
     runs = matched.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(by))
-    return runs.groupBy("doc_id", "template", "label", "phrase", "n_grams", "run").agg(F.min("diagonal").alias("start"), F.least(F.lit(1.0), F.sum("votes") / F.col("n_grams")).alias("score")).drop("run", "n_grams")
+    return runs.groupBy("row", "doc_id", "template", "label", "phrase", "n_grams", "run").agg(F.min("diagonal").alias("start"), F.least(F.lit(1.0), F.sum("votes") / F.col("n_grams")).alias("score")).drop("run", "n_grams")
 
 
 def license_digests(docs: DataFrame, share: float = SHARE) -> DataFrame:
-    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for every document.
+    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row.
 
     score is the largest share of a phrase's or template's k-grams on its merged diagonals; labels holds those
     of whole phrases and of templates with at least ``share``.
@@ -94,11 +97,11 @@ def license_digests(docs: DataFrame, share: float = SHARE) -> DataFrame:
     votes = materialize(license_votes(docs), "votes")
     spans = license_spans(votes).withColumn("base", F.col("phrase") & (F.col("score") == 1))
     found = spans.where(F.col("base") | ~F.col("phrase"))
-    sizes = votes.where(F.col("n_words").isNotNull()).select("doc_id", F.col("n_words").cast("long").alias("n_words"))
-    one = found.select("doc_id", F.lit(None).cast("long").alias("n_words"), "label", "base", "start", "score")
+    sizes = votes.where(F.col("n_words").isNotNull()).select("row", "doc_id", F.col("n_words").cast("long").alias("n_words"))
+    one = found.select("row", "doc_id", F.lit(None).cast("long").alias("n_words"), "label", "base", "start", "score")
     rows = one.unionByName(sizes, allowMissingColumns=True)
     base = F.col("base") == True  # noqa: E712
-    by_doc = rows.groupBy("doc_id").agg(
+    by_row = rows.groupBy("row", "doc_id").agg(
         F.sum("n_words").alias("n_words"),
         F.count_if(base).alias("n_base"),
         F.min(F.when(base, F.col("start"))).cast("long").alias("first_word"),
@@ -107,4 +110,4 @@ def license_digests(docs: DataFrame, share: float = SHARE) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set(F.when(base | (F.col("score") >= share), F.col("label")))), ",").alias("labels"),
         F.round(F.coalesce(F.max("score"), F.lit(0.0)), 6).alias("score"),
     )
-    return by_doc
+    return by_row.drop("row")
