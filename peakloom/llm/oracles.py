@@ -23,23 +23,26 @@ def _words(column: str) -> str:
 def secrets() -> str:
     """Base spans by patterns; the method's from the entropy of every window of every candidate."""
 
-    def found(rank: int, name: str, pattern: str) -> str:
+    opened = "text"
+    for pattern, length in secret_scan.ALLOWED_PIECES:
+        opened = f"regexp_replace({opened}, {_quoted(pattern)}, '{' ' * length}', 'g')"
+
+    def found(rank: int, name: str, pattern: str, source: str = "text") -> str:
         p = _quoted(pattern)
-        return f"SELECT doc_id, {rank} AS rank, '{name}' AS kind, f[i] AS found, list_sum(list_transform(g[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0)::BIGINT AS start FROM (SELECT doc_id, f, g, unnest(range(1, len(f) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, {p}) AS f, string_split_regex(text, {p}) AS g FROM d))"
+        return f"SELECT doc_id, {rank} AS rank, '{name}' AS kind, f[i] AS found, list_sum(list_transform(g[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0)::BIGINT AS start FROM (SELECT doc_id, f, g, unnest(range(1, len(f) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all({source}, {p}) AS f, string_split_regex({source}, {p}) AS g FROM d))"
 
     base = " UNION ALL ".join(f"SELECT doc_id, start, rank, kind, start + length(found) AS stop FROM ({found(i, name, p)}) WHERE length(regexp_extract(found, {_quoted(p)}, {group})) >= {least}" for i, (name, p, group, least) in enumerate(secret_scan.BASE))
     entropies = []
     for rank, (name, chars, _, window, bits, holds) in enumerate(secret_scan.CLASSES, len(secret_scan.BASE)):
-        needed = ["[0-9]", "[A-Z]", "[a-z]"] if "?=" in holds else ["[0-9]", "[A-Fa-f]"]
-        allowed = [p for p in secret_scan.ALLOWED if "\\1" not in p]
-        keep = " AND ".join([f"regexp_matches(found, '{p}')" for p in needed] + [f"NOT regexp_matches(found, {_quoted(p)})" for p in allowed])
-        windows = f"SELECT doc_id, start, kind, rank, i, found[i + 1:i + {window}] AS w FROM (SELECT *, unnest(range(0, length(found) - {window} + 1)) AS i FROM ({found(rank, name, f'{chars}{{{window},}}')}) WHERE {keep})"
+        allowed = [p for p in secret_scan.ALLOWED_RUNS if "\\1" not in p]
+        keep = " AND ".join([f"regexp_matches(found, '{p}')" for p in holds] + [f"NOT regexp_matches(found, {_quoted(p)})" for p in allowed])
+        windows = f"SELECT doc_id, start, kind, rank, i, found[i + 1:i + {window}] AS w FROM (SELECT *, unnest(range(0, length(found) - {window} + 1)) AS i FROM ({found(rank, name, f'{chars}{{{window},}}', 'open')}) WHERE {keep})"
         dense = f"SELECT doc_id, start, kind, rank, i FROM (SELECT doc_id, start, kind, rank, i, c, count(*) AS n FROM (SELECT *, unnest(string_split(w, '')) AS c FROM ({windows})) WHERE c <> '' GROUP BY ALL) GROUP BY ALL HAVING -sum(n / {window}e0 * log2(n / {window}e0)) >= {bits} - 1e-9"
         runs = f"SELECT *, sum(fresh) OVER (PARTITION BY doc_id, start ORDER BY i) AS run FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id, start ORDER BY i) <= {window} THEN 0 ELSE 1 END AS fresh FROM ({dense}))"
         entropies.append(f"SELECT doc_id, start + min(i) AS start, rank, kind, start + max(i) + {window} AS stop FROM ({runs}) GROUP BY doc_id, start, rank, kind, run")
     said = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop)"
     return (
-        f"WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), base AS ({base}), spans AS (SELECT * FROM base UNION ALL {' UNION ALL '.join(entropies)}) "
+        f"WITH d AS (SELECT doc_id, text, {opened} AS open FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)), base AS ({base}), spans AS (SELECT * FROM base UNION ALL {' UNION ALL '.join(entropies)}) "
         f"SELECT d.doc_id, coalesce(b.n_assign, 0) AS n_assign, coalesce(b.n_access, 0) AS n_access, coalesce(b.n_hex, 0) AS n_hex, sha256(coalesce(b.said, '')) AS base_sha256, coalesce(s.said, '') AS spans FROM d "
         f"LEFT JOIN (SELECT doc_id, {', '.join(f'''count(*) FILTER (kind = '{n}') AS n_{n}''' for n, *_ in secret_scan.BASE)}, {said} AS said FROM base GROUP BY 1) b USING (doc_id) LEFT JOIN (SELECT doc_id, {said} AS said FROM spans GROUP BY 1) s USING (doc_id)"
     )
