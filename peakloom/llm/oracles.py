@@ -75,9 +75,8 @@ def licenses() -> str:
     return f"""WITH t(gram, template, label, phrase, place_in, n_grams) AS (VALUES {', '.join(rows)}),
  w AS (SELECT doc_id, {_words('text')} AS w FROM documents),
  g AS (SELECT doc_id, i - 1 AS place, array_to_string(w[i:i + {k - 1}], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - {k - 2})) AS i FROM w)),
- v AS (SELECT doc_id, template, label, phrase, n_grams, place - place_in AS diagonal, count(*) AS votes FROM g JOIN t USING (gram) GROUP BY ALL),
- r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= CASE WHEN phrase THEN 0 ELSE {license_scan.NEAR} END THEN 0 ELSE 1 END AS fresh FROM v)),
- s AS (SELECT doc_id, template, label, phrase, run, min(diagonal) AS start, least(1e0, sum(votes) / any_value(n_grams)) AS score FROM r GROUP BY ALL),
+ v AS (SELECT DISTINCT doc_id, template, label, phrase, n_grams, place - place_in AS diagonal, place_in FROM g JOIN t USING (gram)),
+ s AS (SELECT x.doc_id, x.template, x.label, x.phrase, x.diagonal AS start, count(DISTINCT v.place_in) / x.n_grams AS score FROM (SELECT DISTINCT doc_id, template, label, phrase, n_grams, diagonal FROM v) x JOIN v ON v.doc_id = x.doc_id AND v.template = x.template AND v.phrase = x.phrase AND v.diagonal BETWEEN x.diagonal AND x.diagonal + CASE WHEN x.phrase THEN 0 ELSE {license_scan.NEAR} END GROUP BY x.doc_id, x.template, x.label, x.phrase, x.diagonal, x.n_grams),
  o AS (SELECT *, phrase AND score = 1 AS base FROM s WHERE NOT phrase OR score = 1)
  SELECT w.doc_id, len(w.w) AS n_words, count(*) FILTER (o.base) AS n_base, min(o.start) FILTER (o.base) AS first_word, max(o.start) FILTER (o.base) AS last_word,
  coalesce(string_agg(DISTINCT o.label, ',' ORDER BY o.label) FILTER (o.base), '') AS base_labels, coalesce(string_agg(DISTINCT o.label, ',' ORDER BY o.label) FILTER (o.base OR o.score >= {license_scan.SHARE}), '') AS labels, round(coalesce(max(o.score), 0), 6) AS score
