@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from peakloom.llm import bpe, decontam, line_dedup, minhash, quality
 from peakloom.llm.shared import materialize
 
-#: Least similarity of near duplicates in the corpus; op3's query has its own.
-NEAR_PERCENT = 85
+#: Least similarity of near duplicates in the corpus, in percent; op3's query has its contract's own.
+NEAR_PERCENT = 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.where("contaminated").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    return decontam.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

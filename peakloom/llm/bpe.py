@@ -341,12 +341,15 @@ def frequent_words(docs: DataFrame, vocabulary: str, most: int = LEXICON_WORDS)
     counted = docs.select("text").mapInArrow(rows, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     short = materialize(counted.where((F.col("n") > 1) & (F.length("word") <= 64) & ~F.col("word").startswith("\0")).withColumn("step", F.floor(8 * F.log2("n")).cast("int")), "words")
     least, total = None, 0
-    for r in short.groupBy("step").count().orderBy(F.desc("step")).collect():
+    steps = short.groupBy("step").count().orderBy(F.desc("step")).collect()
+    for r in steps:
         total += r["count"]
         if total > most:
             break
         least = r.step
-    return [] if least is None else [r.word for r in short.where(F.col("step") >= least).select("word").collect()]
+    if least is None:  # no words, or more than ``most`` in the top step: its first ones by name
+        return [r.word for r in short.where(F.col("step") == steps[0].step).orderBy("word").limit(most).collect()] if steps else []
+    return [r.word for r in short.where(F.col("step") >= least).select("word").collect()]
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, most: int = LEXICON_WORDS) -> Transducer:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,15 +14,25 @@ BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20  # what a Python worker is handed at onc
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts go to Python in small batches, so that a worker's memory doesn't follow Spark's 10,000 rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """Texts go to Python in small batches, so that a worker's memory doesn't follow Spark's 10,000 rows.
+
+    Spark reads these settings when a plan runs, which is after the operator has returned; they are so set for
+    the session, and only ever lowered.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        digits = re.fullmatch(r"(\d+)b?", spark.conf.get(key), re.I)
+        if not digits or not 0 < int(digits[1]) <= most:
+            spark.conf.set(key, most)
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where it is unset, as in tests."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset a local session, as in tests, gets a temporary
+    folder; on a cluster that would be a folder of the driver alone, so it is an error there."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="peakloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
