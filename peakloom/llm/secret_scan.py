@@ -160,12 +160,17 @@ def blanked(text: Column, pieces: list[tuple[str, int]] | None = None) -> Column
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowed_pieces: list[tuple[str, int]] | None = None, allowed_runs: list[str] | None = None) -> DataFrame:
     """(doc_id, base, spans): arrays of (start, rank, kind, end), sorted; ``spans`` holds the base ones and the method's."""
     base = texts(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = base.select("doc_id", "text", blanked(F.col("text"), allowed_pieces).alias("open"))
+    # a text without a run as long as a window has none after blanking either
+    long_run = F.col("text").rlike("|".join(f"{chars}{{{window},}}" for _, chars, _, window, _, _ in CLASSES))
+    base = base.select("doc_id", "text", F.when(long_run, blanked(F.col("text"), allowed_pieces)).otherwise("").alias("open"))
     patterns = [(name, "text", pattern) for name, pattern, _, _ in BASE] + [(name, "open", f"{chars}{{{window},}}") for name, chars, _, window, _, _ in CLASSES]
-    found = [F.regexp_extract_all(source, F.lit(p), F.lit(0)).alias(f"{name}_found") for name, source, p in patterns]
-    gaps = [F.transform(F.split(source, p, -1), F.char_length).alias(f"{name}_gaps") for name, source, p in patterns]
-    each = base.select("doc_id", *found, *gaps)
-    each = each.select("doc_id", *(placed(F.col(f"{name}_found"), F.col(f"{name}_gaps")).alias(name) for name, _, _ in patterns))
+    each = base.select("doc_id", "text", "open", *(F.regexp_extract_all(source, F.lit(p), F.lit(0)).alias(name) for name, source, p in patterns))
+
+    def with_places(name: str, source: str, pattern: str) -> Column:
+        gaps = F.transform(F.split(source, pattern, -1), F.char_length)
+        return F.when(F.size(name) > 0, placed(F.col(name), gaps)).otherwise(F.array().cast("array<struct<start:int,end:int,found:string>>")).alias(name)
+
+    each = each.select("doc_id", *(with_places(*p) for p in patterns))
 
     def kind(rank: int, name: str, spans: Column) -> Column:
         return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(name).alias("kind"), x["end"].alias("end")))
