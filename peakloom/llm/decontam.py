@@ -10,9 +10,11 @@ Documents are screened in the tasks by a bit table of fixed size, whatever the b
 on the shingle hash then drops what only shares a bit. No document text is shuffled, only the words around
 candidates.
 
+Windows with equal words are one window throughout; the items that hold it are attached after the exact test.
+
 Cases: a null or empty text has no words and no hits; a null or empty item has no window; items with equal
-windows are all reported; rows with equal doc_id are told apart by nothing and so counted together; an
-empty benchmark leaves every document clean.
+windows are all reported; each row is counted alone, also where rows share a doc_id or have none; an empty
+benchmark leaves every document clean; other columns, however named, are not looked at.
 """
 
 from __future__ import annotations
@@ -116,14 +118,16 @@ def shingle_counts(docs: DataFrame, grams: DataFrame) -> DataFrame:
 
 
 def rarest_shingles(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """The prefix of each window: its rarest shingle and that one's offset. A window with an absent shingle can't occur and goes."""
-    each = windows.select("item", "window", "n", "words", "k", F.posexplode("grams").alias("offset", "gram"))
+    """(n, words, k, gram, offset), one row for all windows of equal words: the prefix, its rarest shingle and that
+    one's offset. A window with an absent shingle can't occur and goes."""
+    said = windows.groupBy("n", "words", "k").agg(F.min("grams").alias("grams"))
+    each = said.select("n", "words", "k", F.posexplode("grams").alias("offset", "gram"))
     known = each.join(counts.withColumnRenamed("n", "seen"), ["k", "gram"], "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
-    return known.groupBy("item", "window", "n", "words", "k").agg(F.min(F.struct("seen", "gram", "offset")).alias("least")).where("least.seen > 0").select("item", "window", "n", "words", "k", "least.gram", "least.offset")
+    return known.groupBy("n", "words", "k").agg(F.min(F.struct("seen", "gram", "offset")).alias("least")).where("least.seen > 0").select("n", "words", "k", "least.gram", "least.offset")
 
 
 def _candidates(docs: DataFrame, prefixes: DataFrame, window: int) -> DataFrame:
-    """(doc_id, n_words, found): one row a document, found = places of prefix shingles and the words around them."""
+    """(row, doc_id, n_words, found): one row a document, found = places of prefix shingles and the words around them."""
     table, sizes = _bit_table(prefixes)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
@@ -131,7 +135,7 @@ def _candidates(docs: DataFrame, prefixes: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             n_words = np.zeros(batch.num_rows, np.int64)
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for first, end, body, offsets in blocks(batch.column(1)):
+            for first, end, body, offsets in blocks(batch.column(2)):
                 body = LOWER[body]
                 starts, ends, row_words = word_spans(body, offsets, ALNUM)
                 n_words[first:end] = np.diff(row_words)
@@ -145,34 +149,50 @@ def _candidates(docs: DataFrame, prefixes: DataFrame, window: int) -> DataFrame:
                         around = b" ".join(body[starts[i] : ends[i]].tobytes() for i in range(left, right))
                         found[first + row].append({"k": k, "gram": gram, "place": place - base, "left": left - base, "around": around.decode("utf-8", "replace")})
             kind = pa.list_(pa.struct([("k", pa.int32()), ("gram", pa.int64()), ("place", pa.int32()), ("left", pa.int32()), ("around", pa.string())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), pa.array(found, kind)], ["doc_id", "n_words", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words), pa.array(found, kind)], ["row", "doc_id", "n_words", "found"])
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return numbered.mapInArrow(rows, f"row long, doc_id {dict(docs.dtypes)['doc_id']}, n_words long, found array<struct<k int, gram long, place int, left int, around string>>")
 
-    return docs.mapInArrow(rows, "doc_id long, n_words long, found array<struct<k int, gram long, place int, left int, around string>>")
 
+def find_windows(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents: row, doc_id, n_words), (occurrences: row, start, n, words), starts counted in words, and (items: words, item).
 
-def find_windows(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(documents: doc_id, n_words) and (occurrences: doc_id, item, start, n), starts counted in words."""
+    ``row`` numbers the rows of ``docs``.
+    """
     base = texts(docs, id_col, text_col)
     windows = materialize(benchmark_windows(bench, item_col, item_text, window, shingle), "windows")
     grams = windows.select("k", F.explode("grams").alias("gram"))
     prefixes = materialize(rarest_shingles(windows, shingle_counts(base, grams)), "prefixes")
     seen = materialize(_candidates(base, prefixes, window), "candidates")
-    near = seen.where(F.size("found") > 0).select("doc_id", "n_words", F.explode("found").alias("f")).select("doc_id", "n_words", "f.*")
+    near = seen.where(F.size("found") > 0).select("row", "n_words", F.explode("found").alias("f")).select("row", "n_words", "f.*")
     pairs = near.join(prefixes, ["k", "gram"]).withColumn("start", F.col("place") - F.col("offset"))
     roomy = pairs.where((F.col("start") >= F.col("left")) & (F.col("start") + F.col("n") <= F.col("n_words")))
     exact = roomy.where(F.array_join(F.slice(F.split("around", " "), F.col("start") - F.col("left") + 1, F.col("n")), " ") == F.col("words"))
-    return seen.select("doc_id", "n_words"), exact.select("doc_id", "item", "start", "n")
+    return seen.select("row", "doc_id", "n_words"), exact.select("row", "start", "n", "words"), windows.select("words", "item").distinct()
 
 
 def contamination(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every document."""
-    sizes, hits = find_windows(docs, bench, **options)
-    spans = hits.groupBy("doc_id", "start").agg(F.max("n").alias("n"), F.collect_set("item").alias("items"))
-    before = Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs``."""
+    sizes, hits, items = find_windows(docs, bench, **options)
+    spans = hits.groupBy("row", "start").agg(F.max("n").alias("n"))
+    before = Window.partitionBy("row").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("n")
     fresh = spans.withColumn("covered", F.coalesce(F.max(end).over(before), F.lit(0))).withColumn("fresh", F.greatest(F.lit(0), end - F.greatest("start", "covered")))
-    per_doc = fresh.groupBy("doc_id").agg(F.sum("fresh").cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    joined = sizes.join(per_doc, "doc_id", "left")
+    covered = fresh.groupBy("row").agg(F.sum("fresh").cast("long").alias("n_hit"))
+    named = hits.select("row", "words").distinct().join(items, "words").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    joined = sizes.join(covered.join(named, "row"), "row", "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def keep_clean(docs: DataFrame, bench: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark window, all columns.
+
+    A text's digest tells the rows, so that it doesn't matter whether ids are null or shared.
+    """
+    digest = "digest" + "_" * max(len(c) for c in docs.columns)  # longer than any name there
+    found = contamination(docs.select(F.md5(F.col(text_col).cast("binary")).alias("doc_id"), F.col(text_col).alias("text")), bench, **options)
+    bad = found.where("contaminated").select(F.col("doc_id").alias(digest)).distinct()
+    return docs.join(bad, F.md5(docs[text_col].cast("binary")) == bad[digest], "left_anti")
