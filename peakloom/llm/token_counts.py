@@ -1,14 +1,17 @@
-"""Operator 1: token counts of a document's sections, from one encoding of the whole document.
+"""Operator 1: token counts of a document's fields or sections, from one encoding of the whole document.
 
-Each text is encoded once by a byte-level BPE; token byte lengths give every token's span. Sections (by
-default the lines between line feeds, each with its line feed) are spans of the same text, and the interval
-join of both, a binary search a document, gives each token the sections it lies in. A token that crosses
-section ends goes to one of them by the rule: ``first`` (where its first byte is), ``last`` (where its last
-byte is) or ``most`` (where most of its bytes are, the earlier one if equal), so the sections' counts add up
-to the document's.
+Each text is encoded once by a byte-level BPE; token byte lengths, mapped to characters, give every token's span
+of code points (of the first and last character that it has a byte of). Fields are spans too: given ones, such as
+those of ``joined_fields``, or the sections between line feeds, each with its line feed. The interval join of
+both, a binary search a document, gives each token the fields it lies in. A token that crosses a field's end
+goes to one field by the rule: ``first`` (that of its first character in a field), ``last`` (of its last one) or
+``most`` (that with most of its characters, the earlier one if equal). Sections cover a text, so their counts
+add up to the document's; between given fields tokens may lie in none.
 
 Cases: a null or empty text is one empty section without tokens; an empty section (a bare line feed) has
-what its own byte gets; ids may be null or repeated, each row is counted alone.
+what its own character gets; ids may be null or repeated, each row is counted alone; given spans are taken in
+order of start, cut to the text and to what an earlier span has left, and may be empty or null; other columns,
+however named, are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,35 +48,68 @@ def load_encoding(vocabulary: str, pattern: str):
     return tiktoken.Encoding("sections", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), lengths
 
 
-def section_starts(text: bytes, separator: bytes = b"\n") -> np.ndarray:
-    """Byte offset of each section: 0 and every place after a separator but the text's end."""
-    cuts = np.flatnonzero(np.frombuffer(text, np.uint8) == separator[0]) + 1
-    return np.concatenate(([0], cuts[cuts < len(text)]))
+def characters(body: np.ndarray) -> np.ndarray:
+    """The number of the code point that each byte belongs to."""
+    return np.cumsum((body & 0xC0) != 0x80) - 1
 
 
-def attribute(token_ends: np.ndarray, starts: np.ndarray, rule: str = "first") -> tuple[np.ndarray, np.ndarray]:
-    """The section of each token, and whether it crosses a section's end."""
-    token_starts = np.concatenate(([0], token_ends[:-1])) if len(token_ends) else token_ends
-    first = np.searchsorted(starts, token_starts, "right") - 1
-    last = np.searchsorted(starts, token_ends - 1, "right") - 1
-    crosses = last > first
-    if rule == "first":
-        return first, crosses
-    if rule == "last":
-        return last, crosses
-    if rule != "most":
+def token_spans(lengths: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends, in code points, of tokens of so many bytes."""
+    ends = np.cumsum(lengths)
+    of_byte = characters(body)
+    return of_byte[ends - lengths], of_byte[ends - 1] + 1
+
+
+def section_spans(body: np.ndarray, separator: bytes = b"\n") -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends, in code points, of the sections: cut after every separator but one at the text's end."""
+    if not len(body):
+        return np.zeros(1, np.int64), np.zeros(1, np.int64)
+    of_byte = characters(body)
+    cuts = np.flatnonzero(body[:-1] == separator[0]) + 1
+    starts = np.concatenate(([0], of_byte[cuts]))
+    return starts, np.append(starts[1:], of_byte[-1] + 1)
+
+
+def given_spans(spans: list[dict] | None, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of given spans: in order, inside a text of ``size`` characters, and apart."""
+    found = sorted((s["start"] or 0, s["end"] or 0) for s in spans or [] if s)
+    starts, ends = np.array(found, np.int64).reshape(-1, 2).clip(0, size).T
+    starts = np.maximum(starts, np.maximum.accumulate(np.concatenate(([0], ends)))[:-1])
+    return starts, np.maximum(starts, ends)
+
+
+def attribute(token_starts: np.ndarray, token_ends: np.ndarray, starts: np.ndarray, ends: np.ndarray, rule: str = "first") -> tuple[np.ndarray, np.ndarray]:
+    """The span (in order, apart) of each token, -1 outside all, and whether the token lies in more than one."""
+    full = np.flatnonzero(ends > starts)
+    if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    chosen = first.copy()
-    ends = np.append(starts[1:], np.iinfo(np.int64).max)
-    for i in np.flatnonzero(crosses):
+    if not len(full):
+        return np.full(len(token_starts), -1), np.zeros(len(token_starts), bool)
+    starts, ends = starts[full], ends[full]
+    first = np.searchsorted(ends, token_starts, "right")
+    last = np.searchsorted(starts, token_ends, "left") - 1
+    crosses = last > first
+    chosen = last.copy() if rule == "last" else first.copy()
+    for i in np.flatnonzero(crosses) if rule == "most" else []:
         span = np.arange(first[i], last[i] + 1)
         chosen[i] = span[np.argmax(np.minimum(ends[span], token_ends[i]) - np.maximum(starts[span], token_starts[i]))]
-    return chosen, crosses
+    return np.where(last >= first, full[np.clip(chosen, 0, len(full) - 1)], -1), crosses
+
+
+def joined_fields(df: DataFrame, fields: list[str], id_col: str = "doc_id", separator: str = "\n") -> DataFrame:
+    """(doc_id, text, spans): text columns as one document, and where each stands in it; a null field is empty."""
+    values = [F.coalesce(F.col(c), F.lit("")) for c in fields]
+    spans, at = [], F.lit(0)
+    for value in values:
+        spans.append(F.struct(at.alias("start"), (at + F.char_length(value)).alias("end")))
+        at = at + F.char_length(value) + len(separator)
+    return df.select(F.col(id_col).alias("doc_id"), F.concat_ws(separator, *values).alias("text"), F.array(*spans).alias("spans"))
 
 
-def section_tokens(docs: DataFrame, vocabulary: str, pattern: str, rule: str = "first", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, n_crossing, sections): sections = array of (start, end, n_tokens), byte offsets in the text.
+def section_tokens(docs: DataFrame, vocabulary: str, pattern: str, rule: str = "first", id_col: str = "doc_id", text_col: str = "text", spans_col: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, n_crossing, sections): sections = array of (start, end, n_tokens), in code points of the text.
 
+    ``spans_col`` names a column of given spans, array<struct<start, end>>; without it the lines are the sections.
     ``vocabulary`` is the path of a .tiktoken file that every executor has; ``pattern`` its split pattern.
     """
     if rule not in RULES:
@@ -83,22 +119,26 @@ def section_tokens(docs: DataFrame, vocabulary: str, pattern: str, rule: str = "
         encoding, lengths = load_encoding(vocabulary, pattern)
         for batch in batches:
             n_tokens, n_crossing, sizes, spans = [], [], [0], ([], [], [])
-            for text in batch.column(1).to_pylist():
+            given = batch.column(2).to_pylist() if spans_col else [None] * batch.num_rows
+            for text, own in zip(batch.column(1).to_pylist(), given, strict=True):
                 text = text or ""
-                body = text.encode("utf-8")
+                body = np.frombuffer(text.encode("utf-8"), np.uint8)
                 ids = encoding.encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.uint32)
-                starts = section_starts(body)
-                chosen, crosses = attribute(np.cumsum(lengths[ids]), starts, rule)
+                starts, ends = given_spans(own, len(text)) if spans_col else section_spans(body)
+                chosen, crosses = attribute(*token_spans(lengths[ids], body), starts, ends, rule)
                 n_tokens.append(len(ids))
                 n_crossing.append(int(crosses.sum()))
                 sizes.append(len(starts))
-                for column, values in zip(spans, (starts, np.append(starts[1:], len(body)), np.bincount(chosen, minlength=len(starts))), strict=True):
+                for column, values in zip(spans, (starts, ends, np.bincount(chosen[chosen >= 0], minlength=len(starts))), strict=True):
                     column.append(values.astype(np.int64))
             flat = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in spans]
             sections = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.StructArray.from_arrays(flat, ["start", "end", "n_tokens"]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(n_crossing, pa.int64()), sections], ["doc_id", "n_tokens", "n_crossing", "sections"])
 
-    return texts(docs, id_col, text_col).mapInArrow(rows, "doc_id long, n_tokens long, n_crossing long, sections array<struct<start: long, end: long, n_tokens: long>>")
+    base = texts(docs, id_col, text_col)
+    if spans_col:
+        base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(spans_col).alias("spans"))
+    return base.mapInArrow(rows, "doc_id long, n_tokens long, n_crossing long, sections array<struct<start: long, end: long, n_tokens: long>>")
 
 
 def token_counts(docs: DataFrame, vocabulary: str, pattern: str, rule: str = "first") -> DataFrame:
