@@ -6,16 +6,18 @@ The windows that share one anchor occurrence are neighbours; with the bytes they
 
 1. Each task finds its documents' contexts. Of equal contexts in a block only the earliest goes on; in all
    others every window is a repeat (pre-aggregation, so a passage of many documents is shuffled once a block).
-2. Contexts are sorted by anchor and content in hash partitions and streamed: of equal contexts, again, all
-   but the earliest are repeats. An anchor with one context is settled; most anchors occur once and end here.
+2. Contexts are range-partitioned and sorted by anchor, content, document and place, so an anchor that many
+   documents hold runs over several tasks, and streamed, a batch at a time: of equal contexts, again, all but
+   the earliest are repeats. An anchor with one context is settled; most anchors occur once and end here. What
+   a partition's ends leave open, its first and last content, is settled from these two rows a partition.
 3. Anchors with several contexts are the shards to merge. Their suffixes from the anchor on are sorted once,
    with common prefix lengths. Then the order is refined a byte at a time: suffixes that start one byte
    further left follow from the present order by a stable distribution over the preceding byte (the
    Burrows-Wheeler symbol), which interleaves the shards without sorting any suffix again. At each level a run
    of equal left bytes whose common prefixes reach the window's end is a repeated interval: all its windows
    but the earliest are repeats.
-   An anchor with more than MOST_CONTEXTS different contexts is not gathered in a task: the digests of its
-   windows are grouped instead, with minima combined before the shuffle.
+   No task gathers an anchor with more than HOT different contexts: those are the edges of very common passages,
+   where the neighbours differ. The digests of their windows are grouped, with minima combined before the shuffle.
 4. Each document's windows are joined to its text, and the bytes they cover are removed.
 
 Cases: null, empty and shorter texts have no window; overlapping repeats (also of a document with itself)
@@ -25,13 +27,13 @@ that share one are cut by their united spans, within their own length.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytetext import blocks, flat, mixed, powers
@@ -43,7 +45,7 @@ GRAMS = LENGTH - ANCHOR + 1  # anchors to choose from in a window
 AFTER = LENGTH - ANCHOR  # bytes of a window outside its anchor
 CHUNK = 40_000  # contexts merged at once
 BLOCK = 2 << 20  # bytes of text in which a task looks for equal contexts
-MOST_CONTEXTS = 200_000  # different contexts of one anchor (about 27 MB) that a task merges
+HOT = 2000  # different contexts of one anchor that a task merges
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _MIX = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -143,18 +145,68 @@ def _runs(batches: Iterator[pa.RecordBatch], rows: int = 0) -> Iterator[list[np.
         yield pa.concat_tables(held).combine_chunks()
 
 
+_PIECE = "anchor long, content long, doc_id long, first int, windows int, lead int, repeat boolean, several boolean, edge boolean"
+
+
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts sorted by anchor, content, document and place: repeats, and the earliest ones of anchors with several."""
-    for table in _runs(batches, 4000):
-        anchor, content, again = (table.column(c).to_numpy() for c in ("anchor", "content", "repeat"))
-        new_anchor, new = np.ones(len(anchor), bool), np.ones(len(anchor), bool)
-        new_anchor[1:] = anchor[1:] != anchor[:-1]
-        new[1:] = new_anchor[1:] | (content[1:] != content[:-1])
-        kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_anchor))[np.cumsum(new_anchor) - 1]
-        repeat = ~new | again
-        keep = repeat | (kinds > 1)
-        out = table.select(["anchor", "doc_id", "first", "windows", "lead"]).append_column("repeat", pa.array(repeat))
-        yield from out.filter(pa.array(keep)).to_batches()
+    """One partition's contexts, sorted by anchor, content, document and place: repeats, and the earliest of each
+    content where its anchor has ``several``. The partition's first and last content come as ``edge`` in any case,
+    as the partitions beside it may go on with them.
+    """
+
+    def out(rows: pa.RecordBatch, repeat: bool, several: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
+        marks = [pa.array(np.full(rows.num_rows, repeat)), pa.array(several), pa.array(edge)]
+        return pa.RecordBatch.from_arrays([*rows.columns, *marks], [*rows.schema.names, "repeat", "several", "edge"])
+
+    def repeats(rows: pa.RecordBatch) -> pa.RecordBatch:
+        none = np.zeros(rows.num_rows, bool)
+        return out(rows, True, none, none)
+
+    held, held_several, first = None, False, True  # the last content's earliest row
+    for batch in batches:
+        again = batch.column(batch.schema.get_field_index("repeat"))
+        batch = batch.select(["anchor", "content", "doc_id", "first", "windows", "lead"])
+        yield repeats(batch.filter(again))
+        rows = batch.filter(pc.invert(again))
+        if not rows.num_rows:
+            continue
+        anchor, content = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+        new = np.ones(len(anchor), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
+        if held is not None:
+            new[0] = anchor[0] != held.column(0)[0].as_py() or content[0] != held.column(1)[0].as_py()
+        yield repeats(rows.filter(pa.array(~new)))
+        rows = rows.filter(pa.array(new))
+        if held is not None:
+            rows = pa.Table.from_batches([held, rows]).combine_chunks().to_batches()[0]
+        if not rows.num_rows:
+            continue
+        same = np.diff(rows.column(0).to_numpy()) == 0
+        several = np.concatenate((same, [False])) | np.concatenate(([held_several], same))
+        edge = np.zeros(len(several), bool)
+        edge[0] = first
+        keep = (several | edge)[:-1]
+        done = rows.slice(0, len(several) - 1)
+        yield out(done.filter(pa.array(keep)), False, several[:-1][keep], edge[:-1][keep])
+        first &= len(several) == 1
+        held, held_several = rows.slice(len(several) - 1), bool(several[-1])
+    if held is not None:
+        yield out(held, False, np.array([held_several]), np.array([True]))
+
+
+def settled_contexts(found: DataFrame) -> DataFrame:
+    """(anchor, doc_id, first, windows, lead, repeat): all repeats, and the earliest of each content of anchors with several."""
+    # what a task has settled itself is dealt out by its place, so that a common passage doesn't meet in one partition
+    deal = F.when(F.col("repeat"), F.xxhash64("doc_id", "first")).otherwise(F.col("anchor"))
+    order = ["anchor", "content", "doc_id", "first"]
+    ranged = found.withColumn("anchor", deal).repartitionByRange(*order).sortWithinPartitions(*order)
+    pieces = materialize(ranged.mapInArrow(_settled, _PIECE), "contexts")
+    # two rows a partition at most
+    place, by_anchor, by_content = F.struct("doc_id", "first"), Window.partitionBy("anchor"), Window.partitionBy("anchor", "content")
+    several = F.max("several").over(by_anchor) | (F.min("content").over(by_anchor) < F.max("content").over(by_anchor))
+    edges = pieces.where("edge").select("anchor", "doc_id", "first", "windows", "lead", (place > F.min(place).over(by_content)).alias("repeat"), several.alias("several"))
+    settled = pieces.where("not edge").select("anchor", "doc_id", "first", "windows", "lead", "repeat", "several").unionByName(edges)
+    return settled.where("repeat or several").drop("several")
 
 
 def merge_contexts(group: np.ndarray, data: np.ndarray, starts: np.ndarray, windows: np.ndarray, lead: np.ndarray) -> np.ndarray:
@@ -210,12 +262,12 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def windows_by_digest(shards: DataFrame) -> DataFrame:
-    """(doc_id, first, windows) of repeated windows from a digest of each window, for anchors that no task can hold."""
+    """(doc_id, first, windows) of repeated windows from a digest of each window, for anchors that no task should hold."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests, ids, places = [], [], []
-            for doc, first, n, piece in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 5)), strict=True):
+            for doc, first, n, piece in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "first", "windows", "bytes")), strict=True):
                 for i in range(n):
                     digests.append(xxhash.xxh3_128_digest(piece[i : i + LENGTH]))
                     ids.append(doc)
@@ -228,34 +280,35 @@ def windows_by_digest(shards: DataFrame) -> DataFrame:
     return each.join(least, ["d1", "d2"]).where(F.struct("doc_id", "first") > F.col("least")).select("doc_id", "first", F.lit(1).alias("windows"))
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = MOST_CONTEXTS) -> DataFrame:
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(doc_id, first, windows): runs of windows that an earlier place holds too, as first byte and number; they may overlap."""
     base = texts(docs, id_col, text_col).where("doc_id is not null")
-    # what a task has settled itself is dealt out by its place, so that a common passage doesn't meet in one partition
-    deal = F.when(F.col("repeat"), F.xxhash64("doc_id", "first")).otherwise(F.col("anchor"))
-    found = document_contexts(base).repartition(deal).sortWithinPartitions("anchor", "content", "doc_id", "first")
-    pieces = materialize(found.mapInArrow(_settled, "anchor long, doc_id long, first int, windows int, lead int, repeat boolean"), "contexts")
-    several = pieces.where("not repeat").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "windows", "lead")).alias("own"))
+    pieces = settled_contexts(document_contexts(base))
+    earliest = pieces.where("not repeat")
+    large = materialize(earliest.groupBy("anchor").count().where(F.col("count") > hot).select("anchor", F.lit(True).alias("hot")), "hot-anchors")
+    some_hot = not large.isEmpty()
+    earliest = earliest.join(large, "anchor", "left") if some_hot else earliest.withColumn("hot", F.lit(False))
+    several = earliest.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "windows", "lead", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("own"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["anchor", "doc_id", "first", "windows", "lead", "hot", "bytes"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in names]
             for doc, text, own in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 for c in own:
                     piece = text[c["first"] : c["first"] + c["windows"] + LENGTH - 1] if text else b""
                     if len(piece) == c["windows"] + LENGTH - 1:
-                        for column, value in zip(out, (c["anchor"], doc, c["first"], c["windows"], c["lead"], piece), strict=True):
+                        for column, value in zip(out, (c["anchor"], doc, c["first"], c["windows"], c["lead"], c["hot"], piece), strict=True):
                             column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["anchor", "doc_id", "first", "windows", "lead", "bytes"])
-
-    shards = base.join(several, "doc_id").select("doc_id", "text", "own").mapInArrow(cut, "anchor long, doc_id long, first int, windows int, lead int, bytes binary")
-    large = materialize(pieces.where("not repeat").groupBy("anchor").count().where(F.col("count") > most_contexts).select("anchor"), "large-anchors")
-    some_large = not large.isEmpty()
-    small = shards.join(large, "anchor", "left_anti") if some_large else shards
-    merged = small.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "first").mapInArrow(_merged, "doc_id long, first int, windows int")
-    if some_large:
-        merged = merged.unionByName(windows_by_digest(shards.join(large, "anchor", "left_semi")))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+
+    shards = base.join(several, "doc_id").select("doc_id", "text", "own").mapInArrow(cut, "anchor long, doc_id long, first int, windows int, lead int, hot boolean, bytes binary")
+    if some_hot:  # read twice then
+        shards = materialize(shards, "shards")
+    merged = shards.where("not hot").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "first").mapInArrow(_merged, "doc_id long, first int, windows int")
+    if some_hot:
+        merged = merged.unionByName(windows_by_digest(shards.where("hot")))
     return pieces.where("repeat").select("doc_id", "first", "windows").unionByName(merged)
 
 

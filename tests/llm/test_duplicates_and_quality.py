@@ -34,7 +34,7 @@ def changed(rng, text, n):
 AWKWARD = [None, "", " \n\t", "one", "One", "two words", "one two three four", "one two three four five", "é漢 😀 x y z", "a " * 3000]
 
 
-def components_of(texts):
+def components_of(texts, percent=85):
     sets = []
     for t in texts:
         w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
@@ -43,7 +43,7 @@ def components_of(texts):
     for _ in texts:
         for i, a in enumerate(sets):
             for j in range(i):
-                if (both := len(a & sets[j])) and 100 * both >= 85 * (len(a) + len(sets[j]) - both):
+                if (both := len(a & sets[j])) and 100 * both >= percent * (len(a) + len(sets[j]) - both):
                     home[i] = home[j] = min(home[i], home[j])
     return [(len(s), h) for s, h in zip(sets, home, strict=True)]
 
@@ -135,17 +135,60 @@ def test_suffix_dedup(spark, seed):
 
 
 def test_suffix_dedup_by_windows(spark):
-    """The way for anchors with too many contexts to merge in one task gives the same."""
+    """Anchors with too many contexts for one task to merge give the same."""
     rng = np.random.default_rng(12)
     line = say(rng, 30)
     texts = [say(rng, 8) + " " + line + " " + say(rng, int(rng.integers(1, 30))) for _ in range(30)] + ["x" * 300, line, line]
-    spans = suffix_dedup.repeated_windows(docs(spark, texts), most_contexts=3)
+    spans = suffix_dedup.repeated_windows(docs(spark, texts), hot=3)
     gone = [bytearray(len(t)) for t in texts]
     for r in spans.collect():
         gone[r.doc_id][r.first : r.first + r.windows + 99] = b"\1" * (r.windows + 99)
     assert [sum(g) for g in gone] == [w[1] for w in repeats_of(texts)]
 
 
+def test_contexts_of_one_anchor_over_many_partitions(spark):
+    """Whatever the range partitions cut apart, each content keeps one earliest place, and lone anchors go."""
+    rng = np.random.default_rng(21)
+    rows = [(int(rng.choice([5, 5, 5, 6, 7, 900])), int(rng.integers(0, 6)), i, int(rng.integers(0, 3)), 1, 0, False) for i in range(400)]
+    rows += [(1000 + i, 1, i, 0, 1, 0, False) for i in range(50)] + [(2000, 3, i, 0, 1, 0, False) for i in range(60)]
+    found = spark.createDataFrame(rows, suffix_dedup._CONTEXT)
+    contents, least = {}, {}
+    for a, c, d, f, *_ in rows:
+        contents.setdefault(a, set()).add(c)
+        least[a, c] = min(least.get((a, c), (d, f)), (d, f))
+    want = {(a, d, f, (d, f) != least[a, c]) for a, c, d, f, *_ in rows if (d, f) != least[a, c] or len(contents[a]) > 1}
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    for n in (1, 7, 60):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = suffix_dedup.settled_contexts(found).collect()
+        assert len(got) == len(want) and {(r.anchor, r.doc_id, r["first"], r.repeat) for r in got} == want, n
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_many_contexts_of_one_anchor_in_bounded_memory():
+    """A partition with one anchor of a million different contexts is streamed: what is held is one row."""
+    import tracemalloc
+
+    names = ["anchor", "content", "doc_id", "first", "windows", "lead", "repeat"]
+
+    def batches():
+        for at in range(0, 1_000_000, 2000):
+            n = np.arange(at, at + 2000)
+            small = np.zeros(2000, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.zeros(2000, np.int64), n, n, small, small + 1, small, np.zeros(2000, bool))], names)
+
+    tracemalloc.start()
+    rows, edges, before = 0, 0, pa.total_allocated_bytes()
+    for batch in suffix_dedup._settled(batches()):
+        rows += batch.num_rows
+        edges += sum(batch.column(8).to_pylist()) if batch.num_rows < 2 or rows < 5000 else 0
+        assert pa.total_allocated_bytes() - before < 4 << 20
+    assert rows == 1_000_000 and edges == 2 and tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
+
+
 def test_suffix_dedup_cases(spark):
     assert suffix_dedup.repeat_digests(docs(spark, ["x"]).limit(0)).count() == 0
     same = spark.createDataFrame([(None, "y" * 150), (7, "z" * 120), (7, "z" * 20)], "doc_id long, text string")
@@ -244,7 +287,7 @@ def test_pipeline_against_brute_force(spark, sf, tmp_path):
     ids = sorted(after[0])
     lines = lines_of([after[0][i] for i in ids])
     assert [hashlib.sha256((after[1][i] or "").encode()).hexdigest() for i in ids] == [x[2] for x in lines] and sorted(after[1]) == ids
-    home = components_of([after[1][i] for i in ids])
+    home = components_of([after[1][i] for i in ids], 80)
     assert set(after[2]) == {ids[i] for i, (_, h) in enumerate(home) if h == i}
     assert set(after[3]) == passes(spark, sf, after[2]) and 0 < len(after[3]) < len(after[2])
     library = tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json"))

@@ -14,7 +14,7 @@ def similarity(a, b):
     return len(x & y) / len(x | y)
 
 
-def test_stage_takes_a_threshold_of_its_own(spark, monkeypatch):
+def test_stage_takes_a_threshold_of_its_own(spark):
     pair = [text("a"), text("a", changed=(30, 80, 130, 180))]
     chain = [" ".join(f"b{i}" for i in range(s, s + 200)) for s in (0, 20, 40)]
     exact = [text("c", 94), text("c", 94, changed=(30, 60))]  # 80 of 100 shingles
@@ -22,7 +22,6 @@ def test_stage_takes_a_threshold_of_its_own(spark, monkeypatch):
     assert all(0.80 < similarity(*p) < 0.85 for p in (pair, chain[:2], chain[1:])) and similarity(*exact) == 0.8
     assert similarity(chain[0], chain[2]) < 0.8 and 0.75 < similarity(*below) < 0.8
     d = docs(spark, pair + chain + exact + below)
-    monkeypatch.setattr(corpus_pipeline, "NEAR_PERCENT", 80)
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, d, None).collect()) == [0, 2, 5, 7, 8]
     assert minhash.keep_one_of_each(d).count() == 9  # op3's threshold is as it was
 

@@ -32,30 +32,76 @@ def sha(b):
 
 
 # 1
-def test_token_counts_add_up(spark):
+@pytest.fixture(scope="module")
+def tokens():
     import tiktoken
 
     path = P.path("byte_bpe_50k.tiktoken")
-    enc = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=token_counts.load_ranks(path), special_tokens={})
+    return path, tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=token_counts.load_ranks(path), special_tokens={})
+
+
+def sections_of(text, enc, rule, spans=None):
+    """(tokens, tokens that lie in several spans, a count a span), character by character."""
+    if spans is None:
+        cuts = [0] + [i + 1 for i, c in enumerate(text[:-1]) if c == "\n"]
+        spans = list(zip(cuts, [*cuts[1:], len(text)]))
+    home = {i: k for k, (a, b) in enumerate(spans) for i in range(a, b)}
+    of_byte = [i for i, c in enumerate(text) for _ in c.encode()]
+    counts, crossing, at = [0] * len(spans), 0, 0
+    ids = enc.encode_ordinary(text)
+    for t in ids:
+        n = len(enc.decode_single_token_bytes(t))
+        own = [home[i] for i in range(of_byte[at], of_byte[at + n - 1] + 1) if i in home]
+        at += n
+        crossing += len(set(own)) > 1
+        if own:
+            counts[own[0] if rule == "first" else own[-1] if rule == "last" else max(sorted(set(own)), key=own.count)] += 1
+    return len(ids), crossing, counts
+
+
+SPLIT = ["a\n\n\nb", "\n", "x\n", "  \n  \n\n  y", "é漢😀\n😀漢é", "a  \n\n  b\n \n", "\u2028\n\r\n\r\n", "def f():\n\n    return 1\n"]
+
+
+def test_token_counts_against_brute_force(spark, tokens):
+    path, enc = tokens
+    texts = AWKWARD + SPLIT
+    crossed = 0
     for rule in token_counts.RULES:
-        for r in token_counts.section_tokens(docs(spark, AWKWARD), path, P.PATTERN, rule).collect():
-            text = AWKWARD[r.doc_id] or ""
-            assert r.n_tokens == len(enc.encode_ordinary(text)) == sum(s.n_tokens for s in r.sections)
-            assert [s.end for s in r.sections[:-1]] == [s.start for s in r.sections[1:]] and r.sections[-1].end == len(text.encode())
-            ends = np.cumsum([len(enc.decode_single_token_bytes(i)) for i in enc.encode_ordinary(text)])
-            if rule == "first":
-                want = Counter(max(i for i, s in enumerate(r.sections) if s.start <= b) for b in (ends - np.diff(np.concatenate(([0], ends)))).tolist())
-                assert [s.n_tokens for s in r.sections] == [want[i] for i in range(len(r.sections))]
+        for r in token_counts.token_counts(docs(spark, texts), path, P.PATTERN, rule).collect():
+            n, crossing, counts = sections_of(texts[r.doc_id] or "", enc, rule)
+            assert (r.n_tokens, r.n_sections, r.n_crossing, r.section_tokens) == (n, len(counts), crossing, ",".join(map(str, counts))), (rule, r)
+            assert sum(counts) == n
+            crossed += crossing
+    assert crossed > 9
+    assert token_counts.token_counts(docs(spark, ["x"]).limit(0), path, P.PATTERN).count() == 0
+
+
+def test_given_fields(spark, tokens):
+    path, enc = tokens
+    rows = [(1, "Title é", "a body of text", None), (None, "", None, "😀😀"), (1, "Title é", "a body of text", None)]
+    fields = token_counts.joined_fields(spark.createDataFrame(rows, "doc_id long, head string, body string, tail string"), ["head", "body", "tail"])
+    for r, (_, *own) in zip(token_counts.section_tokens(fields, path, P.PATTERN, "most", spans_col="spans").collect(), rows, strict=True):
+        text, spans, at = "\n".join(x or "" for x in own), [], 0
+        for x in own:
+            spans.append((at, at + len(x or "")))
+            at += len(x or "") + 1
+        n, crossing, counts = sections_of(text, enc, "most", spans)
+        assert (r.n_tokens, r.n_crossing, [(s.start, s.end) for s in r.sections], [s.n_tokens for s in r.sections]) == (n, crossing, spans, counts)
+    odd = spark.createDataFrame([(1, "one two three", [(4, 7), (2, 5), (90, 99), (7, 7)]), (2, "one", None), (3, None, [])], "doc_id long, text string, spans array<struct<start:int,end:int>>")
+    got = {r.doc_id: [(s.start, s.end, s.n_tokens) for s in r.sections] for r in token_counts.section_tokens(odd, path, P.PATTERN, spans_col="spans").collect()}
+    assert got == {1: [(2, 5, 2), (5, 7, 0), (7, 7, 0), (13, 13, 0)], 2: [], 3: []}
 
 
 def test_crossing_rules():
-    ends, starts = np.array([3, 10, 12]), np.array([0, 4, 9])
-    assert token_counts.attribute(ends, starts, "first")[0].tolist() == [0, 0, 2]
-    assert token_counts.attribute(ends, starts, "last")[0].tolist() == [0, 2, 2]
-    assert token_counts.attribute(ends, starts, "most")[0].tolist() == [0, 1, 2]
-    assert token_counts.attribute(ends, starts)[1].tolist() == [False, True, False]
+    spans = np.array([0, 4, 9]), np.array([4, 9, 12])
+    ends = np.array([3, 10, 12])
+    starts = np.array([0, 3, 10])
+    assert token_counts.attribute(starts, ends, *spans, "first")[0].tolist() == [0, 0, 2]
+    assert token_counts.attribute(starts, ends, *spans, "last")[0].tolist() == [0, 2, 2]
+    assert token_counts.attribute(starts, ends, *spans, "most")[0].tolist() == [0, 1, 2]
+    assert token_counts.attribute(starts, ends, *spans)[1].tolist() == [False, True, False]
     with pytest.raises(ValueError):
-        token_counts.attribute(ends, starts, "half")
+        token_counts.attribute(starts, ends, *spans, "half")
 
 
 # 2
@@ -158,6 +204,73 @@ def test_decoders():
         media.decode(b"GIF89a")
 
 
+BAD = [b"P5 99999999999 99999999999 255\n", b"P5 0 0 255\n", b"P2 1 1 255\n300", b"P2 1 1 255\n-5", b"P2 1 1 255\n99999999999999999999", b"P1\n2 1\n7 x", b"P5 2 2 98\nabcd", b"P6 2 2 255\nabc", b"P4 9 2\na", b"P5 1 1 0\na", b"P3 1 1 255\n1 2", b"P5", b"BM", b"", b"BM" + b"\xff" * 60]
+
+
+@pytest.mark.parametrize("data", BAD)
+def test_undecodable(data):
+    with pytest.raises(ValueError):
+        media.decode(data)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.sampled_from([b"P1", b"P2", b"P3", b"P4", b"P5", b"P6", b"BM"]), st.lists(st.integers(-3, 70_000), max_size=12), st.binary(max_size=80))
+def test_any_bytes_decode_or_raise_value_error(kind, numbers, rest):
+    data = kind + (struct.pack("<%dq" % len(numbers), *numbers) if kind == b"BM" else b" " + b" ".join(b"%d" % n for n in numbers) + b"\n") + rest
+    try:
+        image = media.decode(data)
+    except ValueError:
+        return
+    assert image.ndim == 3 and image.size and len(media.difference_hash(image)) == 16
+
+
+def test_bmp_masks_and_palettes():
+    rgb = np.arange(24, dtype=np.uint8).reshape(2, 3, 4)
+    head = lambda packing, extra: b"BM" + struct.pack("<IHHI", 0, 0, 0, 54 + extra) + struct.pack("<IiiHHIIiiII", 40, 3, -2, 1, 32, packing, 0, 0, 0, 0, 0)
+    masked = head(3, 12) + struct.pack("<III", 0xFF, 0xFF00, 0xFF0000) + rgb.tobytes()
+    assert (media.decode(masked) == rgb[:, :, :3]).all() and (media.decode(head(0, 0) + rgb.tobytes()) == rgb[:, :, 2::-1]).all()
+    with pytest.raises(ValueError):
+        media.decode(head(3, 12) + struct.pack("<III", 0x3FF, 0xFFC00, 0x3FF00000) + rgb.tobytes())
+    wide = np.array([[0, 1000], [65535, 7]], np.uint16)
+    assert (media.decode(b"P5 2 2 65535\n" + wide.astype(">u2").tobytes())[:, :, 0] == wide).all()
+
+
+def test_media_rows(spark):
+    bad = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(BAD)], "k long, m binary")
+    assert [r.tiles for r in media.decode_media(bad, "k", "m", 2, 2).collect()] == [None] * len(BAD)
+    clash = spark.createDataFrame([(None, "a", b"x", 1), (None, "a", b"x", 1)], "doc_id long, text string, media binary, tiles int")
+    assert len({tuple(r) for r in media.media_digests(clash).collect()}) == 1 and media.media_digests(clash.limit(0)).count() == 0
+    long = "long text \u00e9 " * 60_000
+    body = long.encode()
+    r = media.media_digests(docs(spark, [long])).first()
+    assert (r.n_bytes, r.payload_sha256) == (len(body), sha(body + b"\0" * (-len(body) % 64)))
+
+
+def brute_hash(body):
+    """The feature from its definition: 8 x 9 means of areas, a bit for each rise along a row."""
+    rows = len(body) // 64
+    bits = []
+    for y in range(8):
+        means = []
+        for x in range(9):
+            total = 0.0
+            for r in range(rows):
+                dy = max(0.0, min(r + 1, (y + 1) * rows / 8) - max(r, y * rows / 8))
+                for c in range(64):
+                    total += body[64 * r + c] * dy * max(0.0, min(c + 1, (x + 1) * 64 / 9) - max(c, x * 64 / 9))
+            means.append(total / (rows / 8 * 64 / 9))
+        bits += [b > a + 1e-9 for a, b in zip(means, means[1:])]
+    return np.packbits(bits).tobytes().hex()
+
+
+def test_feature_against_its_definition(spark):
+    texts = [None, "a", "Some text of a few words. " * 9, "".join(chr(32 + i * 7 % 90) for i in range(700))]
+    got = {r.doc_id: r.feature for r in media.media_digests(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        body = (t or "").encode()
+        assert got[i] == brute_hash(body + b"\0" * (-len(body) % 64 if body else 64))
+
+
 def test_resize_and_tiles():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 256, (12, 20, 3), dtype=np.uint8)
@@ -325,3 +438,15 @@ def test_decontamination(spark):
     assert [got[i] for i in range(len(texts))] == contaminated(texts, items)
     assert decontam.contamination(d, bench.limit(0)).where("contaminated").count() == 0
     assert decontam.contamination(d.limit(0), bench).count() == 0
+
+
+def test_decontamination_rows(spark):
+    """Rows that share an id, or have none, are counted and kept alone; items of equal words are all named."""
+    item = " ".join("q%d" % i for i in range(12))
+    bench = spark.createDataFrame([(1, item), (2, item), (3, "the")], "item_id long, text string")
+    rows = [(1, "x " + item, 7, "w"), (1, "a b", 7, "w"), (None, item, 7, "w"), (None, "c d", 7, "w"), (2, "the The", 7, "w"), (3, None, 7, "w"), (3, None, 7, "w")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, row long, words string").repartition(3)
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontam.contamination(d, bench).collect())
+    assert got == [(0, 2, 0, 0, False), (0, 12, 12, 2, True), (1, 2, 0, 0, False), (1, 13, 12, 2, True), (2, 2, 2, 1, True), (3, 0, 0, 0, False), (3, 0, 0, 0, False)]
+    kept = decontam.keep_clean(d, bench)
+    assert kept.columns == d.columns and sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, "c d"), (1, "a b"), (3, ""), (3, "")]
