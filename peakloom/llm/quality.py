@@ -1,12 +1,14 @@
 """Operator 5: a byte-level convolutional quality classifier in numpy.
 
-Bytes are embedded, each with a flag for a stretch that repeats just before; learned filters slide over chunks of 16 bytes every 8 bytes, so overlapping chunks cover
-the whole document; each filter's responses are max-pooled over all chunks and a logistic unit combines the
-pools into one probability. Scoring is one pass over Arrow batches without a shuffle.
+Bytes are embedded, each with a flag for a stretch that repeats just before (no filter of 16 bytes can see
+that); learned filters slide over chunks of 16 bytes every 8 bytes, so overlapping chunks cover the whole
+document; each filter's responses are max-pooled over all chunks and a logistic unit combines the pools into one
+probability. Scoring is one pass over Arrow batches without a shuffle.
 
-It is fitted on a bounded sample of labelled rows: at most ``sample`` documents of at most ``sample_bytes``
-characters each (whole texts, taken by a hash of the id). Rows whose crc32(id as text) mod 5 is
-0 are never learned from. Labels, language, source and id are no inputs.
+It is fitted on a bounded sample of labelled rows: at most ``sample`` documents of at most ``sample_chars``
+characters each (whole texts, taken by a hash of the id), one text an id (the first in order, if rows share
+an id). Rows whose crc32(id as text) mod 5 is 0 are never learned from. Labels, language, source and id are no
+inputs.
 
 Cases: a null or empty text is one chunk of zeros and gets that score; without any labelled row of either
 class the score is the share of label 1, or 0.5 where there are no labels; repeated labels of a document
@@ -130,8 +132,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, samp
     n = known.count()
     if n > sample:  # nine tenths of the bound in the mean, so that the limit is a guard that is not reached
         known = known.where(F.xxhash64("doc_id").bitwiseAND(0xFFFFFFFF) < int(0.9 * sample / n * 2**32)).limit(sample)
-    chosen = known
-    return docs.where(F.length("text") <= sample_chars).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")  # at most ``sample`` ids
+    own = docs.where(F.length("text") <= sample_chars).join(F.broadcast(known), "doc_id")  # at most ``sample`` ids
+    return own.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, **bounds: int) -> ByteCNN:

@@ -254,6 +254,37 @@ def test_scores_do_not_depend_on_neighbours():
     assert np.allclose(together, alone, atol=2e-6)
 
 
+def slow_score(model, text):
+    """The network by its definition: byte by byte, chunk by chunk, filter by filter."""
+    size = max(1, -(-len(text) // 8)) + quality.GAP
+    codes = list(text) + [0] * (size * 8 - len(text))
+    again = [c != 0 and any(i - 5 - lag >= 0 and codes[i - 5 : i + 1] == codes[i - 5 - lag : i + 1 - lag] for lag in quality.LAGS) for i, c in enumerate(codes)]
+    codes = [c + 256 * f for c, f in zip(codes, again, strict=True)]
+    total = float(model.offset[0])
+    for f in range(quality.FILTERS):
+        best = -np.inf
+        for chunk in range(size - 1):
+            best = max(best, sum(float(model.embedding[c, e]) * float(model.filters[j * quality.EMBEDDING + e, f]) for j, c in enumerate(codes[chunk * 8 : chunk * 8 + 16]) for e in range(quality.EMBEDDING)))
+        total += max(0.0, best + float(model.bias[f])) * float(model.weights[f])
+    return 1 / (1 + np.exp(-total))
+
+
+def test_quality_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    model = quality.ByteCNN(seed=3)
+    model.bias, model.weights = rng.normal(0, 0.3, quality.FILTERS).astype(np.float32), rng.normal(0, 0.5, quality.FILTERS).astype(np.float32)
+    texts = [None, "", "x", "abcdefgh", "abcdefghi", "spam spam spam spam " * 3, "é漢😀 word", say(rng, 30), "\0\0\0\0\0\0a\0\0\0\0\0\0a", "abcabcabcabcabc" + say(rng, 5)]
+    got = {r.doc_id: r for r in quality.score_texts(docs(spark, texts), model).collect()}
+    for i, t in enumerate(texts):
+        assert abs(got[i].score - slow_score(model, (t or "").encode())) < 3e-6 and got[i].predicted == (got[i].score >= 0.3), t
+
+
+def test_training_rows_of_shared_ids_are_bounded(spark):
+    d = spark.createDataFrame([(3, "b %d" % i) for i in range(50)] + [(4, "c"), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(3, 1), (3, 0), (4, 0), (None, 1)], "doc_id long, quality int")
+    assert sorted(tuple(r) for r in quality.training_rows(d, labels, folds=1000).collect()) == [(3, "b 0", 1), (4, "c", 0)]
+
+
 # pipeline
 def passes(spark, sf, texts):
     """ids of ``texts`` without a benchmark window."""
