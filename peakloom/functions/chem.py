@@ -118,22 +118,23 @@ def tolerance_da(mass: Column, ppm: Column | float) -> Column:
 
 
 def policy_decision(supported: Column, trusted: Column, instrument: Column, source: Column, inference: Column, policy: MassPolicy | None = None) -> Column:
-    """struct(hard_filter, tolerance_ppm, confidence) by the ordered rules of the mass-filter policy."""
+    """struct(hard_filter, tolerance_ppm, confidence, reason) by the ordered rules of the mass-filter policy."""
     policy = policy or MassPolicy()
     in_domain = F.lower(F.trim(F.coalesce(instrument, F.lit("")))) == policy.domain_instrument
     origin = F.trim(F.coalesce(source, F.lit("")))
 
-    def outcome(hard: bool, ppm: float | None, confidence: str) -> Column:
-        return F.struct(F.lit(hard).alias("hard_filter"), F.lit(ppm).cast("double").alias("tolerance_ppm"), F.lit(confidence).alias("confidence"))
+    def outcome(hard: bool, ppm: float | None, confidence: str, reason: str) -> Column:
+        return F.struct(F.lit(hard).alias("hard_filter"), F.lit(ppm).cast("double").alias("tolerance_ppm"), F.lit(confidence).alias("confidence"), F.lit(reason).alias("reason"))
 
     return (
-        F.when(~supported, outcome(False, None, "unsupported"))
-        .when(~trusted, outcome(False, None, "untrusted_adduct"))
-        .when(inference & in_domain, outcome(True, policy.hard_ppm, "high"))
-        .when(inference, outcome(True, policy.fallback_ppm, "medium"))
-        .when(origin.isin(*policy.high_confidence) | in_domain, outcome(True, policy.hard_ppm, "high"))
-        .when(origin.isin(*policy.noisy), outcome(False, None, "low"))
-        .otherwise(outcome(False, None, "unknown"))
+        F.when(~supported, outcome(False, None, "unsupported", "no mass conversion for this adduct"))
+        .when(~trusted, outcome(False, None, "untrusted_adduct", "adduct too unreliable for a hard filter"))
+        .when(inference & in_domain, outcome(True, policy.hard_ppm, "high", "instrument of the domain at inference"))
+        .when(inference, outcome(True, policy.fallback_ppm, "medium", "other instrument at inference, wider window"))
+        .when(origin.isin(*policy.high_confidence), outcome(True, policy.hard_ppm, "high", "source of consistent masses"))
+        .when(in_domain, outcome(True, policy.hard_ppm, "high", "instrument of the domain"))
+        .when(origin.isin(*policy.noisy), outcome(False, None, "low", "source of noisy masses or adducts"))
+        .otherwise(outcome(False, None, "unknown", "source of unknown reliability"))
     )
 
 
@@ -159,11 +160,22 @@ def formula_checked(formula: Column) -> Column:
 
 
 def candidate_verdict(neutral: Column, candidate_mass: Column, candidate_formula: Column, formula: Column, trusted: Column, ppm: float = 10.0, use_formula: bool = True) -> Column:
-    """struct(error_da, error_ppm, mass_ok, formula_ok, accepted): an untrusted adduct passes the mass test, an unknown formula its own."""
+    """struct(candidate_mass, neutral_mass, error_da, error_ppm, candidate_formula, formula_match, mass_ok, formula_ok, trusted,
+    accepted): an untrusted adduct passes the mass test, an unknown formula (whose formula_match is null) its own."""
     error = error_ppm(neutral, candidate_mass)
     mass_ok = ~trusted | (F.abs(error) <= ppm)
-    formula_ok = F.lit(True) if not use_formula else formula.isNull() | (formula == candidate_formula)
-    return F.struct(error_da(neutral, candidate_mass).alias("error_da"), error.alias("error_ppm"), mass_ok.alias("mass_ok"), formula_ok.alias("formula_ok"), (mass_ok & formula_ok).alias("accepted"))
+    match = F.when(formula.isNotNull(), formula.eqNullSafe(candidate_formula))
+    formula_ok = F.coalesce(match, F.lit(True)) if use_formula else F.lit(True)
+    fields = {"candidate_mass": candidate_mass, "neutral_mass": neutral, "error_da": error_da(neutral, candidate_mass), "error_ppm": error, "candidate_formula": candidate_formula, "formula_match": match, "mass_ok": mass_ok, "formula_ok": formula_ok, "trusted": trusted, "accepted": mass_ok & formula_ok}
+    return F.struct(*[c.alias(name) for name, c in fields.items()])
+
+
+def is_eligible(supported: Column, trusted: Column, instrument: Column, source: Column, precursor: Column, policy: MassPolicy | None = None) -> Column:
+    """Whether a spectrum serves mass-aware training: a trusted adduct, a sound precursor, and a good source or the domain's instrument."""
+    policy = policy or MassPolicy()
+    in_domain = F.lower(F.trim(F.coalesce(instrument, F.lit("")))) == policy.domain_instrument
+    sound = precursor.isNotNull() & ~F.isnan(precursor) & (precursor > 0) & (precursor < float("inf"))
+    return supported & trusted & sound & (F.trim(F.coalesce(source, F.lit(""))).isin(*policy.high_confidence) | in_domain)
 
 
 def safe_float(value: Column, default: float = 0.0) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chem import mass_key
+from ..functions.chem import error_ppm, formula_mass, mass_key, parse_formula
 from ..functions.keys import joined_distinct
 from .splits import first_of
 
@@ -43,3 +43,18 @@ def growth(base_pool: DataFrame, combined_pool: DataFrame, group: str, candidate
     b = combined_pool.groupBy(group).agg(F.count_distinct(candidate).alias("n_combined"))
     both = b.join(a, group, "left").withColumn("n_base", F.coalesce("n_base", F.lit(0).cast("long")))
     return both.withColumn("n_added", F.col("n_combined") - F.col("n_base")).withColumn("growth", F.try_divide(F.col("n_combined"), F.col("n_base")))
+
+
+def formula_consistency(rows: DataFrame, formula: str, mass: str, ppm: float = 5.0) -> DataFrame:
+    """One row of counts: formulas that can't be parsed or hold an unknown element, and stored masses within and beyond ``ppm``."""
+    error = F.abs(error_ppm(F.col(mass), formula_mass(F.col(formula))))
+    unparsable = parse_formula(F.col(formula)).isNull()
+    return rows.agg(
+        F.count("*").alias("n"),
+        F.count_if(unparsable).alias("n_unparsable"),
+        F.count_if(~unparsable & formula_mass(F.col(formula)).isNull()).alias("n_unknown_element"),
+        F.count_if(error.isNotNull()).alias("n_compared"),
+        F.count_if(error <= ppm).alias(f"n_within_{ppm:g}"),
+        F.count_if(error > ppm).alias(f"n_beyond_{ppm:g}"),
+        F.max(error).alias("worst_ppm"),
+    )

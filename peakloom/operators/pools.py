@@ -1,4 +1,7 @@
-"""Candidate sets of several spectra of one group: union, intersection, pools, availability."""
+"""Candidate sets of several spectra of one group: union, intersection, pools, availability.
+
+``hits`` hold a (spectrum, candidate) once, as the range join gives them.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +15,7 @@ def union(hits: DataFrame, group: str = "grp", candidate: str = "structure") ->
 
 def supported(hits: DataFrame, spectra: DataFrame, group: str = "grp", spectrum: str = "spectrum_id", candidate: str = "structure", ignore_empty: bool = False) -> DataFrame:
     """(group, candidate, n_supporting, n_spectra): n_spectra counts all of the group's spectra, or with ``ignore_empty`` those that have a hit."""
-    by_candidate = hits.groupBy(group, candidate).agg(F.count_distinct(spectrum).alias("n_supporting"))
+    by_candidate = hits.groupBy(group, candidate).agg(F.count("*").alias("n_supporting"))
     counted = hits if ignore_empty else spectra
     sizes = counted.groupBy(group).agg(F.count_distinct(spectrum).alias("n_spectra"))
     return by_candidate.join(sizes, group)
@@ -34,7 +37,7 @@ def select_pool(hits: DataFrame, spectra: DataFrame, group: str = "grp", candida
 
 def pool_summary(hits: DataFrame, spectra: DataFrame, group: str = "grp", spectrum: str = "spectrum_id", candidate: str = "structure", error: str = "error_ppm", ignore_empty: bool = False) -> DataFrame:
     """select_pool's rows with the mean errors of their supporting spectra, from one pass over the hits."""
-    by_candidate = hits.groupBy(group, candidate).agg(F.count_distinct(spectrum).alias("n_supporting"), F.avg(error).alias("mean_error_ppm"), F.avg(F.abs(error)).alias("mean_abs_error_ppm"))
+    by_candidate = hits.groupBy(group, candidate).agg(F.count("*").alias("n_supporting"), F.avg(error).alias("mean_error_ppm"), F.avg(F.abs(error)).alias("mean_abs_error_ppm"))
     sizes = (hits if ignore_empty else spectra).groupBy(group).agg(F.count_distinct(spectrum).alias("n_spectra"))
     rows = by_candidate.join(sizes, group)
     full = F.col("n_supporting") == F.col("n_spectra")
@@ -43,6 +46,24 @@ def pool_summary(hits: DataFrame, spectra: DataFrame, group: str = "grp", spectr
     return marked.where(full | (F.col("mode") == "union_fallback"))
 
 
+def manifest(hits: DataFrame, spectra: DataFrame, group: str = "grp", spectrum: str = "spectrum_id", candidate: str = "structure", error: str = "error_ppm", shown: tuple[str, ...] = ("smiles", "formula")) -> DataFrame:
+    """The candidates of each group's spectra that have a hit at all: (group, candidate, shown..., candidate_mode,
+    num_spectra, num_filtered_spectra, num_supporting_spectra, mean_mass_error_ppm, mean_abs_mass_error_ppm).
+
+    What is shown is that of the first spectrum. The hits are shuffled once, by group; groups without a hit have no row.
+    """
+    of_group = Window.partitionBy(group)
+    rows = hits.repartition(group).withColumn("num_filtered_spectra", F.size(F.collect_set(spectrum).over(of_group)).cast("long"))
+    by_candidate = rows.groupBy(group, "num_filtered_spectra", candidate).agg(
+        F.min(F.struct(spectrum, *shown)).alias("__first"), F.count("*").alias("num_supporting_spectra"), F.avg(error).alias("mean_mass_error_ppm"), F.avg(F.abs(error)).alias("mean_abs_mass_error_ppm")
+    )
+    full = F.col("num_supporting_spectra") == F.col("num_filtered_spectra")
+    marked = by_candidate.withColumn("candidate_mode", F.when(F.max(full).over(of_group), "intersection").otherwise("union_fallback"))
+    sizes = spectra.groupBy(group).agg(F.count_distinct(spectrum).alias("num_spectra"))
+    kept = marked.where(full | (F.col("candidate_mode") == "union_fallback")).join(sizes, group)
+    return kept.select(group, candidate, *[F.col(f"__first.{c}").alias(c) for c in shown], "candidate_mode", "num_spectra", "num_filtered_spectra", "num_supporting_spectra", "mean_mass_error_ppm", "mean_abs_mass_error_ppm")
+
+
 def threshold_pool(hits: DataFrame, spectra: DataFrame, thresholds: list[int], group: str = "grp", candidate: str = "structure") -> DataFrame:
     """(threshold, group, candidate, mode): the intersection where it has at least ``threshold`` candidates, else the union."""
     rows = supported(hits, spectra, group=group, candidate=candidate)
@@ -60,6 +81,39 @@ def availability_mask(pool: DataFrame, spectra: DataFrame, hits: DataFrame, grou
     return cells.join(marked, [spectrum, candidate], "left").select(group, spectrum, candidate, F.coalesce("available", F.lit(False)).alias("available"))
 
 
+def pool_mask(hits: DataFrame, spectra: DataFrame, group: str = "grp", spectrum: str = "spectrum_id", candidate: str = "structure") -> DataFrame:
+    """availability_mask of select_pool, from one pass over the hits: each candidate brings the spectra that support it."""
+    by_candidate = hits.groupBy(group, candidate).agg(F.collect_set(spectrum).alias("__own"))
+    own = spectra.groupBy(group).agg(F.collect_set(spectrum).alias("__all"))
+    full = F.size("__own") == F.size("__all")
+    rows = by_candidate.join(own, group).withColumn("__any", F.max(full).over(Window.partitionBy(group))).where(full | ~F.col("__any"))
+    return rows.select(group, F.explode("__all").alias(spectrum), candidate, "__own").withColumn("available", F.array_contains("__own", F.col(spectrum))).drop("__own")
+
+
+def key_overlap_checked(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """key_overlap with the repeated keys of each side and whether the two id spaces are the same, one to one."""
+    counts = key_overlap(left, right, key)
+    for name, side in (("left", left), ("right", right)):
+        repeated = side.groupBy(key).count().where("count > 1").agg(F.count("*").alias(f"n_{name}_repeated"))
+        counts = counts.crossJoin(F.broadcast(repeated))  # one row
+    sound = (F.col("n_left_only") == 0) & (F.col("n_right_only") == 0) & (F.col("n_left_repeated") == 0) & (F.col("n_right_repeated") == 0)
+    return counts.withColumn("is_bijection", sound)
+
+
+def one_to_one(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join whose keys must be unique on both sides; a repeated key fails the job, naming it.
+
+    The check is part of the plan: the rows of each side are counted in the shuffle that the join needs anyway.
+    """
+
+    def checked(df: DataFrame, side: str) -> DataFrame:
+        n = F.count("*").over(Window.partitionBy(*on))
+        bad = F.raise_error(F.concat(F.lit(f"repeated key in the {side} table: "), F.concat_ws(", ", *[F.col(c).cast("string") for c in on])))
+        return df.withColumn("__n", n).where(F.when(F.col("__n") > 1, bad).otherwise(F.lit(True)).cast("boolean")).drop("__n")
+
+    return checked(left, "left").join(checked(right, "right"), on, how)
+
+
 def key_overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """One row: keys of both, of the left only, of the right only, of either."""
     a = left.select(key).distinct().withColumn("__l", F.lit(True))

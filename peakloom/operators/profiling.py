@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cells import aggregated, with_cells
+
 QUANTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
 
 def distribution(df: DataFrame, column: str, by: list[str] | None = None, quantiles: dict[str, float] | None = None) -> DataFrame:
     """Number, mean, least, largest and linearly interpolated quantiles."""
-    points = [F.percentile(column, q).alias(name) for name, q in (quantiles or QUANTILES).items()]
-    return df.groupBy(*by or []).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max"), *points)
+    plain = [F.count(column).alias("n"), F.avg(column).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max")]
+    return aggregated(df, by, plain, column, quantiles or QUANTILES)
 
 
 def value_counts(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
@@ -59,8 +61,8 @@ def frequency_thresholds(df: DataFrame, key: str, thresholds: list[int]) -> Data
 
 
 def described(df: DataFrame, column: str) -> DataFrame:
-    quartiles = [F.percentile(column, q).alias(name) for name, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))]
-    return df.agg(F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), *quartiles, F.max(column).alias("max"))
+    plain = [F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max")]
+    return aggregated(df, None, plain, column, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
 
 
 def repeats(df: DataFrame, by: list[str], column: str) -> DataFrame:
@@ -70,15 +72,13 @@ def repeats(df: DataFrame, by: list[str], column: str) -> DataFrame:
 def exact_auc(df: DataFrame, score: str, positive: str) -> DataFrame:
     """Share of (positive, negative) pairs in which the positive scores strictly more.
 
-    Rows are first counted by score; a running count over distinct scores, cut into ranges of the score whose
-    totals are added up first, gives each score the negatives below it.
+    Rows are first counted by score; a running count over distinct scores, in cells whose totals are added up
+    first, gives each score the negatives below it.
     """
-    from pyspark.sql import Window
-
     by_score = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q"))
-    cells = by_score.withColumn("cell", F.floor(F.col("s") * 64))
-    totals = cells.groupBy("cell").agg(F.sum("q").alias("cell_q"))
-    before = totals.select("cell", F.coalesce(F.sum("cell_q").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy("cell").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = cells.withColumn("below", below).join(before, "cell")
+    cells = with_cells(by_score, "s")
+    totals = cells.groupBy("__cell").agg(F.sum("q").alias("cell_q"))  # some hundred rows
+    before = totals.select("__cell", F.coalesce(F.sum("cell_q").over(Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    below = F.coalesce(F.sum("q").over(Window.partitionBy("__cell").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = cells.withColumn("below", below).join(before, "__cell")
     return placed.agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("before"))).cast("double"), (F.sum("p") * F.sum("q")).cast("double")).alias("auc"))

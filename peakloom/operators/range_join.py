@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.chem import hit_ppm, tolerance_da
+from ..functions.chem import MassPolicy, hit_ppm, neutral_mass, policy_decision, tolerance_da
 
 
 def clean_variants(variants: DataFrame, mass: str = "exact_mass", structure: str = "structure") -> DataFrame:
@@ -37,20 +37,40 @@ def tolerance_join(queries: DataFrame, candidates: DataFrame, ppm: float | Colum
     return joined.drop("__bucket", "__low", "__high")
 
 
+def with_neighbours(variants: DataFrame) -> DataFrame:
+    """One row a (structure, exact_mass), the first by smiles, with the structure's variant_count over all its rows and the
+    masses of its next lighter and next heavier variant."""
+    whole, same = Window.partitionBy("structure"), Window.partitionBy("structure", "exact_mass").orderBy("smiles")
+    counted = variants.where("structure is not null and exact_mass is not null").repartition("structure")
+    first = counted.withColumn("variant_count", F.count("*").over(whole)).withColumn("__n", F.row_number().over(same)).where("__n = 1").drop("__n")
+    by_mass = whole.orderBy("exact_mass")
+    return first.withColumn("__lighter", F.lag("exact_mass").over(by_mass)).withColumn("__heavier", F.lead("exact_mass").over(by_mass))
+
+
+def nearest_hits(queries: DataFrame, variants: DataFrame, ppm: float | Column, mass: str = "mass", **widths: float) -> DataFrame:
+    """Each query's nearest variant of each structure in its window, once, with error_ppm and variant_count.
+
+    A variant is the nearest if its neighbours of the same structure are not nearer, so the join itself picks it
+    and the hits need no shuffle. Of equally near variants the lighter one counts, then the first by smiles.
+    """
+    hits = tolerance_join(queries, with_neighbours(variants), ppm, mass, **widths)
+
+    def size(candidate: str) -> Column:
+        return F.abs(hit_ppm(F.col(candidate), F.col(mass)))
+
+    nearest = (F.col("__lighter").isNull() | (size("exact_mass") < size("__lighter"))) & (F.col("__heavier").isNull() | (size("exact_mass") <= size("__heavier")))
+    return hits.where(nearest).drop("__lighter", "__heavier").withColumn("error_ppm", hit_ppm(F.col("exact_mass"), F.col(mass)))
+
+
 def mass_hits(queries: DataFrame, variants: DataFrame, ppm: float | Column, query: str = "spectrum_id", mass: str = "mass", max_candidates: int | None = None, **widths: float) -> DataFrame:
     """One row a query and structure: its nearest variant, the errors and the structure's variant count.
 
-    ``variants`` has structure, exact_mass and smiles. Of variants equally near the lighter one counts, then the
-    first by smiles. ``max_candidates`` keeps a query's nearest structures, ties by structure.
+    ``variants`` has structure, exact_mass and smiles. ``max_candidates`` keeps a query's nearest structures, ties
+    by structure.
     """
     if max_candidates is not None and max_candidates <= 0:
         raise ValueError("max_candidates must be positive")
-    hits = tolerance_join(queries, variants, ppm, mass, **widths)
-    error = hit_ppm(F.col("exact_mass"), F.col(mass))
-    hits = hits.withColumn("error_ppm", error).withColumn("error_da", F.col("exact_mass") - F.col(mass))
-    nearest = Window.partitionBy(query, "structure").orderBy(F.abs("error_ppm"), "exact_mass", "smiles")
-    best = hits.withColumn("__n", F.row_number().over(nearest)).where("__n = 1").drop("__n")
-    best = best.join(variants.groupBy("structure").agg(F.count("*").alias("variant_count")), "structure")  # over the whole index
+    best = nearest_hits(queries, variants, ppm, mass, **widths).withColumn("error_da", F.col("exact_mass") - F.col(mass))
     if max_candidates is None:
         return best
     by_query = Window.partitionBy(query).orderBy(F.abs("error_ppm"), "structure")
@@ -59,8 +79,8 @@ def mass_hits(queries: DataFrame, variants: DataFrame, ppm: float | Column, quer
 
 def hit_counts(queries: DataFrame, variants: DataFrame, ppm: float | Column, query: str = "spectrum_id", mass: str = "mass", **widths: float) -> DataFrame:
     """(query, n_candidates) for every query, those without a hit included."""
-    hits = tolerance_join(queries, variants.select("structure", "exact_mass"), ppm, mass, **widths)
-    counts = hits.groupBy(query).agg(F.count_distinct("structure").alias("n_candidates"))
+    slim = variants.select("structure", "exact_mass", F.lit("").alias("smiles"))
+    counts = nearest_hits(queries.select(*dict.fromkeys((query, mass)), *([] if isinstance(ppm, (int, float)) else [ppm.alias("__ppm")])).distinct(), slim, ppm if isinstance(ppm, (int, float)) else F.col("__ppm"), mass, **widths).groupBy(query).agg(F.count("*").alias("n_candidates"))
     return queries.select(query).distinct().join(counts, query, "left").select(query, F.coalesce("n_candidates", F.lit(0).cast("long")).alias("n_candidates"))
 
 
@@ -75,3 +95,16 @@ def generate_candidates(spectra: DataFrame, variants: DataFrame, ppm: float | Co
     """(status a spectrum, hits of those that are ok)."""
     status = guarded(spectra, require_trusted)
     return status, mass_hits(status.where("status = 'ok'"), variants, ppm, **options)
+
+
+def generate_by_policy(spectra: DataFrame, variants: DataFrame, inference: bool, policy: MassPolicy | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """(spectra with neutral mass, status and decision, hits of those that the policy filters hard, each by its own tolerance).
+
+    ``spectra`` has precursor_mz, the adduct's columns (``with_adducts``), instrument and source.
+    """
+    policy = policy or MassPolicy()
+    mass = neutral_mass(F.col("precursor_mz"), F.col("charge"), F.col("multimer"), F.col("mass_shift"))
+    decision = policy_decision(F.col("supported"), F.col("trusted"), F.col("instrument"), F.col("source"), F.lit(inference), policy)
+    decided = guarded(spectra.withColumn("mass", mass)).withColumn("decision", decision)
+    asked = decided.where("status = 'ok' and decision.hard_filter").withColumn("tolerance_ppm", F.col("decision.tolerance_ppm"))
+    return decided, mass_hits(asked, variants, F.col("tolerance_ppm"), widest_ppm=max(policy.hard_ppm, policy.fallback_ppm), **options)

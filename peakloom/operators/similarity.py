@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
 from .peaks import norms, normalized
+from .splits import dense_index
 
 
 def inverted_list(bins: DataFrame, label: str | None = None, spectrum: str = "spectrum_id") -> DataFrame:
@@ -26,11 +27,32 @@ def sparse_scores(queries: DataFrame, references: DataFrame, spectrum: str = "sp
 
 
 def with_zero_scores(scores: DataFrame, queries: DataFrame, structures: DataFrame, query: str = "query", structure: str = "structure") -> DataFrame:
-    """Every query against every structure of a bounded list, 0 where they share no bin."""
-    grid = queries.select(query).distinct().crossJoin(F.broadcast(structures.select(structure).distinct()))
+    """Every query of a stated set against every structure, 0 where they share no bin.
+
+    The result is that grid, so the query set must be bounded; Spark broadcasts a side where its size allows. Ranks
+    alone don't need it, see ``zero_aware_ranks``.
+    """
+    grid = queries.select(query).distinct().crossJoin(structures.select(structure).distinct())
     return grid.join(scores, [query, structure], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
+def zero_aware_ranks(scores: DataFrame, truths: DataFrame, structures: DataFrame, query: str = "query", structure: str = "structure") -> DataFrame:
+    """(query, rank) of each query's true structure (``truths``: query, structure) among all structures, where those that
+    ``scores`` lacks score 0 and equal scores go by structure; null for a structure that isn't one.
+
+    The absent ones are counted, not listed: before a true structure without a score stand all scored ones, and of
+    the others those of smaller key, by its place among all structures. Scores must not be negative.
+    """
+    places = dense_index(structures.select(structure).distinct(), structure, "__place")
+    known = truths.join(places, structure, "left").select(query, F.col(structure).alias("__truth"), "__place")
+    own = scores.where("score > 0").select(query, structure, "score").join(known, query, "right")
+    mine = F.max(F.when(F.col(structure) == F.col("__truth"), F.col("score"))).over(Window.partitionBy(query))
+    ahead = F.when(F.col("__mine").isNotNull(), (F.col("score") > F.col("__mine")) | ((F.col("score") == F.col("__mine")) & (F.col(structure) < F.col("__truth")))).otherwise(F.col(structure).isNotNull())
+    counted = own.withColumn("__mine", mine).groupBy(query, "__truth", "__place", "__mine").agg(F.count_if(ahead).alias("__ahead"), F.count_if(F.col(structure) < F.col("__truth")).alias("__smaller"))
+    absent = F.when(F.col("__mine").isNull(), F.col("__place") - F.col("__smaller")).otherwise(F.lit(0))
+    return counted.select(query, F.when(F.col("__place").isNotNull(), F.col("__ahead") + absent + 1).cast("long").alias("rank"))
+
+
 def pair_cosine(pairs: DataFrame, bins: DataFrame, spectrum: str = "spectrum_id") -> DataFrame:
     """``pairs`` (a, b) with their cosine; 0 where either has no bin or they share none."""
     left, right = bins.select(F.col(spectrum).alias("a"), "bin", F.col("v").alias("av")), bins.select(F.col(spectrum).alias("b"), "bin", F.col("v").alias("bv"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import assign_split, stable_fraction, stable_order
+from .cells import CELLS, with_cells
 
 
 def structure_split(structures: DataFrame, key: str, share: float = 0.1) -> DataFrame:
@@ -61,18 +62,13 @@ def drawn_size(key: Column, sizes: list[int]) -> Column:
     return F.element_at(F.array(*[F.lit(s) for s in ordered]), (F.floor(stable_fraction(key) * len(ordered)) + 1).cast("int"))
 
 
-def dense_index(df: DataFrame, key: str, name: str = "row_index", cells: int = 256) -> DataFrame:
-    """0, 1, 2, ... in the order of a unique key, counted by ranges of it, so that no task holds all keys.
+def dense_index(df: DataFrame, key: str, name: str = "row_index", cells: int = CELLS) -> DataFrame:
+    """0, 1, 2, ... in the order of a unique key, counted by ranges of it, so that no task holds all keys; a null key is first.
 
-    The ranges come from the key alone (the first two characters of a text, equal steps between the least and
-    the largest number), so a lost task that is run again places its rows alike.
+    The ranges are cut by keys that a hash picks, so they follow the keys' distribution, and a lost task that is
+    run again places its rows alike.
     """
-    if dict(df.dtypes)[key] == "string":
-        placed = df.withColumn("__cell", F.substring(key, 1, 2))
-    else:
-        ends = df.agg(F.min(key).alias("__low"), F.max(key).alias("__high"))
-        step = F.try_divide(F.col(key) - F.col("__low"), F.col("__high") - F.col("__low"))
-        placed = df.join(F.broadcast(ends), F.lit(True)).withColumn("__cell", F.coalesce(F.floor(step * cells), F.lit(0).cast("long"))).drop("__low", "__high")  # one row
+    placed = with_cells(df, key, cells=cells)
     sizes = placed.groupBy("__cell").agg(F.count("*").alias("__size"))
     before = sizes.select("__cell", F.coalesce(F.sum("__size").over(Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     inside = F.row_number().over(Window.partitionBy("__cell").orderBy(key))

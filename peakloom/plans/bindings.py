@@ -35,10 +35,20 @@ VIEWS = {
     "ranks": "SELECT spectrum_id AS query_id, min(CASE WHEN candidate_id % 7 = spectrum_id % 7 AND spectrum_id % 10 <> 0 THEN rank END) AS rank FROM best_ranked GROUP BY spectrum_id",
     "keyed": "SELECT c_custkey::VARCHAR AS structure, c_nationkey, c_mktsegment, c_acctbal FROM customer",
     "rows": "SELECT o_orderkey AS row_index, o_custkey AS structure, o_orderpriority, o_totalprice, o_orderpriority IN ('1-URGENT', '2-HIGH') AS is_test_like FROM orders",
+    "unknown": "SELECT event_id AS spectrum_id, event_id // 3 AS grp, (900e0 + ((event_id // 3) % 1000) / 10e0 + CASE WHEN event_id % 7 = 0 THEN 1e-1 ELSE 0e0 END) * (1e0 + ((event_id * 7) % 11 - 5) * 43e-1 * 1e-6) AS mass, CASE WHEN event_type = 'click' THEN 'timsTOF' ELSE 'QTOF' END AS instrument, CASE user_id % 5 WHEN 0 THEN 'pluskal_ms2' WHEN 1 THEN 'gnps' WHEN 2 THEN 'riken' WHEN 3 THEN 'elsewhere' ELSE 'msdial' END AS source, CASE event_id % 13 " + " ".join(f"WHEN {i} THEN '{a[0]}'" for i, a in enumerate(ADDUCTS)) + " ELSE '[M+X]+' END AS adduct FROM events",
+    "measured": "SELECT *, (mz * abs(charge) - mass_shift) / multimer AS neutral, supported AND trusted AS inferred, supported AND trusted AND (instrument = 'timsTOF' OR source IN ('pluskal_ms2', 'spectraverse', 'msdial')) AS learned FROM (SELECT u.*, a.charge, a.multimer, a.mass_shift, a.adduct IS NOT NULL AS supported, coalesce(a.trusted, false) AS trusted, (a.multimer * u.mass + a.mass_shift) / abs(a.charge) AS mz FROM unknown u LEFT JOIN adducts a USING (adduct))",
+    "in_window": "SELECT m.spectrum_id, m.grp, m.source, m.instrument, m.inferred, m.learned, CASE WHEN m.instrument = 'timsTOF' THEN 10e0 ELSE 20e0 END AS ppm, v.structure, v.exact_mass, v.smiles, v.formula, (v.exact_mass - m.neutral) / m.neutral * 1e6 AS error_ppm FROM measured m JOIN variants v ON v.exact_mass BETWEEN m.neutral - m.neutral * 20e0 * 1e-6 AND m.neutral + m.neutral * 20e0 * 1e-6",
+    "generated": "SELECT * FROM in_window WHERE inferred AND abs(error_ppm) <= ppm QUALIFY row_number() OVER (PARTITION BY spectrum_id, structure ORDER BY abs(error_ppm), exact_mass, smiles) = 1",
+    "learnable": "SELECT * FROM in_window WHERE learned AND abs(error_ppm) <= 10 QUALIFY row_number() OVER (PARTITION BY spectrum_id, structure ORDER BY abs(error_ppm), exact_mass, smiles) = 1",
+    "filtered_support": "SELECT g.grp, g.structure, arg_min(g.smiles, g.spectrum_id) AS smiles, arg_min(g.formula, g.spectrum_id) AS formula, any_value(f.n) AS num_filtered_spectra, any_value(z.n) AS num_spectra, count(*) AS num_supporting_spectra, avg(g.error_ppm) AS mean_mass_error_ppm, avg(abs(g.error_ppm)) AS mean_abs_mass_error_ppm FROM generated g JOIN (SELECT grp, count(DISTINCT spectrum_id) AS n FROM generated GROUP BY 1) f USING (grp) JOIN (SELECT grp, count(*) AS n FROM unknown GROUP BY 1) z USING (grp) GROUP BY 1, 2",
+    "manifest": "SELECT * EXCLUDE (any_full), CASE WHEN any_full THEN 'intersection' ELSE 'union_fallback' END AS candidate_mode FROM (SELECT *, bool_or(num_supporting_spectra = num_filtered_spectra) OVER (PARTITION BY grp) AS any_full FROM filtered_support) WHERE num_supporting_spectra = num_filtered_spectra OR NOT any_full",
+    "vecs": "SELECT vec_id, embedding FROM embeddings WHERE vec_id < 400",
+    "supported_scores": "SELECT m.grp, m.structure, g.spectrum_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS score FROM manifest m JOIN generated g USING (grp, structure) JOIN vecs a ON a.vec_id = 2 * (g.spectrum_id % 200) JOIN vecs b ON b.vec_id = 2 * (m.structure % 200) + 1",
+    "truths": "SELECT DISTINCT event_id // 3 AS grp, ((event_id // 3) % 1000) // 2 + 500 * ((event_id // 3) % 2) AS truth FROM events",
     "source_a": "SELECT * FROM variants WHERE structure % 3 <> 0",
     "source_b": "SELECT * FROM variants WHERE structure % 3 <> 1",
 }
-NEEDS = {"named": ["spectra"], "ions": ["adducts", "named"], "counted": ["variants"], "all_hits": ["spectra", "counted"], "hits": ["all_hits"], "support": ["hits"], "pool": ["support"], "bins": ["peaks"], "normed": ["bins"], "best_ranked": ["scored"], "ranks": ["best_ranked"], "source_a": ["variants"], "source_b": ["variants"]}
+NEEDS = {"named": ["spectra"], "ions": ["adducts", "named"], "counted": ["variants"], "all_hits": ["spectra", "counted"], "hits": ["all_hits"], "support": ["hits"], "pool": ["support"], "bins": ["peaks"], "normed": ["bins"], "best_ranked": ["scored"], "ranks": ["best_ranked"], "measured": ["adducts", "unknown"], "in_window": ["measured", "variants"], "generated": ["in_window"], "learnable": ["in_window"], "filtered_support": ["generated"], "manifest": ["filtered_support"], "supported_scores": ["manifest", "vecs"], "source_a": ["variants"], "source_b": ["variants"]}
 
 
 def sql(names: str, body: str) -> str:
@@ -98,6 +108,40 @@ def hits(spark: SparkSession, d: str) -> DataFrame:
     return mass_hits(spectra(spark, d), variants(spark, d), PPM)
 
 
+def unknown(spark: SparkSession, d: str) -> DataFrame:
+    """Spectra of unknown molecules: groups of three, measured a few ppm off, every adduct and one that is not known."""
+    from ..functions.chem import precursor_mz, with_adducts
+
+    base = F.expr("900D + ((event_id div 3) % 1000) / 10D + CASE WHEN event_id % 7 = 0 THEN 1e-1D ELSE 0D END")
+    mass = base * (F.lit(1.0) + ((F.col("event_id") * 7) % 11 - 5) * F.lit(4.3) * F.lit(1e-6))
+    names, sources = F.array(*[F.lit(a[0]) for a in ADDUCTS], F.lit("[M+X]+")), F.array(*[F.lit(x) for x in ("pluskal_ms2", "gnps", "riken", "elsewhere", "msdial")])
+    rows = table(spark, d, "events").select(
+        F.col("event_id").alias("spectrum_id"),
+        F.expr("event_id div 3").alias("grp"),
+        mass.alias("mass"),
+        F.when(F.col("event_type") == "click", "timsTOF").otherwise("QTOF").alias("instrument"),
+        F.get(sources, (F.col("user_id") % 5).cast("int")).alias("source"),
+        F.get(names, (F.col("event_id") % 13).cast("int")).alias("adduct"),
+    )
+    return with_adducts(rows).withColumn("precursor_mz", precursor_mz(F.col("mass"), F.col("charge"), F.col("multimer"), F.col("mass_shift"))).drop("mass")
+
+
+def truths(spark: SparkSession, d: str) -> DataFrame:
+    """(grp, truth): each group's true structure, which its pool may lack."""
+    grp = F.expr("event_id div 3")
+    return table(spark, d, "events").select(grp.alias("grp")).distinct().withColumn("truth", F.expr("(grp % 1000) div 2 + 500 * (grp % 2)"))
+
+
+def with_vectors(rows: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    """Rows of (spectrum_id, structure) with the score of their vectors."""
+    from ..functions.vectors import dot
+
+    e = table(spark, d, "embeddings").where("vec_id < 400")
+    a, c = e.select(F.col("vec_id").alias("__a"), F.col("embedding").alias("__va")), e.select(F.col("vec_id").alias("__c"), F.col("embedding").alias("__vc"))
+    both = rows.join(a, F.col("spectrum_id") % 200 * 2 == F.col("__a")).join(c, F.col("structure") % 200 * 2 + 1 == F.col("__c"))
+    return both.withColumn("score", dot(F.col("__va"), F.col("__vc"))).drop("__a", "__va", "__c", "__vc")
+
+
 def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Spectrum vectors (even ids) and candidate vectors (odd ids) of one label."""
     e = table(spark, d, "embeddings")

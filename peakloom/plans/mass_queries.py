@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import chem, keys
-from ..operators import catalog, pools, profiling, range_join
+from ..operators import catalog, cells, pools, profiling, range_join
 from . import bindings as b
 from .bindings import PPM, query, rounded, sql
 
@@ -56,21 +56,22 @@ def mass_tolerances(spark, d):
 
 _SOURCES = ("pluskal_ms2", "gnps", "riken", "elsewhere", "msdial")
 _LIB = "CASE lib WHEN 0 THEN 'pluskal_ms2' WHEN 1 THEN 'gnps' WHEN 2 THEN 'riken' WHEN 3 THEN 'elsewhere' ELSE 'msdial' END"
-_POLICY = f"SELECT spectrum_id, CASE WHEN NOT supported THEN 'unsupported' WHEN NOT trusted THEN 'untrusted_adduct' WHEN inference AND tims THEN 'high' WHEN inference THEN 'medium' WHEN source IN ('pluskal_ms2', 'spectraverse', 'msdial') OR tims THEN 'high' WHEN source IN ('riken', 'gnps', 'massbank', 'mona') THEN 'low' ELSE 'unknown' END AS confidence, supported AND trusted AND (inference OR tims OR source IN ('pluskal_ms2', 'spectraverse', 'msdial')) AS hard_filter, inference, tims FROM (SELECT spectrum_id, supported, trusted, {_LIB} AS source, spectrum_id % 2 = 0 AS inference, instrument = 'click' AS tims FROM ions)"
+_POLICY = f"SELECT spectrum_id, CASE WHEN NOT supported THEN 'unsupported' WHEN NOT trusted THEN 'untrusted_adduct' WHEN inference AND tims THEN 'high' WHEN inference THEN 'medium' WHEN source IN ('pluskal_ms2', 'spectraverse', 'msdial') OR tims THEN 'high' WHEN source IN ('riken', 'gnps', 'massbank', 'mona') THEN 'low' ELSE 'unknown' END AS confidence, supported AND trusted AND (inference OR tims OR source IN ('pluskal_ms2', 'spectraverse', 'msdial')) AS hard_filter, inference, tims, source FROM (SELECT spectrum_id, supported, trusted, {_LIB} AS source, spectrum_id % 2 = 0 AS inference, instrument = 'click' AS tims FROM ions)"
 
 
-@query(sql("ions", f"SELECT spectrum_id, confidence, hard_filter, CASE WHEN hard_filter THEN CASE WHEN confidence = 'medium' THEN 20e0 ELSE 10e0 END END AS tolerance_ppm FROM ({_POLICY})"))
+@query(sql("ions", f"SELECT spectrum_id, confidence, hard_filter, CASE WHEN hard_filter THEN CASE WHEN confidence = 'medium' THEN 20e0 ELSE 10e0 END END AS tolerance_ppm, CASE confidence WHEN 'unsupported' THEN 'no mass conversion for this adduct' WHEN 'untrusted_adduct' THEN 'adduct too unreliable for a hard filter' WHEN 'medium' THEN 'other instrument at inference, wider window' WHEN 'low' THEN 'source of noisy masses or adducts' WHEN 'unknown' THEN 'source of unknown reliability' ELSE CASE WHEN inference THEN 'instrument of the domain at inference' WHEN source IN ('pluskal_ms2', 'spectraverse', 'msdial') THEN 'source of consistent masses' ELSE 'instrument of the domain' END END AS reason FROM ({_POLICY})"))
 def mass_filter_policy(spark, d):
     source = F.get(F.array(*[F.lit(s) for s in _SOURCES]), F.col("lib").cast("int"))
     instrument = F.when(F.col("instrument") == "click", " timsTOF ").otherwise("qtof")
     x = b.ions(spark, d).withColumn("p", chem.policy_decision(F.col("supported"), F.col("trusted"), instrument, source, F.col("spectrum_id") % 2 == 0))
-    return x.select("spectrum_id", "p.confidence", "p.hard_filter", "p.tolerance_ppm")
+    return x.select("spectrum_id", "p.confidence", "p.hard_filter", "p.tolerance_ppm", "p.reason")
 
 
 @query(sql("ions", f"SELECT count(*) AS n_eligible FROM ions WHERE supported AND trusted AND (({_LIB}) IN ('pluskal_ms2', 'msdial') OR instrument = 'click') AND mz > 0"))
 def eligible_spectra(spark, d):
-    rows = b.ions(spark, d).where("supported and trusted and (lib in (0, 4) or instrument = 'click') and mz > 0 and not isnan(mz)")
-    return rows.agg(F.count("*").alias("n_eligible"))
+    source = F.get(F.array(*[F.lit(s) for s in _SOURCES]), F.col("lib").cast("int"))
+    rows = b.ions(spark, d).withColumn("source", source).withColumn("instrument", F.when(F.col("instrument") == "click", " timsTOF ").otherwise("qtof"))
+    return rows.where(chem.is_eligible(F.col("supported"), F.col("trusted"), F.col("instrument"), F.col("source"), F.col("mz"))).agg(F.count("*").alias("n_eligible"))
 
 
 @query(sql("ions all_hits", "SELECT i.adduct, count(*) AS n, count_if(n_hits > 0)::BIGINT AS n_survived, count_if(n_hits = 0)::BIGINT AS n_zero, round(median(n_hits), 6) AS median_hits, round(avg(n_hits), 6) AS mean_hits FROM (SELECT i.spectrum_id, i.adduct, count(DISTINCT h.structure) AS n_hits FROM ions i LEFT JOIN all_hits h USING (spectrum_id) WHERE i.supported AND i.trusted GROUP BY 1, 2) i GROUP BY 1"))
@@ -78,7 +79,8 @@ def survival_by_adduct(spark, d):
     ok = b.ions(spark, d).where("supported and trusted")
     counts = range_join.hit_counts(ok.select("spectrum_id", "mass"), b.variants(spark, d), PPM).join(ok.select("spectrum_id", "adduct"), "spectrum_id")
     n = F.col("n_candidates")
-    return rounded(counts.groupBy("adduct").agg(F.count("*").alias("n"), F.count_if(n > 0).alias("n_survived"), F.count_if(n == 0).alias("n_zero"), F.median(n).alias("median_hits"), F.avg(n).alias("mean_hits")))
+    plain = [F.count("*").alias("n"), F.count_if(n > 0).alias("n_survived"), F.count_if(n == 0).alias("n_zero"), F.avg(n).alias("mean_hits")]
+    return rounded(cells.aggregated(counts, ["adduct"], plain, "n_candidates", {"median_hits": 0.5}))
 
 
 @query(sql("ions", "SELECT CASE WHEN NOT supported THEN 'unsupported' WHEN NOT trusted THEN 'untrusted' WHEN mz IS NULL OR mass <= 0 THEN 'bad_mass' ELSE 'ok' END AS status, count(*) AS n FROM ions GROUP BY 1"))
@@ -98,18 +100,30 @@ def tolerance_sweep(spark, d):
     return rounded(profiling.tolerance_sweep(b.hits(spark, d), "error_ppm", [2, 5, 10, 20, 50, 90]))
 
 
-@query(sql("ions", "SELECT adduct, round(median(mz * abs(charge) - multimer * mass), 6) AS shift, round(median(mz * abs(charge) - multimer * mass) FILTER (abs(lib - 2) <= 1), 6) AS shift_near, count(*) AS n FROM ions WHERE supported GROUP BY 1"))
+@query(sql("measured", "SELECT adduct, round(median(shift), 6) AS shift, round(median(shift) FILTER (abs(ppm) <= 10), 6) AS shift_near, count(*) AS n, count_if(abs(ppm) <= 10)::BIGINT AS n_near FROM (SELECT adduct, mz * abs(charge) - multimer * e AS shift, (neutral - e) / e * 1e6 AS ppm FROM (SELECT *, 900e0 + (grp % 1000) / 10e0 AS e FROM measured WHERE supported)) GROUP BY 1"))
 def adduct_shift(spark, d):
-    shift = F.col("mz") * F.abs("charge") - F.col("multimer") * F.col("mass")
-    return rounded(b.ions(spark, d).where("supported").groupBy("adduct").agg(F.median(shift).alias("shift"), F.median(F.when(F.abs(F.col("lib") - 2) <= 1, shift)).alias("shift_near"), F.count("*").alias("n")))
+    """Empirical mass shift of each adduct against the expected masses: over all spectra, and over those within 10 ppm."""
+    from ..functions.chem import neutral_mass
+
+    expected = F.expr("900D + (grp % 1000) / 10D")
+    rows = b.unknown(spark, d).where("supported").withColumn("expected", expected)
+    rows = rows.withColumn("shift", F.col("precursor_mz") * F.abs("charge") - F.col("multimer") * F.col("expected"))
+    ppm = chem.error_ppm(neutral_mass(F.col("precursor_mz"), F.col("charge"), F.col("multimer"), F.col("mass_shift")), F.col("expected"))
+    near = F.abs(ppm) <= 10
+    rows = rows.withColumn("near", F.when(near, F.col("shift")))
+    whole = cells.aggregated(rows, ["adduct"], [F.count("*").alias("n"), F.count("near").alias("n_near")], "shift", {"shift": 0.5})
+    return rounded(whole.join(cells.quantiles(rows, "near", {"shift_near": 0.5}, ["adduct"]), "adduct", "left"))
 
 
 @query(sql("hits spectra", "SELECT lib, instrument, count(*) AS n, round(median(abs(error_ppm)), 6) AS median, round(quantile_cont(abs(error_ppm), 0.9), 6) AS p90, round(quantile_cont(abs(error_ppm), 0.99), 6) AS p99, round(avg((abs(error_ppm) <= 50)::INT), 6) AS within_50 FROM hits JOIN spectra USING (spectrum_id) GROUP BY GROUPING SETS ((lib), (instrument), (lib, instrument)) HAVING count(*) >= 100"))
 def error_by_source(spark, d):
     size = F.abs("error_ppm")
     rows = b.hits(spark, d).withColumn("size", size)
-    out = rows.groupingSets([["lib"], ["instrument"], ["lib", "instrument"]], "lib", "instrument").agg(F.count("*").alias("n"), F.median("size").alias("median"), F.percentile("size", 0.9).alias("p90"), F.percentile("size", 0.99).alias("p99"), F.avg((F.col("size") <= 50).cast("double")).alias("within_50"))
-    return rounded(out.where("n >= 100"))
+    none = F.lit(None)
+    strata = F.array(F.struct("lib", none.cast("string").alias("instrument")), F.struct(none.cast("long").alias("lib"), "instrument"), F.struct("lib", "instrument"))
+    each = rows.select("size", F.explode(strata).alias("s")).select("size", "s.lib", "s.instrument")
+    plain = [F.count("*").alias("n"), F.avg((F.col("size") <= 50).cast("double")).alias("within_50")]
+    return rounded(cells.aggregated(each, ["lib", "instrument"], plain, "size", {"median": 0.5, "p90": 0.9, "p99": 0.99}).where("n >= 100"))
 
 
 @query(sql("hits", "SELECT DISTINCT grp, structure FROM hits"))
@@ -134,9 +148,7 @@ def pool_select_inference(spark, d):
 
 @query(sql("pool spectra", "SELECT p.grp, s.spectrum_id, p.structure, h.structure IS NOT NULL AS available FROM pool p JOIN spectra s ON s.grp = p.grp LEFT JOIN hits h ON h.spectrum_id = s.spectrum_id AND h.structure = p.structure"))
 def availability_mask(spark, d):
-    hits = b.hits(spark, d)
-    pool = pools.select_pool(hits, b.spectra(spark, d))
-    return pools.availability_mask(pool, b.spectra(spark, d), hits)
+    return pools.pool_mask(b.hits(spark, d), b.spectra(spark, d))
 
 
 @query(sql("support", "SELECT threshold, mode, count(*) AS n_candidates, count(DISTINCT grp) AS n_groups FROM (SELECT t.threshold, s.*, CASE WHEN n_full >= t.threshold THEN 'intersection' ELSE 'union' END AS mode FROM (SELECT *, count_if(n_supporting = n_spectra) OVER (PARTITION BY grp) AS n_full FROM support) s, (VALUES (1), (2), (3)) t(threshold)) WHERE mode = 'union' OR n_supporting = n_spectra GROUP BY 1, 2"))
@@ -154,7 +166,8 @@ def manifest(spark, d):
 
 
 @query(sql("pool", f"SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n_supporting DESC, mean_abs_error_ppm, structure) AS place FROM ({_MANIFEST}) QUALIFY place <= 25"))
-def candidate_manifest(spark, d):
+def flat_pool_manifest(spark, d):
+    """The best 25 of each group's pool from one flat tolerance, without adducts or policy."""
     from ..operators.scoring import top_k
 
     best = top_k(rounded(manifest(spark, d)), "grp", 25, [F.desc("n_supporting"), F.col("mean_abs_error_ppm"), F.col("structure")])
@@ -174,10 +187,14 @@ def pool_growth(spark, d):
     return rounded(catalog.growth(hits.where("structure % 3 <> 0"), hits, "grp", "structure"))
 
 
-@query(sql("hits", "SELECT h.spectrum_id, h.structure, round((h.mass - h.exact_mass) / h.exact_mass * 1e6, 6) AS error_ppm, (h.spectrum_id % 4 = 0 OR abs((h.mass - h.exact_mass) / h.exact_mass * 1e6) <= 100) AS accepted FROM hits h"))
+@query(sql("hits", "SELECT h.spectrum_id, h.structure, h.smiles, round(h.exact_mass, 6) AS candidate_mass, round(h.mass, 6) AS neutral_mass, round((h.mass - h.exact_mass) / h.exact_mass * 1e6, 6) AS error_ppm, 'F' || h.structure % 3 AS candidate_formula, CASE WHEN h.spectrum_id % 5 <> 0 THEN h.structure % 3 = h.spectrum_id % 3 END AS formula_match, (h.spectrum_id % 4 = 0 OR abs((h.mass - h.exact_mass) / h.exact_mass * 1e6) <= 100) AS mass_ok, h.spectrum_id % 4 <> 0 AS trusted, (h.spectrum_id % 4 = 0 OR abs((h.mass - h.exact_mass) / h.exact_mass * 1e6) <= 100) AND (h.spectrum_id % 5 = 0 OR h.structure % 3 = h.spectrum_id % 3) AS accepted FROM hits h"))
 def candidate_constraints(spark, d):
-    x = chem.candidate_verdict(F.col("mass"), F.col("exact_mass"), F.lit("x"), F.lit(None).cast("string"), F.col("spectrum_id") % 4 != 0, 100.0)
-    return rounded(b.hits(spark, d).withColumn("v", x).select("spectrum_id", "structure", "v.error_ppm", "v.accepted"))
+    """Every hit against mass and formula: an untrusted adduct passes the mass test, an unknown formula its own."""
+    own = F.concat(F.lit("F"), (F.col("structure") % 3).cast("string"))
+    known = F.when(F.col("spectrum_id") % 5 != 0, F.concat(F.lit("F"), (F.col("spectrum_id") % 3).cast("string")))
+    x = chem.candidate_verdict(F.col("mass"), F.col("exact_mass"), own, known, F.col("spectrum_id") % 4 != 0, 100.0)
+    fields = ["candidate_mass", "neutral_mass", "error_ppm", "candidate_formula", "formula_match", "mass_ok", "trusted", "accepted"]
+    return rounded(b.hits(spark, d).withColumn("v", x).select("spectrum_id", "structure", "smiles", *[f"v.{c}" for c in fields]))
 
 
 def chemistry_filter(spark, d, hard: bool):
@@ -219,9 +236,18 @@ def formula_masses(spark, d):
     return rounded(x.select("p_partkey", "formula", chem.formula_mass(F.col("formula")).alias("mass"), chem.parse_formula(F.col("formula"))["C"].alias("n_c")))
 
 
-@query(sql("variants", "SELECT count(*) AS n, count_if(abs(round(exact_mass) - exact_mass) <= 0.2)::BIGINT AS n_near, count_if(formula IS NULL)::BIGINT AS n_without FROM variants"))
+_FORMULAS = ("C6H12O6", "C10H12ClNO", "not a formula", "C8H10N4O2", "C6H12X6")
+_FORMULA_SQL = "SELECT p_partkey, p_partkey % 5 AS k, CASE p_partkey % 5 WHEN 0 THEN 6 * 12e0 + 12 * 1.00782503223e0 + 6 * 15.99491461957e0 WHEN 1 THEN 10 * 12e0 + 12 * 1.00782503223e0 + 34.968852682e0 + 14.00307400443e0 + 15.99491461957e0 WHEN 3 THEN 8 * 12e0 + 10 * 1.00782503223e0 + 4 * 14.00307400443e0 + 2 * 15.99491461957e0 END AS mass FROM part"
+
+
+@query(f"SELECT count(*) AS n, count_if(k = 2)::BIGINT AS n_unparsable, count_if(k = 4)::BIGINT AS n_unknown_element, count_if(ppm IS NOT NULL)::BIGINT AS n_compared, count_if(abs(ppm) <= 5)::BIGINT AS n_within_5, count_if(abs(ppm) > 5)::BIGINT AS n_beyond_5, round(max(abs(ppm)), 6) AS worst_ppm FROM (SELECT *, (stored - mass) / mass * 1e6 AS ppm FROM (SELECT *, mass * (1 + (p_partkey % 13 - 6) * 1e-6) AS stored FROM ({_FORMULA_SQL})))")
 def formula_consistency(spark, d):
-    return b.variants(spark, d).agg(F.count("*").alias("n"), F.count_if(F.abs(F.round("exact_mass") - F.col("exact_mass")) <= 0.2).alias("n_near"), F.count_if(F.col("formula").isNull()).alias("n_without"))
+    """Stored masses against the masses of their parsed formulas."""
+    names = F.array(*[F.lit(x) for x in _FORMULAS])
+    rows = b.table(spark, d, "part").select("p_partkey", F.get(names, (F.col("p_partkey") % 5).cast("int")).alias("formula"))
+    rows = rows.withColumn("mass", chem.formula_mass(F.col("formula")))
+    stored = F.col("mass") * (F.lit(1) + (F.col("p_partkey") % 13 - 6) * F.lit(1e-6))
+    return rounded(catalog.formula_consistency(rows.withColumn("stored", stored), "formula", "stored"))
 
 
 @query(sql("variants", "SELECT structure, smiles, variant_count FROM (SELECT v.structure, v.smiles, count(*) OVER (PARTITION BY v.structure) AS variant_count, row_number() OVER (PARTITION BY v.structure ORDER BY v.exact_mass, v.smiles) AS n FROM variants v) WHERE n = 1"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import chem, keys
-from ..operators import scoring
+from ..operators import cells, pools, scoring
 from . import bindings as b
 from .bindings import query, rounded, sql
 from .ranking_queries import _FEATURES, BY, _features
@@ -24,14 +24,15 @@ def exact_mass_lookup(spark, d):
 def error_by_adduct(spark, d):
     rows = b.hits(spark, d).select("spectrum_id", F.abs("error_ppm").alias("size")).join(b.ions(spark, d).where("supported").select("spectrum_id", "adduct"), "spectrum_id")
     shares = [F.avg((F.col("size") <= t).cast("double")).alias(f"within_{t}") for t in (20, 50)]
-    return rounded(rows.groupBy("adduct").agg(F.count("*").alias("n"), F.median("size").alias("median"), F.percentile("size", 0.9).alias("p90"), F.percentile("size", 0.99).alias("p99"), *shares))
+    return rounded(cells.aggregated(rows, ["adduct"], [F.count("*").alias("n"), *shares], "size", {"median": 0.5, "p90": 0.9, "p99": 0.99}))
 
 
 @query(sql("ions", "SELECT adduct, count(*) AS n, round(median((mz * abs(charge) - mass_shift) / multimer - mass), 6) AS median_da, round(median(abs(((mz * abs(charge) - mass_shift) / multimer - mass) / mass * 1e6)), 6) AS median_abs_ppm FROM ions WHERE supported GROUP BY 1"))
 def adduct_mass_validation(spark, d):
     x = b.ions(spark, d).where("supported").withColumn("neutral", chem.neutral_mass(F.col("mz"), F.col("charge"), F.col("multimer"), F.col("mass_shift")))
-    out = x.groupBy("adduct").agg(F.count("*").alias("n"), F.median(chem.error_da(F.col("neutral"), F.col("mass"))).alias("median_da"), F.median(F.abs(chem.error_ppm(F.col("neutral"), F.col("mass")))).alias("median_abs_ppm"))
-    return rounded(out)
+    x = x.withColumn("da", chem.error_da(F.col("neutral"), F.col("mass"))).withColumn("ppm", F.abs(chem.error_ppm(F.col("neutral"), F.col("mass"))))
+    out = cells.aggregated(x, ["adduct"], [F.count("*").alias("n")], "da", {"median_da": 0.5})
+    return rounded(out.join(cells.quantiles(x, "ppm", {"median_abs_ppm": 0.5}, ["adduct"]), "adduct"))
 
 
 _FOUR = "l_orderkey, l_partkey, l_suppkey, l_linenumber"
@@ -42,7 +43,7 @@ def compound_key_join(spark, d):
     """Two tables that are unique in a key of four columns, joined on it."""
     rows, on = b.table(spark, d, "lineitem"), _FOUR.split(", ")
     every = rows.groupBy(*on).agg(F.count("*").alias("n_all"))
-    return every.join(rows.where("l_returnflag = 'R'").groupBy(*on).agg(F.count("*").alias("n_returned")), on)
+    return pools.one_to_one(every, rows.where("l_returnflag = 'R'").groupBy(*on).agg(F.count("*").alias("n_returned")), on)
 
 
 @query("SELECT o_orderkey, o_custkey, count(*) OVER w AS group_size, round(sum(o_totalprice) OVER w, 3) AS group_total, round(o_totalprice / max(o_totalprice) OVER w, 6) AS share FROM orders WINDOW w AS (PARTITION BY o_custkey)")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import peak_arrays, vectors
 from ..functions.keys import stable_fraction
-from ..operators import metrics, peaks, scoring, similarity
+from ..operators import cells, metrics, peaks, scoring, similarity
 from . import bindings as b
 from .bindings import query, rounded, sql
 
@@ -51,13 +51,13 @@ def _arrays(spark, d):
     return grouped
 
 
-@query(sql("coarse", f"SELECT spectrum_id, count(*) AS n_peaks, round(sum(intensity), 5) AS total FROM ({_profile_sql(peak_arrays.PeakProfile(min_relative_intensity=0.02, max_peaks=4), 'coarse')}) GROUP BY 1"))
+@query(sql("coarse", f"SELECT spectrum_id, count(*) AS n_peaks, sum(round(intensity * 1e6)::BIGINT)::BIGINT AS micro_total FROM ({_profile_sql(peak_arrays.PeakProfile(min_relative_intensity=0.02, max_peaks=4), 'coarse')}) GROUP BY 1"))
 def peak_preprocess_arrays(spark, d):
     """The array form of the chain, where spectra already come as arrays."""
     config = peak_arrays.PeakProfile(min_relative_intensity=0.02, max_peaks=4)
     out = _arrays(spark, d).select("spectrum_id", peak_arrays.preprocessed(F.col("peaks"), None, config).alias("peaks"))
-    total = F.aggregate("peaks", F.lit(0.0), lambda acc, p: acc + F.round(p["intensity"], 6))
-    return out.select("spectrum_id", F.size("peaks").cast("long").alias("n_peaks"), F.round(total, 5).alias("total"))
+    total = F.aggregate("peaks", F.lit(0).cast("long"), lambda acc, p: acc + F.round(F.round(p["intensity"], 6) * 1e6).cast("long"))
+    return out.select("spectrum_id", F.size("peaks").cast("long").alias("n_peaks"), total.alias("micro_total"))
 
 
 @query(sql("coarse", "SELECT count(*) AS n_spectra, 0::BIGINT AS n_length_mismatch, 0::BIGINT AS n_unsorted, 0::BIGINT AS n_not_finite, 0::BIGINT AS n_negative, 0::BIGINT AS n_above_one, count_if(n_mz < n)::BIGINT AS n_duplicate_mz, count_if(top > 602)::BIGINT AS n_above_precursor FROM (SELECT spectrum_id, count(DISTINCT mz) AS n_mz, count(*) AS n, max(mz) AS top FROM coarse GROUP BY 1)"))
@@ -123,14 +123,22 @@ def spectral_retrieval(spark, d):
     return rounded(_retrieved(spark, d))
 
 
+def retrieval_ranks(spark, d):
+    """(query, rank): the place of each query's true structure among all, those without a shared bin included."""
+    bins = b.bins(spark, d)
+    q, r = bins.where("spectrum_id % 20 = 0"), bins.where("spectrum_id % 20 <> 0")
+    scores = similarity.sparse_scores(q, r).withColumn("structure", F.col("reference") % 97)
+    pooled = rounded(scoring.pool_by_structure(scores, "query", "structure"))
+    truths = q.select(F.col("spectrum_id").alias("query")).distinct().withColumn("structure", F.col("query") % 97)
+    return similarity.zero_aware_ranks(pooled, truths, r.select((F.col("spectrum_id") % 97).alias("structure")))
+
+
 _TOP = "row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, structure)"
 
 
 @query(sql("normed", f"SELECT count(*) AS n, {', '.join(f'round(avg((rank <= {k})::INT), 6) AS recall_{k}' for k in metrics.KS)}, round(avg(CASE WHEN rank <= 25 THEN 1e0 / rank ELSE 0 END), 6) AS mrr FROM (SELECT query, min(CASE WHEN structure = query % 97 THEN rank END) AS rank FROM (SELECT *, {_TOP} AS rank FROM ({_ALL_STRUCTURES})) GROUP BY 1)"))
 def spectral_retrieval_metrics(spark, d):
-    ordered = scoring.ranked(rounded(_retrieved(spark, d)), "query", [F.desc("score"), F.col("structure")])
-    ranks = metrics.true_ranks(ordered.withColumn("target", (F.col("structure") == F.col("query") % 97).cast("int")), "query")
-    return rounded(metrics.absent_as_miss(ranks))
+    return rounded(metrics.absent_as_miss(retrieval_ranks(spark, d)))
 
 
 _GROUPED = "SELECT x.spectrum_id // 100 AS grp, y.spectrum_id AS reference, x.spectrum_id AS q, sum(x.v * y.v) AS score FROM normed x JOIN normed y ON x.bin = y.bin WHERE x.spectrum_id % 20 = 0 AND y.spectrum_id % 20 <> 0 GROUP BY ALL"
@@ -183,8 +191,9 @@ def auc_exact(spark, d):
 @query("WITH pairs AS (SELECT (a.label = b.label) AS positive, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6) AS score FROM embeddings a JOIN embeddings b ON (a.label = b.label AND b.vec_id > a.vec_id AND b.vec_id <= a.vec_id + 40) OR (a.label <> b.label AND b.vec_id = a.vec_id + 7)) SELECT positive, round(avg(score), 6) AS mean, round(median(score), 6) AS median, round(quantile_cont(score, 0.1), 6) AS p10, round(quantile_cont(score, 0.25), 6) AS p25, round(quantile_cont(score, 0.75), 6) AS p75, round(quantile_cont(score, 0.9), 6) AS p90, round(avg((score >= 0.2)::INT), 6) AS pass_rate FROM pairs GROUP BY 1")
 def similarity_summary(spark, d):
     pairs = embedding_pairs(spark, d)
-    points = [F.percentile("score", q).alias(f"p{round(100 * q)}") for q in (0.1, 0.25, 0.75, 0.9)]
-    return rounded(pairs.groupBy("positive").agg(F.avg("score").alias("mean"), F.median("score").alias("median"), *points, F.avg((F.col("score") >= 0.2).cast("double")).alias("pass_rate")))
+    points = {"median": 0.5} | {f"p{round(100 * q)}": q for q in (0.1, 0.25, 0.75, 0.9)}
+    plain = [F.avg("score").alias("mean"), F.avg((F.col("score") >= 0.2).cast("double")).alias("pass_rate")]
+    return rounded(cells.aggregated(pairs, ["positive"], plain, "score", points))
 
 
 @query(sql("keyed", "SELECT count(*) AS n FROM keyed WHERE ('0x' || substr(sha256('split-v1|' || structure), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616e0 < 0.1"))

@@ -18,13 +18,13 @@ def cell(x):
     if isinstance(x, float):
         if math.isnan(x):
             return "nan"
-        return round(x, 5) + 0.0
+        return round(x, 6) + 0.0
     if hasattr(x, "item"):
         return cell(x.item())
     if isinstance(x, (list, tuple)):
         return tuple(cell(v) for v in x)
     if x.__class__.__name__ == "Decimal":
-        return round(float(x), 5) + 0.0
+        return round(float(x), 6) + 0.0
     return x
 
 
@@ -54,5 +54,5 @@ def differences(df, sf_dir: str, sql: str) -> str:
         return f"columns {cols} vs {want_cols}"
     if len(got) != len(want):
         return f"{len(got)} rows vs {len(want)}; first {got[:2]} vs {want[:2]}"
-    bad = [(g, w) for g, w in zip(got, want, strict=True) if g != w and not all(a == b or isinstance(a, (int, float)) and isinstance(b, (int, float)) and abs(a - b) < 1e-4 for a, b in zip(g, w, strict=True))]
+    bad = [(g, w) for g, w in zip(got, want, strict=True) if g != w]
     return f"{len(bad)} rows differ; {bad[:2]}" if bad else ""

@@ -6,11 +6,13 @@ import pytest
 
 from peakloom.plans import bindings
 
-for name in ("dataset_queries", "mass_queries", "more_queries", "ranking_queries", "spectrum_queries", "training_queries"):
+for name in ("dataset_queries", "evaluation_queries", "inference_queries", "mass_queries", "more_queries", "ranking_queries", "spectrum_queries", "training_queries"):
     importlib.import_module(f"peakloom.plans.{name}")
 
 from tests.oracle import differences  # noqa: E402
 
+NEXT = "/root/testdata/sf0.01"
+
 
 @pytest.mark.parametrize("name", sorted(n for n, (_, sql) in bindings.REGISTERED.items() if sql))
 def test_query_equals_sql(spark, sf, name):
@@ -18,6 +20,13 @@ def test_query_equals_sql(spark, sf, name):
     assert differences(f(spark, sf), sf, sql) == ""
 
 
+@pytest.mark.parametrize("name", sorted(n for n, (_, sql) in bindings.REGISTERED.items() if sql))
+def test_query_equals_sql_on_the_next_size(spark, name):
+    """Ten times the rows, where ties and empty sets differ."""
+    f, sql = bindings.REGISTERED[name]
+    assert differences(f(spark, NEXT), NEXT, sql) == ""
+
+
 def test_reranker_runs(spark, sf):
     f, _ = bindings.REGISTERED["reranked_candidates"]
     rows = f(spark, sf).collect()
