@@ -44,6 +44,45 @@ def mass_of_smiles(smiles: Column) -> Column:
     return run(smiles)
 
 
+def formula_of_smiles(smiles: Column) -> Column:
+    """Molecular formula; null where the text can't be parsed."""
+    _toolkit()
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        chem = _toolkit()
+        from rdkit.Chem.rdMolDescriptors import CalcMolFormula
+
+        return s.map(lambda x: CalcMolFormula(m) if x and (m := chem.MolFromSmiles(x)) is not None else None)
+
+    return run(smiles)
+
+
+def formula_matches_smiles(formula: Column, smiles: Column) -> Column:
+    """Whether the parsed formulas are the same, whatever their order; null where either is none."""
+    from .chem import parse_formula
+
+    def entries(f: Column) -> Column:
+        return F.array_sort(F.map_entries(parse_formula(f)))
+
+    return entries(formula) == entries(formula_of_smiles(smiles))
+
+
+def evaluation_key(smiles: Column, n: int = 14) -> Column:
+    """Key block of the canonical tautomer: the identity that submissions are compared by; null where it can't be parsed."""
+    _toolkit()
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        chem = _toolkit()
+        from rdkit.Chem.MolStandardize.rdMolStandardize import TautomerEnumerator
+
+        tautomers = TautomerEnumerator()
+        return s.map(lambda x: chem.MolToInchiKey(tautomers.Canonicalize(m))[:n] if x and (m := chem.MolFromSmiles(x)) is not None else None)
+
+    return run(smiles)
+
+
 def fingerprint(smiles: Column, bits: int = 2048, radius: int = 2) -> Column:
     """Morgan fingerprint as array<int> of 0 and 1."""
     _toolkit()

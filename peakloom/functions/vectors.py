@@ -31,3 +31,12 @@ def pad_mask(a: Column, length: int = 128) -> Column:
 def flattened_finite(a: Column) -> Column:
     """Entries without nulls, NaN and infinities."""
     return F.filter(a, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
+def scaled_padded(a: Column, length: int = 128, scale: float = 1000.0) -> Column:
+    """Values over ``scale``, cut or filled with zeros up to ``length``."""
+    return padded(F.transform(a, lambda x: x / scale), length)
+
+
+def is_finite(a: Column) -> Column:
+    return ~F.exists(a, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))

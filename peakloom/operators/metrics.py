@@ -60,3 +60,9 @@ def top_accuracy(scores: DataFrame, query: str, candidate: str, target: str, sco
     """Share of queries whose best-scored row (ties by candidate) is a positive."""
     best = scores.groupBy(query).agg(F.max_by(target, F.struct(F.col(score), -F.col(candidate))).alias("won"))
     return best.agg(F.avg(F.col("won").cast("double")).alias("top1"))
+
+
+def top_accuracies(scores: DataFrame, query: str, candidate: str, target: str, score: str = "score") -> DataFrame:
+    """(forward, backward): top_accuracy of queries over candidates, and of candidates over queries."""
+    forward = top_accuracy(scores, query, candidate, target, score).withColumnRenamed("top1", "forward")
+    return forward.crossJoin(top_accuracy(scores, candidate, query, target, score).withColumnRenamed("top1", "backward"))  # one row each

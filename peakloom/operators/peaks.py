@@ -63,7 +63,21 @@ def integrity(peaks: DataFrame, precursor: str = "precursor_mz") -> DataFrame:
         F.count_if(mzs != F.array_sort(mzs)).alias("n_unsorted"),
         F.count_if(F.exists(mzs, odd) | F.exists(ints, odd)).alias("n_not_finite"),
         F.count_if(F.exists(mzs, lambda x: x < 0) | F.exists(ints, lambda x: x < 0)).alias("n_negative"),
-        F.count_if(F.exists(ints, lambda x: x > 1 + 1e-9)).alias("n_above_one"),
+        F.count_if(F.exists(ints, lambda x: (x > 1 + 1e-9) & ~F.isnan(x))).alias("n_above_one"),
         F.count_if(F.size(F.array_distinct(mzs)) < F.size(mzs)).alias("n_duplicate_mz"),
-        F.count_if(F.exists(mzs, lambda x: x > F.col(precursor) + 2)).alias("n_above_precursor"),
+        F.count_if(F.exists(mzs, lambda x: (x > F.col(precursor) + 2) & ~F.isnan(x))).alias("n_above_precursor"),
+    )
+
+
+def reduction(before: DataFrame, after: DataFrame, spectrum: str = "spectrum_id") -> DataFrame:
+    """One row: spectra, mean peaks before and after, percent of peaks removed, spectra that are left without a peak."""
+    a = before.groupBy(spectrum).agg(F.count("*").alias("__a"))
+    z = after.groupBy(spectrum).agg(F.count("*").alias("__z"))
+    both = a.join(z, spectrum, "left").withColumn("__z", F.coalesce("__z", F.lit(0).cast("long")))
+    return both.agg(
+        F.count("*").alias("n_spectra"),
+        F.avg("__a").alias("mean_before"),
+        F.avg("__z").alias("mean_after"),
+        (100.0 * (1 - F.try_divide(F.sum("__z"), F.sum("__a")))).alias("percent_removed"),
+        F.count_if(F.col("__z") == 0).alias("n_empty"),
     )

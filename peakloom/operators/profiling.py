@@ -82,3 +82,42 @@ def exact_auc(df: DataFrame, score: str, positive: str) -> DataFrame:
     below = F.coalesce(F.sum("q").over(Window.partitionBy("__cell").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = cells.withColumn("below", below).join(before, "__cell")
     return placed.agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("before"))).cast("double"), (F.sum("p") * F.sum("q")).cast("double")).alias("auc"))
+
+
+def vector_statistics(df: DataFrame, vector: str, size: int) -> DataFrame:
+    """One row: vectors of another size, with values that aren't finite, of zeros only, and the norms of the finite ones."""
+    from ..functions.vectors import is_finite, norm
+
+    finite = is_finite(F.col(vector))
+    length = F.when(finite, norm(F.col(vector)))
+    return df.agg(
+        F.count("*").alias("n"),
+        F.count_if(F.size(vector) != size).alias("n_wrong_size"),
+        F.count_if(~finite).alias("n_not_finite"),
+        F.count_if(length == 0).alias("n_zero"),
+        F.min(length).alias("min_norm"),
+        F.avg(length).alias("mean_norm"),
+        F.max(length).alias("max_norm"),
+    )
+
+
+def list_lengths(df: DataFrame, column: str, step: int = 1) -> DataFrame:
+    """(n, n_rows): how many rows' lists have so many entries, in units of ``step``; a null list has none."""
+    n = F.greatest(F.lit(0), F.floor(F.size(column) / step))
+    return df.groupBy(n.cast("long").alias("n")).agg(F.count("*").alias("n_rows"))
+
+
+def distinct_profile(df: DataFrame, key: str, flags: dict[str, Column], by: list[str], name: str) -> DataFrame:
+    """Rows and distinct keys of each group, and distinct keys among the rows of each condition.
+
+    Rows become one a (group, key) first, so that the distinct counts are plain counts.
+    """
+    held = df.groupBy(*by, key).agg(F.count("*").alias("__n"), *[F.max(F.coalesce(c, F.lit(False))).alias(f"__{f}") for f, c in flags.items()])
+    return held.groupBy(*by).agg(F.sum("__n").alias("n"), F.count(key).alias(f"n_{name}"), *[F.count_if(F.col(f"__{f}") & F.col(key).isNotNull()).alias(f"n_{name}_{f}") for f in flags])
+
+
+def ranking_summary(rows: DataFrame, query: str = "query_id", target: str = "target") -> DataFrame:
+    """Queries, rows, positives, negatives, queries with one positive and without one, and group sizes."""
+    sizes = rows.groupBy(query).agg(F.count("*").alias("n"), F.sum(target).alias("p"))
+    counts = [F.count("*").alias("n_queries"), F.sum("n").alias("n_rows"), F.sum("p").alias("n_positive"), F.sum(F.col("n") - F.col("p")).alias("n_negative"), F.count_if(F.col("p") == 1).alias("n_one_positive"), F.count_if(F.col("p") == 0).alias("n_without_positive")]
+    return sizes.agg(*counts, F.min("n").alias("min_size"), F.max("n").alias("max_size"), F.avg("n").alias("mean_size"))

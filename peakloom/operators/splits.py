@@ -75,5 +75,18 @@ def dense_index(df: DataFrame, key: str, name: str = "row_index", cells: int = C
     return placed.withColumn("__n", inside).join(before, "__cell").withColumn(name, F.col("__n") + F.col("__before") - 1).drop("__n", "__before", "__cell")
 
 
+def complete_groups(rows: DataFrame, group: str, bound: int) -> DataFrame:
+    """The rows of the groups that lie wholly in the first ``bound`` rows by group: a bounded head without a cut group.
+
+    Rows are counted by group, and the running count in cells of the group's key.
+    """
+    placed = with_cells(rows.groupBy(group).agg(F.count("*").alias("__rows")), group)
+    cells = placed.groupBy("__cell").agg(F.sum("__rows").alias("__size"))
+    before = cells.select("__cell", F.coalesce(F.sum("__size").over(Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    until = F.sum("__rows").over(Window.partitionBy("__cell").orderBy(group)) + F.col("__before")
+    kept = placed.join(before, "__cell").withColumn("__until", until).where(F.col("__until") <= bound)
+    return rows.join(kept.select(group), group, "left_semi")
+
+
 def is_disjoint(a: DataFrame, b: DataFrame, key: str) -> bool:
     return a.select(key).intersect(b.select(key)).isEmpty()

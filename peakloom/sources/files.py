@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.chem import formula_mass
 from ..schemas import require
 
 
@@ -44,10 +48,29 @@ def read_sdf(spark: SparkSession, path: str, properties: dict[str, str]) -> Data
     return raw.select(F.trim(F.split_part("value", F.lit("\n"), F.lit(1))).alias("title"), F.get(body, 0).alias("molfile"), *[item(tag).alias(name) for tag, name in properties.items()])
 
 
-def clean_structures(records: DataFrame, inchikey: str = "inchikey", mass: str = "exact_mass") -> DataFrame:
-    """Records with a full key (its first 14 characters become ``structure``) and a positive mass."""
-    out = records.withColumn(mass, F.col(mass).cast("string").try_cast("double"))
-    return out.where((F.length(inchikey) >= 14) & (F.col(mass) > 0)).withColumn("structure", F.substring(inchikey, 1, 14))
+def clean_structures(records: DataFrame, inchikey: str = "inchikey", mass: str = "exact_mass", formula: str | None = None) -> DataFrame:
+    """Records with a full key (its first 14 characters become ``structure``) and a positive mass, which where it is
+    absent comes from ``formula``."""
+    return with_fate(records, inchikey, mass, formula).where("fate = 'kept'").drop("fate")
+
+
+def with_fate(records: DataFrame, inchikey: str = "inchikey", mass: str = "exact_mass", formula: str | None = None) -> DataFrame:
+    """``records`` with structure, a numeric mass and ``fate``: kept, empty (no molecule block), short key or bad mass."""
+    stored = F.col(mass).cast("string").try_cast("double")
+    out = records.withColumn(mass, F.coalesce(stored, formula_mass(F.col(formula))) if formula else stored)
+    empty = ~F.coalesce("molfile", F.lit("")).rlike(r"\S") if "molfile" in records.columns else F.lit(False)
+    fate = F.when(empty, "empty").when(F.coalesce(F.length(inchikey), F.lit(0)) < 14, "short key").when(F.coalesce(F.col(mass) > 0, F.lit(False)), "kept").otherwise("bad mass")
+    return out.withColumn("fate", fate).withColumn("structure", F.substring(inchikey, 1, 14))
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of spark.checkpoint.dir; a temporary one in a local session that has none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="peakloom-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None, rows_per_file: int = 0) -> None:

@@ -6,7 +6,7 @@ import pytest
 
 from peakloom.plans import bindings
 
-for name in ("dataset_queries", "evaluation_queries", "inference_queries", "mass_queries", "more_queries", "ranking_queries", "spectrum_queries", "training_queries"):
+for name in ("coverage_queries", "dataset_queries", "evaluation_queries", "inference_queries", "mass_queries", "more_queries", "ranking_queries", "spectrum_queries", "training_queries"):
     importlib.import_module(f"peakloom.plans.{name}")
 
 from tests.oracle import differences  # noqa: E402
