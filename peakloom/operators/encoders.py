@@ -17,31 +17,61 @@ def _dense(x: np.ndarray, layer: dict[str, np.ndarray]) -> np.ndarray:
     return x @ layer["w"] + layer["b"]
 
 
+def erf(x: np.ndarray) -> np.ndarray:
+    """The error function: exp(-x^2) times a series of positive terms, to double precision; 1 beyond 6."""
+    z = np.minimum(np.abs(x), 6.0)
+    term = z.astype(float)
+    total, n = term.copy(), 1
+    while n < 200 and (term > 1e-17 * total).any():
+        term = term * (2 * z * z / (2 * n + 1))
+        total += term
+        n += 1
+    return np.sign(x) * np.minimum(1.0, 1.1283791670955126 * np.exp(-z * z) * total)
+
+
 def _gelu(x: np.ndarray) -> np.ndarray:
-    return 0.5 * x * (1 + np.tanh(0.7978845608028654 * (x + 0.044715 * x**3)))
-
-
-def spectrum_vector(mz: np.ndarray, intensity: np.ndarray, precursor: float, weights: dict) -> np.ndarray:
-    """Peak MLP, attention and max pooling over the peaks, precursor MLP, projection, unit length; zeros without peaks."""
-    size = weights["out"]["b"].shape[0]
-    if not len(mz):
-        return np.zeros(size)
-    h = _gelu(_dense(np.stack([mz / 1000, intensity], axis=1), weights["peak"]))
-    a = _dense(h, weights["attention"])[:, 0]
-    a = np.exp(a - a.max())
-    pooled = np.concatenate([(h * (a / a.sum())[:, None]).sum(axis=0), h.max(axis=0), _gelu(_dense(np.array([precursor / 1000]), weights["precursor"]))])
+    return 0.5 * x * (1 + erf(x * 0.7071067811865476))
+
+
+def spectrum_vectors(mz: np.ndarray, intensity: np.ndarray, mask: np.ndarray, precursor: np.ndarray, weights: dict) -> np.ndarray:
+    """Padded peaks (spectra x peaks, with their mask) to unit vectors: peak layer, attention and max pooling over the
+    peaks, precursor layer, projection; zeros for a spectrum without peaks. What padding holds has no influence."""
+    h = _gelu(_dense(np.stack([mz / 1000, intensity], axis=-1), weights["peak"]))
+    a = np.where(mask, _dense(h, weights["attention"])[..., 0], -np.inf)
+    some = mask.any(axis=1)
+    a = np.exp(a - np.where(some, a.max(axis=1, initial=-np.inf), 0.0)[:, None])
+    a = a / np.maximum(a.sum(axis=1), 1e-300)[:, None]
+    top = np.where(some[:, None], np.where(mask[..., None], h, -np.inf).max(axis=1, initial=-np.inf), 0.0)
+    pooled = np.concatenate([(np.where(mask[..., None], h, 0.0) * a[..., None]).sum(axis=1), top, _gelu(_dense(precursor[:, None] / 1000, weights["precursor"]))], axis=1)
     out = _dense(pooled, weights["out"])
-    return out / max(float(np.linalg.norm(out)), 1e-12)
+    return np.where(some[:, None], out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12), 0.0)
 
 
-def molecule_vector(fingerprint: np.ndarray, layers: list[dict]) -> np.ndarray:
-    """Dense layers with layer norm and GELU between, unit length."""
-    x = fingerprint.astype(float)
+def molecule_vectors(fingerprints: np.ndarray, layers: list[dict]) -> np.ndarray:
+    """Rows of fingerprints to unit vectors: dense layers with layer norm and GELU between."""
+    x = fingerprints.astype(float)
     for i, layer in enumerate(layers):
         x = _dense(x, layer)
         if i < len(layers) - 1:
-            x = _gelu((x - x.mean()) / np.sqrt(x.var() + 1e-5) * layer.get("scale", 1.0) + layer.get("shift", 0.0))
-    return x / max(float(np.linalg.norm(x)), 1e-12)
+            x = (x - x.mean(axis=-1, keepdims=True)) / np.sqrt(x.var(axis=-1, keepdims=True) + 1e-5)
+            x = _gelu(x * layer.get("scale", 1.0) + layer.get("shift", 0.0))
+    return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
+
+
+def molecule_vector(fingerprint: np.ndarray, layers: list[dict]) -> np.ndarray:
+    return molecule_vectors(fingerprint[None, :], layers)[0]
+
+
+ROWS = 512  # spectra or molecules encoded at once
+
+
+def _padded(lists: list[list | None]) -> tuple[np.ndarray, np.ndarray]:
+    width = max([1, *(len(x or ()) for x in lists)])
+    out, mask = np.zeros((len(lists), width)), np.zeros((len(lists), width), bool)
+    for i, x in enumerate(lists):
+        out[i, : len(x or ())] = x or ()
+        mask[i, : len(x or ())] = True
+    return out, mask
 
 
 def encode_spectra(df: DataFrame, weights: dict, spectrum: str = "spectrum_id") -> DataFrame:
@@ -50,14 +80,34 @@ def encode_spectra(df: DataFrame, weights: dict, spectrum: str = "spectrum_id")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, mzs, ints, pre = (c.to_pylist() for c in batch.columns)
-            out = [spectrum_vector(np.array(m, float), np.array(i, float), p or 0.0, shared.value).tolist() for m, i, p in zip(mzs, ints, pre, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], [spectrum, "embedding"])
+            for at in range(0, batch.num_rows, ROWS):
+                ids, mzs, ints, pre = batch.slice(at, ROWS).columns
+                mz, mask = _padded(mzs.to_pylist())
+                out = spectrum_vectors(mz, _padded(ints.to_pylist())[0], mask, np.array([p or 0.0 for p in pre.to_pylist()]), shared.value)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(list(out), pa.list_(pa.float64()))], [spectrum, "embedding"])
 
     kind = dict(df.dtypes)[spectrum]
     return df.select(spectrum, "mzs", "intensities", "precursor_mz").mapInArrow(rows, f"{spectrum} {kind}, embedding array<double>")
 
 
+def encode_molecules(df: DataFrame, layers: list[dict], molecule: str = "structure", fingerprint: str = "fingerprint") -> DataFrame:
+    """(molecule, embedding) of rows with a fingerprint array; null for a null fingerprint."""
+    shared = df.sparkSession.sparkContext.broadcast(layers)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                ids, prints = batch.slice(at, ROWS).columns
+                out: list = prints.to_pylist()
+                known = [i for i, x in enumerate(out) if x is not None]
+                if known:
+                    for i, v in zip(known, molecule_vectors(np.array([out[i] for i in known]), shared.value), strict=True):
+                        out[i] = v
+                yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.list_(pa.float64()))], [molecule, "embedding"])
+
+    return df.select(molecule, fingerprint).mapInArrow(rows, f"{molecule} {dict(df.dtypes)[molecule]}, embedding array<double>")
+
+
 def supervised_contrastive_loss(batch: DataFrame, by: str, label: str, vector: str = "embedding", item: str = "vec_id", temperature: float = 0.1) -> DataFrame:
     """(by, loss, n_anchors): mean over anchors with a positive of the mean over its positives of -log softmax, inside each batch."""
     a = batch.select(by, F.col(item).alias("i"), F.col(label).alias("li"), F.col(vector).alias("vi"))

@@ -1,16 +1,17 @@
 """A learned reranker on Spark ML: pairwise logistic regression over feature differences.
 
 It stands in for a gradient-boosted pairwise ranker, which Spark does not have; it makes no claim to equal its
-scores. Pairs are formed inside a query only, a positive with each of its negatives.
+scores. Pairs are formed inside a query only, a positive with each of its negatives; the objective weighs them by
+what their exchange would change in the ranking by the first feature.
 """
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import require
@@ -22,22 +23,34 @@ OBJECTIVES = ("rank:pairwise", "rank:ndcg", "rank:map")
 
 @dataclass(frozen=True)
 class RankerConfig:
+    """``objective`` sets the weights of pairs: all equal, by the change in NDCG, or by the change in average precision.
+
+    With validation rows the fit is looked at every ``step`` iterations and stops ``patience`` iterations after the best.
+    """
+
     objective: str = "rank:pairwise"
     max_iter: int = 50
     reg: float = 1e-3
+    step: int = 5
+    patience: int = 10
     features: tuple[str, ...] = field(default=tuple(MODEL_FEATURES))
 
     def __post_init__(self) -> None:
         if self.objective not in OBJECTIVES:
             raise ValueError(f"unknown objective {self.objective}; known: {', '.join(OBJECTIVES)}")
-        if self.max_iter <= 0 or self.reg < 0 or not self.features:
-            raise ValueError("max_iter must be positive, reg not negative, features not empty")
+        if self.max_iter <= 0 or self.reg < 0 or self.step <= 0 or self.patience <= 0 or not self.features:
+            raise ValueError("max_iter, step and patience must be positive, reg not negative, features not empty")
 
 
 @dataclass(frozen=True)
 class Ranker:
+    """Weights, and if the fit was validated the iteration that they are from, its MRR at 25 and that of every look."""
+
     config: RankerConfig
     weights: tuple[float, ...]
+    best_iteration: int | None = None
+    best_score: float | None = None
+    history: tuple[tuple[int, float], ...] = ()
 
     def score(self) -> Column:
         return F.aggregate(F.zip_with(feature_array(list(self.config.features)), F.array(*[F.lit(w) for w in self.weights]), lambda x, w: x * w), F.lit(0.0), lambda acc, x: acc + x)
@@ -51,28 +64,64 @@ class Ranker:
         return table.orderBy(F.desc(F.abs("weight")), "feature")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        spark.createDataFrame([(*asdict(self.config).values(), list(self.weights))], "objective string, max_iter int, reg double, features array<string>, weights array<double>").write.mode("overwrite").json(path)
+        c = self.config
+        row = (c.objective, c.max_iter, c.reg, c.step, c.patience, list(c.features), list(self.weights), self.best_iteration, self.best_score, [list(map(float, h)) for h in self.history])
+        spark.createDataFrame([row], _SAVED).write.mode("overwrite").json(path)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Ranker:
-        r = spark.read.schema("objective string, max_iter int, reg double, features array<string>, weights array<double>").json(path).first()
-        return Ranker(RankerConfig(r.objective, r.max_iter, r.reg, tuple(r.features)), tuple(r.weights))
+        r = spark.read.schema(_SAVED).json(path).first()
+        config = RankerConfig(r.objective, r.max_iter, r.reg, r.step, r.patience, tuple(r.features))
+        return Ranker(config, tuple(r.weights), r.best_iteration, r.best_score, tuple((int(n), x) for n, x in r.history))
+
+
+_SAVED = "objective string, max_iter int, reg double, step int, patience int, features array<string>, weights array<double>, best_iteration int, best_score double, history array<array<double>>"
+
 
+def gain(rank: Column, objective: str) -> Column:
+    """What a positive at ``rank`` adds to the objective's metric."""
+    if objective == "rank:ndcg":
+        return 1 / F.log2(rank + 1)
+    return F.lit(1.0) / rank
 
-def difference_pairs(rows: DataFrame, features: list[str], query: str = "query_id", target: str = "target") -> DataFrame:
-    """(features, label): positive minus negative with label 1, and its opposite with 0 for every second pair."""
+
+def difference_pairs(rows: DataFrame, features: list[str], query: str = "query_id", target: str = "target", objective: str = "rank:pairwise") -> DataFrame:
+    """(features, label, weight): positive minus negative with label 1, and its opposite with 0 for every second pair."""
     x = require(rows, [query, target, *features]).select(F.col(query).alias("q"), F.col(target).alias("t"), feature_array(features).alias("x"), F.xxhash64(query, *features).alias("h"))
-    p, n = x.where("t = 1").select("q", F.col("x").alias("px"), F.col("h").alias("ph")), x.where("t = 0").select("q", F.col("x").alias("nx"), F.col("h").alias("nh"))
+    x = x.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.get("x", 0)), "h")))
+    p = x.where("t = 1").select("q", F.col("x").alias("px"), F.col("h").alias("ph"), F.col("r").alias("pr"))
+    n = x.where("t = 0").select("q", F.col("x").alias("nx"), F.col("h").alias("nh"), F.col("r").alias("nr"))
     label = (F.col("ph").bitwiseXOR(F.col("nh")) % 2 == 0).cast("double")
     sign = F.when(label == 1, 1.0).otherwise(-1.0)
-    return p.join(n, "q").select(array_to_vector(F.zip_with("px", "nx", lambda a, b: (a - b) * sign)).alias("features"), label.alias("label"))
+    weight = F.lit(1.0) if objective == "rank:pairwise" else F.abs(gain(F.col("pr"), objective) - gain(F.col("nr"), objective))
+    return p.join(n, "q").select(array_to_vector(F.zip_with("px", "nx", lambda a, b: (a - b) * sign)).alias("features"), label.alias("label"), weight.alias("weight"))
+
 
+def fit(rows: DataFrame, config: RankerConfig | None = None, query: str = "query_id", target: str = "target", validation: DataFrame | None = None) -> Ranker:
+    """The ranker after max_iter iterations, or with ``validation`` that of the best look.
 
-def fit(rows: DataFrame, config: RankerConfig | None = None, query: str = "query_id", target: str = "target") -> Ranker:
+    The optimiser is deterministic and starts from zero, so a fit of n iterations is the nth state of a longer one.
+    """
     config = config or RankerConfig()
-    pairs = difference_pairs(rows, list(config.features), query, target)
-    model = LogisticRegression(maxIter=config.max_iter, regParam=config.reg, fitIntercept=False, standardization=True).fit(pairs)
-    return Ranker(config, tuple(float(w) for w in model.coefficients))
+    pairs = difference_pairs(rows, list(config.features), query, target, config.objective)
+
+    def after(n: int) -> tuple[float, ...]:
+        model = LogisticRegression(maxIter=n, regParam=config.reg, fitIntercept=False, standardization=True, weightCol="weight").fit(pairs)
+        return tuple(float(w) for w in model.coefficients)
+
+    if validation is None:
+        return Ranker(config, after(config.max_iter))
+    best, history = None, []
+    for n in range(config.step, config.max_iter + config.step, config.step):
+        n = min(n, config.max_iter)
+        weights = after(n)
+        score = float(evaluate(validation, Ranker(config, weights), query).first().mrr_25)
+        history.append((n, score))
+        if best is None or score > best[1]:
+            best = (n, score, weights)
+        if n - best[0] >= config.patience or n == config.max_iter:
+            break
+    return Ranker(config, best[2], best[0], best[1], tuple(history))
 
 
 def evaluate(rows: DataFrame, ranker: Ranker, query: str = "query_id", candidate: str = "candidate_id") -> DataFrame:
@@ -80,9 +129,16 @@ def evaluate(rows: DataFrame, ranker: Ranker, query: str = "query_id", candidate
     return metrics_bundle(true_ranks(ordered, query))
 
 
+#: The grid of an experiment: objective and regularisation.
+EXPERIMENTS = (RankerConfig(), RankerConfig(reg=0.1), RankerConfig("rank:ndcg"), RankerConfig("rank:map"))
+
+
+def run_experiments(train: DataFrame, validation: DataFrame, configs: list[RankerConfig] | tuple[RankerConfig, ...] = EXPERIMENTS) -> tuple[Ranker, list[Ranker]]:
+    """(the fit of largest validation MRR at 25, the first of equal ones; every fit in the order of ``configs``)."""
+    fitted = [fit(train, c, validation=validation) for c in configs]
+    return max(fitted, key=lambda r: (r.best_score, -fitted.index(r))), fitted
+
+
 def select_best(train: DataFrame, validation: DataFrame, configs: list[RankerConfig]) -> tuple[Ranker, float]:
-    """The config of largest validation MRR at 25, the first of equal ones."""
-    fitted = [fit(train, c) for c in configs]
-    scores = [evaluate(validation, r).first().mrr_25 for r in fitted]
-    best = max(range(len(scores)), key=lambda i: (scores[i], -i))
-    return fitted[best], scores[best]
+    best, _ = run_experiments(train, validation, configs)
+    return best, best.best_score

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import encoders, range_join, ranker
@@ -60,3 +63,53 @@ def reranked_candidates(spark, d):
 
 
 b.REGISTERED["reranked_candidates"] = (reranked_candidates, "")
+
+
+def _layer(inputs: int, outputs: int, phase: float) -> dict:
+    """Weights by a rule, small and of both signs."""
+    at = np.arange(inputs * outputs, dtype=float).reshape(inputs, outputs)
+    return {"w": np.sin(at * 0.7 + phase) * 0.4, "b": np.cos(np.arange(outputs) + phase) * 0.1}
+
+
+SPECTRUM_WEIGHTS = {"peak": _layer(2, 12, 0.1), "attention": _layer(12, 1, 0.2), "precursor": _layer(1, 4, 0.3), "out": _layer(28, 16, 0.4)}
+MOLECULE_LAYERS = [_layer(32, 24, 0.5), _layer(24, 16, 0.6)]
+
+
+def encoded_spectra(spark, d):
+    """The spectrum encoder with given weights over preprocessed peak lists of all spectra."""
+    from ..functions.peak_arrays import PROFILES
+    from ..operators.peaks import preprocess
+
+    kept = preprocess(b.peaks(spark, d), PROFILES["baseline"])
+    lists = kept.groupBy("spectrum_id").agg(F.array_sort(F.collect_list(F.struct("mz", "intensity"))).alias("p"), F.max("mz").alias("precursor_mz"))
+    out = encoders.encode_spectra(lists.select("spectrum_id", F.col("p.mz").alias("mzs"), F.col("p.intensity").alias("intensities"), "precursor_mz"), SPECTRUM_WEIGHTS)
+    return out.select("spectrum_id", *[F.round(F.get("embedding", i), 6).alias(f"e{i}") for i in range(16)])
+
+
+def encoded_molecules(spark, d):
+    """The molecule encoder with given weights over hashed 32-bit fingerprints of the candidates' names."""
+    words = F.split("smiles", " ")
+    bits = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.exists(words, lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(32)) == i).cast("int"))
+    prints = b.variants(spark, d).groupBy("structure").agg(F.min("smiles").alias("smiles")).select("structure", bits.alias("fingerprint"))
+    out = encoders.encode_molecules(prints, MOLECULE_LAYERS)
+    return out.select("structure", *[F.round(F.get("embedding", i), 6).alias(f"e{i}") for i in range(16)])
+
+
+def ranker_experiments(spark, d):
+    """Four configurations fitted on even groups' features and looked at on odd ones: best iteration, MRR at 25 of each look, and which is chosen."""
+    rows = _features(spark, d).select(F.col("grp").alias("query_id"), F.col("structure").alias("candidate_id"), *ranker.MODEL_FEATURES).withColumn("target", (F.col("candidate_id") % 5 == 0).cast("int"))
+    train, validation = rows.where("query_id % 2 = 0"), rows.where("query_id % 2 = 1")
+    configs = [replace(c, max_iter=10) for c in ranker.EXPERIMENTS]
+    best, fitted = ranker.run_experiments(train, validation, configs)
+    table = [(i, r.config.objective, r.config.reg, r.best_iteration, round(r.best_score, 6), ";".join(f"{n}:{x:.6f}" for n, x in r.history), r is best) for i, r in enumerate(fitted)]
+    return spark.createDataFrame(table, "experiment int, objective string, reg double, best_iteration int, mrr_25 double, history string, chosen boolean")
+
+
+def feature_importances(spark, d):
+    """Features by the size of their weights in a ranker fitted on all groups."""
+    rows = _features(spark, d).select(F.col("grp").alias("query_id"), F.col("structure").alias("candidate_id"), *ranker.MODEL_FEATURES).withColumn("target", (F.col("candidate_id") % 5 == 0).cast("int"))
+    return rounded(ranker.fit(rows, ranker.RankerConfig(max_iter=10)).importances(spark))
+
+
+for _f in (encoded_spectra, encoded_molecules, ranker_experiments, feature_importances):  # held against brute force, not SQL
+    b.REGISTERED[_f.__name__] = (_f, "")

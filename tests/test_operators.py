@@ -249,6 +249,141 @@ def test_ranker(spark, tmp_path):
         ranker.RankerConfig(objective="none")
 
 
+def test_ranker_objectives_and_stopping(spark):
+    rng = np.random.default_rng(2)
+    rows = [(q, c, int(c == 0), *(float(x) for x in (rng.normal(1.0 if c == 0 else 0, 1), rng.normal()))) for q in range(30) for c in range(5)]
+    df = spark.createDataFrame(rows, "query_id int, candidate_id int, target int, f1 double, f2 double")
+    # weights against their definition: ranks by the first feature
+    for objective, worth in (("rank:pairwise", None), ("rank:ndcg", lambda r: 1 / math.log2(r + 1)), ("rank:map", lambda r: 1 / r)):
+        want = []
+        for q in range(30):
+            own = sorted((r for r in rows if r[0] == q), key=lambda r: -r[3])
+            place = {r[1]: i + 1 for i, r in enumerate(own)}
+            want += [1.0 if worth is None else abs(worth(place[0]) - worth(place[c])) for c in range(1, 5)]
+        got = sorted(r.weight for r in ranker.difference_pairs(df, ["f1", "f2"], objective=objective).collect())
+        assert got == pytest.approx(sorted(want))
+    config = ranker.RankerConfig(max_iter=9, step=2, patience=4, features=("f1", "f2"))
+    model = ranker.fit(df.where("query_id < 20"), config, validation=df.where("query_id >= 20"))
+    assert [n for n, _ in model.history] == list(range(2, 2 + 2 * len(model.history), 2)) or model.history[-1][0] == 9
+    assert (model.best_iteration, model.best_score) == max(model.history, key=lambda h: (h[1], -h[0]))
+    assert model.history[-1][0] - model.best_iteration >= 4 or model.history[-1][0] == 9
+    assert model.weights == ranker.fit(df.where("query_id < 20"), ranker.RankerConfig(max_iter=model.best_iteration, features=("f1", "f2"))).weights
+    best, score = ranker.select_best(df.where("query_id < 20"), df.where("query_id >= 20"), [config, ranker.RankerConfig("rank:ndcg", max_iter=4, features=("f1", "f2"))])
+    assert score == best.best_score >= model.best_score
+
+
+def plain_gelu(x):
+    return [0.5 * v * (1 + math.erf(v / math.sqrt(2))) for v in x]
+
+
+def plain_dense(x, layer):
+    return [sum(x[i] * layer["w"][i][j] for i in range(len(x))) + layer["b"][j] for j in range(len(layer["b"]))]
+
+
+def unit(x):
+    n = math.sqrt(sum(v * v for v in x))
+    return [v / n for v in x]
+
+
+def test_encoders_against_plain_python(spark):
+    from peakloom.plans.training_queries import MOLECULE_LAYERS, SPECTRUM_WEIGHTS as w
+
+    x = np.linspace(-8, 8, 4001)
+    assert np.allclose(encoders.erf(x), [math.erf(v) for v in x], atol=1e-15, rtol=1e-13)
+    lists = [([100.0, 200.5, 950.0], [1.0, 0.5, 0.25], 300.0), ([], [], 300.0), ([55.5], [1.0], None), (None, None, 1.0)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(lists)], "spectrum_id long, mzs array<double>, intensities array<double>, precursor_mz double")
+    got = {r.spectrum_id: r.embedding for r in encoders.encode_spectra(df.coalesce(1), w).collect()}
+    for i, (mzs, ints, pre) in enumerate(lists):
+        if not mzs:
+            assert got[i] == [0.0] * 16
+            continue
+        h = [plain_gelu(plain_dense([m / 1000, v], w["peak"])) for m, v in zip(mzs, ints)]
+        a = [math.exp(plain_dense(v, w["attention"])[0]) for v in h]
+        pooled = [sum(a[p] * h[p][j] for p in range(len(h))) / sum(a) for j in range(12)] + [max(v[j] for v in h) for j in range(12)]
+        assert got[i] == pytest.approx(unit(plain_dense(pooled + plain_gelu(plain_dense([(pre or 0.0) / 1000], w["precursor"])), w["out"])), abs=1e-12)
+    prints = spark.createDataFrame([(1, [1, 0] * 16), (2, None), (3, [1] * 32)], "structure long, fingerprint array<int>")
+    found = {r.structure: r.embedding for r in encoders.encode_molecules(prints, MOLECULE_LAYERS).collect()}
+    for k, bits in ((1, [1, 0] * 16), (3, [1] * 32)):
+        y = plain_dense(bits, MOLECULE_LAYERS[0])
+        mean = sum(y) / len(y)
+        y = plain_gelu([(v - mean) / math.sqrt(sum((u - mean) ** 2 for u in y) / len(y) + 1e-5) for v in y])
+        assert found[k] == pytest.approx(unit(plain_dense(y, MOLECULE_LAYERS[1])), abs=1e-12)
+    assert found[2] is None
+
+
+def test_cells(spark):
+    """Quantiles, dense places and complete groups against numpy, on skewed, tied, null and empty columns."""
+    from peakloom.operators import cells
+
+    rng = np.random.default_rng(4)
+    data = [("a", float(v)) for v in rng.exponential(1, 3000)] + [("b", float(v)) for v in rng.integers(0, 3, 500)] + [("c", None), ("c", None), (None, 5.0), (None, 7.0), ("d", 1e300)]
+    df = spark.createDataFrame(data, "g string, v double")
+    points = {"q0": 0.0, "q10": 0.1, "q50": 0.5, "q99": 0.99, "q100": 1.0}
+    got = {r.g: r for r in cells.quantiles(df, "v", points, ["g"]).collect()}
+    for g in ("a", "b", "d", None):
+        own = [v for k, v in data if k == g and v is not None]
+        assert [got[g][n] for n in points] == pytest.approx([np.quantile(own, q) for q in points.values()], rel=1e-12), g
+    assert "c" not in got and cells.aggregated(df, ["g"], [F.count("*").alias("n")], "v", {"p": 0.5}).where("g = 'c'").first() == ("c", 2, None)
+    whole = [v for _, v in data if v is not None]
+    assert cells.quantiles(df, "v", {"p": 0.37}).first().p == pytest.approx(np.quantile(whole, 0.37), rel=1e-12)
+    assert cells.quantiles(df.limit(0), "v", {"p": 0.5}).count() == 0 or cells.quantiles(df.limit(0), "v", {"p": 0.5}).first().p is None
+    names = [f"common-prefix-{i}" for i in range(1500)] + [None]
+    index = {r.k: r.row_index for r in splits.dense_index(spark.createDataFrame([(n,) for n in names], "k string"), "k").collect()}
+    assert [k for k, _ in sorted(index.items(), key=lambda x: x[1])] == [None, *sorted(n for n in names if n)] and sorted(index.values()) == list(range(1501))
+    head = splits.complete_groups(spark.createDataFrame([(i // 3, i) for i in range(30)], "g int, i int"), "g", 11)
+    assert sorted(r.i for r in head.collect()) == list(range(9))
+
+
+def test_nearest_variant_is_picked_in_the_join(spark):
+    """Against a window over all hits: several variants, equal masses, ties on both sides."""
+    rng = np.random.default_rng(8)
+    rows = [(int(rng.integers(0, 12)), "s%d" % rng.integers(0, 5), float(np.round(rng.uniform(100, 100.4), 2))) for _ in range(150)]
+    q = [(i, float(np.round(rng.uniform(100, 100.4), 3))) for i in range(60)]
+    got = range_join.mass_hits(spark.createDataFrame(q, "spectrum_id int, mass double"), spark.createDataFrame(rows, "structure int, smiles string, exact_mass double"), 600.0).collect()
+    want = {}
+    for i, m in q:
+        for s, name, x in rows:
+            if m - m * 600 * 1e-6 <= x <= m + m * 600 * 1e-6:
+                key = (abs((x - m) / m * 1e6), x, name)
+                want[i, s] = min(want.get((i, s), key), key)
+    assert {(r.spectrum_id, r.structure): (r.exact_mass, r.smiles) for r in got} == {k: v[1:] for k, v in want.items()} and len(got) == len(want)
+    assert {r.structure: r.variant_count for r in got} == {s: sum(1 for r in rows if r[0] == s) for s in {r.structure for r in got}}
+
+
+def test_one_to_one(spark):
+    a, z = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string"), spark.createDataFrame([(1, "p"), (3, "q"), (3, "r")], "k int, w string")
+    assert pools.one_to_one(a, z.where("w <> 'r'"), ["k"], "left").count() == 2
+    with pytest.raises(Exception, match="repeated key in the right table: 3"):
+        pools.one_to_one(a, z, ["k"], "full_outer").collect()
+
+
+def test_chemistry_filters(spark):
+    from peakloom.functions.chem import ChemistryConfig
+    from peakloom.operators import evaluation
+
+    rows = [(q, s, adduct, 100.0, mass) for q, adduct in ((1, "[M+H]+"), (2, "[M+Na]+"), (3, "[M+2H]2+"), (4, "[?]"), (5, "[M+Na]+")) for s, mass in ((1, 100.0 if q == 5 else 101.0), (2, 102.0), (3, None))]
+    df = spark.createDataFrame(rows, "query int, structure int, adduct string, neutral_mass double, exact_mass double")
+    kept = lambda c: sorted((r.query, r.structure) for r in evaluation.chemistry_filter(df, c).collect())
+    every = [(q, s) for q in (2, 3, 4) for s in (1, 2, 3)]
+    assert kept(ChemistryConfig()) == every + [(5, 1)]  # hard: none left; soft: all of 2 back; disabled and unknown: passed
+    assert kept(ChemistryConfig(fallback=False)) == every[3:] + [(5, 1)]
+    candidates = spark.createDataFrame([(g, s, 100.0 + s) for g in (1, 2, 3, 4) for s in (0, 1)], "grp int, structure int, exact_mass double")
+    seen = spark.createDataFrame([(1, "[M+H]+", 100.0), (1, "[M+Na]+", 101.0), (2, "[M+Na]+", 101.0), (2, "[M+K]+", 300.0), (3, "[M+Na]+", 300.0), (4, "[?]", 100.0)], "grp int, adduct string, neutral_mass double")
+    got = sorted((r.grp, r.structure) for r in evaluation.multi_observation_filter(candidates, seen).collect())
+    assert got == [(1, 0), (2, 1), (3, 0), (3, 1), (4, 0), (4, 1)]
+
+
+def test_zero_aware_ranks_equal_the_grid(spark):
+    rng = np.random.default_rng(9)
+    scores = spark.createDataFrame([(q, s, float(np.round(rng.uniform(0.1, 1), 1))) for q in range(8) for s in rng.choice(20, 6, replace=False).tolist()], "query int, structure int, score double")
+    truths = spark.createDataFrame([(q, int(rng.integers(0, 20))) for q in range(8)] + [(8, 3), (9, 99)], "query int, structure int")
+    structures = spark.createDataFrame([(s,) for s in range(20)], "structure int")
+    grid = similarity.with_zero_scores(scores, truths.select("query"), structures)
+    placed = scoring.ranked(grid, "query", [F.desc("score"), F.col("structure")]).join(truths.withColumnRenamed("structure", "t"), "query").where("structure = t")
+    want = {r.query: r["rank"] for r in placed.collect()}
+    assert {r.query: r["rank"] for r in similarity.zero_aware_ranks(scores, truths, structures).collect()} == want | {9: None}
+
+
 def test_encoders(spark):
     rng = np.random.default_rng(1)
     def layer(i, o):

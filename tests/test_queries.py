@@ -33,6 +33,16 @@ def test_reranker_runs(spark, sf):
     assert rows and all(r.rank >= 1 for r in rows)
 
 
+@pytest.mark.parametrize("name", ["encoded_spectra", "encoded_molecules", "ranker_experiments", "feature_importances"])
+def test_queries_without_sql(spark, sf, name):
+    rows = bindings.REGISTERED[name][0](spark, sf).collect()
+    assert rows
+    if name.startswith("encoded"):
+        assert all(abs(sum(x * x for x in r[1:]) - 1) < 1e-4 for r in rows)
+    if name == "ranker_experiments":
+        assert [r.mrr_25 for r in rows if r.chosen] == [max(r.mrr_25 for r in rows)]
+
+
 def test_entry_module_lists_everything():
     import __spark_entry__ as e
 
