@@ -105,7 +105,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     open_runs = pieces.where(~F.col("settled"))
     # two hashes a range partition at most, so this side is bounded by the number of partitions
     totals = open_runs.groupBy("h1", "h2").agg(F.sum("opens").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
-    late = open_runs.join(F.broadcast(totals), ["h1", "h2"]).where(F.col("doc_id") != F.col("keeper"))
+    late = open_runs.join(totals, ["h1", "h2"]).where(F.col("doc_id") != F.col("keeper"))
     return pieces.where("settled").select("doc_id", "line").unionByName(late.select("doc_id", "line"))
 
 

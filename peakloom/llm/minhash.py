@@ -13,7 +13,7 @@ components are compared too, so that no link between different sets is lost, whi
 linked already costs one comparison a member. Of those pairs only the possible ones are made: a link across
 components rests on shingles that several components hold, so a pair whose sets have too few of these for
 their sizes is none; and a shingle whose bit the other set's bit map lacks is not in that set, which bounds the
-intersection from above. Neither test loses a link; both leave out the copies whose own changes set them apart.
+intersection from above. A large bucket is compared in blocks of both sides. Neither test loses a link; both leave out the copies whose own changes set them apart.
 
 Cases: a text with fewer words than a shingle is one shingle; null, empty and blank texts have no set, no
 links, and are their own component; rows with equal ids are one document.
@@ -39,6 +39,7 @@ HASHES = 128
 BAND = 5
 BITS = 4
 MAP_LONGS = 32  # 2,048 bits in a set's bit map
+BUCKET_ROWS = 2000  # of an open bucket that a task compares with as many others
 SLACK = 0.2  # six standard deviations of the estimate at the threshold
 
 _rng = np.random.Generator(np.random.PCG64(2024))
@@ -208,14 +209,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = open_rows.groupBy("rep").agg(F.collect_list("key").alias("keys"))  # a band's key each, so 25 at most
     maps = bit_maps(whole.join(able.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), k)
     open_rows = materialize(open_rows.join(able, "rep").join(keys, "rep").join(bits.select(F.col("doc_id").alias("rep"), "bits"), "rep").join(maps, "rep"), "able-rows")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
+    # a large bucket is compared in blocks, so that its pairs are dealt out over many tasks
+    blocks = open_rows.groupBy("key").agg(F.ceil(F.count("*") / BUCKET_ROWS).cast("int").alias("n_blocks"))
+    dealt = open_rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")).withColumn("each", F.sequence(F.lit(0), F.col("n_blocks") - 1))
+    x = dealt.withColumn("i", F.col("block")).withColumn("j", F.explode("each")).drop("block", "each", "n_blocks").alias("x")
+    y = dealt.withColumn("j", F.col("block")).withColumn("i", F.explode("each")).drop("block", "each", "n_blocks").alias("y")
+    same_cell = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
     needed = percent * (F.col("x.size") + F.col("y.size"))  # of (100 + percent) * intersection
     enough = (100 + percent) * F.least("x.common", "y.common") >= needed
     most = F.least(F.col("x.size") - absent(F.col("x.bitmap"), F.col("y.bitmap")), F.col("y.size") - absent(F.col("y.bitmap"), F.col("x.bitmap")))
     possible = (100 + percent) * most >= needed
     likely_pair = estimate(F.col("x.bits"), F.col("y.bits")) >= least
     first_meeting = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")  # a pair comes from one bucket only
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & enough & likely_pair & possible & first_meeting)
+    across = x.join(y, same_cell & (F.col("x.c") < F.col("y.c")) & enough & likely_pair & possible & first_meeting)
     more = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     late = materialize(confirmed(more, whole, k, percent), "late-links")
     if not late.isEmpty():

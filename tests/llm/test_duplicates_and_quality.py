@@ -48,7 +48,9 @@ def components_of(texts, percent=85):
     return [(len(s), h) for s, h in zip(sets, home, strict=True)]
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("rows", [2000, 3])
+def test_near_duplicates(spark, monkeypatch, rows):
+    monkeypatch.setattr(minhash, "BUCKET_ROWS", rows)
     rng = np.random.default_rng(1)
     texts = list(AWKWARD)
     for _ in range(6):
