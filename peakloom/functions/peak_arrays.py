@@ -76,7 +76,7 @@ def merged(peaks: Column) -> Column:
 def strongest(peaks: Column, n: int) -> Column:
     """The n most intense peaks (of equal ones those of lower m/z), in m/z order."""
     by_intensity = F.array_sort(F.transform(peaks, lambda p: F.struct((-p["intensity"]).alias("least"), p["mz"].alias("mz"), p["intensity"].alias("intensity"))))
-    return F.transform(F.array_sort(F.transform(F.slice(by_intensity, 1, n), lambda p: F.struct(p["mz"].alias("mz"), p["intensity"].alias("intensity")))), lambda p: p)
+    return F.array_sort(F.transform(F.slice(by_intensity, 1, n), lambda p: F.struct(p["mz"].alias("mz"), p["intensity"].alias("intensity"))))
 
 
 def preprocessed(peaks: Column, precursor: Column | None, config: PeakProfile) -> Column:

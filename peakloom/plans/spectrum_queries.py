@@ -201,17 +201,16 @@ def split_count(spark, d):
     return b.table(spark, d, "customer").where(stable_fraction(F.col("c_custkey").cast("string")) < 0.1).agg(F.count("*").alias("n"))
 
 
-@query(sql("spectra", "SELECT grp, round(best, 6) AS best, n_better FROM (SELECT grp, best, count_if(mass > best) OVER () AS x, (SELECT count(*) FROM spectra s2 WHERE s2.mass > g.best)::BIGINT AS n_better FROM (SELECT grp, max(mass) AS best FROM spectra WHERE grp % 50 = 0 GROUP BY 1) g, (SELECT 0 AS mass LIMIT 1))"))
+@query(sql("spectra", "SELECT grp, round(best, 6) AS best, n_better FROM (SELECT grp, max(mass) AS best FROM spectra GROUP BY 1) JOIN (SELECT DISTINCT mass AS best, rank() OVER (ORDER BY mass DESC) - 1 AS n_better FROM spectra) USING (best)"))
 def best_true_rank(spark, d):
-    """Rank of a group's best score among all spectra's scores: the number of larger ones, by a running count."""
+    """Each group's largest mass among those of all spectra: the number of larger ones, by a running count in cells."""
     s = b.spectra(spark, d)
-    sizes = s.groupBy("mass").agg(F.count("*").alias("n"))
-    cells = sizes.withColumn("cell", F.floor("mass"))
-    totals = cells.groupBy("cell").agg(F.sum("n").alias("t"))
-    above = totals.select("cell", F.coalesce(F.sum("t").over(Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("above"))
-    inside = F.coalesce(F.sum("n").over(Window.partitionBy("cell").orderBy(F.desc("mass")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = cells.withColumn("inside", inside).join(above, "cell").select(F.col("mass").alias("best"), (F.col("inside") + F.col("above")).alias("n_better"))
-    best = s.where("grp % 50 = 0").groupBy("grp").agg(F.max("mass").alias("best"))
+    placed = cells.with_cells(s.groupBy("mass").agg(F.count("*").alias("n")), "mass")
+    totals = placed.groupBy("__cell").agg(F.sum("n").alias("t"))  # some hundred rows
+    above = totals.select("__cell", F.coalesce(F.sum("t").over(Window.orderBy(F.desc("__cell")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("above"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("__cell").orderBy(F.desc("mass")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = placed.withColumn("inside", inside).join(above, "__cell").select(F.col("mass").alias("best"), (F.col("inside") + F.col("above")).alias("n_better"))
+    best = s.groupBy("grp").agg(F.max("mass").alias("best"))
     return rounded(best.join(ranks, "best").select("grp", "best", "n_better"))
 
 

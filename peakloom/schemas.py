@@ -5,13 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPECTRA = "spectrum_id long, molecule_id string, ionization_mode string, instrument_type string, adduct string, precursor_mz double, collision_energy_ev array<double>, ms2_mzs array<double>, ms2_normalized_intensities array<double>"
-VARIANTS = "structure string, smiles string, formula string, exact_mass double"
-EXTERNAL = "source string, source_id string, inchikey string, structure string, smiles string, formula string, exact_mass double, heavy_atom_count int, formal_charge int, fragment_count int"
-MANIFEST = "grp long, structure string, mode string, n_spectra long, n_supporting long, mean_error_ppm double, mean_abs_error_ppm double"
-RANKING = "query_id string, candidate_id string, target int"
-
-
 def require(df: DataFrame, columns: list[str]) -> DataFrame:
     """``df``, or ValueError naming the columns that it lacks."""
     absent = [c for c in columns if c not in df.columns]
