@@ -103,9 +103,10 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     ranged = hashes.repartitionByRange("h1", "h2", F.desc("doc_id")).sortWithinPartitions("h1", "h2", F.desc("doc_id"), "line")
     pieces = materialize(ranged.mapInArrow(_streamed(min_docs), _PIECE), "line-runs")
     open_runs = pieces.where(~F.col("settled"))
-    # two hashes a range partition at most, so this side is bounded by the number of partitions
+    # Two hashes a range partition at most, of some 40 bytes each: 8 MB for 100,000 partitions. Broadcast, so that the rows
+    # of one very common line, which may fill many partitions, are not brought together to be joined.
     totals = open_runs.groupBy("h1", "h2").agg(F.sum("opens").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
-    late = open_runs.join(totals, ["h1", "h2"]).where(F.col("doc_id") != F.col("keeper"))
+    late = open_runs.join(F.broadcast(totals), ["h1", "h2"]).where(F.col("doc_id") != F.col("keeper"))
     return pieces.where("settled").select("doc_id", "line").unionByName(late.select("doc_id", "line"))
 
 
