@@ -73,6 +73,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once where several steps read it, and safe from lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    write_parquet(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None, rows_per_file: int = 0) -> None:
     """zstd Parquet; arrays stay array columns."""
     writer = df.write.mode("overwrite").option("compression", "zstd")
