@@ -100,7 +100,7 @@ def difference_pairs(rows: DataFrame, features: list[str], query: str = "query_i
 def fit(rows: DataFrame, config: RankerConfig | None = None, query: str = "query_id", target: str = "target", validation: DataFrame | None = None) -> Ranker:
     """The ranker after max_iter iterations, or with ``validation`` that of the best look.
 
-    The optimiser is deterministic and starts from zero, so a fit of n iterations is the nth state of a longer one.
+    The optimiser draws nothing and starts from zero, so a fit of n iterations is, but for rounding, the nth state of a longer one.
     """
     config = config or RankerConfig()
     pairs = difference_pairs(rows, list(config.features), query, target, config.objective)

@@ -267,7 +267,8 @@ def test_ranker_objectives_and_stopping(spark):
     assert [n for n, _ in model.history] == list(range(2, 2 + 2 * len(model.history), 2)) or model.history[-1][0] == 9
     assert (model.best_iteration, model.best_score) == max(model.history, key=lambda h: (h[1], -h[0]))
     assert model.history[-1][0] - model.best_iteration >= 4 or model.history[-1][0] == 9
-    assert model.weights == ranker.fit(df.where("query_id < 20"), ranker.RankerConfig(max_iter=model.best_iteration, features=("f1", "f2"))).weights
+    again = ranker.fit(df.where("query_id < 20"), ranker.RankerConfig(max_iter=model.best_iteration, features=("f1", "f2")))
+    assert model.weights == pytest.approx(again.weights, rel=1e-9)  # sums of partitions come in any order
     best, score = ranker.select_best(df.where("query_id < 20"), df.where("query_id >= 20"), [config, ranker.RankerConfig("rank:ndcg", max_iter=4, features=("f1", "f2"))])
     assert score == best.best_score >= model.best_score
 
