@@ -210,11 +210,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     maps = bit_maps(whole.join(able.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), k)
     open_rows = materialize(open_rows.join(able, "rep").join(keys, "rep").join(bits.select(F.col("doc_id").alias("rep"), "bits"), "rep").join(maps, "rep"), "able-rows")
     # a large bucket is compared in blocks, so that its pairs are dealt out over many tasks
-    blocks = open_rows.groupBy("key").agg(F.ceil(F.count("*") / BUCKET_ROWS).cast("int").alias("n_blocks"))
-    dealt = open_rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")).withColumn("each", F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    x = dealt.withColumn("i", F.col("block")).withColumn("j", F.explode("each")).drop("block", "each", "n_blocks").alias("x")
-    y = dealt.withColumn("j", F.col("block")).withColumn("i", F.explode("each")).drop("block", "each", "n_blocks").alias("y")
-    same_cell = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    blocks = materialize(open_rows.groupBy("key").agg(F.ceil(F.count("*") / BUCKET_ROWS).cast("int").alias("n_blocks")).where("n_blocks > 1"), "large-buckets")
+    x, y, same_cell = open_rows.alias("x"), open_rows.alias("y"), F.col("x.key") == F.col("y.key")
+    if not blocks.isEmpty():
+        dealt = open_rows.join(blocks, "key", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
+        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")).withColumn("each", F.sequence(F.lit(0), F.col("n_blocks") - 1))
+        x = dealt.withColumn("i", F.col("block")).withColumn("j", F.explode("each")).drop("block", "each", "n_blocks").alias("x")
+        y = dealt.withColumn("j", F.col("block")).withColumn("i", F.explode("each")).drop("block", "each", "n_blocks").alias("y")
+        same_cell &= (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
     needed = percent * (F.col("x.size") + F.col("y.size"))  # of (100 + percent) * intersection
     enough = (100 + percent) * F.least("x.common", "y.common") >= needed
     most = F.least(F.col("x.size") - absent(F.col("x.bitmap"), F.col("y.bitmap")), F.col("y.size") - absent(F.col("y.bitmap"), F.col("x.bitmap")))
