@@ -136,7 +136,7 @@ def with_vectors(rows: DataFrame, spark: SparkSession, d: str) -> DataFrame:
     """Rows of (spectrum_id, structure) with the score of their vectors."""
     from ..functions.vectors import dot
 
-    e = table(spark, d, "embeddings").where("vec_id < 400")
+    e = table(spark, d, "embeddings").where("vec_id < 400").withColumn("embedding", F.col("embedding").cast("array<double>"))
     a, c = e.select(F.col("vec_id").alias("__a"), F.col("embedding").alias("__va")), e.select(F.col("vec_id").alias("__c"), F.col("embedding").alias("__vc"))
     both = rows.join(a, F.col("spectrum_id") % 200 * 2 == F.col("__a")).join(c, F.col("structure") % 200 * 2 + 1 == F.col("__c"))
     return both.withColumn("score", dot(F.col("__va"), F.col("__vc"))).drop("__a", "__va", "__c", "__vc")
