@@ -104,3 +104,41 @@ def repeats(length: int = 100) -> str:
  k AS (SELECT doc_id, first, stop, substr(x, (2 * coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY first), 0) + 1)::INT, (2 * (first - coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY first), 0)))::INT) AS piece, x FROM s JOIN d USING (doc_id)),
  c AS (SELECT doc_id, sum(stop - first)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(piece, '' ORDER BY first) || substr(any_value(x), (2 * max(stop) + 1)::INT) AS kept FROM k GROUP BY 1)
  SELECT d.doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id)"""
+
+
+def url_verdicts(entries: list[tuple[str, str, str]]) -> str:
+    """Of the entries that fit, the one with the most labels, then the longest path."""
+    order = sorted(set(entries), key=lambda e: (-e[0].count("."), -len(e[1]), e[2] != "block"))
+    fits = [(f"(host = {_quoted(h)} OR suffix(host, {_quoted('.' + h)})) AND prefix(path, {_quoted(p)})", h + p, v) for h, p, v in order]
+    rule, verdict = (" ".join(f"WHEN {test} THEN {_quoted(x[i])}" for test, *x in fits) for i in (0, 1))
+    return f"""WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+ p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u)
+ SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN host = '' THEN 'block' ELSE 'allow' END AS verdict FROM p"""
+
+
+def fill_in_middle(seed: int = 42, fim: int = 50, spm: int = 80) -> str:
+    """The texts that the digests are of are put together from token lists; what is restored is the text."""
+    token = "[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+"
+    h = ", ".join(f"('0x' || substr(x, {8 * i + 1}, 8))::BIGINT AS h{i + 1}" for i in range(4))
+    return f"""WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '{token}') AS w, sha256('{seed}:' || coalesce(doc_id::VARCHAR, '')) AS x FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+ h AS (SELECT *, len(w) AS n, {h} FROM d),
+ f AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= {fim} THEN 'plain' WHEN h4 % 100 < {spm} THEN 'spm' ELSE 'psm' END AS form, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM h),
+ p AS (SELECT *, array_to_string(w[:a], '') AS prefix, array_to_string(w[a + 1:b], '') AS middle, array_to_string(w[b + 1:], '') AS suffix FROM f)
+ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
+
+def conversation_trie(span: int = 100, most: int = 6) -> str:
+    """Every prefix of every rebuilt conversation as a list; a node's subtree is the nodes whose smallest member has its list."""
+    steps = "list_reduce(list_concat([xor(c, y)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda z, o: CASE WHEN z & 1 = 1 THEN xor(z >> 1, 3988292384) ELSE z >> 1 END)"
+    crc = f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)), lambda c, y: {steps}), 4294967295)"
+    return f"""WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) - 1 AS p FROM conversations WHERE conv_id IS NOT NULL),
+ c AS (SELECT DISTINCT conv_id, {crc} % {most} AS h FROM t),
+ s AS (SELECT c.conv_id, h, coalesce(x.n, 0) AS n FROM c LEFT JOIN (SELECT conv_id, count(*) AS n FROM t GROUP BY 1) x ON x.conv_id = c.conv_id - c.conv_id % {span}),
+ r AS (SELECT s.conv_id, p AS place, role, text FROM s JOIN t ON t.conv_id = s.conv_id - s.conv_id % {span} AND p < h UNION ALL SELECT s.conv_id, p - h + least(h, n), role, text FROM s JOIN t USING (conv_id) WHERE p >= h),
+ w AS (SELECT s.conv_id, coalesce(w, []) AS w FROM s LEFT JOIN (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY place) AS w FROM r GROUP BY 1) USING (conv_id)),
+ x AS (SELECT conv_id, d AS depth, len(w) AS length, sha256(list_transform(w[:d], lambda y: sha256(y.role) || sha256(y.text))::VARCHAR) AS k, CASE WHEN d > 0 THEN sha256(list_transform(w[:d - 1], lambda y: sha256(y.role) || sha256(y.text))::VARCHAR) END AS up, CASE WHEN d > 0 THEN length(w[d].text) ELSE 0 END AS chars FROM (SELECT conv_id, w, unnest(range(0, len(w) + 1)) AS d FROM w)),
+ n AS (SELECT depth, k, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = length), '')) AS ends_sha256 FROM x GROUP BY 1, 2),
+ m AS (SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM n q WHERE q.up = n.k AND q.depth = n.depth + 1) AS n_children FROM n LEFT JOIN n p ON p.k = n.up AND p.depth = n.depth - 1),
+ b AS (SELECT x.depth, x.k, sum((m.n_convs - 1) * m.chars)::BIGINT AS saved_tokens, count(*) FILTER (m.n_children = 0) AS n_leaves FROM m JOIN x ON x.conv_id = m.conv_id AND x.depth <= m.depth GROUP BY 1, 2)
+ SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM m JOIN b USING (depth, k)"""

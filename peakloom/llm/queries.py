@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, license_scan, line_dedup, media, minhash, oracles, quality, secret_scan, suffix_dedup, token_counts
+from . import bpe, conversation_trie, decontam, fill_in_middle, license_scan, line_dedup, media, minhash, oracles, quality, secret_scan, suffix_dedup, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,8 +59,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+#: The entries of the url query: (host, path, verdict).
+URL_ENTRIES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_ENTRIES)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.middle_digests(_documents(spark, sf_dir))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie_nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_minhash, op4_media_columns, op5_quality_classifier, op6_bpe, op7_suffix_dedup, op8_line_dedup, op9_license_scan, op10_decontamination)}
+    return {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_minhash, op4_media_columns, op5_quality_classifier, op6_bpe, op7_suffix_dedup, op8_line_dedup, op9_license_scan, op10_decontamination, op11_url_filter, op12_fill_in_middle, op13_conversation_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -72,4 +88,7 @@ def oracle_sql() -> dict[str, str]:
         "op8_line_dedup": oracles.lines(),
         "op9_license_scan": oracles.licenses(),
         "op10_decontamination": oracles.contamination(),
+        "op11_url_filter": oracles.url_verdicts(URL_ENTRIES),
+        "op12_fill_in_middle": oracles.fill_in_middle(),
+        "op13_conversation_trie": oracles.conversation_trie(),
     }
