@@ -51,6 +51,8 @@ class Trie:
     def __init__(self, entries: Iterable[Entry]):
         self.root: dict = {}
         for host, path, verdict in entries:
+            if not host:
+                continue
             node = self.root
             for label in reversed(host.split(".")):
                 node = node.setdefault("labels", {}).setdefault(label, {})
