@@ -38,7 +38,9 @@ BLOCK = 4
 SEGMENT = 256 * BLOCK
 ID_CHUNK = 4096
 KEY = ["block", "before_a", "before_b", "end_a", "end_b", "n", "last"]
+PREFIX = ["block", "before_a", "before_b"]
 NODE = ["depth", "a", "b"]
+MANY = 4096
 
 
 def head_turns(conv_id: Column) -> Column:
@@ -153,6 +155,18 @@ def _turns_of(siblings: DataFrame, values, *also: str) -> DataFrame:
     return siblings.select(*also, F.inline(F.slice(F.array(*[turn(j) for j in range(BLOCK)]), F.lit(1), F.col("n").cast("int"))))
 
 
+def _flagged(siblings: DataFrame, kinds: DataFrame) -> DataFrame:
+    """``siblings`` with ``alone``: whether no other block follows their prefix.
+
+    Prefixes that more than one ``MANY``th of all different blocks follow are fewer than ``MANY`` and are broadcast, so that
+    their blocks are not brought together to be told that they have siblings.
+    """
+    many = kinds.where(F.col("kinds") * MANY > max(siblings.count(), MANY)).select(*PREFIX, F.lit(True).alias("many"))
+    marked = siblings.join(F.broadcast(many), PREFIX, "left")
+    rest = marked.where("many IS NULL").join(kinds, PREFIX).withColumn("alone", F.col("kinds") == 1).drop("kinds", "many")
+    return rest.unionByName(marked.where("many").withColumn("alone", F.lit(False)).drop("many"))
+
+
 def _refined(siblings: DataFrame, values, merges: list[Column]) -> DataFrame:
     """Nodes: read off where one block follows a prefix (``alone``), grouped turn by turn where several do."""
     plain, split = (_turns_of(siblings.where(w), values) for w in ("alone", "NOT alone"))
@@ -166,9 +180,8 @@ def trie_nodes(conversations: DataFrame) -> DataFrame:
     blocks = materialize(blocks_of(turns), "chained")
     fixed = [*_slots("abc"), "before_chars"]  # equal for all members of a key
     siblings = materialize(blocks.groupBy(*KEY).agg(F.count("*").alias("members"), F.min("conv_id").alias("first"), *[F.min(c).alias(c) for c in fixed]), "siblings")
-    prefix = ["block", "before_a", "before_b"]
-    alone = siblings.groupBy(*prefix).agg(F.count("*").alias("kinds")).select(*prefix, (F.col("kinds") == 1).alias("alone"))
-    flagged = siblings.join(alone, prefix)
+    kinds = materialize(siblings.groupBy(*PREFIX).agg(F.count("*").alias("kinds")), "kinds")
+    flagged = _flagged(siblings, kinds)
 
     def counted(j: int) -> dict[str, Column]:
         ended = F.col("last") & (F.col("n") == j + 1)
@@ -189,12 +202,12 @@ def trie_nodes(conversations: DataFrame) -> DataFrame:
     totals = blocks.where("last").select("conv_id", _chars_before(BLOCK).alias("total"))
     shared = materialize(totals.join(owners, "conv_id", "left").select("conv_id", F.coalesce("leaves_at", "total").alias("leaves_at"), F.coalesce("leaf", F.lit(0).cast("long")).alias("leaf")), "shared")
     saved = [F.sum(F.greatest(F.col("leaves_at") - _chars_before(j), F.lit(0))).alias(f"saved{j}") for j in range(BLOCK)]
-    weighed = blocks.join(shared, "conv_id").groupBy(*KEY).agg(F.sum("leaf").alias("leaves"), *saved, *[F.min(c).alias(c) for c in _slots("ab")])
+    weighed = materialize(blocks.join(shared, "conv_id").groupBy(*KEY).agg(F.sum("leaf").alias("leaves"), *saved, *[F.min(c).alias(c) for c in _slots("ab")]), "weighed")
 
     def weights(j: int) -> dict[str, Column]:
         return {"n_leaves": F.col("leaves"), "saved_tokens": F.col(f"saved{j}")}
 
-    sums = _refined(weighed.join(alone, prefix), weights, [F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens")])
+    sums = _refined(_flagged(weighed, kinds), weights, [F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens")])
 
     zero = F.lit(0).cast("long")
     deep = shared.agg(F.coalesce(F.sum("leaf"), zero).alias("n_leaves"), F.coalesce(F.sum("leaves_at"), zero).alias("saved_tokens"))
