@@ -42,6 +42,41 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 
 
+# Where the tokenizers library's Unicode tables differ from Python's. Its classes and cases are newer, its marks older.
+LETTERS = "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E 11390-113B5 113B7 113D1 113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF 1E5D0-1E5ED 1E5F0"
+NUMBERS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
+LOWERED = {"1C89": 0x1C8A, "A7CB": 0x264, "A7CC": 0xA7CD, "A7CE": 0xA7CF, "A7D2": 0xA7D3, "A7D4": 0xA7D5, "A7DA": 0xA7DB, "A7DC": 0x19B, "10D50-10D65": 0x10D70, "16EA0-16EB8": 0x16EBB}
+#: Marks without a combining class there, and the parts of a character that isn't composed there: nothing moves or joins across them.
+STILL = "7FD 898-89F 8CA-8D3 9FE C3C D3B-D3C EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 11070 1133B 1145E 11839-1183A 11930 11935 11938 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"
+
+
+def code_points(ranges: str) -> list[int]:
+    bounds = [(x.split("-")[0], x.split("-")[-1]) for x in ranges.split(" ")]
+    return [c for a, z in bounds for c in range(int(a, 16), int(z, 16) + 1)]
+
+
+def _set_of(ranges: str) -> str:
+    return "".join(f"\\U{c:08x}" for c in code_points(ranges))
+
+
+_CASES = {c: to + i for ranges, to in LOWERED.items() for i, c in enumerate(code_points(ranges))}
+_CASED = re.compile(f"[{''.join(map(chr, _CASES))}]").search
+_STILL = re.compile(f"([{_set_of(STILL)}])").split
+
+
+def composed(text: str) -> str:
+    """NFC by the library's tables. What Python takes for composed is so there too."""
+    if text.isascii() or unicodedata.is_normalized("NFC", text):
+        return text
+    return "".join(unicodedata.normalize("NFC", part) if i % 2 == 0 else part for i, part in enumerate(_STILL(text)))
+
+
+def lowered(text: str) -> str:
+    """Each code point lower-cased alone, by the library's tables."""
+    text = text.replace("Σ", "σ").lower()
+    return text if text.isascii() or not _CASED(text) else text.translate(_CASES)
+
+
 def _class_of(kind: str) -> str:
     """The code points of a general category, as ranges of a character class."""
     out, start, last = [], None, None
@@ -115,23 +150,19 @@ class WordBPE:
         self.tokens = {i: t for t, i in (self.ids | self.special).items()}
         self.letters = byte_letters()
         self.inner, self.last = (np.array([self.ids.get(x + end, 0) for x in self.letters], np.int64) for end in ("", self.end))
-        letter, number = _class_of("L"), _class_of("N")
+        letter, number = _class_of("L") + _set_of(LETTERS), _class_of("N") + _set_of(NUMBERS)
         self.pieces = re.compile(f"[{letter}]+|[{number}]|'(?:s|t|re|ve|m|ll|d)|[^ {letter}{number}]+").findall
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else lambda text: [text]
         self.space = re.compile(f"[{SPACE}]+").sub
 
     def normal(self, text: str) -> str:
         """NFC, white space as single spaces, each code point lower-cased alone."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        return self.space(" ", text).replace("Σ", "σ").lower()
+        return lowered(self.space(" ", composed(text)))
 
     def words(self, text: str) -> list[str]:
         """What stands between white space, special tokens being words of their own (marked by a leading NUL)."""
         if not any(t in text for t in self.special) and not any(c in text for c in NOT_SPACE):
-            if not text.isascii():
-                text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-            return text.lower().split()
+            return lowered(composed(text)).split()
         out: list[str] = []
         for i, part in enumerate(self.cut(text)):
             if i % 2:
