@@ -1,31 +1,30 @@
-"""Sparse and dense similarity search as joins on bins or blocks."""
+"""Sparse similarity as joins on bins; ``sparse_index`` has a stored index, ``blocks`` the dense search."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot
 from .peaks import norms, normalized
 from .splits import dense_index
 
 
-def inverted_list(bins: DataFrame, label: str | None = None, spectrum: str = "spectrum_id") -> DataFrame:
-    """Normalised reference bins, by bin: (bin, reference, v) and the reference's label."""
-    return normalized(bins, spectrum).select("bin", F.col(spectrum).alias("reference"), "v")
-
-
-def sparse_scores(queries: DataFrame, references: DataFrame, spectrum: str = "spectrum_id") -> DataFrame:
-    """(query, reference, score) of every pair that shares a bin; both sides are bin tables.
+def normalized_scores(queries: DataFrame, references: DataFrame, spectrum: str = "spectrum_id") -> DataFrame:
+    """(query, reference, score) of every pair that shares a bin; both sides are (spectrum, bin, v) over their norms.
 
     The join is on the bin, and each pair's products are added up before anything else is shuffled. A bin that
     many spectra share is split by adaptive execution, as both sides come straight from their shuffles.
     """
-    q = normalized(queries, spectrum).select("bin", F.col(spectrum).alias("query"), F.col("v").alias("qv"))
-    r = inverted_list(references, spectrum=spectrum)
+    q = queries.select("bin", F.col(spectrum).alias("query"), F.col("v").alias("qv"))
+    r = references.select("bin", F.col(spectrum).alias("reference"), "v")
     return q.join(r, "bin").groupBy("query", "reference").agg(F.sum(F.col("qv") * F.col("v")).alias("score"))
 
 
+def sparse_scores(queries: DataFrame, references: DataFrame, spectrum: str = "spectrum_id") -> DataFrame:
+    """``normalized_scores`` of two bin tables."""
+    return normalized_scores(normalized(queries, spectrum), normalized(references, spectrum), spectrum)
+
+
 def with_zero_scores(scores: DataFrame, queries: DataFrame, structures: DataFrame, query: str = "query", structure: str = "structure") -> DataFrame:
     """Every query of a stated set against every structure, 0 where they share no bin.
 
@@ -60,14 +59,3 @@ def pair_cosine(pairs: DataFrame, bins: DataFrame, spectrum: str = "spectrum_id"
     size = norms(bins, spectrum)
     out = pairs.join(shared, ["a", "b"], "left").join(size.select(F.col(spectrum).alias("a"), F.col("norm").alias("__na")), "a", "left").join(size.select(F.col(spectrum).alias("b"), F.col("norm").alias("__nb")), "b", "left")
     return out.select("a", "b", F.coalesce(F.try_divide(F.col("__dot"), F.col("__na") * F.col("__nb")), F.lit(0.0)).alias("cosine"))
-
-
-def all_pairs(queries: DataFrame, references: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Dot product of every query with every reference, for a stated query set.
-
-    The references are dealt out and the queries go to each of them whole, so the query set is the side that
-    must be bounded; Spark broadcasts it where its size allows and loops over blocks where not.
-    """
-    q = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])
-    joined = references.join(q, F.lit(True), "cross")
-    return joined.withColumn("score", dot(F.col(f"q_{vector}"), F.col(vector))).drop(vector, f"q_{vector}")

@@ -42,8 +42,8 @@ VIEWS = {
     "learnable": "SELECT * FROM in_window WHERE learned AND abs(error_ppm) <= 10 QUALIFY row_number() OVER (PARTITION BY spectrum_id, structure ORDER BY abs(error_ppm), exact_mass, smiles) = 1",
     "filtered_support": "SELECT g.grp, g.structure, arg_min(g.smiles, g.spectrum_id) AS smiles, arg_min(g.formula, g.spectrum_id) AS formula, any_value(f.n) AS num_filtered_spectra, any_value(z.n) AS num_spectra, count(*) AS num_supporting_spectra, avg(g.error_ppm) AS mean_mass_error_ppm, avg(abs(g.error_ppm)) AS mean_abs_mass_error_ppm FROM generated g JOIN (SELECT grp, count(DISTINCT spectrum_id) AS n FROM generated GROUP BY 1) f USING (grp) JOIN (SELECT grp, count(*) AS n FROM unknown GROUP BY 1) z USING (grp) GROUP BY 1, 2",
     "manifest": "SELECT * EXCLUDE (any_full), CASE WHEN any_full THEN 'intersection' ELSE 'union_fallback' END AS candidate_mode FROM (SELECT *, bool_or(num_supporting_spectra = num_filtered_spectra) OVER (PARTITION BY grp) AS any_full FROM filtered_support) WHERE num_supporting_spectra = num_filtered_spectra OR NOT any_full",
-    "vecs": "SELECT vec_id, embedding FROM embeddings WHERE vec_id < 400",
-    "supported_scores": "SELECT m.grp, m.structure, g.spectrum_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS score FROM manifest m JOIN generated g USING (grp, structure) JOIN vecs a ON a.vec_id = 2 * (g.spectrum_id % 200) JOIN vecs b ON b.vec_id = 2 * (m.structure % 200) + 1",
+    "vecs": "SELECT vec_id, embedding, count_if(vec_id % 2 = 0) OVER () AS n_even, count_if(vec_id % 2 = 1) OVER () AS n_odd FROM embeddings",
+    "supported_scores": "SELECT m.grp, m.structure, g.spectrum_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS score FROM manifest m JOIN generated g USING (grp, structure) JOIN vecs a ON a.vec_id = 2 * (g.spectrum_id % a.n_even) JOIN vecs b ON b.vec_id = 2 * (m.structure % b.n_odd) + 1",
     "truths": "SELECT DISTINCT event_id // 3 AS grp, ((event_id // 3) % 1000) // 2 + 500 * ((event_id // 3) % 2) AS truth FROM events",
     "source_a": "SELECT * FROM variants WHERE structure % 3 <> 0",
     "source_b": "SELECT * FROM variants WHERE structure % 3 <> 1",
@@ -133,13 +133,16 @@ def truths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def with_vectors(rows: DataFrame, spark: SparkSession, d: str) -> DataFrame:
-    """Rows of (spectrum_id, structure) with the score of their vectors."""
+    """Rows of (spectrum_id, structure) with the score of their vectors: spectra take the even ids in turn, structures the odd ones."""
     from ..functions.vectors import dot
 
-    e = table(spark, d, "embeddings").where("vec_id < 400").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    counts = e.agg(F.count_if(F.col("vec_id") % 2 == 0).alias("__even"), F.count_if(F.col("vec_id") % 2 == 1).alias("__odd"))
+    keyed = rows.crossJoin(F.broadcast(counts))  # one row
+    keyed = keyed.withColumn("__a", F.col("spectrum_id") % F.col("__even") * 2).withColumn("__c", F.col("structure") % F.col("__odd") * 2 + 1)
     a, c = e.select(F.col("vec_id").alias("__a"), F.col("embedding").alias("__va")), e.select(F.col("vec_id").alias("__c"), F.col("embedding").alias("__vc"))
-    both = rows.join(a, F.col("spectrum_id") % 200 * 2 == F.col("__a")).join(c, F.col("structure") % 200 * 2 + 1 == F.col("__c"))
-    return both.withColumn("score", dot(F.col("__va"), F.col("__vc"))).drop("__a", "__va", "__c", "__vc")
+    both = keyed.join(a, "__a").join(c, "__c")
+    return both.withColumn("score", dot(F.col("__va"), F.col("__vc"))).drop("__a", "__va", "__c", "__vc", "__even", "__odd")
 
 
 def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -6,12 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import peak_arrays, vectors
-from ..operators import metrics, peaks, pools, profiling, ranker, scoring, splits
+from ..operators import metrics, peaks, pools, profiling, ranker, scoring, splits, trees
 from ..schemas import checked, looked_up, require, violations
 from ..sources import files
 from . import bindings as b
 from .bindings import query, rounded, sql
-from .inference_queries import WEIGHTS
+from .inference_queries import ENSEMBLE, WEIGHTS, tree_sql
 from .ranking_queries import _FEATURES, _features
 
 
@@ -90,6 +90,14 @@ def saved_ranker_scores(spark, d):
     return rounded(ranker.Ranker.load(spark, path).predict(_features(spark, d)).select("grp", "structure", "model_score"), 5)
 
 
+@query(sql("scored", f"SELECT grp, structure, round({tree_sql(ENSEMBLE)}, 6) AS model_score FROM ({_FEATURES})"))
+def saved_ensemble_scores(spark, d):
+    """An ensemble of given trees, saved, loaded again and walked over Arrow batches."""
+    path = files.scratch_path(spark, "ensemble")
+    ENSEMBLE.save(spark, path)
+    return rounded(trees.Ensemble.load(spark, path).predict(_features(spark, d).select("grp", "structure", *scoring.MODEL_FEATURES)).select("grp", "structure", "model_score"))
+
+
 @query(sql("scored", f"SELECT grp, structure, 17::BIGINT AS n_features, round({' + '.join(scoring.FEATURES)}, 5) AS total FROM ({_FEATURES})"))
 def feature_vectors(spark, d):
     """The features as one array a row, in their order."""
@@ -241,7 +249,7 @@ def ranking_summary(spark, d):
 
 
 # training side
-@query(sql("spectra vecs", "SELECT s.spectrum_id, (s.grp % 1000) // 2 AS structure, s.split, round(list_sum(list_transform(list_zip(a.embedding, m.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6) AS agreement FROM (SELECT *, CASE WHEN ('0x' || substr(sha256('split-v1|' || (grp % 1000) // 2), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616e0 < 0.1 THEN 'validation' ELSE 'train' END AS split FROM spectra) s JOIN vecs a ON a.vec_id = 2 * (s.spectrum_id % 200) JOIN vecs m ON m.vec_id = 2 * (((s.grp % 1000) // 2) % 200) + 1"))
+@query(sql("spectra vecs", "SELECT s.spectrum_id, (s.grp % 1000) // 2 AS structure, s.split, round(list_sum(list_transform(list_zip(a.embedding, m.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6) AS agreement FROM (SELECT *, CASE WHEN ('0x' || substr(sha256('split-v1|' || (grp % 1000) // 2), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616e0 < 0.1 THEN 'validation' ELSE 'train' END AS split FROM spectra) s JOIN vecs a ON a.vec_id = 2 * (s.spectrum_id % a.n_even) JOIN vecs m ON m.vec_id = 2 * (((s.grp % 1000) // 2) % m.n_odd) + 1"))
 def paired_dataset(spark, d):
     """Each spectrum beside its molecule's vector, by the alignment of both id spaces, with its structure's split."""
     rows = b.spectra(spark, d).select("spectrum_id", F.expr("(grp % 1000) div 2").alias("structure"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import peak_arrays, vectors
 from ..functions.keys import stable_fraction
-from ..operators import cells, metrics, peaks, scoring, similarity
+from ..operators import blocks, cells, metrics, peaks, scoring, similarity, sparse_index
+from ..sources.files import materialized
 from . import bindings as b
 from .bindings import query, rounded, sql
 
@@ -105,17 +106,22 @@ def cosine_pairs(spark, d):
     return rounded(similarity.pair_cosine(pairs, bins))
 
 
-_RETRIEVED = "SELECT q.spectrum_id AS query, r.spectrum_id % 97 AS structure, max(q.v * 0 + s.score) AS score FROM (SELECT DISTINCT spectrum_id, 0e0 AS v FROM normed WHERE spectrum_id % 20 = 0) q JOIN (SELECT x.spectrum_id AS q, y.spectrum_id AS r, sum(x.v * y.v) AS score FROM normed x JOIN normed y ON x.bin = y.bin WHERE x.spectrum_id % 20 = 0 AND y.spectrum_id % 20 <> 0 GROUP BY 1, 2) s ON s.q = q.spectrum_id JOIN (SELECT DISTINCT spectrum_id FROM normed) r ON r.spectrum_id = s.r GROUP BY 1, 2"
-_ALL_STRUCTURES = f"SELECT q.query, s.structure, coalesce(x.score, 0) AS score FROM (SELECT DISTINCT spectrum_id AS query FROM bins WHERE spectrum_id % 20 = 0) q CROSS JOIN (SELECT DISTINCT spectrum_id % 97 AS structure FROM bins WHERE spectrum_id % 20 <> 0) s LEFT JOIN ({_RETRIEVED}) x USING (query, structure)"
+# every twentieth spectrum is a query, every spectrum but itself a reference
+_SCORES = "SELECT x.spectrum_id AS query, y.spectrum_id AS reference, sum(x.v * y.v) AS score FROM normed x JOIN normed y ON x.bin = y.bin WHERE x.spectrum_id % 20 = 0 AND y.spectrum_id <> x.spectrum_id GROUP BY 1, 2"
+_ALL_STRUCTURES = f"SELECT q.query, s.structure, coalesce(x.score, 0) AS score FROM (SELECT DISTINCT spectrum_id AS query FROM bins WHERE spectrum_id % 20 = 0) q CROSS JOIN (SELECT DISTINCT spectrum_id % 97 AS structure FROM bins) s LEFT JOIN (SELECT query, reference % 97 AS structure, max(score) AS score FROM ({_SCORES}) GROUP BY 1, 2) x USING (query, structure)"
+
+
+def spectral_scores(spark, d):
+    """(query, reference, score) of the pairs that share a bin, and the bins over their norms, which are made once."""
+    rows = materialized(peaks.normalized(b.bins(spark, d)), "normalized-bins")
+    return similarity.normalized_scores(rows.where("spectrum_id % 20 = 0"), rows).where("query <> reference"), rows
 
 
 def _retrieved(spark, d):
     """Every query against every structure (spectrum id mod 97): the largest score of the structure's spectra, 0 without a shared bin."""
-    bins = b.bins(spark, d)
-    q, r = bins.where("spectrum_id % 20 = 0"), bins.where("spectrum_id % 20 <> 0")
-    scores = similarity.sparse_scores(q, r).withColumn("structure", F.col("reference") % 97)
-    pooled = scoring.pool_by_structure(scores, "query", "structure")
-    return similarity.with_zero_scores(pooled, q.select(F.col("spectrum_id").alias("query")), r.select((F.col("spectrum_id") % 97).alias("structure")))
+    scores, rows = spectral_scores(spark, d)
+    pooled = scoring.pool_by_structure(scores.withColumn("structure", F.col("reference") % 97), "query", "structure")
+    return similarity.with_zero_scores(pooled, rows.where("spectrum_id % 20 = 0").select(F.col("spectrum_id").alias("query")), rows.select((F.col("spectrum_id") % 97).alias("structure")))
 
 
 @query(sql("normed", f"SELECT query, structure, round(score, 6) AS score FROM ({_ALL_STRUCTURES})"))
@@ -125,12 +131,10 @@ def spectral_retrieval(spark, d):
 
 def retrieval_ranks(spark, d):
     """(query, rank): the place of each query's true structure among all, those without a shared bin included."""
-    bins = b.bins(spark, d)
-    q, r = bins.where("spectrum_id % 20 = 0"), bins.where("spectrum_id % 20 <> 0")
-    scores = similarity.sparse_scores(q, r).withColumn("structure", F.col("reference") % 97)
-    pooled = rounded(scoring.pool_by_structure(scores, "query", "structure"))
-    truths = q.select(F.col("spectrum_id").alias("query")).distinct().withColumn("structure", F.col("query") % 97)
-    return similarity.zero_aware_ranks(pooled, truths, r.select((F.col("spectrum_id") % 97).alias("structure")))
+    scores, rows = spectral_scores(spark, d)
+    pooled = rounded(scoring.pool_by_structure(scores.withColumn("structure", F.col("reference") % 97), "query", "structure"))
+    truths = rows.where("spectrum_id % 20 = 0").select(F.col("spectrum_id").alias("query")).distinct().withColumn("structure", F.col("query") % 97)
+    return similarity.zero_aware_ranks(pooled, truths, rows.select((F.col("spectrum_id") % 97).alias("structure")))
 
 
 _TOP = "row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, structure)"
@@ -141,24 +145,52 @@ def spectral_retrieval_metrics(spark, d):
     return rounded(metrics.absent_as_miss(retrieval_ranks(spark, d)))
 
 
-_GROUPED = "SELECT x.spectrum_id // 100 AS grp, y.spectrum_id AS reference, x.spectrum_id AS q, sum(x.v * y.v) AS score FROM normed x JOIN normed y ON x.bin = y.bin WHERE x.spectrum_id % 20 = 0 AND y.spectrum_id % 20 <> 0 GROUP BY ALL"
+_GROUPED = f"SELECT query // 100 AS grp, reference, query AS q, score FROM ({_SCORES})"
 
 
 @query(sql("normed", f"SELECT grp, structure, round(max(m), 6) AS mean_then_max, round(max(t), 6) AS max_then_max FROM (SELECT grp, reference, reference % 97 AS structure, avg(score) AS m, max(score) AS t FROM ({_GROUPED}) GROUP BY ALL) GROUP BY 1, 2"))
 def multispectrum_retrieval(spark, d):
     """Scores of a group's spectra are first aggregated by reference spectrum, then pooled by structure."""
-    bins = b.bins(spark, d)
-    scores = similarity.sparse_scores(bins.where("spectrum_id % 20 = 0"), bins.where("spectrum_id % 20 <> 0"))
+    scores, _ = spectral_scores(spark, d)
     by_reference = scores.groupBy(F.expr("query div 100").alias("grp"), "reference").agg(F.avg("score").alias("m"), F.max("score").alias("t"))
     return rounded(by_reference.groupBy("grp", (F.col("reference") % 97).alias("structure")).agg(F.max("m").alias("mean_then_max"), F.max("t").alias("max_then_max")))
 
 
+@query(sql("normed", "SELECT count(*) AS n_postings, (SELECT count(DISTINCT spectrum_id) FROM normed) AS n_references, 0::BIGINT AS n_bad_length, count(DISTINCT bin) AS n_bins, (SELECT max(n) FROM (SELECT count(*) AS n FROM normed GROUP BY bin)) AS most, 0::BIGINT AS n_differ, true AS sound FROM normed"))
+def index_checked(spark, d):
+    """The stored inverted index of all spectra, built and held against its own copy by reference."""
+    index = sparse_index.build_index(b.bins(spark, d))
+    return sparse_index.checked(spark, index).drop("n_counted", "last_part")
+
+
+@query(sql("normed", f"SELECT query, reference, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, reference) AS rank FROM ({_SCORES}) QUALIFY rank <= 25"))
+def index_search(spark, d):
+    """The 25 nearest spectra of each query among all, from a stored index and with bounds: exact, without scoring every pair."""
+    index = sparse_index.build_index(b.bins(spark, d))
+    found = sparse_index.search(spark, index, b.bins(spark, d).where("spectrum_id % 20 = 0"), 25)
+    return rounded(found.withColumn("rank", F.col("rank").cast("long")))
+
+
+def _packed(spark, d, where="true", limits=None):
+    """Vectors of ``embeddings`` in blocks; ``limits`` (vec_id, best) gives each its own."""
+    e = b.table(spark, d, "embeddings").where(where).select("vec_id", "embedding")
+    return blocks.packed(e if limits is None else e.join(limits, "vec_id", "left"), "vec_id", "embedding", None if limits is None else "best")
+
+
+_DENSE = "round(list_sum(list_transform(list_zip(q.embedding, r.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6)"
+
+
 @query("SELECT q.vec_id AS query, r.vec_id AS reference, round(list_sum(list_transform(list_zip(q.embedding, r.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6) AS score FROM embeddings q JOIN embeddings r ON q.vec_id % 20 = 0 AND r.vec_id <> q.vec_id")
 def global_similarity(spark, d):
     """A stated query set (every twentieth vector) against all vectors."""
-    e = b.table(spark, d, "embeddings").select("vec_id", "embedding")
-    pairs = similarity.all_pairs(e.where("vec_id % 20 = 0"), e).where("vec_id <> q_vec_id")
-    return pairs.select(F.col("q_vec_id").alias("query"), F.col("vec_id").alias("reference"), F.round("score", 6).alias("score"))
+    return blocks.all_scores(_packed(spark, d, "vec_id % 20 = 0"), _packed(spark, d))
+
+
+@query(f"SELECT q.vec_id AS query, r.vec_id AS reference, {_DENSE} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DENSE} DESC, r.vec_id) AS rank FROM embeddings q JOIN embeddings r ON q.vec_id % 20 = 0 AND r.vec_id <> q.vec_id QUALIFY rank <= 25")
+def dense_search(spark, d):
+    """The 25 nearest vectors of each query among all, from products of blocks."""
+    found = blocks.top_k(_packed(spark, d, "vec_id % 20 = 0"), _packed(spark, d), 25)
+    return found.withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("SELECT vec_id, len(embedding)::BIGINT AS n, round(sqrt(list_sum(list_transform(embedding, lambda z: z::DOUBLE * z::DOUBLE))), 6) AS norm, len(list_resize(embedding, 128, 0))::BIGINT AS padded, count_if(label >= 0) OVER ()::BIGINT AS n_vectors FROM embeddings")
@@ -219,15 +251,14 @@ def best_true_similarity_rank(spark, d):
     """Rank of each query's best reference of its own label among all reference spectra: 1 + the number of larger similarities.
 
     The queries are those of ``global_similarity``, the references all vectors but the query itself; a query without
-    a true reference has no best score and no rank. Pairs are made once for the best scores (by label) and once to
-    count, and are added up where they are made.
+    a true reference has no best score and no rank. The best is looked for among vectors of the query's label; then blocks
+    of all references are counted against it, a number a block and query.
     """
     e = b.table(spark, d, "embeddings").select("vec_id", "label", "embedding")
-    q = e.where("vec_id % 20 = 0")
-
-    def pairs(queries):
-        return similarity.all_pairs(queries, e).where("vec_id <> q_vec_id").withColumn("score", F.round("score", 6))
-
-    best = pairs(q).where("q_label = label").groupBy(F.col("q_vec_id").alias("vec_id")).agg(F.max("score").alias("best"))
-    counted = pairs(q.join(best, "vec_id", "left")).groupBy("q_vec_id", "q_best").agg(F.count_if(F.col("score") > F.col("q_best")).alias("larger"))
-    return counted.select(F.col("q_vec_id").alias("query"), F.col("q_best").alias("best"), F.when(F.col("q_best").isNotNull(), F.col("larger") + 1).alias("rank"))
+    own = e.select(F.col("vec_id").alias("other"), "label", F.col("embedding").alias("__own"))
+    pairs = e.where("vec_id % 20 = 0").join(own, "label").where("other <> vec_id")
+    best = pairs.groupBy("vec_id").agg(F.max(F.round(vectors.dot(F.col("embedding"), F.col("__own")), 6)).alias("best"))
+    best = materialized(e.where("vec_id % 20 = 0").select("vec_id").join(best, "vec_id", "left"), "best-true")
+    counted = blocks.larger_counts(_packed(spark, d, "vec_id % 20 = 0", best), _packed(spark, d))
+    joined = best.join(counted, best.vec_id == counted.query)
+    return joined.select("query", "best", F.when(F.col("best").isNotNull(), F.col("larger") + 1).alias("rank"))

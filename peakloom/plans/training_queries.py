@@ -7,10 +7,11 @@ from dataclasses import replace
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import encoders, range_join, ranker
+from ..operators import encoders, range_join, ranker, trees
+from ..sources.files import materialized
 from . import bindings as b
 from .bindings import query, rounded, sql
-from .ranking_queries import _features
+from .ranking_queries import _FEATURES, _features
 
 _DOT = "list_sum(list_transform(list_zip({}.embedding, {}.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
 
@@ -105,11 +106,56 @@ def ranker_experiments(spark, d):
     return spark.createDataFrame(table, "experiment int, objective string, reg double, best_iteration int, mrr_25 double, history string, chosen boolean")
 
 
+def _training_rows(spark, d):
+    """Features of all groups with a true candidate, as a table that every round reads."""
+    return _features(spark, d).select(F.col("grp").alias("query_id"), F.col("structure").alias("candidate_id"), *trees.MODEL_FEATURES).withColumn("target", (F.col("candidate_id") % 5 == 0).cast("int"))
+
+
+TREES = trees.TreeConfig("rank:ndcg", n_trees=4, learning_rate=0.3, max_depth=3, max_bins=16, early_stopping=2)
+
+
+def _fitted(spark, d):
+    rows = materialized(_training_rows(spark, d), "training-rows")
+    return trees.fit(rows.where("query_id % 2 = 0"), TREES, validation=rows.where("query_id % 2 = 1"))
+
+
+def ranker_trees(spark, d):
+    """Boosted trees fitted on even groups' features and validated on odd ones: every node, and whether its tree is among the best number."""
+    found = _fitted(spark, d)
+    return rounded(found.table(spark).withColumn("used", F.col("tree") < found.best_iteration))
+
+
 def feature_importances(spark, d):
-    """Features by the size of their weights in a ranker fitted on all groups."""
-    rows = _features(spark, d).select(F.col("grp").alias("query_id"), F.col("structure").alias("candidate_id"), *ranker.MODEL_FEATURES).withColumn("target", (F.col("candidate_id") % 5 == 0).cast("int"))
-    return rounded(ranker.fit(rows, ranker.RankerConfig(max_iter=10)).importances(spark))
+    """Features by the gain of their splits in the trees of ``ranker_trees``, up to the best number of trees."""
+    return rounded(_fitted(spark, d).importances(spark))
+
+
+_BINS = 16
+_LONG = f"SELECT grp, feature, value, structure % 5 = 0 AS hit FROM (UNPIVOT (SELECT grp, structure, {', '.join(trees.MODEL_FEATURES)} FROM ({_FEATURES})) ON {', '.join(trees.MODEL_FEATURES)} INTO NAME feature VALUE value)"
+_CUTS = f"SELECT DISTINCT feature, cut FROM (SELECT feature, unnest(quantile_cont(value, [{', '.join(f'{i / _BINS!r}' for i in range(1, _BINS + 1))}])) AS cut FROM ({_LONG}) GROUP BY 1)"
+_GRADIENTS = f"SELECT l.feature, l.value, CASE WHEN p = 0 OR n = 0 THEN 0 WHEN hit THEN -round(536870912e0 / p) ELSE round(536870912e0 / n) END AS g, CASE WHEN p = 0 OR n = 0 THEN 0 WHEN hit THEN round(268435456e0 / p) ELSE round(268435456e0 / n) END AS h FROM ({_LONG}) l JOIN (SELECT grp, count_if(structure % 5 = 0) AS p, count_if(structure % 5 <> 0) AS n FROM ({_FEATURES}) GROUP BY 1) s USING (grp)"
+_TERM = "({g}) * ({g}) / ({h} + 1e0)"
+_GAINS = f"SELECT feature, cut, lg / 1073741824e0 AS lg, lh / 1073741824e0 AS lh, tg / 1073741824e0 AS tg, th / 1073741824e0 AS th FROM (SELECT c.feature, c.cut, sum(g) FILTER (value < cut) AS lg, sum(h) FILTER (value < cut) AS lh, sum(g) AS tg, sum(h) AS th FROM ({_CUTS}) c JOIN ({_GRADIENTS}) x USING (feature) GROUP BY 1, 2 HAVING count_if(value < cut) > 0)"
+
+
+@query(sql("scored", f"SELECT feature, round(cut, 6) AS cut, round(({_TERM.format(g='lg', h='lh')} + {_TERM.format(g='tg - lg', h='th - lh')} - {_TERM.format(g='tg', h='th')}) / 2, 6) AS gain FROM ({_GAINS})"))
+def split_gains(spark, d):
+    """What each possible first split of the pairwise ranker would gain, from the histogram that the learner itself uses."""
+    config = trees.TreeConfig(max_bins=_BINS)
+    rows = materialized(_training_rows(spark, d), "training-rows")
+    cuts = trees.cut_points(rows, list(config.features), config.max_bins)
+    state = trees.gradients(trees.binned(rows, config, cuts, "query_id", "candidate_id", "target"), config)
+    sums = trees.histogram(state, F.lit(0), list(range(len(config.features))))
+    table = spark.createDataFrame([(f, i, config.features[f], c) for f, own in enumerate(cuts) for i, c in enumerate(own)], "f int, last int, name string, cut double")  # 16 cuts a feature
+    left = F.col("bin") <= F.col("last")
+    whole = table.join(F.broadcast(sums), F.col("f") == F.col("feature")).groupBy("name", "cut").agg(*[F.sum(F.when(left, F.col(c))).alias(f"l{c}") for c in "gh"], *[F.sum(c).alias(f"t{c}") for c in "gh"])
+    lg, lh, tg, th = (F.col(c) / trees.UNIT for c in ("lg", "lh", "tg", "th"))
+
+    def term(g, h):
+        return g * g / (h + 1)
+
+    return rounded(whole.where("lg is not null").select(F.col("name").alias("feature"), "cut", ((term(lg, lh) + term(tg - lg, th - lh) - term(tg, th)) / 2).alias("gain")))
 
 
-for _f in (encoded_spectra, encoded_molecules, ranker_experiments, feature_importances):  # held against brute force, not SQL
+for _f in (encoded_spectra, encoded_molecules, ranker_experiments, ranker_trees, feature_importances):  # held against brute force, not SQL
     b.REGISTERED[_f.__name__] = (_f, "")

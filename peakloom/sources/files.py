@@ -95,3 +95,9 @@ def write_csv(df: DataFrame, path: str) -> None:
 def write_summary(df: DataFrame, path: str) -> None:
     """A small table of metrics as JSON lines."""
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
