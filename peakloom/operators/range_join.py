@@ -1,8 +1,8 @@
 """Tolerance join of query masses to candidate masses, and what is built on it.
 
-A plain range condition would be a nested-loop join. Here both sides get buckets as wide as the widest query
-window: a candidate lies in one bucket, a query's window in one to three, and the bucket is an equi-join key.
-The range condition stays exact, and no pair can come twice.
+A plain range condition would be a nested-loop join. Here both sides get buckets on the logarithm of the mass, as wide as
+the widest window of equal ppm, which is so at every mass: a candidate lies in one bucket, a query's window in one to
+three, and the bucket is an equi-join key. The range condition stays exact, and no pair can come twice.
 """
 
 from __future__ import annotations
@@ -19,21 +19,34 @@ def clean_variants(variants: DataFrame, mass: str = "exact_mass", structure: str
     return variants.withColumn(mass, x).where(F.col(structure).isNotNull() & F.col(mass).isNotNull() & ~F.isnan(mass) & (F.col(mass) > 0) & (F.col(mass) < float("inf")))
 
 
-def tolerance_join(queries: DataFrame, candidates: DataFrame, ppm: float | Column, mass: str = "mass", candidate_mass: str = "exact_mass", widest_mass: float = 2000.0, widest_ppm: float | None = None) -> DataFrame:
-    """Every (query, candidate) with the candidate's mass in the closed window of ``ppm`` around the query's.
+def log_bucket(mass: Column, step: float, nudge: float = 0.0) -> Column:
+    """Place of a mass among buckets of relative width ``step``; grows with the mass, and is defined for any number."""
+    return F.floor(F.asinh(mass * 1000) / step + nudge)
 
-    ``widest_mass`` and ``widest_ppm`` only set the bucket width: windows beyond them are still complete, as a
-    window is exploded to all the buckets that it meets.
-    """
+
+def bucket_step(ppm: float | Column, widest_ppm: float | None = None) -> float:
+    return max(1e-9, 2e-6 * (widest_ppm if widest_ppm is not None else ppm if isinstance(ppm, (int, float)) else 20.0))
+
+
+def windows(queries: DataFrame, ppm: float | Column, mass: str, step: float) -> DataFrame:
+    """``queries`` with __low, __high and a row for each bucket that the window meets; a mass or tolerance without a window has none."""
     if isinstance(ppm, (int, float)) and ppm < 0:
         raise ValueError("the tolerance must not be negative")
-    width = max(1e-6, 2 * (widest_ppm if widest_ppm is not None else ppm if isinstance(ppm, (int, float)) else 20.0) * widest_mass * 1e-6)
     half = tolerance_da(F.col(mass), ppm)
-    low, high = F.col(mass) - half, F.col(mass) + half
-    left = queries.withColumn("__low", low).withColumn("__high", high).where(F.col("__low").isNotNull())
-    left = left.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("__low") / width), F.floor(F.col("__high") / width))))
-    right = candidates.withColumn("__bucket", F.floor(F.col(candidate_mass) / width))
-    joined = left.join(right, "__bucket").where(F.col(candidate_mass).between(F.col("__low"), F.col("__high")))
+    asked = queries.withColumn("__low", F.col(mass) - half).withColumn("__high", F.col(mass) + half).where(F.col("__low").isNotNull())
+    # the nudge takes in a bound that rounding could put into the next bucket
+    return asked.withColumn("__bucket", F.explode(F.sequence(log_bucket(F.col("__low"), step, -1e-6), log_bucket(F.col("__high"), step, 1e-6))))
+
+
+def tolerance_join(queries: DataFrame, candidates: DataFrame, ppm: float | Column, mass: str = "mass", candidate_mass: str = "exact_mass", widest_ppm: float | None = None) -> DataFrame:
+    """Every (query, candidate) with the candidate's mass in the closed window of ``ppm`` around the query's.
+
+    ``widest_ppm`` only sets the bucket width: windows beyond it are still complete, as a window is exploded to all
+    the buckets that it meets.
+    """
+    step = bucket_step(ppm, widest_ppm)
+    right = candidates.withColumn("__bucket", log_bucket(F.col(candidate_mass), step))
+    joined = windows(queries, ppm, mass, step).join(right, "__bucket").where(F.col(candidate_mass).between(F.col("__low"), F.col("__high")))
     return joined.drop("__bucket", "__low", "__high")
 
 
@@ -53,7 +66,11 @@ def nearest_hits(queries: DataFrame, variants: DataFrame, ppm: float | Column, m
     A variant is the nearest if its neighbours of the same structure are not nearer, so the join itself picks it
     and the hits need no shuffle. Of equally near variants the lighter one counts, then the first by smiles.
     """
-    hits = tolerance_join(queries, with_neighbours(variants), ppm, mass, **widths)
+    return nearest_only(tolerance_join(queries, with_neighbours(variants), ppm, mass, **widths), mass)
+
+
+def nearest_only(hits: DataFrame, mass: str = "mass") -> DataFrame:
+    """``nearest_hits`` of joined rows of ``with_neighbours``."""
 
     def size(candidate: str) -> Column:
         return F.abs(hit_ppm(F.col(candidate), F.col(mass)))

@@ -79,6 +79,34 @@ def sdf_counts(spark, d):
     return sdf_rows(spark, d).groupBy("fate").agg(F.count("*").alias("n"))
 
 
+_CHAIN = "SELECT p_partkey AS id, p_partkey % 12 + 1 AS n, p_partkey % 5 AS kind, p_partkey % 13 = 0 AS cut FROM part"
+_CHAIN_ATOMS = "CASE kind WHEN 0 THEN 2 * n + 2 WHEN 1 THEN 2 * n + 2 WHEN 2 THEN 2 * n WHEN 3 THEN 2 * n + 4 ELSE 2 * n + 1 END"
+
+
+def _chains(spark, d):
+    """Connection tables of carbon chains as long as a part's number says, ending in nothing, -OH, =O, an ammonium or chlorine; some are cut."""
+    k = F.col("p_partkey")
+    n, kind = (k % 12 + 1).cast("int"), k % 5
+    atom = lambda e: F.format_string("    0.0000    1.5000    0.0000 %-3s 0  0  0  0  0  0  0  0  0  0  0  0", e)
+    bond = lambda i, order: F.format_string("%3d%3d%3d  0  0  0  0", i, i + 1, order)
+    last = F.when(kind == 0, "").when(kind < 3, "O").when(kind == 3, "N").otherwise("Cl")
+    more = F.when(kind == 0, 0).otherwise(1)
+    atoms = F.concat(F.array_repeat(atom(F.lit("C")), n), F.when(kind == 0, F.array()).otherwise(F.array(atom(last))))
+    bonds = F.transform(F.filter(F.sequence(F.lit(1), n), lambda i: i < n + more), lambda i: bond(i, F.when((i == n) & (kind == 2), 2).otherwise(1)))
+    charge = F.when(kind == 3, F.array(F.format_string("M  CHG  1 %3d   1", n + 1))).otherwise(F.array())
+    table = F.concat(F.array(F.lit("chain"), F.lit("  x"), F.lit(""), F.format_string("%3d%3d  0  0  0  0  0  0  0  0999 V2000", n + more, n + more - 1)), F.when(k % 13 == 0, F.array()).otherwise(F.concat(atoms, bonds)), charge, F.array(F.lit("M  END")))
+    return b.table(spark, d, "part").select(F.concat(F.array_join(table, "\n"), F.lit("\n> <ID>\n"), k.cast("string"), F.lit("\n\n> <KEY>\nK"), F.lpad(k.cast("string"), 13, "0"), F.lit("-REST\n\n$$$$")).alias("value"))
+
+
+@query(f"SELECT id, CASE WHEN cut THEN 'bad mass' ELSE 'kept' END AS fate, CASE WHEN cut THEN 'malformed' ELSE 'read' END AS table_fate, CASE WHEN NOT cut THEN 'C' || CASE WHEN n > 1 THEN n::VARCHAR ELSE '' END || 'H' || ({_CHAIN_ATOMS})::VARCHAR || CASE kind WHEN 0 THEN '' WHEN 3 THEN 'N' WHEN 4 THEN 'Cl' ELSE 'O' END END AS formula, CASE WHEN NOT cut THEN CASE WHEN kind = 3 THEN 1 ELSE 0 END END AS charge, CASE WHEN NOT cut THEN round(n * 12e0 + ({_CHAIN_ATOMS}) * 1.00782503223e0 + CASE kind WHEN 0 THEN 0 WHEN 3 THEN 14.00307400443e0 WHEN 4 THEN 34.968852682e0 ELSE 15.99491461957e0 END, 6) END AS exact_mass FROM ({_CHAIN})")
+def sdf_connection_tables(spark, d):
+    """Formula, charge and mass of records that no item gives, from atoms, bonds, charges and the hydrogens that aren't drawn."""
+    path = files.scratch_path(spark, "sdf-tables")
+    _chains(spark, d).write.text(path)
+    rows = files.with_fate(files.read_sdf(spark, path, {"ID": "id", "KEY": "inchikey"}).withColumn("exact_mass", F.lit(None).cast("string")), table=True)
+    return rounded(rows.select(F.col("id").cast("long").alias("id"), "fate", "table_fate", F.col("table_formula").alias("formula"), F.col("table_charge").alias("charge"), "exact_mass"))
+
+
 _MODEL_SCORE = " + ".join(f"{w!r}::DOUBLE * {c}" for c, w in zip(scoring.MODEL_FEATURES, WEIGHTS, strict=True))
 
 

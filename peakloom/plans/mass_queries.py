@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import chem, keys
-from ..operators import catalog, cells, pools, profiling, range_join
+from ..operators import catalog, cells, mass_index, pools, profiling, range_join
 from . import bindings as b
 from .bindings import PPM, query, rounded, sql
 
@@ -261,6 +262,21 @@ def mass_index_self_check(spark, d):
     return own.select("structure", "smiles", "variant_count")
 
 
+@query(sql("variants", "SELECT count(*) AS n_structures, count(*) AS n_found, 100e0 AS percent FROM (SELECT DISTINCT structure FROM variants WHERE exact_mass > 0)"))
+def mass_index_build(spark, d):
+    """The stored mass index, and how many structures all of whose variants find their own structure in it."""
+    return mass_index.self_check(spark, mass_index.build_mass_index(b.variants(spark, d)))
+
+
+@query(sql("hits", "SELECT spectrum_id, structure, round(error_ppm, 6) AS error_ppm, variant_count, row_number() OVER (PARTITION BY spectrum_id ORDER BY abs(error_ppm), structure) AS place FROM hits QUALIFY place <= 10"))
+def mass_index_search(spark, d):
+    """The ten nearest structures of each spectrum, from the stored index: made for 10 ppm, asked for a wider window."""
+    index = mass_index.build_mass_index(b.variants(spark, d))
+    found = mass_index.search_masses(spark, index, b.spectra(spark, d).select("spectrum_id", "mass"), b.PPM, max_candidates=10)
+    order = Window.partitionBy("spectrum_id").orderBy(F.abs("error_ppm"), "structure")
+    return rounded(found.select("spectrum_id", "structure", "error_ppm", "variant_count", F.row_number().over(order).cast("long").alias("place")))
+
+
 @query("SELECT o_orderkey, round(keyed, 9) AS fraction, CASE WHEN keyed < 0.1 THEN 'validation' ELSE 'train' END AS split, substr(o_orderpriority, 1, 3) AS block, o_orderkey || '|' || o_orderpriority AS query_id FROM (SELECT *, ('0x' || substr(sha256('split-v1|' || o_orderkey), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616e0 AS keyed FROM orders)")
 def hashed_keys(spark, d):
     key = F.col("o_orderkey").cast("string")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.chem import formula_mass
+from ..functions.molfile import with_connection_table
 from ..schemas import require
 
 
@@ -54,10 +55,18 @@ def clean_structures(records: DataFrame, inchikey: str = "inchikey", mass: str =
     return with_fate(records, inchikey, mass, formula).where("fate = 'kept'").drop("fate")
 
 
-def with_fate(records: DataFrame, inchikey: str = "inchikey", mass: str = "exact_mass", formula: str | None = None) -> DataFrame:
-    """``records`` with structure, a numeric mass and ``fate``: kept, empty (no molecule block), short key or bad mass."""
-    stored = F.col(mass).cast("string").try_cast("double")
-    out = records.withColumn(mass, F.coalesce(stored, formula_mass(F.col(formula))) if formula else stored)
+def with_fate(records: DataFrame, inchikey: str = "inchikey", mass: str = "exact_mass", formula: str | None = None, table: bool = False) -> DataFrame:
+    """``records`` with structure, a numeric mass and ``fate``: kept, empty (no molecule block), short key or bad mass.
+
+    With ``table`` a mass that neither an item nor a formula gives comes from the molecule's connection table, whose own columns stay.
+    """
+    sources = [F.col(mass).cast("string").try_cast("double")]
+    if formula:
+        sources.append(formula_mass(F.col(formula)))
+    if table:
+        records = with_connection_table(records)
+        sources.append(F.col("table_mass"))
+    out = records.withColumn(mass, F.coalesce(*sources))
     empty = ~F.coalesce("molfile", F.lit("")).rlike(r"\S") if "molfile" in records.columns else F.lit(False)
     fate = F.when(empty, "empty").when(F.coalesce(F.length(inchikey), F.lit(0)) < 14, "short key").when(F.coalesce(F.col(mass) > 0, F.lit(False)), "kept").otherwise("bad mass")
     return out.withColumn("fate", fate).withColumn("structure", F.substring(inchikey, 1, 14))
