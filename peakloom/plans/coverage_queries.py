@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import peak_arrays, vectors
 from ..operators import metrics, peaks, pools, profiling, ranker, scoring, splits, trees
 from ..schemas import checked, looked_up, require, violations
-from ..sources import files
+from ..sources import arrays, files
 from . import bindings as b
 from .bindings import query, rounded, sql
 from .inference_queries import ENSEMBLE, WEIGHTS, tree_sql
@@ -34,6 +34,19 @@ def parquet_round_trip(spark, d):
     return rows.select("vec_id", F.size("embedding").cast("long").alias("n"), F.round(total, 4).alias("total"), F.col("label").cast("int").alias("label"))
 
 
+@query("SELECT vec_id, len(embedding)::BIGINT AS n, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings WHERE vec_id >= (SELECT max(vec_id) FROM embeddings) // 2 UNION ALL SELECT -1, count(*), round(sum(embedding[1]::DOUBLE), 4) FROM embeddings")
+def array_round_trip(spark, d):
+    """Vectors written as NPY shards by range of id: the upper half, whose shards alone are read, and one row over all."""
+    path = files.scratch_path(spark, "npy")
+    e = b.table(spark, d, "embeddings")
+    arrays.write_arrays(e, path, "vec_id", "embedding", shard_rows=200)
+    back = arrays.read_arrays(spark, path)
+    middle = e.agg(F.max("vec_id")).first()[0] // 2
+    total = F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    upper = arrays.read_arrays(spark, path, middle).select(F.col("id").alias("vec_id"), F.size("vector").cast("long").alias("n"), F.round(total, 4).alias("total"))
+    return upper.unionByName(back.agg(F.lit(-1).cast("long").alias("vec_id"), F.count("*").alias("n"), F.round(F.sum(F.get("vector", F.lit(0)).cast("double")), 4).alias("total")))
+
+
 @query("SELECT count(*) AS n_rows, 7::BIGINT AS n_columns, true AS has_bytes, (SELECT count(*) FROM customer) AS n_written FROM lineitem")
 def table_information(spark, d):
     """Rows, columns and file sizes from file metadata, and the rows of files that a bounded writer made."""
