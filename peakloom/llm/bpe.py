@@ -55,8 +55,8 @@ def code_points(ranges: str) -> list[int]:
     return [c for a, z in bounds for c in range(int(a, 16), int(z, 16) + 1)]
 
 
-def _set_of(ranges: str) -> str:
-    return "".join(f"\\U{c:08x}" for c in code_points(ranges))
+def _set_of(ranges: str, end: int = sys.maxunicode) -> str:
+    return "".join(f"\\U{c:08x}" for c in code_points(ranges) if c <= end)
 
 
 _CASES = {c: to + i for ranges, to in LOWERED.items() for i, c in enumerate(code_points(ranges))}
@@ -77,11 +77,11 @@ def lowered(text: str) -> str:
     return text if text.isascii() or not _CASED(text) else text.translate(_CASES)
 
 
-def _class_of(kind: str) -> str:
-    """The code points of a general category, as ranges of a character class."""
+def _class_of(kind: str, end: int = sys.maxunicode) -> str:
+    """The code points of a general category up to ``end``, as ranges of a character class."""
     out, start, last = [], None, None
-    for code in range(sys.maxunicode + 2):
-        inside = code <= sys.maxunicode and unicodedata.category(chr(code))[0] == kind
+    for code in range(end + 2):
+        inside = code <= end and unicodedata.category(chr(code))[0] == kind
         if inside and start is None:
             start = code
         if not inside and start is not None:
@@ -150,11 +150,22 @@ class WordBPE:
         self.tokens = {i: t for t, i in (self.ids | self.special).items()}
         self.letters = byte_letters()
         self.inner, self.last = (np.array([self.ids.get(x + end, 0) for x in self.letters], np.int64) for end in ("", self.end))
-        letter, number = _class_of("L") + _set_of(LETTERS), _class_of("N") + _set_of(NUMBERS)
-        self.pieces = re.compile(f"[{letter}]+|[{number}]|'(?:s|t|re|ve|m|ll|d)|[^ {letter}{number}]+").findall
+        # three forms of one pattern: classes without characters beyond 16 bits are looked up at once, the whole ones range by range
+        self.ascii_pieces, self.short_pieces, self.all_pieces = (
+            re.compile(f"[{letter}]+|[{number}]|'(?:s|t|re|ve|m|ll|d)|[^ {letter}{number}]+").findall
+            for letter, number in [("A-Za-z", "0-9"), *((_class_of("L", end) + _set_of(LETTERS, end), _class_of("N", end) + _set_of(NUMBERS, end)) for end in (0xFFFF, sys.maxunicode))]
+        )
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else lambda text: [text]
         self.space = re.compile(f"[{SPACE}]+").sub
 
+    def pieces(self, word: str) -> list[str]:
+        """What the vocabulary's pattern cuts a word into."""
+        if word.isascii():
+            return self.ascii_pieces(word)
+        if _CASED(word):
+            word = word.translate(_CASES)
+        return self.all_pieces(word) if max(word) > "\uffff" else self.short_pieces(word)
+
     def normal(self, text: str) -> str:
         """NFC, white space as single spaces, each code point lower-cased alone."""
         return lowered(self.space(" ", composed(text)))
@@ -162,7 +173,7 @@ class WordBPE:
     def words(self, text: str) -> list[str]:
         """What stands between white space, special tokens being words of their own (marked by a leading NUL)."""
         if not any(t in text for t in self.special) and not any(c in text for c in NOT_SPACE):
-            return lowered(composed(text)).split()
+            return composed(text).replace("Σ", "σ").lower().split()  # cases that Python doesn't know wait for ``pieces``
         out: list[str] = []
         for i, part in enumerate(self.cut(text)):
             if i % 2:
