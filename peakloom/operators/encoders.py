@@ -6,56 +6,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import stable_order
 from ..functions.vectors import dot
+from .layers import Weights, dense, gelu, layer_norm, spectrum_forward, unit_rows
 
 
-def _dense(x: np.ndarray, layer: dict[str, np.ndarray]) -> np.ndarray:
-    return x @ layer["w"] + layer["b"]
-
-
-def erf(x: np.ndarray) -> np.ndarray:
-    """The error function: exp(-x^2) times a series of positive terms, to double precision; 1 beyond 6."""
-    z = np.minimum(np.abs(x), 6.0)
-    term = z.astype(float)
-    total, n = term.copy(), 1
-    while n < 200 and (term > 1e-17 * total).any():
-        term = term * (2 * z * z / (2 * n + 1))
-        total += term
-        n += 1
-    return np.sign(x) * np.minimum(1.0, 1.1283791670955126 * np.exp(-z * z) * total)
-
-
-def _gelu(x: np.ndarray) -> np.ndarray:
-    return 0.5 * x * (1 + erf(x * 0.7071067811865476))
-
-
-def spectrum_vectors(mz: np.ndarray, intensity: np.ndarray, mask: np.ndarray, precursor: np.ndarray, weights: dict) -> np.ndarray:
-    """Padded peaks (spectra x peaks, with their mask) to unit vectors: peak layer, attention and max pooling over the
-    peaks, precursor layer, projection; zeros for a spectrum without peaks. What padding holds has no influence."""
-    h = _gelu(_dense(np.stack([mz / 1000, intensity], axis=-1), weights["peak"]))
-    a = np.where(mask, _dense(h, weights["attention"])[..., 0], -np.inf)
-    some = mask.any(axis=1)
-    a = np.exp(a - np.where(some, a.max(axis=1, initial=-np.inf), 0.0)[:, None])
-    a = a / np.maximum(a.sum(axis=1), 1e-300)[:, None]
-    top = np.where(some[:, None], np.where(mask[..., None], h, -np.inf).max(axis=1, initial=-np.inf), 0.0)
-    pooled = np.concatenate([(np.where(mask[..., None], h, 0.0) * a[..., None]).sum(axis=1), top, _gelu(_dense(precursor[:, None] / 1000, weights["precursor"]))], axis=1)
-    out = _dense(pooled, weights["out"])
-    return np.where(some[:, None], out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12), 0.0)
+def spectrum_vectors(mz: np.ndarray, intensity: np.ndarray, mask: np.ndarray, precursor: np.ndarray, weights: Weights) -> np.ndarray:
+    return spectrum_forward(mz, intensity, mask, precursor, weights)[0]
 
 
 def molecule_vectors(fingerprints: np.ndarray, layers: list[dict]) -> np.ndarray:
     """Rows of fingerprints to unit vectors: dense layers with layer norm and GELU between."""
     x = fingerprints.astype(float)
     for i, layer in enumerate(layers):
-        x = _dense(x, layer)
+        x = dense(x, layer)
         if i < len(layers) - 1:
-            x = (x - x.mean(axis=-1, keepdims=True)) / np.sqrt(x.var(axis=-1, keepdims=True) + 1e-5)
-            x = _gelu(x * layer.get("scale", 1.0) + layer.get("shift", 0.0))
-    return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
+            x = gelu(layer_norm(x, layer if "scale" in layer else None)[0])
+    return unit_rows(x)[0]
 
 
 def molecule_vector(fingerprint: np.ndarray, layers: list[dict]) -> np.ndarray:
@@ -65,12 +36,14 @@ def molecule_vector(fingerprint: np.ndarray, layers: list[dict]) -> np.ndarray:
 ROWS = 512  # spectra or molecules encoded at once
 
 
-def _padded(lists: list[list | None]) -> tuple[np.ndarray, np.ndarray]:
-    width = max([1, *(len(x or ()) for x in lists)])
-    out, mask = np.zeros((len(lists), width)), np.zeros((len(lists), width), bool)
-    for i, x in enumerate(lists):
-        out[i, : len(x or ())] = x or ()
-        mask[i, : len(x or ())] = True
+def padded_lists(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of lists as one matrix and the mask of what isn't padding; a null list is empty, a null entry 0."""
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    mask = np.arange(max(1, sizes.max(initial=0))) < sizes[:, None]
+    out = np.zeros(mask.shape)
+    out[mask] = np.nan_to_num(column.flatten().to_numpy(zero_copy_only=False).astype(float))
     return out, mask
 
 
@@ -82,8 +55,8 @@ def encode_spectra(df: DataFrame, weights: dict, spectrum: str = "spectrum_id")
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 ids, mzs, ints, pre = batch.slice(at, ROWS).columns
-                mz, mask = _padded(mzs.to_pylist())
-                out = spectrum_vectors(mz, _padded(ints.to_pylist())[0], mask, np.array([p or 0.0 for p in pre.to_pylist()]), shared.value)
+                mz, mask = padded_lists(mzs)
+                out = spectrum_vectors(mz, padded_lists(ints)[0], mask, np.nan_to_num(pre.to_numpy(zero_copy_only=False).astype(float)), shared.value)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(list(out), pa.list_(pa.float64()))], [spectrum, "embedding"])
 
     kind = dict(df.dtypes)[spectrum]

@@ -7,8 +7,8 @@ from dataclasses import replace
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import encoders, range_join, ranker, trees
-from ..sources.files import materialized
+from ..operators import encoders, range_join, ranker, training, trees
+from ..sources.files import materialized, scratch_path
 from . import bindings as b
 from .bindings import query, rounded, sql
 from .ranking_queries import _FEATURES, _features
@@ -72,30 +72,64 @@ def _layer(inputs: int, outputs: int, phase: float) -> dict:
     return {"w": np.sin(at * 0.7 + phase) * 0.4, "b": np.cos(np.arange(outputs) + phase) * 0.1}
 
 
-SPECTRUM_WEIGHTS = {"peak": _layer(2, 12, 0.1), "attention": _layer(12, 1, 0.2), "precursor": _layer(1, 4, 0.3), "out": _layer(28, 16, 0.4)}
+def _norm(width: int) -> dict:
+    return {"scale": 1.0 + np.sin(np.arange(width)) * 0.1, "shift": np.cos(np.arange(width)) * 0.1}
+
+
+SPECTRUM_WEIGHTS = {
+    "peak1": _layer(2, 12, 0.1), "peak_norm": _norm(12), "peak2": _layer(12, 12, 0.15), "attention1": _layer(12, 6, 0.2), "attention2": _layer(6, 1, 0.25),
+    "precursor1": _layer(1, 4, 0.3), "precursor2": _layer(4, 4, 0.35), "out1": _layer(28, 20, 0.4), "out_norm": _norm(20), "out2": _layer(20, 16, 0.45),
+}
 MOLECULE_LAYERS = [_layer(32, 24, 0.5), _layer(24, 16, 0.6)]
 
 
-def encoded_spectra(spark, d):
-    """The spectrum encoder with given weights over preprocessed peak lists of all spectra."""
+def _peak_lists(spark, d):
+    """Preprocessed peak lists of all spectra."""
     from ..functions.peak_arrays import PROFILES
     from ..operators.peaks import preprocess
 
     kept = preprocess(b.peaks(spark, d), PROFILES["baseline"])
     lists = kept.groupBy("spectrum_id").agg(F.array_sort(F.collect_list(F.struct("mz", "intensity"))).alias("p"), F.max("mz").alias("precursor_mz"))
-    out = encoders.encode_spectra(lists.select("spectrum_id", F.col("p.mz").alias("mzs"), F.col("p.intensity").alias("intensities"), "precursor_mz"), SPECTRUM_WEIGHTS)
+    return lists.select("spectrum_id", F.col("p.mz").alias("mzs"), F.col("p.intensity").alias("intensities"), "precursor_mz")
+
+
+def _fingerprints(spark, d):
+    """Hashed 32-bit fingerprints of the candidates' names."""
+    words = F.split("smiles", " ")
+    bits = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.exists(words, lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(32)) == i).cast("int"))
+    return b.variants(spark, d).groupBy("structure").agg(F.min("smiles").alias("smiles")).select("structure", bits.alias("fingerprint"))
+
+
+def encoded_spectra(spark, d):
+    """The spectrum encoder with given weights over preprocessed peak lists of all spectra."""
+    out = encoders.encode_spectra(_peak_lists(spark, d), SPECTRUM_WEIGHTS)
     return out.select("spectrum_id", *[F.round(F.get("embedding", i), 6).alias(f"e{i}") for i in range(16)])
 
 
 def encoded_molecules(spark, d):
     """The molecule encoder with given weights over hashed 32-bit fingerprints of the candidates' names."""
-    words = F.split("smiles", " ")
-    bits = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.exists(words, lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(32)) == i).cast("int"))
-    prints = b.variants(spark, d).groupBy("structure").agg(F.min("smiles").alias("smiles")).select("structure", bits.alias("fingerprint"))
-    out = encoders.encode_molecules(prints, MOLECULE_LAYERS)
+    out = encoders.encode_molecules(_fingerprints(spark, d), MOLECULE_LAYERS)
     return out.select("structure", *[F.round(F.get("embedding", i), 6).alias(f"e{i}") for i in range(16)])
 
 
+TRAINED = SPECTRUM_WEIGHTS | {"mol1": MOLECULE_LAYERS[0], "mol_norm": _norm(24), "mol2": MOLECULE_LAYERS[1]}
+STEPS = training.TrainConfig(steps=6, warmup=1)
+
+
+def encoder_training(spark, d):
+    """Both encoders trained on every spectrum and its structure's fingerprint for one epoch of six steps, from a folder of
+    checkpoints: loss, learning rate and gradient norm of each step."""
+    from ..operators.splits import dense_index
+
+    spectra = _peak_lists(spark, d).withColumn("structure", F.col("spectrum_id") % 97)
+    index = dense_index(spectra.select("spectrum_id").withColumn("h", F.sha2(F.col("spectrum_id").cast("string"), 256)), "h", "place")
+    rows = spectra.join(index, "spectrum_id").join(_fingerprints(spark, d), "structure").withColumn("batch", F.floor(F.col("place") / 64)).withColumnRenamed("spectrum_id", "item")
+    rows = materialized(rows, "batches")
+    per_step = rows.agg(F.ceil((F.max("batch") + 1) / STEPS.steps)).first()[0]
+    _, made = training.train(rows, TRAINED, STEPS, per_step, scratch_path(spark, "encoder-checkpoints"))
+    return rounded(spark.createDataFrame(made, "step int, loss double, rate double, norm double"))
+
+
 def ranker_experiments(spark, d):
     """Four configurations fitted on even groups' features and looked at on odd ones: best iteration, MRR at 25 of each look, and which is chosen."""
     rows = _features(spark, d).select(F.col("grp").alias("query_id"), F.col("structure").alias("candidate_id"), *ranker.MODEL_FEATURES).withColumn("target", (F.col("candidate_id") % 5 == 0).cast("int"))
@@ -157,5 +191,5 @@ def split_gains(spark, d):
     return rounded(whole.where("lg is not null").select(F.col("name").alias("feature"), "cut", ((term(lg, lh) + term(tg - lg, th - lh) - term(tg, th)) / 2).alias("gain")))
 
 
-for _f in (encoded_spectra, encoded_molecules, ranker_experiments, ranker_trees, feature_importances):  # held against brute force, not SQL
+for _f in (encoded_spectra, encoded_molecules, encoder_training, ranker_experiments, ranker_trees, feature_importances):  # held against brute force, not SQL
     b.REGISTERED[_f.__name__] = (_f, "")

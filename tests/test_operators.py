@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from peakloom.operators import catalog, encoders, metrics, peaks, pools, profiling, range_join, ranker, scoring, similarity, splits, submit
+from peakloom.operators import catalog, encoders, layers, metrics, peaks, pools, profiling, range_join, ranker, scoring, similarity, splits, submit
 from peakloom.schemas import checked, looked_up, require, violations
 from peakloom.sources import files
 
@@ -286,11 +286,17 @@ def unit(x):
     return [v / n for v in x]
 
 
+def plain_norm(x, layer):
+    mean = sum(x) / len(x)
+    spread = math.sqrt(sum((v - mean) ** 2 for v in x) / len(x) + 1e-5)
+    return [(v - mean) / spread * layer["scale"][i] + layer["shift"][i] for i, v in enumerate(x)]
+
+
 def test_encoders_against_plain_python(spark):
     from peakloom.plans.training_queries import MOLECULE_LAYERS, SPECTRUM_WEIGHTS as w
 
     x = np.linspace(-8, 8, 4001)
-    assert np.allclose(encoders.erf(x), [math.erf(v) for v in x], atol=1e-15, rtol=1e-13)
+    assert np.allclose(layers.erf(x), [math.erf(v) for v in x], atol=1e-15, rtol=1e-13)
     lists = [([100.0, 200.5, 950.0], [1.0, 0.5, 0.25], 300.0), ([], [], 300.0), ([55.5], [1.0], None), (None, None, 1.0)]
     df = spark.createDataFrame([(i, *x) for i, x in enumerate(lists)], "spectrum_id long, mzs array<double>, intensities array<double>, precursor_mz double")
     got = {r.spectrum_id: r.embedding for r in encoders.encode_spectra(df.coalesce(1), w).collect()}
@@ -298,10 +304,11 @@ def test_encoders_against_plain_python(spark):
         if not mzs:
             assert got[i] == [0.0] * 16
             continue
-        h = [plain_gelu(plain_dense([m / 1000, v], w["peak"])) for m, v in zip(mzs, ints)]
-        a = [math.exp(plain_dense(v, w["attention"])[0]) for v in h]
+        h = [plain_gelu(plain_dense(plain_gelu(plain_norm(plain_dense([m / 1000, v], w["peak1"]), w["peak_norm"])), w["peak2"])) for m, v in zip(mzs, ints)]
+        a = [math.exp(plain_dense(plain_gelu(plain_dense(v, w["attention1"])), w["attention2"])[0]) for v in h]
         pooled = [sum(a[p] * h[p][j] for p in range(len(h))) / sum(a) for j in range(12)] + [max(v[j] for v in h) for j in range(12)]
-        assert got[i] == pytest.approx(unit(plain_dense(pooled + plain_gelu(plain_dense([(pre or 0.0) / 1000], w["precursor"])), w["out"])), abs=1e-12)
+        pooled += plain_gelu(plain_dense(plain_gelu(plain_dense([(pre or 0.0) / 1000], w["precursor1"])), w["precursor2"]))
+        assert got[i] == pytest.approx(unit(plain_dense(plain_gelu(plain_norm(plain_dense(pooled, w["out1"]), w["out_norm"])), w["out2"])), abs=1e-12)
     prints = spark.createDataFrame([(1, [1, 0] * 16), (2, None), (3, [1] * 32)], "structure long, fingerprint array<int>")
     found = {r.structure: r.embedding for r in encoders.encode_molecules(prints, MOLECULE_LAYERS).collect()}
     for k, bits in ((1, [1, 0] * 16), (3, [1] * 32)):
@@ -389,7 +396,8 @@ def test_encoders(spark):
     rng = np.random.default_rng(1)
     def layer(i, o):
         return {"w": rng.normal(size=(i, o)), "b": rng.normal(size=o)}
-    w = {"peak": layer(2, 8), "attention": layer(8, 1), "precursor": layer(1, 4), "out": layer(20, 5)}
+    norm = lambda n: {"scale": rng.normal(size=n), "shift": rng.normal(size=n)}
+    w = {"peak1": layer(2, 8), "peak_norm": norm(8), "peak2": layer(8, 8), "attention1": layer(8, 4), "attention2": layer(4, 1), "precursor1": layer(1, 4), "precursor2": layer(4, 4), "out1": layer(20, 6), "out_norm": norm(6), "out2": layer(6, 5)}
     df = spark.createDataFrame([(1, [100.0, 200.0], [1.0, 0.5], 300.0), (2, [], [], 300.0)], "spectrum_id long, mzs array<double>, intensities array<double>, precursor_mz double")
     got = {r.spectrum_id: r.embedding for r in encoders.encode_spectra(df, w).collect()}
     assert np.linalg.norm(got[1]) == pytest.approx(1.0) and got[2] == [0.0] * 5
