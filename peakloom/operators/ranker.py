@@ -10,11 +10,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import require
+from ..sources.files import materialized
 from .metrics import metrics_bundle, true_ranks
 from .scoring import MODEL_FEATURES, feature_array, ranked
 
@@ -103,7 +104,10 @@ def fit(rows: DataFrame, config: RankerConfig | None = None, query: str = "query
     The optimiser draws nothing and starts from zero, so a fit of n iterations is, but for rounding, the nth state of a longer one.
     """
     config = config or RankerConfig()
+    # every look fits on them again
     pairs = difference_pairs(rows, list(config.features), query, target, config.objective)
+    if validation is not None:
+        pairs = materialized(pairs.withColumn("features", vector_to_array("features")), "pairs").withColumn("features", array_to_vector("features"))
 
     def after(n: int) -> tuple[float, ...]:
         model = LogisticRegression(maxIter=n, regParam=config.reg, fitIntercept=False, standardization=True, weightCol="weight").fit(pairs)
@@ -111,6 +115,7 @@ def fit(rows: DataFrame, config: RankerConfig | None = None, query: str = "query
 
     if validation is None:
         return Ranker(config, after(config.max_iter))
+    validation = materialized(require(validation, [query, *config.features]), "validation")
     best, history = None, []
     for n in range(config.step, config.max_iter + config.step, config.step):
         n = min(n, config.max_iter)
@@ -135,6 +140,7 @@ EXPERIMENTS = (RankerConfig(), RankerConfig(reg=0.1), RankerConfig("rank:ndcg"),
 
 def run_experiments(train: DataFrame, validation: DataFrame, configs: list[RankerConfig] | tuple[RankerConfig, ...] = EXPERIMENTS) -> tuple[Ranker, list[Ranker]]:
     """(the fit of largest validation MRR at 25, the first of equal ones; every fit in the order of ``configs``)."""
+    train, validation = materialized(train, "train"), materialized(validation, "validation")
     fitted = [fit(train, c, validation=validation) for c in configs]
     return max(fitted, key=lambda r: (r.best_score, -fitted.index(r))), fitted
 

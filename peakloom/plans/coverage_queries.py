@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import peak_arrays, vectors
@@ -13,6 +12,7 @@ from . import bindings as b
 from .bindings import query, rounded, sql
 from .inference_queries import ENSEMBLE, WEIGHTS, tree_sql
 from .ranking_queries import _FEATURES, _features
+from .spectrum_queries import PAIRS, drawn_scores
 
 
 # sources and sinks
@@ -304,23 +304,14 @@ def complete_head(spark, d):
     return splits.complete_groups(rows, "query_id", 3000)
 
 
-_PAIRS = "WITH h AS (SELECT vec_id, label, embedding, row_number() OVER (PARTITION BY label ORDER BY sha256('split-v1|' || label || '|' || vec_id), vec_id) - 1 AS place, count(*) OVER (PARTITION BY label) AS size FROM embeddings), g AS (SELECT vec_id, embedding, label, row_number() OVER (ORDER BY sha256('split-v1|' || vec_id)) - 1 AS place, count(*) OVER () AS size FROM embeddings), p AS (SELECT a.vec_id AS a, z.vec_id AS b, true AS positive, a.embedding AS x, z.embedding AS y FROM h a JOIN h z ON z.label = a.label AND z.place = (a.place + 1) % a.size AND z.vec_id <> a.vec_id UNION ALL SELECT a.vec_id, z.vec_id, false, a.embedding, z.embedding FROM g a JOIN g z ON z.place = (a.place + 1) % a.size AND z.label <> a.label) SELECT a, b, positive, round(list_sum(list_transform(list_zip(x, y), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6) AS score FROM p"
-
-
-@query(_PAIRS)
+@query(PAIRS)
 def hashed_pairs(spark, d):
     """Positives and negatives over all vectors, drawn by hash order: each vector with the next of its label, and with the
     next of all where that has another label."""
-    e = b.table(spark, d, "embeddings").select("vec_id", "label", "embedding")
-    from ..operators.pairs import next_by_hash
-
-    positive = next_by_hash(e, "vec_id", "label").withColumn("positive", F.lit(True))
-    negative = next_by_hash(e, "vec_id").where("label <> other_label").withColumn("positive", F.lit(False))
-    both = positive.unionByName(negative)
-    return rounded(both.select(F.col("vec_id").alias("a"), F.col("other_vec_id").alias("b"), "positive", vectors.dot(F.col("embedding"), F.col("other_embedding")).alias("score")))
+    return drawn_scores(spark, d)
 
 
-@query(f"SELECT positive, count(*) AS n, round(avg(score), 6) AS mean, round(quantile_cont(score, 0.1), 6) AS p10, round(quantile_cont(score, 0.5), 6) AS median, round(quantile_cont(score, 0.9), 6) AS p90, round(avg((score >= 2e-1)::INT), 6) AS pass_rate, round((SELECT sum((p.score > q.score)::INT)::DOUBLE / count(*) FROM (SELECT score FROM ({_PAIRS}) WHERE positive) p, (SELECT score FROM ({_PAIRS}) WHERE NOT positive) q), 6) AS auc FROM ({_PAIRS}) GROUP BY 1")
+@query(f"SELECT positive, count(*) AS n, round(avg(score), 6) AS mean, round(quantile_cont(score, 0.1), 6) AS p10, round(quantile_cont(score, 0.5), 6) AS median, round(quantile_cont(score, 0.9), 6) AS p90, round(avg((score >= 2e-1)::INT), 6) AS pass_rate, round((SELECT sum((p.score > q.score)::INT)::DOUBLE / count(*) FROM (SELECT score FROM ({PAIRS}) WHERE positive) p, (SELECT score FROM ({PAIRS}) WHERE NOT positive) q), 6) AS auc FROM ({PAIRS}) GROUP BY 1")
 def discrimination(spark, d):
     """How well similarity tells positive pairs from negative ones, over pairs drawn from all vectors: summaries, pass
     rates, and the share of (positive, negative) in which the positive scores more."""

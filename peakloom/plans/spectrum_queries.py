@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import peak_arrays, vectors
 from ..functions.keys import stable_fraction
 from ..operators import blocks, cells, metrics, peaks, scoring, similarity, sparse_index
+from ..operators.pairs import next_by_hash
 from ..sources.files import materialized
 from . import bindings as b
 from .bindings import query, rounded, sql
@@ -213,19 +214,32 @@ def embedding_pairs(spark, d):
     return same.select(*cols).unionByName(other.select(*cols))
 
 
-@query("WITH pairs AS (SELECT (a.label = b.label) AS positive, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6) AS score FROM embeddings a JOIN embeddings b ON (a.label = b.label AND b.vec_id > a.vec_id AND b.vec_id <= a.vec_id + 40) OR (a.label <> b.label AND b.vec_id = a.vec_id + 7)) SELECT round((SELECT sum((p.score > q.score)::INT)::DOUBLE / count(*) FROM (SELECT score FROM pairs WHERE positive) p, (SELECT score FROM pairs WHERE NOT positive) q), 6) AS auc")
+# each vector with the next of its label in hash order, and with the next of all where that has another label
+PAIRS = "WITH h AS (SELECT vec_id, label, embedding, row_number() OVER (PARTITION BY label ORDER BY sha256('split-v1|' || label || '|' || vec_id), vec_id) - 1 AS place, count(*) OVER (PARTITION BY label) AS size FROM embeddings), g AS (SELECT vec_id, embedding, label, row_number() OVER (ORDER BY sha256('split-v1|' || vec_id)) - 1 AS place, count(*) OVER () AS size FROM embeddings), p AS (SELECT a.vec_id AS a, z.vec_id AS b, true AS positive, a.embedding AS x, z.embedding AS y FROM h a JOIN h z ON z.label = a.label AND z.place = (a.place + 1) % a.size AND z.vec_id <> a.vec_id UNION ALL SELECT a.vec_id, z.vec_id, false, a.embedding, z.embedding FROM g a JOIN g z ON z.place = (a.place + 1) % a.size AND z.label <> a.label) SELECT a, b, positive, round(list_sum(list_transform(list_zip(x, y), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6) AS score FROM p"
+
+
+def drawn_scores(spark, d):
+    """(a, b, positive, score) of pairs drawn from all vectors by hash order."""
+    e = b.table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    positive = next_by_hash(e, "vec_id", "label").withColumn("positive", F.lit(True))
+    negative = next_by_hash(e, "vec_id").where("label <> other_label").withColumn("positive", F.lit(False))
+    both = positive.unionByName(negative)
+    return rounded(both.select(F.col("vec_id").alias("a"), F.col("other_vec_id").alias("b"), "positive", vectors.dot(F.col("embedding"), F.col("other_embedding")).alias("score")))
+
+
+@query(f"WITH pairs AS ({PAIRS}) SELECT round((SELECT sum((p.score > q.score)::INT)::DOUBLE / count(*) FROM (SELECT score FROM pairs WHERE positive) p, (SELECT score FROM pairs WHERE NOT positive) q), 6) AS auc")
 def auc_exact(spark, d):
     from ..operators.profiling import exact_auc
 
-    return rounded(exact_auc(embedding_pairs(spark, d), "score", "positive"))
+    return rounded(exact_auc(drawn_scores(spark, d), "score", "positive"))
 
 
-@query("WITH pairs AS (SELECT (a.label = b.label) AS positive, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6) AS score FROM embeddings a JOIN embeddings b ON (a.label = b.label AND b.vec_id > a.vec_id AND b.vec_id <= a.vec_id + 40) OR (a.label <> b.label AND b.vec_id = a.vec_id + 7)) SELECT positive, round(avg(score), 6) AS mean, round(median(score), 6) AS median, round(quantile_cont(score, 0.1), 6) AS p10, round(quantile_cont(score, 0.25), 6) AS p25, round(quantile_cont(score, 0.75), 6) AS p75, round(quantile_cont(score, 0.9), 6) AS p90, round(avg((score >= 0.2)::INT), 6) AS pass_rate FROM pairs GROUP BY 1")
+@query(f"WITH pairs AS ({PAIRS}) SELECT positive, round(avg(score), 6) AS mean, round(median(score), 6) AS median, round(quantile_cont(score, 0.1), 6) AS p10, round(quantile_cont(score, 0.25), 6) AS p25, round(quantile_cont(score, 0.75), 6) AS p75, round(quantile_cont(score, 0.9), 6) AS p90, round(avg((score >= 0.2)::INT), 6) AS pass_rate FROM pairs GROUP BY 1")
 def similarity_summary(spark, d):
-    pairs = embedding_pairs(spark, d)
+    scores = drawn_scores(spark, d)
     points = {"median": 0.5} | {f"p{round(100 * q)}": q for q in (0.1, 0.25, 0.75, 0.9)}
     plain = [F.avg("score").alias("mean"), F.avg((F.col("score") >= 0.2).cast("double")).alias("pass_rate")]
-    return rounded(cells.aggregated(pairs, ["positive"], plain, "score", points))
+    return rounded(cells.aggregated(scores, ["positive"], plain, "score", points))
 
 
 @query(sql("keyed", "SELECT count(*) AS n FROM keyed WHERE ('0x' || substr(sha256('split-v1|' || structure), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616e0 < 0.1"))
