@@ -12,25 +12,19 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import stable_order
 from ..functions.vectors import dot
-from .layers import Weights, dense, gelu, layer_norm, spectrum_forward, unit_rows
+from .layers import Weights, molecule_forward, spectrum_forward
 
 
 def spectrum_vectors(mz: np.ndarray, intensity: np.ndarray, mask: np.ndarray, precursor: np.ndarray, weights: Weights) -> np.ndarray:
     return spectrum_forward(mz, intensity, mask, precursor, weights)[0]
 
 
-def molecule_vectors(fingerprints: np.ndarray, layers: list[dict]) -> np.ndarray:
-    """Rows of fingerprints to unit vectors: dense layers with layer norm and GELU between."""
-    x = fingerprints.astype(float)
-    for i, layer in enumerate(layers):
-        x = dense(x, layer)
-        if i < len(layers) - 1:
-            x = gelu(layer_norm(x, layer if "scale" in layer else None)[0])
-    return unit_rows(x)[0]
+def molecule_vectors(fingerprints: np.ndarray, weights: Weights) -> np.ndarray:
+    return molecule_forward(fingerprints, weights)[0]
 
 
-def molecule_vector(fingerprint: np.ndarray, layers: list[dict]) -> np.ndarray:
-    return molecule_vectors(fingerprint[None, :], layers)[0]
+def molecule_vector(fingerprint: np.ndarray, weights: Weights) -> np.ndarray:
+    return molecule_vectors(fingerprint[None, :], weights)[0]
 
 
 ROWS = 512  # spectra or molecules encoded at once
@@ -63,9 +57,9 @@ def encode_spectra(df: DataFrame, weights: dict, spectrum: str = "spectrum_id")
     return df.select(spectrum, "mzs", "intensities", "precursor_mz").mapInArrow(rows, f"{spectrum} {kind}, embedding array<double>")
 
 
-def encode_molecules(df: DataFrame, layers: list[dict], molecule: str = "structure", fingerprint: str = "fingerprint") -> DataFrame:
+def encode_molecules(df: DataFrame, weights: Weights, molecule: str = "structure", fingerprint: str = "fingerprint") -> DataFrame:
     """(molecule, embedding) of rows with a fingerprint array; null for a null fingerprint."""
-    shared = df.sparkSession.sparkContext.broadcast(layers)
+    shared = df.sparkSession.sparkContext.broadcast(weights)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -130,18 +130,21 @@ def spectrum_backward(slope: np.ndarray, k: dict, w: Weights) -> Weights:
 
 
 def molecule_forward(prints: np.ndarray, w: Weights) -> tuple[np.ndarray, dict]:
-    """Fingerprints to unit vectors: dense, layer norm, GELU, dense."""
+    """Fingerprints to unit vectors: two dense layers with layer norm and GELU, and a last one."""
     k: dict = {"x": prints.astype(float)}
-    k["normed"], k["norm"] = layer_norm(dense(k["x"], w["mol1"]), w["mol_norm"])
-    k["g"] = gelu(k["normed"])
-    k["unit"], k["size"] = unit_rows(dense(k["g"], w["mol2"]))
+    k["normed1"], k["norm1"] = layer_norm(dense(k["x"], w["mol1"]), w["mol_norm1"])
+    k["g1"] = gelu(k["normed1"])
+    k["normed2"], k["norm2"] = layer_norm(dense(k["g1"], w["mol2"]), w["mol_norm2"])
+    k["g2"] = gelu(k["normed2"])
+    k["unit"], k["size"] = unit_rows(dense(k["g2"], w["mol3"]))
     return k["unit"], k
 
 
 def molecule_backward(slope: np.ndarray, k: dict, w: Weights) -> Weights:
     g = Gradients()
-    s = g.dense("mol2", w["mol2"], k["g"], unit_slope(k["unit"], k["size"], slope)) * gelu_slope(k["normed"])
-    g.dense("mol1", w["mol1"], k["x"], g.layer_norm("mol_norm", w["mol_norm"], k["norm"], s))
+    s = g.dense("mol3", w["mol3"], k["g2"], unit_slope(k["unit"], k["size"], slope)) * gelu_slope(k["normed2"])
+    s = g.dense("mol2", w["mol2"], k["g1"], g.layer_norm("mol_norm2", w["mol_norm2"], k["norm2"], s)) * gelu_slope(k["normed1"])
+    g.dense("mol1", w["mol1"], k["x"], g.layer_norm("mol_norm1", w["mol_norm1"], k["norm1"], s))
     return g.by_layer
 
 

@@ -80,7 +80,7 @@ SPECTRUM_WEIGHTS = {
     "peak1": _layer(2, 12, 0.1), "peak_norm": _norm(12), "peak2": _layer(12, 12, 0.15), "attention1": _layer(12, 6, 0.2), "attention2": _layer(6, 1, 0.25),
     "precursor1": _layer(1, 4, 0.3), "precursor2": _layer(4, 4, 0.35), "out1": _layer(28, 20, 0.4), "out_norm": _norm(20), "out2": _layer(20, 16, 0.45),
 }
-MOLECULE_LAYERS = [_layer(32, 24, 0.5), _layer(24, 16, 0.6)]
+MOLECULE_WEIGHTS = {"mol1": _layer(32, 24, 0.5), "mol_norm1": _norm(24), "mol2": _layer(24, 20, 0.55), "mol_norm2": _norm(20), "mol3": _layer(20, 16, 0.6)}
 
 
 def _peak_lists(spark, d):
@@ -108,11 +108,11 @@ def encoded_spectra(spark, d):
 
 def encoded_molecules(spark, d):
     """The molecule encoder with given weights over hashed 32-bit fingerprints of the candidates' names."""
-    out = encoders.encode_molecules(_fingerprints(spark, d), MOLECULE_LAYERS)
+    out = encoders.encode_molecules(_fingerprints(spark, d), MOLECULE_WEIGHTS)
     return out.select("structure", *[F.round(F.get("embedding", i), 6).alias(f"e{i}") for i in range(16)])
 
 
-TRAINED = SPECTRUM_WEIGHTS | {"mol1": MOLECULE_LAYERS[0], "mol_norm": _norm(24), "mol2": MOLECULE_LAYERS[1]}
+TRAINED = SPECTRUM_WEIGHTS | MOLECULE_WEIGHTS
 STEPS = training.TrainConfig(steps=6, warmup=1)
 
 

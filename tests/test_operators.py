@@ -293,7 +293,7 @@ def plain_norm(x, layer):
 
 
 def test_encoders_against_plain_python(spark):
-    from peakloom.plans.training_queries import MOLECULE_LAYERS, SPECTRUM_WEIGHTS as w
+    from peakloom.plans.training_queries import MOLECULE_WEIGHTS as m, SPECTRUM_WEIGHTS as w
 
     x = np.linspace(-8, 8, 4001)
     assert np.allclose(layers.erf(x), [math.erf(v) for v in x], atol=1e-15, rtol=1e-13)
@@ -310,12 +310,11 @@ def test_encoders_against_plain_python(spark):
         pooled += plain_gelu(plain_dense(plain_gelu(plain_dense([(pre or 0.0) / 1000], w["precursor1"])), w["precursor2"]))
         assert got[i] == pytest.approx(unit(plain_dense(plain_gelu(plain_norm(plain_dense(pooled, w["out1"]), w["out_norm"])), w["out2"])), abs=1e-12)
     prints = spark.createDataFrame([(1, [1, 0] * 16), (2, None), (3, [1] * 32)], "structure long, fingerprint array<int>")
-    found = {r.structure: r.embedding for r in encoders.encode_molecules(prints, MOLECULE_LAYERS).collect()}
+    found = {r.structure: r.embedding for r in encoders.encode_molecules(prints, m).collect()}
     for k, bits in ((1, [1, 0] * 16), (3, [1] * 32)):
-        y = plain_dense(bits, MOLECULE_LAYERS[0])
-        mean = sum(y) / len(y)
-        y = plain_gelu([(v - mean) / math.sqrt(sum((u - mean) ** 2 for u in y) / len(y) + 1e-5) for v in y])
-        assert found[k] == pytest.approx(unit(plain_dense(y, MOLECULE_LAYERS[1])), abs=1e-12)
+        y = plain_gelu(plain_norm(plain_dense(bits, m["mol1"]), m["mol_norm1"]))
+        y = plain_gelu(plain_norm(plain_dense(y, m["mol2"]), m["mol_norm2"]))
+        assert found[k] == pytest.approx(unit(plain_dense(y, m["mol3"])), abs=1e-12)
     assert found[2] is None
 
 
@@ -401,7 +400,8 @@ def test_encoders(spark):
     df = spark.createDataFrame([(1, [100.0, 200.0], [1.0, 0.5], 300.0), (2, [], [], 300.0)], "spectrum_id long, mzs array<double>, intensities array<double>, precursor_mz double")
     got = {r.spectrum_id: r.embedding for r in encoders.encode_spectra(df, w).collect()}
     assert np.linalg.norm(got[1]) == pytest.approx(1.0) and got[2] == [0.0] * 5
-    assert np.linalg.norm(encoders.molecule_vector(np.ones(6), [layer(6, 4), layer(4, 3)])) == pytest.approx(1.0)
+    m = {"mol1": layer(6, 4), "mol_norm1": norm(4), "mol2": layer(4, 4), "mol_norm2": norm(4), "mol3": layer(4, 3)}
+    assert np.linalg.norm(encoders.molecule_vector(np.ones(6), m)) == pytest.approx(1.0)
 
 
 def test_files(spark, tmp_path):

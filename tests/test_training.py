@@ -19,7 +19,7 @@ def norm(n):
 
 WEIGHTS = {
     "peak1": layer(2, 6), "peak_norm": norm(6), "peak2": layer(6, 6), "attention1": layer(6, 3), "attention2": layer(3, 1), "precursor1": layer(1, 3), "precursor2": layer(3, 3),
-    "out1": layer(15, 7), "out_norm": norm(7), "out2": layer(7, 4), "mol1": layer(5, 6), "mol_norm": norm(6), "mol2": layer(6, 4),
+    "out1": layer(15, 7), "out_norm": norm(7), "out2": layer(7, 4), "mol1": layer(5, 6), "mol_norm1": norm(6), "mol2": layer(6, 5), "mol_norm2": norm(5), "mol3": layer(5, 4),
 }
 
 
