@@ -62,3 +62,20 @@ def test_null_and_shared_ids(spark, name):
     if name in ("token_counts", "secret_scan", "media", "bpe", "license_scan", "decontam"):
         columns = [c for c in got.columns if c != "doc_id"]
         assert rows(got.select(columns)) == rows(run(docs).select(columns))
+
+
+@pytest.mark.parametrize("name", ["quality", "line_dedup", "near_duplicates", "decontamination"])
+def test_stages_keep_other_columns_whatever_their_names(spark, name):
+    docs, bench, labels = tables(spark)
+    run = {
+        "quality": lambda d: quality.keep_good(d, labels),
+        "line_dedup": line_dedup.dedup_lines,
+        "near_duplicates": lambda d: minhash.keep_one_of_each(d, percent=80),
+        "decontamination": lambda d: decontam.keep_clean(d, bench),
+    }[name]
+    clash = docs.select("*", *[F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")).alias(c) for c in CLASH])
+    got, want = run(clash), run(docs)
+    assert got.columns == clash.columns and want.columns == docs.columns
+    assert rows(got.select("doc_id", "text")) == rows(want)
+    assert all(r[c] == f"{c} of {r.doc_id}" for r in got.collect() for c in CLASH)
+    assert run(clash.limit(0)).count() == 0
