@@ -196,6 +196,7 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def settled_contexts(found: DataFrame) -> DataFrame:
     """(anchor, doc_id, first, windows, lead, repeat): all repeats, and the earliest of each content of anchors with several."""
+    found = materialize(found, "found-contexts")  # the range bounds come from a first look at these
     # what a task has settled itself is dealt out by its place, so that a common passage doesn't meet in one partition
     deal = F.when(F.col("repeat"), F.xxhash64("doc_id", "first")).otherwise(F.col("anchor"))
     order = ["anchor", "content", "doc_id", "first"]
