@@ -80,6 +80,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """A scan of fewer splits than there are cores is dealt out by its key first, as the joins after it multiply its rows."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def peaks(spark: SparkSession, d: str, coarse: bool = False) -> DataFrame:
     mz = F.col("l_extendedprice") / 100
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("spectrum_id"), (F.floor(mz).cast("double") if coarse else mz).alias("mz"), (F.col("l_quantity") / 50).alias("intensity"))
@@ -91,7 +97,7 @@ def variants(spark: SparkSession, d: str) -> DataFrame:
 
 def spectra(spark: SparkSession, d: str) -> DataFrame:
     mass = F.expr("900D + ((event_id div 3) % 1000) / 10D + (event_id % 3) * 6e-2D + CASE WHEN event_id % 7 = 0 THEN 1D ELSE 0D END")
-    return table(spark, d, "events").select(F.col("event_id").alias("spectrum_id"), F.expr("event_id div 3").alias("grp"), mass.alias("mass"), F.col("event_type").alias("instrument"), (F.col("user_id") % 5).alias("lib"))
+    return spread(table(spark, d, "events").select(F.col("event_id").alias("spectrum_id"), F.expr("event_id div 3").alias("grp"), mass.alias("mass"), F.col("event_type").alias("instrument"), (F.col("user_id") % 5).alias("lib")), "spectrum_id")
 
 
 def ions(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +129,7 @@ def unknown(spark: SparkSession, d: str) -> DataFrame:
         F.get(sources, (F.col("user_id") % 5).cast("int")).alias("source"),
         F.get(names, (F.col("event_id") % 13).cast("int")).alias("adduct"),
     )
-    return with_adducts(rows).withColumn("precursor_mz", precursor_mz(F.col("mass"), F.col("charge"), F.col("multimer"), F.col("mass_shift"))).drop("mass")
+    return with_adducts(spread(rows, "spectrum_id")).withColumn("precursor_mz", precursor_mz(F.col("mass"), F.col("charge"), F.col("multimer"), F.col("mass_shift"))).drop("mass")
 
 
 def truths(spark: SparkSession, d: str) -> DataFrame:

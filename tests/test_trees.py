@@ -118,16 +118,16 @@ def plain_fit(rows, config):
     return made, score
 
 
-CONFIG = trees.TreeConfig(n_trees=3, learning_rate=0.4, max_depth=3, max_bins=8, features=NAMES)
+CONFIG = trees.TreeConfig(n_trees=2, learning_rate=0.4, max_depth=2, max_bins=8, features=NAMES)
 
 
 @pytest.mark.parametrize("objective", trees.OBJECTIVES)
 def test_equal_to_a_plain_learner(spark, objective):
-    config = replace(CONFIG, objective=objective, min_child_weight=0.05)
+    config = replace(CONFIG, objective=objective, min_child_weight=0.05, max_depth=3)
     rows = some_rows()
     got = trees.fit(frame(spark, rows), config)
     want, score = plain_fit(rows, config)
-    assert len(got.trees) == 3
+    assert len(got.trees) == 2
     for a, b in zip(got.trees, want, strict=True):
         assert [(n.feature, n.left, n.right) for n in a] == [(n[0], n[2], n[3]) for n in b]
         for n, m in zip(a, b, strict=True):
@@ -142,7 +142,7 @@ def test_same_for_any_partitioning_and_objectives_differ(spark):
     config = replace(CONFIG, subsample=0.8, colsample=0.7, n_trees=2)
     one, eight = trees.fit(frame(spark, rows, 1), config), trees.fit(frame(spark, rows, 8), config)
     assert one == eight
-    by_objective = {o: trees.fit(frame(spark, rows), replace(CONFIG, objective=o, n_trees=2)).trees for o in trees.OBJECTIVES}
+    by_objective = {o: trees.fit(frame(spark, rows), replace(CONFIG, objective=o)).trees for o in trees.OBJECTIVES}
     assert len(set(by_objective.values())) == 3
     first = [t[0][0] for t in by_objective.values()]
     assert all(n.feature >= 0 for n in first)
@@ -163,16 +163,16 @@ def test_topk_pairs_and_alpha(spark):
 
 def test_early_stopping_and_the_best_cut(spark):
     train, held = frame(spark, some_rows(1)), frame(spark, some_rows(2, first=100))
-    config = replace(CONFIG, n_trees=6, early_stopping=2, learning_rate=1.5, max_depth=4)
+    config = replace(CONFIG, n_trees=5, early_stopping=2, learning_rate=1.5)
     got = trees.fit(train, config, validation=held)
     assert got.best_iteration == got.history.index(max(got.history)) + 1 and got.best_score == max(got.history)
-    assert len(got.trees) == len(got.history) == min(6, got.best_iteration + 2)
+    assert len(got.trees) == len(got.history) == min(5, got.best_iteration + 2)
     assert len(got.used) == got.best_iteration
     # the history is the MRR of what the first trees predict
     for n in (1, len(got.trees)):
         scored = replace(got, best_iteration=n).predict(held).select(F.col("query_id").alias("query"), F.col("candidate_id").alias("id"), "target", F.col("model_score").alias("score"))
         assert trees.mrr(scored) == pytest.approx(got.history[n - 1], abs=1e-9)
-    best, fitted = trees.run_experiments(train, held, [replace(CONFIG, n_trees=1, max_depth=1), replace(CONFIG, n_trees=2)])
+    best, fitted = trees.run_experiments(train, held, [replace(CONFIG, n_trees=1, max_depth=1), replace(CONFIG, n_trees=1)])
     assert fitted[best].best_score == max(f.best_score for f in fitted)
 
 
