@@ -32,8 +32,8 @@ def test_every_code_point(both):
         for c, text, want in zip(part, texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
             if own.normal(text) != library.normalizer.normalize_str(text):
                 raise AssertionError(f"normal form of {c:X}")
-            # merging is slow here and the same for all: one code point in eight, and all that the tables name
-            if c % 8 == 0 or c in NAMED:
+            # merging is slow here and the same for all: one code point in 64, and all that the tables name
+            if c % 64 == 0 or c in NAMED:
                 assert own_ids(own, text) == want.ids, f"{c:X}"
             else:
                 pieces = [p for w in own.words(text) for p in own.pieces(w)]
@@ -48,6 +48,6 @@ def test_marks_in_any_order(both):
     own, library = both
     rng = random.Random(6)
     marks = [chr(c) for c in bpe.code_points(bpe.STILL)] + ["́", "̴", "ͅ", "̣", "̧"]
-    for _ in range(4000):
+    for _ in range(2000):
         text = "".join(rng.choice(["a", "é", "Σ", " ", "ᄀ", "ᅡ", "ᆨ", *rng.sample(marks, 3)]) for _ in range(rng.randrange(12)))
         assert own_ids(own, text) == library.encode(text, add_special_tokens=False).ids, ascii(text)
