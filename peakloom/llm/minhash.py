@@ -3,7 +3,7 @@
 Each document's distinct word shingles give 128 minima. Five minima make a band; 25 bands make pairs of 85 %
 similarity meet with probability 1 - 4e-7, of 80 % with 1 - 5e-5. Of every minimum only the low four bits are kept beside the bands,
 packed in eight 64-bit numbers: the bit count of what differs, corrected for chance collisions, estimates the
-similarity of candidates and discards hopeless ones (more than six standard deviations below the threshold).
+similarity of candidates and discards hopeless ones (``SLACK`` below the threshold: six standard deviations at 85 %, 5.4 at 80 %).
 What remains is confirmed on the full sets, computed from the whole texts.
 
 Documents with equal sets are one class, found by a digest and represented by their smallest id; they are
@@ -16,7 +16,8 @@ their sizes is none; and a shingle whose bit the other set's bit map lacks is no
 intersection from above. A large bucket is compared in blocks of both sides. Neither test loses a link; both leave out the copies whose own changes set them apart.
 
 Cases: a text with fewer words than a shingle is one shingle; null, empty and blank texts have no set, no
-links, and are their own component; rows with equal ids are one document.
+links, and are their own component; rows with equal ids are one document; a row with a null id has the component of its
+set (null if no such row has an id) and a null ``kept``.
 """
 
 from __future__ import annotations
