@@ -17,7 +17,10 @@ The windows that share one anchor occurrence are neighbours; with the bytes they
    of equal left bytes whose common prefixes reach the window's end is a repeated interval: all its windows
    but the earliest are repeats.
    No task gathers an anchor with more than HOT different contexts: those are the edges of very common passages,
-   where the neighbours differ. The digests of their windows are grouped, with minima combined before the shuffle.
+   where the neighbours differ. Their windows are parted by how many bytes lie before the anchor (their level):
+   all windows of a range of levels cover the same bytes around it, which become the longer anchor of a narrower
+   context. Narrower contexts go through steps 2 and 3 again, in ranges of 20 levels, of 5 and at last of one,
+   where the anchor is the window and step 2 settles all.
 4. Each document's windows are joined to its text, and the bytes they cover are removed.
 
 Cases: null, empty and shorter texts have no window; overlapping repeats (also of a document with itself)
@@ -45,7 +48,8 @@ GRAMS = LENGTH - ANCHOR + 1  # anchors to choose from in a window
 AFTER = LENGTH - ANCHOR  # bytes of a window outside its anchor
 CHUNK = 40_000  # contexts merged at once
 BLOCK = 2 << 20  # bytes of text in which a task looks for equal contexts
-HOT = 2000  # different contexts of one anchor that a task merges
+HOT = 2000  # different contexts of one anchor that a task merges; of more the anchor grows
+LEVELS = (20, 5, 1)  # levels of a narrower context, each a multiple of the next
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _MIX = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -145,13 +149,14 @@ def _runs(batches: Iterator[pa.RecordBatch], rows: int = 0) -> Iterator[list[np.
         yield pa.concat_tables(held).combine_chunks()
 
 
-_PIECE = "anchor long, content long, doc_id long, first int, windows int, lead int, repeat boolean, several boolean, edge boolean"
+_PLACED = ["anchor", "content", "doc_id", "first", "windows", "lead"]
+_PIECE = "anchor long, content long, doc_id long, first int, windows int, lead int, bytes binary, repeat boolean, several boolean, edge boolean"
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One partition's contexts, sorted by anchor, content, document and place: repeats, and the earliest of each
     content where its anchor has ``several``. The partition's first and last content come as ``edge`` in any case,
-    as the partitions beside it may go on with them.
+    as the partitions beside it may go on with them. Repeats need their bytes no more.
     """
 
     def out(rows: pa.RecordBatch, repeat: bool, several: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
@@ -160,12 +165,12 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def repeats(rows: pa.RecordBatch) -> pa.RecordBatch:
         none = np.zeros(rows.num_rows, bool)
-        return out(rows, True, none, none)
+        return out(rows.set_column(len(_PLACED), "bytes", pa.nulls(rows.num_rows, pa.binary())), True, none, none)
 
     held, held_several, first = None, False, True  # the last content's earliest row
     for batch in batches:
         again = batch.column(batch.schema.get_field_index("repeat"))
-        batch = batch.select(["anchor", "content", "doc_id", "first", "windows", "lead"])
+        batch = batch.select([*_PLACED, "bytes"])
         yield repeats(batch.filter(again))
         rows = batch.filter(pc.invert(again))
         if not rows.num_rows:
@@ -195,8 +200,13 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def settled_contexts(found: DataFrame) -> DataFrame:
-    """(anchor, doc_id, first, windows, lead, repeat): all repeats, and the earliest of each content of anchors with several."""
+    """(anchor, doc_id, first, windows, lead, bytes, repeat): all repeats, and the earliest of each content of anchors with several.
+
+    ``bytes`` are those of ``found``, if it has them.
+    """
     found = materialize(found, "found-contexts")  # the range bounds come from a first look at these
+    if "bytes" not in found.columns:
+        found = found.withColumn("bytes", F.lit(None).cast("binary"))
     # what a task has settled itself is dealt out by its place, so that a common passage doesn't meet in one partition
     deal = F.when(F.col("repeat"), F.xxhash64("doc_id", "first")).otherwise(F.col("anchor"))
     order = ["anchor", "content", "doc_id", "first"]
@@ -205,8 +215,8 @@ def settled_contexts(found: DataFrame) -> DataFrame:
     # two rows a partition at most
     place, by_anchor, by_content = F.struct("doc_id", "first"), Window.partitionBy("anchor"), Window.partitionBy("anchor", "content")
     several = F.max("several").over(by_anchor) | (F.min("content").over(by_anchor) < F.max("content").over(by_anchor))
-    edges = pieces.where("edge").select("anchor", "doc_id", "first", "windows", "lead", (place > F.min(place).over(by_content)).alias("repeat"), several.alias("several"))
-    settled = pieces.where("not edge").select("anchor", "doc_id", "first", "windows", "lead", "repeat", "several").unionByName(edges)
+    edges = pieces.where("edge").select("anchor", "doc_id", "first", "windows", "lead", "bytes", (place > F.min(place).over(by_content)).alias("repeat"), several.alias("several"))
+    settled = pieces.where("not edge").select("anchor", "doc_id", "first", "windows", "lead", "bytes", "repeat", "several").unionByName(edges)
     return settled.where("repeat or several").drop("several")
 
 
@@ -262,55 +272,79 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array((first[row] + begin).astype(np.int32)), pa.array((end - begin).astype(np.int32))], ["doc_id", "first", "windows"])
 
 
-def windows_by_digest(shards: DataFrame) -> DataFrame:
-    """(doc_id, first, windows) of repeated windows from a digest of each window, for anchors that no task should hold."""
+def narrowed(shards: DataFrame, levels: int) -> DataFrame:
+    """The shards' contexts parted into contexts of ``levels`` levels, under longer anchors, with their bytes.
+
+    A window at level l has l bytes before the anchor and AFTER - l behind it. Those of a range of levels all have
+    as many bytes before as its first level and as many behind as its last: with the anchor, these are the new one.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
         for batch in batches:
-            digests, ids, places = [], [], []
-            for doc, first, n, piece in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "first", "windows", "bytes")), strict=True):
-                for i in range(n):
-                    digests.append(xxhash.xxh3_128_digest(piece[i : i + LENGTH]))
-                    ids.append(doc)
-                    places.append(first + i)
-            half = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(half[:, 0].copy()), pa.array(half[:, 1].copy()), pa.array(ids, pa.int64()), pa.array(places, pa.int32())], ["d1", "d2", "doc_id", "first"])
-
-    each = materialize(shards.mapInArrow(rows, "d1 long, d2 long, doc_id long, first int"), "windows")
-    least = materialize(each.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "first")).alias("least"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "least"), "first-windows")
-    return each.join(least, ["d1", "d2"]).where(F.struct("doc_id", "first") > F.col("least")).select("doc_id", "first", F.lit(1).alias("windows"))
-
-
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """(doc_id, first, windows): runs of windows that an earlier place holds too, as first byte and number; they may overlap."""
-    base = texts(docs, id_col, text_col).where("doc_id is not null")
-    pieces = settled_contexts(document_contexts(base))
-    earliest = pieces.where("not repeat")
-    large = materialize(earliest.groupBy("anchor").count().where(F.col("count") > hot).select("anchor", F.lit(True).alias("hot")), "hot-anchors")
-    some_hot = not large.isEmpty()
-    earliest = earliest.join(large, "anchor", "left") if some_hot else earliest.withColumn("hot", F.lit(False))
-    several = earliest.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "windows", "lead", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("own"))
+            out: list[list] = [[] for _ in kinds]
+            for doc, first, windows, lead, piece in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "first", "windows", "lead", "bytes")), strict=True):
+                for low in range((lead - windows + 1) // levels * levels, lead + 1, levels):
+                    high = min(low + levels, GRAMS) - 1
+                    begin, end = max(lead - high, 0), min(lead - low, windows - 1)
+                    anchor = xxhash.xxh3_64_intdigest(piece[lead - low : lead + LENGTH - high], seed=low)
+                    own = piece[begin : end + LENGTH]
+                    content = xxhash.xxh3_64_intdigest(own, seed=GRAMS + lead - begin)
+                    row = (anchor - 2**63, content - 2**63, doc, first + begin, end - begin + 1, lead - begin, own if levels > 1 else None, False)
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [*_PLACED, "bytes", "repeat"])
+
+    return shards.mapInArrow(rows, "anchor long, content long, doc_id long, first int, windows int, lead int, bytes binary, repeat boolean")
+
+
+def with_bytes(earliest: DataFrame, base: DataFrame) -> DataFrame:
+    """The contexts with the bytes that their windows cover, from their documents."""
+    own = earliest.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "windows", "lead")).alias("own"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "doc_id", "first", "windows", "lead", "hot", "bytes"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+        names = ["anchor", "doc_id", "first", "windows", "lead", "bytes"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for doc, text, own in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 for c in own:
                     piece = text[c["first"] : c["first"] + c["windows"] + LENGTH - 1] if text else b""
                     if len(piece) == c["windows"] + LENGTH - 1:
-                        for column, value in zip(out, (c["anchor"], doc, c["first"], c["windows"], c["lead"], c["hot"], piece), strict=True):
+                        for column, value in zip(out, (c["anchor"], doc, c["first"], c["windows"], c["lead"], piece), strict=True):
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
-    shards = base.join(several, "doc_id").select("doc_id", "text", "own").mapInArrow(cut, "anchor long, doc_id long, first int, windows int, lead int, hot boolean, bytes binary")
-    if some_hot:  # read twice then
-        shards = materialize(shards, "shards")
-    merged = shards.where("not hot").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "first").mapInArrow(_merged, "doc_id long, first int, windows int")
-    if some_hot:
-        merged = merged.unionByName(windows_by_digest(shards.where("hot")))
-    return pieces.where("repeat").select("doc_id", "first", "windows").unionByName(merged)
+    return base.join(own, "doc_id").select("doc_id", "text", "own").mapInArrow(cut, "anchor long, doc_id long, first int, windows int, lead int, bytes binary")
+
+
+def merged(shards: DataFrame) -> DataFrame:
+    """(doc_id, first, windows) of the repeated windows of anchors that a task each may hold."""
+    return shards.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "first").mapInArrow(_merged, "doc_id long, first int, windows int")
+
+
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """(doc_id, first, windows): runs of windows that an earlier place holds too, as first byte and number; they may overlap."""
+    base = texts(docs, id_col, text_col).where("doc_id is not null")
+    pieces = settled_contexts(document_contexts(base))
+    runs = pieces.where("repeat").select("doc_id", "first", "windows")
+    shards = earliest = pieces.where("not repeat")
+    for levels in (0, *LEVELS):
+        if levels:  # the contexts of hot anchors, narrower
+            pieces = settled_contexts(narrowed(shards, levels))
+            runs = runs.unionByName(pieces.where("repeat").select("doc_id", "first", "windows"))
+            shards = earliest = pieces.where("not repeat")
+        if levels == 1:  # a window is its own anchor, so none has several contents
+            break
+        large = materialize(earliest.groupBy("anchor").count().where(F.col("count") > hot).select("anchor"), "hot-anchors")
+        if not levels:
+            shards = with_bytes(earliest, base)
+        if large.isEmpty():
+            return runs.unionByName(merged(shards))
+        shards = materialize(shards, "shards")  # read twice
+        runs = runs.unionByName(merged(shards.join(large, "anchor", "left_anti")))
+        shards = shards.join(large, "anchor", "left_semi")
+    return runs
 
 
 def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:

@@ -136,18 +136,63 @@ def test_suffix_dedup(spark, seed):
     assert sum(w[1] > 0 for w in want) > 10
 
 
-def test_suffix_dedup_by_windows(spark):
-    """Anchors with too many contexts for one task to merge give the same."""
+@pytest.mark.parametrize("hot", [1, 3])
+def test_suffix_dedup_of_hot_anchors(spark, hot):
+    """Anchors with too many contexts for one task to merge grow, round after round, and give the same."""
     rng = np.random.default_rng(12)
     line = say(rng, 30)
     texts = [say(rng, 8) + " " + line + " " + say(rng, int(rng.integers(1, 30))) for _ in range(30)] + ["x" * 300, line, line]
-    spans = suffix_dedup.repeated_windows(docs(spark, texts), hot=3)
+    texts += [say(rng, 9) + line[a : a + int(rng.integers(60, 110))] + say(rng, 9) for a in rng.integers(0, 20, 30).tolist()]
+    spans = suffix_dedup.repeated_windows(docs(spark, texts), hot=hot)
     gone = [bytearray(len(t)) for t in texts]
     for r in spans.collect():
         gone[r.doc_id][r.first : r.first + r.windows + 99] = b"\1" * (r.windows + 99)
     assert [sum(g) for g in gone] == [w[1] for w in repeats_of(texts)]
 
 
+def test_narrower_contexts_share_the_anchor_of_equal_windows(spark):
+    """Each window comes once in each round; equal windows at equal levels have equal anchors, and no others share one."""
+    rng = np.random.default_rng(4)
+    middle = bytes(rng.integers(97, 123, 24, dtype=np.uint8))
+    rows = []
+    for doc in range(40):
+        left, right = (bytes(rng.integers(97, 99, 76, dtype=np.uint8) if rng.random() < 0.5 else np.full(76, 97 + n, np.uint8)) for n in (0, 1))
+        lead, last = int(rng.integers(0, 77)), int(rng.integers(0, 77))
+        windows = lead + 1 if last >= 76 else int(rng.integers(1, lead + 2))
+        body = (left[76 - lead :] + middle + right)[: windows + 99]
+        rows.append((5, doc, 10, windows, lead, body))
+    shards = spark.createDataFrame(rows, "anchor long, doc_id long, first int, windows int, lead int, bytes binary")
+    whole = {(doc, 10 + w): (lead - w, body[w : w + 100]) for _, doc, _, windows, lead, body in rows for w in range(windows)}
+    for levels in suffix_dedup.LEVELS:
+        anchors, owner = {}, {}
+        for r in suffix_dedup.narrowed(shards, levels).collect():
+            for w in range(r.windows):
+                level, window = whole[r.doc_id, r["first"] + w]
+                assert level == r.lead - w and (levels == 1 or r.bytes[w : w + 100] == window)
+                assert (r.doc_id, r["first"] + w) not in owner
+                owner[r.doc_id, r["first"] + w] = r.anchor
+                low = level // levels * levels
+                high = min(low + levels, 77) - 1
+                core = (low, window[level - low : level + 100 - high])
+                assert anchors.setdefault(r.anchor, core) == core
+        assert owner.keys() == whole.keys() and len(set(anchors.values())) == len(anchors)
+
+
+def test_many_contexts_of_one_anchor_are_merged(spark):
+    """Of 30,000 contexts of one anchor no group over ``hot`` reaches a task, and all of their repeats are found."""
+    rng = np.random.default_rng(8)
+    middle = bytes(rng.integers(97, 123, 60, dtype=np.uint8))
+    edges = rng.integers(97, 123, (30_000, 2, 60), dtype=np.uint8)
+    same = rng.integers(0, 45, (30_000, 2))
+    bodies = []
+    for pair, (a, b) in zip(edges, same.tolist(), strict=True):
+        pair[0, 60 - a :], pair[1, :b] = 65, 66
+        bodies.append(bytes(pair[0]) + middle + bytes(pair[1]))
+    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(bodies)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(df).select("doc_id", "n_removed").collect()}
+    assert [got[i] for i in range(len(bodies))] == [w[1] for w in repeats_of([t.decode() for t in bodies])]
+
+
 def test_contexts_of_one_anchor_over_many_partitions(spark):
     """Whatever the range partitions cut apart, each content keeps one earliest place, and lone anchors go."""
     rng = np.random.default_rng(21)
@@ -173,19 +218,19 @@ def test_many_contexts_of_one_anchor_in_bounded_memory():
     """A partition with one anchor of a million different contexts is streamed: what is held is one row."""
     import tracemalloc
 
-    names = ["anchor", "content", "doc_id", "first", "windows", "lead", "repeat"]
+    names = ["anchor", "content", "doc_id", "first", "windows", "lead", "repeat", "bytes"]
 
     def batches():
         for at in range(0, 1_000_000, 2000):
             n = np.arange(at, at + 2000)
             small = np.zeros(2000, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.zeros(2000, np.int64), n, n, small, small + 1, small, np.zeros(2000, bool))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.zeros(2000, np.int64), n, n, small, small + 1, small, np.zeros(2000, bool), [b"x" * 120] * 2000)], names)
 
     tracemalloc.start()
     rows, edges, before = 0, 0, pa.total_allocated_bytes()
     for batch in suffix_dedup._settled(batches()):
         rows += batch.num_rows
-        edges += sum(batch.column(8).to_pylist()) if batch.num_rows < 2 or rows < 5000 else 0
+        edges += sum(batch.column(9).to_pylist()) if batch.num_rows < 2 or rows < 5000 else 0
         assert pa.total_allocated_bytes() - before < 4 << 20
     assert rows == 1_000_000 and edges == 2 and tracemalloc.get_traced_memory()[1] < 8 << 20
     tracemalloc.stop()
