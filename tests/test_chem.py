@@ -136,13 +136,3 @@ def test_vectors(spark):
     assert one(spark, vectors.norm(a), vectors.cosine(a, a), vectors.cosine(a, z)) == (5.0, 1.0, 0.0)
     assert one(spark, vectors.padded(a, 3), vectors.pad_mask(a, 3)) == ([3.0, 4.0, 0.0], [True, True, False])
     assert one(spark, vectors.flattened_finite(F.array(F.lit(1.0), F.lit(None), F.lit(float("nan")))))[0] == [1.0]
-
-
-def test_toolkit_says_what_it_needs():
-    from peakloom.functions import toolkit
-
-    try:
-        import rdkit  # noqa: F401
-    except ImportError:
-        with pytest.raises(RuntimeError, match="rdkit"):
-            toolkit.canonical_smiles(F.lit("C"))

@@ -6,7 +6,7 @@ import pytest
 
 from peakloom.plans import bindings
 
-for name in ("coverage_queries", "dataset_queries", "evaluation_queries", "inference_queries", "mass_queries", "more_queries", "ranking_queries", "spectrum_queries", "training_queries"):
+for name in ("coverage_queries", "dataset_queries", "evaluation_queries", "inference_queries", "mass_queries", "more_queries", "ranking_queries", "spectrum_queries", "structure_queries", "training_queries"):
     importlib.import_module(f"peakloom.plans.{name}")
 
 from tests.oracle import differences  # noqa: E402
@@ -26,7 +26,7 @@ def test_reranker_runs(spark, sf):
     assert rows and all(r.rank >= 1 for r in rows)
 
 
-@pytest.mark.parametrize("name", ["encoded_spectra", "encoded_molecules", "ranker_experiments", "feature_importances"])
+@pytest.mark.parametrize("name", ["encoded_spectra", "encoded_molecules", "ranker_experiments", "feature_importances", "structure_fingerprints"])
 def test_queries_without_sql(spark, sf, name):
     rows = bindings.REGISTERED[name][0](spark, sf).collect()
     assert rows
