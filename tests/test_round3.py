@@ -18,3 +18,29 @@ def test_peak_reduction_merges_equal_mz(spark, tmp_path):
     f, sql = bindings.REGISTERED["peak_reduction"]
     assert f(spark, str(tmp_path)).collect()[0].asDict() == {"n_before": 5, "n_after": 3}
     assert differences(f(spark, str(tmp_path)), str(tmp_path), sql) == ""
+
+
+def _mass_tables(spark, folder, n_events):
+    start = datetime.datetime(2024, 1, 1)
+    _write(spark, folder, "events", [(i, start, i % 7, "click" if i % 4 else "view", 1.0, "{}") for i in range(n_events)], "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    _write(spark, folder, "part", [(i, "n", f"b{i % 3}", 900.0 + i * 0.02) for i in range(300)], "p_partkey long, p_name string, p_brand string, p_retailprice double")
+
+
+POOLED = ["pool_union", "pool_intersection", "pool_select_library", "availability_mask", "hybrid_sweep", "flat_pool_manifest", "pool_profile", "pool_growth", "multi_observation_filter", "survival_sweep", "mass_error_feature"]
+
+
+def test_groups_of_equal_masses_are_asked_once(spark, tmp_path_factory):
+    one, four = tmp_path_factory.mktemp("one"), tmp_path_factory.mktemp("four")
+    _mass_tables(spark, one, 21_000)  # one period of the masses
+    _mass_tables(spark, four, 84_000)
+    n = [bindings.shared_hits(spark, str(f))[2].count() for f in (one, four)]
+    assert n[0] == n[1] > 0
+
+
+@pytest.mark.parametrize("name", POOLED)
+def test_pools_of_repeated_groups(spark, tmp_path, name):
+    from peakloom.plans import mass_queries, ranking_queries  # noqa: F401  they register
+
+    _mass_tables(spark, tmp_path, 43_000)
+    f, sql = bindings.REGISTERED[name]
+    assert differences(f(spark, str(tmp_path)), str(tmp_path), sql) == ""
