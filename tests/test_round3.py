@@ -44,3 +44,55 @@ def test_pools_of_repeated_groups(spark, tmp_path, name):
     _mass_tables(spark, tmp_path, 43_000)
     f, sql = bindings.REGISTERED[name]
     assert differences(f(spark, str(tmp_path)), str(tmp_path), sql) == ""
+
+
+def _vectors(spark):
+    import random
+
+    draw = random.Random(5)
+    rows = [(i, i % 2, [draw.uniform(-1, 1) for _ in range(8)]) for i in range(120)]
+    rows += [(200 + i, 0, rows[2 * i][2]) for i in range(20)]  # copies: equal scores
+    rows += [(300, 0, None), (301, 1, [float("nan")] * 8)]
+    return spark.createDataFrame(rows, "id long, grp int, x array<float>").repartition(3).cache()
+
+
+def test_statistics_of_many_blocks(spark):
+    import numpy as np
+
+    from peakloom.operators import group_blocks
+
+    v = _vectors(spark)
+    q, r = group_blocks.packed(v.where("id % 3 = 0"), "grp", "id", "x", 7), group_blocks.packed(v.where("id % 3 <> 0"), "grp", "id", "x", 5)
+    held = {(x.grp, x.id): np.array(x.x, float) for x in v.collect() if x.x and x.x[0] == x.x[0]}
+    for wanted in ("all", "logsumexp"):
+        rows = group_blocks.statistics(q, r, wanted).collect()
+        assert len(rows) == sum(i % 3 != 0 for _, i in held)
+        for row in rows:
+            s = sorted(float(m @ held[row.grp, row.structure]) for (g, i), m in held.items() if g == row.grp and i % 3 == 0)
+            assert row.n == len(s) and abs(row.mean - np.mean(s)) < 1e-9 and abs(row.top - s[-1]) < 1e-9
+            if wanted == "all":
+                assert abs(row.std - np.std(s)) < 1e-9 and abs(row.low - s[0]) < 1e-9 and abs(row.top2 - (s[-1] + s[-2]) / 2) < 1e-9
+            else:
+                assert abs(row.logsumexp - (s[-1] + 0.1 * np.log(sum(np.exp((x - s[-1]) / 0.1) for x in s)))) < 1e-9
+
+
+def test_places_of_equal_scores(spark):
+    from peakloom.operators import group_blocks
+
+    v = _vectors(spark)
+    q, c = v.where("id % 3 = 0"), group_blocks.packed(v.where("id % 3 <> 0"), "grp", "id", "x", 5)
+    best = group_blocks.best_true(group_blocks.packed(q, "grp", "id", "x", 7), c, lambda a, b: b % 7 == a % 7)
+    own = group_blocks.packed(q.join(best.withColumnRenamed("query", "id"), "id", "left"), "grp", "id", "x", 7, ("best", "best_id"))
+    got = {x["query"]: x["rank"] for x in group_blocks.places(own, c).collect()}
+    held = {(x.grp, x.id): x.x for x in v.collect() if x.x and x.x[0] == x.x[0]}
+    want = {}
+    for (g, i), a in held.items():
+        if i % 3 == 0:
+            order = sorted((-sum(p * z for p, z in zip(a, b, strict=True)), j) for (h, j), b in held.items() if h == g and j % 3)
+            want[i] = next((n for n, (_, j) in enumerate(order, 1) if j % 7 == i % 7), None)
+    assert got == want
+
+
+def test_scores_send_no_pairs_through_a_shuffle(spark, sf):
+    plan = bindings.score_blocks(spark, sf, "max")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "zip_with" not in plan
