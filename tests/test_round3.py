@@ -96,3 +96,28 @@ def test_places_of_equal_scores(spark):
 def test_scores_send_no_pairs_through_a_shuffle(spark, sf):
     plan = bindings.score_blocks(spark, sf, "max")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "zip_with" not in plan
+
+
+CELLED = ["reranker_training_rows", "inference_features", "manifest_submission", "reranked_manifest"]
+
+
+@pytest.mark.parametrize("name", CELLED)
+def test_pools_of_cells(spark, sf, tmp_path, name):
+    """Copied vectors (equal scores), masses that share windows; the pairs are no row of a shuffle."""
+    from peakloom.plans import inference_queries  # noqa: F401  it registers
+
+    _mass_tables(spark, tmp_path, 3_000)
+    spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 20").write.mode("overwrite").parquet(f"{tmp_path}/embeddings.parquet")
+    f, sql = bindings.REGISTERED[name]
+    made = f(spark, str(tmp_path))
+    assert "MapInArrow" in made._jdf.queryExecution().executedPlan().toString()
+    assert differences(made, str(tmp_path), sql) == ""
+
+
+def test_rounding_of_halves():
+    import numpy as np
+
+    from peakloom.operators.mass_cells import places, rounded
+
+    assert rounded(np.array([0.0562385, -0.0562385, -1e-9, 0.1234564]), 6, 9).tolist() == [0.056239, -0.056239, 0.0, 0.123456]
+    assert places(np.array([0.5, 0.7, 0.5])).tolist() == [2.0, 1.0, 3.0]
