@@ -121,3 +121,35 @@ def test_rounding_of_halves():
 
     assert rounded(np.array([0.0562385, -0.0562385, -1e-9, 0.1234564]), 6, 9).tolist() == [0.056239, -0.056239, 0.0, 0.123456]
     assert places(np.array([0.5, 0.7, 0.5])).tolist() == [2.0, 1.0, 3.0]
+
+
+SPARSE = ["index_search", "chemistry_comparison", "multispectrum_metrics"]
+
+
+@pytest.mark.parametrize("name", SPARSE)
+def test_sparse_scores_of_many_parts(spark, tmp_path, name, monkeypatch):
+    """Spectra that share bins and copies (equal scores), in several parts; pairs are no row of a shuffle."""
+    from peakloom.operators import sparse_blocks
+    from peakloom.plans import evaluation_queries  # noqa: F401  it registers
+
+    rows = [(i, 1000.0 + 10 * ((i * (k + 3) + k) % 40), 1.0 + (i * k) % 7) for i in range(400) for k in range(4)]
+    rows += [(1000 + i, 1000.0 + 10 * (i % 5), 2.0) for i in range(60)]  # copies
+    rows += [(5000, 90_000.0, 1.0)]  # a query that shares no bin
+    _write(spark, tmp_path, "lineitem", rows, "l_orderkey long, l_extendedprice double, l_quantity double")
+    monkeypatch.setattr(sparse_blocks, "POSTINGS", 90)
+    monkeypatch.setattr(sparse_blocks, "TRIPLES", 50)
+    f, sql = bindings.REGISTERED[name]
+    made = f(spark, str(tmp_path))
+    assert "MapInArrow" in made._jdf.queryExecution().executedPlan().toString()
+    assert differences(made, str(tmp_path), sql) == ""
+
+
+def test_more_parts_than_structures(spark, tmp_path):
+    from peakloom.operators import sparse_blocks
+
+    rows = spark.createDataFrame([(i, [i % 3, 5], [0.6, 0.8]) for i in range(40)], "id long, bins array<int>, vals array<double>")
+    q = rows.where("id < 5").selectExpr("id AS grp", "id", "bins", "vals")
+    r = rows.selectExpr("id", "bins", "vals", "id % 2 AS label", "cast(id % 10 AS int) AS part")
+    found = sparse_blocks.reduced(q, r, sparse_blocks.best_by_label, sparse_blocks.LABELLED, 10)
+    got = {x["query"]: sorted((e.structure, round(e.score, 6)) for e in x.entries) for x in sparse_blocks.merged(found, "query", ["score"], whole=False).collect()}
+    assert got == {i: [(0, 1.0), (1, 1.0)] for i in range(5)}
