@@ -48,6 +48,10 @@ def formula_matches(spark, d):
 @query("")
 def structure_fingerprints(spark, d):
     """Circular fingerprints of 2,048 bits and radius 2, packed as the places of their set bits; null where a text isn't read."""
-    rows = _structures(spark, d).withColumn("graph", smiles.smiles_graph(F.col("smiles")))
-    bits = rows.select("id", F.col("graph.fate").alias("fate"), smiles.active_bits(F.col("graph")).alias("bits"))
-    return bits.select("id", "fate", F.when(F.col("bits").isNotNull(), F.size("bits")).alias("active_bits"), F.array_join("bits", " ").alias("bits"))
+    rows = _structures(spark, d)
+    # equal texts are read once; a fixed number of tasks, as texts are short and the work on one is long
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    texts = rows.select(F.col("smiles").alias("text")).distinct().repartition(tasks, "text").withColumn("graph", smiles.smiles_graph(F.col("text")))
+    made = texts.select("text", F.col("graph.fate").alias("fate"), smiles.active_bits(F.col("graph")).alias("bits"))
+    shown = made.select("text", "fate", F.when(F.col("bits").isNotNull(), F.size("bits")).alias("active_bits"), F.array_join("bits", " ").alias("bits"))
+    return rows.join(shown, rows.smiles.eqNullSafe(shown.text)).select("id", "fate", "active_bits", "bits")

@@ -153,3 +153,22 @@ def test_more_parts_than_structures(spark, tmp_path):
     found = sparse_blocks.reduced(q, r, sparse_blocks.best_by_label, sparse_blocks.LABELLED, 10)
     got = {x["query"]: sorted((e.structure, round(e.score, 6)) for e in x.entries) for x in sparse_blocks.merged(found, "query", ["score"], whole=False).collect()}
     assert got == {i: [(0, 1.0), (1, 1.0)] for i in range(5)}
+
+
+def test_equal_texts_are_read_once(spark, tmp_path, monkeypatch):
+    from peakloom.functions import smiles
+    from peakloom.plans import structure_queries
+
+    spark.range(2_600).selectExpr("id AS p_partkey", "cast(id % 50 AS int) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    read = spark.sparkContext.accumulator(0)
+    graph = smiles.smiles_graph
+
+    def counted(column):
+        from pyspark.sql.functions import udf
+
+        return graph(udf(lambda t: read.add(1) or t, "string")(column))
+
+    monkeypatch.setattr(smiles, "smiles_graph", counted)
+    rows = structure_queries.structure_fingerprints(spark, str(tmp_path)).collect()
+    assert sorted(r.id for r in rows) == list(range(2_600)) and 0 < read.value < 1_000
+    assert all((r.fate == "empty") == (r.id % 13 == 0) and (r.bits is None) == (r.fate != "read") for r in rows)
