@@ -172,3 +172,14 @@ def test_equal_texts_are_read_once(spark, tmp_path, monkeypatch):
     rows = structure_queries.structure_fingerprints(spark, str(tmp_path)).collect()
     assert sorted(r.id for r in rows) == list(range(2_600)) and 0 < read.value < 1_000
     assert all((r.fate == "empty") == (r.id % 13 == 0) and (r.bits is None) == (r.fate != "read") for r in rows)
+
+
+def test_array_chain_asks_for_its_input_once(spark):
+    from pyspark.sql import functions as F
+
+    from peakloom.functions.peak_arrays import PeakProfile, preprocessed
+
+    rows = spark.createDataFrame([(1, [(100.0, 10.0), (100.0, 20.0), (200.0, 0.1), (300.0, 15.0)])], "id int, given array<struct<mz:double,intensity:double>>")
+    made = rows.select(preprocessed(F.col("given"), None, PeakProfile(min_relative_intensity=0.02, max_peaks=4)).alias("p"))
+    assert made._jdf.queryExecution().analyzed().toString().split("LogicalRDD")[0].count("given#") == 1
+    assert [(p.mz, round(p.intensity, 6)) for p in made.first().p] == [(100.0, 1.0), (300.0, 0.707107)]
