@@ -183,3 +183,41 @@ def test_array_chain_asks_for_its_input_once(spark):
     made = rows.select(preprocessed(F.col("given"), None, PeakProfile(min_relative_intensity=0.02, max_peaks=4)).alias("p"))
     assert made._jdf.queryExecution().analyzed().toString().split("LogicalRDD")[0].count("given#") == 1
     assert [(p.mz, round(p.intensity, 6)) for p in made.first().p] == [(100.0, 1.0), (300.0, 0.707107)]
+
+
+def _ranking_rows(spark, sizes, seed=4):
+    import random
+
+    draw = random.Random(seed)
+    rows = []
+    for q, (p, n) in enumerate(sizes):
+        for c in range(p + n):
+            hit = c < p
+            rows.append((q, c, int(hit), draw.gauss(0.7 if hit else 0.0, 1), 40 * draw.gauss(0.2 * hit, 1), 3.0 + q))  # the last one is equal in a query
+    return spark.createDataFrame(rows, "query_id long, candidate_id long, target int, f0 double, f1 double, f2 double").repartition(3)
+
+
+@pytest.mark.parametrize("objective", ["rank:pairwise", "rank:ndcg", "rank:map"])
+def test_ranker_over_blocks_is_sparks_regression_over_pairs(spark, monkeypatch, objective):
+    from pyspark.ml.classification import LogisticRegression
+
+    from peakloom.operators import ranker
+
+    monkeypatch.setattr(ranker, "POSITIVES", 7)
+    monkeypatch.setattr(ranker, "NEGATIVES", 11)
+    rows = _ranking_rows(spark, [(3, 20), (10, 40), (0, 5), (4, 0), (1, 30)])
+    names = ["f0", "f1", "f2"]
+    pairs = ranker.difference_pairs(rows, names, objective=objective).cache()
+    for n in (1, 3, 6):
+        model = LogisticRegression(maxIter=n, regParam=1e-2, fitIntercept=False, standardization=True, weightCol="weight").fit(pairs)
+        got = ranker.fit(rows, ranker.RankerConfig(objective, max_iter=n, reg=1e-2, features=tuple(names)))
+        assert got.weights == pytest.approx(tuple(model.coefficients), rel=1e-6) and got.weights[2] == 0
+
+
+def test_ranker_makes_no_row_of_a_pair(spark):
+    from peakloom.operators import ranker
+
+    rows = _ranking_rows(spark, [(700, 4000)])
+    blocks = ranker.pair_blocks(rows, ["f0", "f1", "f2"])
+    assert blocks.count() == 2 * 2
+    assert ranker._added(blocks, 5, lambda p, n: p[:1, 0] * 0 + len(p) * len(n)).tolist() == [700 * 4000]
