@@ -221,3 +221,31 @@ def test_ranker_makes_no_row_of_a_pair(spark):
     blocks = ranker.pair_blocks(rows, ["f0", "f1", "f2"])
     assert blocks.count() == 2 * 2
     assert ranker._added(blocks, 5, lambda p, n: p[:1, 0] * 0 + len(p) * len(n)).tolist() == [700 * 4000]
+
+
+@pytest.mark.parametrize("objective", ["rank:pairwise", "rank:ndcg", "rank:map"])
+def test_gradients_of_a_query_of_very_many_pairs(spark, objective):
+    """24 million pairs, which were a row each; scores with and without ties, and a query without positives."""
+    import numpy as np
+
+    from peakloom.operators import trees
+
+    rng = np.random.default_rng(6)
+    n, hit = 14_000, rng.random(14_000) < 0.2
+    score = rng.choice([-0.5, 0.0, 0.125, 0.4], n)
+    rows = [(1, i, int(h), [0], float(s)) for i, (h, s) in enumerate(zip(hit, score, strict=True))] + [(2, i, 0, [0], 0.0) for i in range(9)]
+    state = spark.createDataFrame(rows, "query long, id long, target int, bins array<int>, score double").repartition(3)
+    config = trees.TreeConfig(objective)
+    classes = [x for x in trees.gradients(state, config).collect()]
+    assert len(classes) == len(rows) and all(x.g == x.h == 0 for x in classes if x.query == 2)
+    got = np.array([(x.g, x.h) for x in sorted((x for x in classes if x.query == 1), key=lambda x: x.id)], float) / trees.UNIT
+    place = np.empty(n)
+    place[np.lexsort((np.arange(n), -score))] = np.arange(1, n + 1)
+    worth = {"rank:pairwise": place, "rank:ndcg": 1 / np.log2(place + 1), "rank:map": 1 / place}[objective]
+    p, m = np.flatnonzero(hit), np.flatnonzero(~hit)
+    w = np.ones((len(p), len(m))) if objective == "rank:pairwise" else np.abs(worth[p][:, None] - worth[m])
+    wrong = 1 / (1 + np.exp(score[p][:, None] - score[m]))
+    want = np.zeros((n, 2))
+    for k, x in enumerate((w * wrong, w * wrong * (1 - wrong))):
+        want[m, k], want[p, k] = x.sum(0) / w.sum(), x.sum(1) / w.sum() * (-1 if k == 0 else 1)
+    assert np.abs(got - want).max() < 3e-9
