@@ -249,3 +249,27 @@ def test_gradients_of_a_query_of_very_many_pairs(spark, objective):
     for k, x in enumerate((w * wrong, w * wrong * (1 - wrong))):
         want[m, k], want[p, k] = x.sum(0) / w.sum(), x.sum(1) / w.sum() * (-1 if k == 0 else 1)
     assert np.abs(got - want).max() < 3e-9
+
+
+def test_error_function_to_double_precision():
+    import math
+
+    import numpy as np
+
+    from peakloom.operators import layers
+
+    x = np.concatenate([np.linspace(-7, 7, 20_001), [-0.0, 1e-300, np.inf, -np.inf]])
+    assert np.abs(layers.erf(x) - [math.erf(v) for v in x]).max() < 5e-16 and np.isnan(layers.erf(np.array([np.nan]))).all()
+
+
+def test_a_batch_is_a_row_and_a_step_asks_for_ranges(spark):
+    from peakloom.operators import training
+
+    rows = spark.createDataFrame([(i // 3, 20 - i, i, [float(i)], [1.0], 1.0, [1]) for i in range(20)], "batch long, item long, structure long, mzs array<double>, intensities array<double>, precursor_mz double, fingerprint array<int>")
+    held = {r.batch: [x["item"] for x in r.rows] for r in training.laid_out(rows, 3).collect()}
+    assert held == {b: sorted(20 - i for i in range(20) if i // 3 == b) for b in range(7)}
+    for n, per_step in ((7, 3), (7, 7), (5, 9), (1, 1)):
+        for step in range(8):
+            want = {(step * per_step + i) % n for i in range(min(per_step, n))}
+            got = [b for low, high in training.asked(step, per_step, n) for b in range(low, high)]
+            assert set(got) == want and len(got) == len(want)
