@@ -48,13 +48,17 @@ def folders_asked(asked: DataFrame, per_folder: int) -> list[int]:
     return sorted(r.folder for r in asked.select(F.floor(F.col("__bucket") / per_folder).alias("folder")).distinct().collect())
 
 
+def stored_rows(spark: SparkSession, index: MassIndex, asked: DataFrame) -> DataFrame:
+    """The stored variants of the folders that ``range_join.windows`` meet."""
+    return index.rows(spark).where(F.col("folder").isin(folders_asked(asked, index.per_folder))).drop("folder")
+
+
 def search_masses(spark: SparkSession, index: MassIndex, queries: DataFrame, ppm: float | Column, query: str = "spectrum_id", mass: str = "mass", max_candidates: int | None = None) -> DataFrame:
     """As ``mass_hits``: one row a query and structure, its nearest variant, errors and variant count."""
     if max_candidates is not None and max_candidates <= 0:
         raise ValueError("max_candidates must be positive")
     asked = windows(queries, ppm, mass, index.step)
-    stored = index.rows(spark).where(F.col("folder").isin(folders_asked(asked, index.per_folder))).withColumnRenamed("bucket", "__bucket")
-    joined = asked.join(stored.drop("folder"), "__bucket").where(F.col("exact_mass").between(F.col("__low"), F.col("__high")))
+    joined = asked.join(stored_rows(spark, index, asked).withColumnRenamed("bucket", "__bucket"), "__bucket").where(F.col("exact_mass").between(F.col("__low"), F.col("__high")))
     best = nearest_only(joined.drop("__bucket", "__low", "__high"), mass).withColumn("error_da", F.col("exact_mass") - F.col(mass))
     if max_candidates is None:
         return best

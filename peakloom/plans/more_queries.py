@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chem, keys
 from ..operators import cells, pools, scoring
+from ..operators.profiling import weighted_mean
 from . import bindings as b
 from .bindings import query, rounded, sql
 from .ranking_queries import _FEATURES, BY, _features
@@ -22,9 +23,10 @@ def exact_mass_lookup(spark, d):
 
 @query(sql("ions hits", "SELECT adduct, count(*) AS n, round(median(abs(error_ppm)), 6) AS median, round(quantile_cont(abs(error_ppm), 0.9), 6) AS p90, round(quantile_cont(abs(error_ppm), 0.99), 6) AS p99, round(avg((abs(error_ppm) <= 20)::INT), 6) AS within_20, round(avg((abs(error_ppm) <= 50)::INT), 6) AS within_50 FROM hits JOIN ions USING (spectrum_id) WHERE supported GROUP BY 1"))
 def error_by_adduct(spark, d):
-    rows = b.hits(spark, d).select("spectrum_id", F.abs("error_ppm").alias("size")).join(b.ions(spark, d).where("supported").select("spectrum_id", "adduct"), "spectrum_id")
-    shares = [F.avg((F.col("size") <= t).cast("double")).alias(f"within_{t}") for t in (20, 50)]
-    return rounded(cells.aggregated(rows, ["adduct"], [F.count("*").alias("n"), *shares], "size", {"median": 0.5, "p90": 0.9, "p99": 0.99}))
+    strata = b.ions(spark, d).where("supported").groupBy("mass", "adduct").agg(F.count("*").alias("weight"))
+    rows = b.weighted_hits(spark, d, strata).withColumn("size", F.abs("error_ppm"))
+    shares = [weighted_mean((F.col("size") <= t).cast("double"), "weight").alias(f"within_{t}") for t in (20, 50)]
+    return rounded(cells.aggregated(rows, ["adduct"], [F.sum("weight").alias("n"), *shares], "size", {"median": 0.5, "p90": 0.9, "p99": 0.99}, "weight"))
 
 
 @query(sql("ions", "SELECT adduct, count(*) AS n, round(median((mz * abs(charge) - mass_shift) / multimer - mass), 6) AS median_da, round(median(abs(((mz * abs(charge) - mass_shift) / multimer - mass) / mass * 1e6)), 6) AS median_abs_ppm FROM ions WHERE supported GROUP BY 1"))

@@ -25,3 +25,48 @@ def test_truths_are_ranked_in_cells(spark, sf, tmp_path, name):
     made = f(spark, str(tmp_path))
     assert "MapInArrow" in _plan(made)
     assert differences(made, str(tmp_path), sql) == ""
+
+
+def _repeated(spark, folder, n_events, copies):
+    """Tables in which each mass has several spectra and each pair of masses several structures."""
+    _mass_tables(spark, folder, n_events)
+    part = spark.read.parquet(f"{folder}/part.parquet").collect()
+    rows = [(p.p_partkey + 300 * i, f"n{(7 * i) % 5}", p.p_brand, p.p_retailprice) for i in range(copies) for p in part]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_retailprice double").write.mode("overwrite").parquet(f"{folder}/part.parquet")
+
+
+LISTED = ["range_join_hits", "range_join_capped", "ppm_both_conventions", "candidate_constraints", "chemistry_filter_hard", "chemistry_filter_soft", "mass_index_search", "hard_negatives"]
+COUNTED = ["range_join_counts", "candidate_count_distribution", "survival_by_adduct", "tolerance_sweep", "error_by_source", "error_by_adduct"]
+
+
+@pytest.mark.parametrize("name", LISTED + COUNTED)
+def test_classes_of_equal_masses(spark, tmp_path, monkeypatch, name):
+    """Classes of several parts, too; ties are settled by structure over all of them."""
+    from peakloom.operators import mass_classes
+    from peakloom.plans import more_queries, training_queries  # noqa: F401  they register
+
+    monkeypatch.setattr(mass_classes, "CLASS", 2)
+    _repeated(spark, tmp_path, 4_500, 4)
+    f, sql = bindings.REGISTERED[name]
+    made = f(spark, str(tmp_path))
+    assert differences(made, str(tmp_path), sql) == ""
+
+
+def test_class_hits_do_not_grow_with_copies(spark, tmp_path_factory):
+    one, four = tmp_path_factory.mktemp("one"), tmp_path_factory.mktemp("four")
+    _repeated(spark, one, 21_000, 1)
+    _repeated(spark, four, 84_000, 4)
+    n = [bindings.class_hits(spark, str(f)).count() for f in (one, four)]
+    assert n[0] == n[1] > 0
+
+
+def test_weighted_quantiles_equal_repeated_rows(spark):
+    from peakloom.operators import cells, profiling
+
+    rows = [(i % 3, float(i * i % 17), 1 + i % 5) for i in range(60)] + [(0, None, 4)]
+    weighted = spark.createDataFrame(rows, "g int, x double, w long")
+    repeated = spark.createDataFrame([(g, x) for g, x, w in rows for _ in range(w)], "g int, x double")
+    points = {"a": 0.0, "b": 0.31, "c": 0.5, "d": 1.0}
+    assert sorted(cells.quantiles(weighted, "x", points, ["g"], "w").collect()) == sorted(cells.quantiles(repeated, "x", points, ["g"]).collect())
+    pairs = [profiling.distribution(weighted, "x", ["g"], weight="w"), profiling.distribution(repeated, "x", ["g"])]
+    assert [sorted(tuple(round(v, 9) for v in r) for r in p.collect()) for p in pairs][0] == sorted(tuple(round(v, 9) for v in r) for r in pairs[1].collect())
