@@ -70,3 +70,16 @@ def test_weighted_quantiles_equal_repeated_rows(spark):
     assert sorted(cells.quantiles(weighted, "x", points, ["g"], "w").collect()) == sorted(cells.quantiles(repeated, "x", points, ["g"]).collect())
     pairs = [profiling.distribution(weighted, "x", ["g"], weight="w"), profiling.distribution(repeated, "x", ["g"])]
     assert [sorted(tuple(round(v, 9) for v in r) for r in p.collect()) for p in pairs][0] == sorted(tuple(round(v, 9) for v in r) for r in pairs[1].collect())
+
+
+@pytest.mark.parametrize("name", ["spectral_retrieval", "spectral_retrieval_metrics", "multispectrum_retrieval", "chemistry_filtered_ranking", "chemistry_comparison"])
+def test_spectral_pairs_are_reduced_in_tasks(spark, tmp_path, name):
+    """Equal scores, structures without a shared bin, lone spectra and rows without a spectrum."""
+    from peakloom.plans import spectrum_queries  # noqa: F401  it registers
+
+    rows = [(i // 3 if i % 50 else None, 10_000.0 + (i * i * 37 % 900) * 10, float(1 + i % 50)) for i in range(1_500)] + [(2_000, 99_000.0, 5.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_extendedprice double, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    f, sql = bindings.REGISTERED[name]
+    made = f(spark, str(tmp_path))
+    assert "MapInArrow" in _plan(made)
+    assert differences(made, str(tmp_path), sql) == ""
