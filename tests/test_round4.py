@@ -83,3 +83,16 @@ def test_spectral_pairs_are_reduced_in_tasks(spark, tmp_path, name):
     made = f(spark, str(tmp_path))
     assert "MapInArrow" in _plan(made)
     assert differences(made, str(tmp_path), sql) == ""
+
+
+@pytest.mark.parametrize("name", ["candidate_generation", "constrained_retrieval_strata"])
+def test_spectra_that_agree_are_asked_once(spark, sf, tmp_path, name):
+    """No hit is joined to a spectrum by its id."""
+    from peakloom.plans import inference_queries  # noqa: F401  it registers
+
+    _repeated(spark, tmp_path, 3_000, 3)
+    spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 20").write.parquet(f"{tmp_path}/embeddings.parquet")
+    f, sql = bindings.REGISTERED[name]
+    made = f(spark, str(tmp_path))
+    assert "Join [spectrum_id" not in _plan(made)
+    assert differences(made, str(tmp_path), sql) == ""
