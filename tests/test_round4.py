@@ -96,3 +96,19 @@ def test_spectra_that_agree_are_asked_once(spark, sf, tmp_path, name):
     made = f(spark, str(tmp_path))
     assert "Join [spectrum_id" not in _plan(made)
     assert differences(made, str(tmp_path), sql) == ""
+
+
+def test_manifest_of_classes(spark, tmp_path, monkeypatch):
+    """Classes of several parts, whose structures have names of their own; hits are shuffled as classes."""
+    from peakloom.operators import mass_classes
+    from peakloom.plans import inference_queries
+
+    monkeypatch.setattr(mass_classes, "CLASS", 2)
+    _repeated(spark, tmp_path, 3_000, 4)
+    part = spark.read.parquet(f"{tmp_path}/part.parquet").collect()
+    spark.createDataFrame([(p.p_partkey, f"n{p.p_partkey}", f"b{p.p_partkey % 7}", p.p_retailprice) for p in part], "p_partkey long, p_name string, p_brand string, p_retailprice double").write.mode("overwrite").parquet(f"{tmp_path}/part.parquet")
+    classes = mass_classes.alike(bindings.variants(spark, str(tmp_path)), ("smiles", "formula")).cache()
+    assert classes.select("class").distinct().count() == 150 and classes.count() > 150
+    assert inference_queries._class_manifest(spark, str(tmp_path), classes).select("structure").distinct().count() <= 150
+    f, sql = bindings.REGISTERED["candidate_manifest"]
+    assert differences(f(spark, str(tmp_path)), str(tmp_path), sql) == ""
