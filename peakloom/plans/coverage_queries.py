@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import peak_arrays, vectors
-from ..operators import metrics, peaks, pools, profiling, ranker, scoring, splits, trees
+from ..operators import group_blocks, metrics, peaks, pools, profiling, ranker, scoring, splits, trees
 from ..schemas import checked, looked_up, require, violations
 from ..sources import arrays, files
 from . import bindings as b
@@ -278,6 +278,11 @@ def library_structures(spark, d):
 @query(sql("scored", "SELECT round((SELECT avg(won) FROM (SELECT arg_max((structure % 5 = spectrum_id % 5)::INT, (score, -structure)) AS won FROM scored GROUP BY spectrum_id)), 6) AS forward, round((SELECT avg(won) FROM (SELECT arg_max((structure % 5 = spectrum_id % 5)::INT, (score, -spectrum_id)) AS won FROM scored GROUP BY structure)), 6) AS backward"))
 def both_accuracies(spark, d):
     """In-batch accuracy of the best candidate a spectrum, and of the best spectrum a candidate."""
+    packed = b.blocks_of_scores(spark, d)
+    if packed:
+        won = F.avg((F.col("best_id") % 5 == F.col("query") % 5).cast("double"))
+        sides = [group_blocks.best_true(*p, group_blocks.any_candidate).agg(won.alias(name)) for name, p in (("forward", packed), ("backward", packed[::-1]))]
+        return rounded(sides[0].crossJoin(sides[1]))  # one row each
     rows = b.scored(spark, d).withColumn("target", (F.col("structure") % 5 == F.col("spectrum_id") % 5).cast("int"))
     return rounded(metrics.top_accuracies(rows, "spectrum_id", "structure", "target"))
 

@@ -112,3 +112,18 @@ def test_manifest_of_classes(spark, tmp_path, monkeypatch):
     assert inference_queries._class_manifest(spark, str(tmp_path), classes).select("structure").distinct().count() <= 150
     f, sql = bindings.REGISTERED["candidate_manifest"]
     assert differences(f(spark, str(tmp_path)), str(tmp_path), sql) == ""
+
+
+@pytest.mark.parametrize("odd", [False, True])
+@pytest.mark.parametrize("name", ["top_accuracy", "both_accuracies", "pooled_by_structure"])
+def test_best_scores_come_from_blocks(spark, sf, tmp_path, name, odd):
+    """Copied vectors (equal scores); with a vector that isn't finite all pairs are listed as before."""
+    from peakloom.plans import coverage_queries, ranking_queries  # noqa: F401  they register
+
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    rows = [(v.vec_id + 1000 * i, [float("nan")] * len(v.embedding) if odd and v.vec_id == 3 else v.embedding, v.label) for i in range(2) for v in e.where("vec_id < 40").collect()]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    f, sql = bindings.REGISTERED[name]
+    made = f(spark, str(tmp_path))
+    assert ("MapInArrow" in _plan(made)) is not odd
+    assert differences(made, str(tmp_path), sql) == ""
